@@ -12,7 +12,8 @@ _SEP = "\x01"
 # The English month abbreviations used in web-server logs.
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
 
-_IPV4 = r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"\A(?:{_OCTET}\.){{3}}{_OCTET}\z"
 _HEX_RUN = r"(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*)?"
 
 

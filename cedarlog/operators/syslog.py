@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
@@ -20,14 +21,19 @@ class Split(NamedTuple):
     rejected: DataFrame
 
 
-def _decoded(line: Column) -> Column:
-    """The line between brackets with a trailing check value, parsed.
+_MEMBERS = T.StructType([T.StructField(key, T.StringType()) for key in (*SYSLOG_REQUIRED, "PID")])
 
-    A lenient JSON reader stops after the first value of a line. With the check
-    value behind it, anything following the record shows up as a parse failure
-    or a displaced check value.
+
+def _is_intact(line: Column) -> Column:
+    """True when the line is one JSON value and nothing else.
+
+    A lenient JSON reader stops after the first value of a line. The line is
+    therefore read between brackets with a check value behind it: anything that
+    follows the record shows up as a failure or a displaced check value.
     """
-    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]")))
+    check = F.xxhash64(line)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), check.cast("string"), F.lit("]")))
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "bigint") == check, F.lit(False))
 
 
 def _reject_reason(line: Column) -> Column:
@@ -38,7 +44,7 @@ def _reject_reason(line: Column) -> Column:
 
     checks = [
         (~F.is_valid_utf8(line), F.lit("not valid UTF-8")),
-        (~F.coalesce(F.col("__record.intact"), F.lit(False)), F.lit("not valid JSON")),
+        (~F.col("__intact"), F.lit("not valid JSON")),
         (~records.is_object(line), F.lit("not a JSON object")),
     ]
     checks += [(member(key).isNull(), F.lit(f"{key} is missing")) for key in SYSLOG_REQUIRED]
@@ -68,20 +74,17 @@ def parse_syslog(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()
     ``keep`` names further columns of ``lines`` to carry along.
     """
     text = F.col(line)
-    doc = F.col("__doc")
-    members = [F.try_variant_get(doc, f"$[0].{key}", "string").alias(key) for key in (*SYSLOG_REQUIRED, "PID")]
-    intact = (F.try_variant_get(doc, "$[1]", "bigint") == F.xxhash64(text)).alias("intact")
-    decoded = with_once(lines.filter(~is_blank(text)), "__doc", _decoded(text))
-    extracted = with_once(decoded, "__record", F.struct(intact, *members))
+    checked = with_once(lines.filter(~is_blank(text)), "__intact", _is_intact(text))
+    members = F.from_json(text, _MEMBERS, {"allowSingleQuotes": "false"})
+    extracted = with_once(checked, "__record", members)
     reason = F.col("reject_reason")
-    last_only = F.to_json(F.try_variant_get(doc, "$[0]", "variant"))
     return with_once(extracted, "reject_reason", _reject_reason(text)).select(
         *keep,
         *(F.col(f"__record.{k}").try_cast("timestamp").alias(k.lower()) for k in SYSLOG_REQUIRED[:3]),
         *(F.col(f"__record.{k}").alias(k.lower()) for k in ("FACILITY", "HOST", "HOST_FROM")),
         digits_to(F.col("__record.PID"), "bigint").alias("pid"),
         *(F.col(f"__record.{k}").alias(k.lower()) for k in ("PRIORITY", "PROGRAM", "SOURCEIP")),
-        F.when(reason.isNull() & _has_repeated_key(text), last_only).otherwise(text).alias("raw"),
+        F.when(reason.isNull() & _has_repeated_key(text), records.canonical(text)).otherwise(text).alias("raw"),
         "reject_reason",
     )
 

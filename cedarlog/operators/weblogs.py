@@ -102,10 +102,12 @@ ERROR = (
 
 
 def _match(lines: DataFrame, line: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """Non-blank lines with ``__caps``; the tag in front names the layout that matched."""
+    """Non-blank lines with ``__caps``, whose tag in front names the layout that
+    matched, and ``__fields``, all of its fields as JSON."""
     text = F.col(line)
     attempts = (capture(text, rule.pattern, rule.groups, str(at)) for at, rule in enumerate(rules))
-    return with_once(lines.filter(~is_blank(text)), "__caps", F.coalesce(*attempts))
+    matched = with_once(lines.filter(~is_blank(text)), "__caps", F.coalesce(*attempts))
+    return with_once(matched, "__fields", fields_json(F.col("__caps"), rules))
 
 
 def _field(caps: Column, rules: tuple[Rule, ...], name: str) -> Column:
@@ -116,13 +118,13 @@ def _field(caps: Column, rules: tuple[Rule, ...], name: str) -> Column:
     return F.coalesce(*(F.when(caps[0] == tag, empty_to_null(caps[f.group])) for tag, f in at))
 
 
-def _raw(caps: Column, rules: tuple[Rule, ...], line: Column) -> Column:
+def _raw(line: Column) -> Column:
     """``{"MESSAGE": line}``, with ``enriched`` when anything was extracted."""
-    fields = fields_json(caps, rules)
+    fields = F.col("__fields")
     bare = F.to_json(F.struct(line.alias("MESSAGE")))
-    return F.when(
-        fields.isNotNull(), F.concat(F.rtrim(bare, F.lit("}")), F.lit(',"enriched":'), fields, F.lit("}"))
-    ).otherwise(bare)
+    return F.concat(
+        F.rtrim(bare, F.lit("}")), F.coalesce(F.concat(F.lit(',"enriched":'), fields), F.lit("")), F.lit("}")
+    )
 
 
 def _tag(value) -> Column:
@@ -161,7 +163,7 @@ def parse_http_access(
         "bytes": digits_to(text["http_bytes"], "bigint"),
         "referrer": text["http_referrer"],
         "user_agent": text["http_agent"],
-        "raw": _raw(caps, ACCESS, F.col(line)),
+        "raw": _raw(F.col(line)),
     }
     return _match(lines, line, ACCESS).select(*keep, *_sized(columns, HTTP_ACCESS))
 
@@ -188,7 +190,7 @@ def parse_http_error(
         "server": text("server"),
         "request": text("request"),
         "message": text("message"),
-        "raw": _raw(caps, ERROR, F.col(line)),
+        "raw": _raw(F.col(line)),
     }
     return _match(lines, line, ERROR).select(*keep, *_sized(columns, HTTP_ERROR))
 

@@ -9,14 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the two semantics-bearing options; both can change at run time.
+    """Set the options the library relies on; all can change at run time.
 
     Log times are compared in UTC, and a repeated JSON key keeps its last value.
-    Everything that only affects speed (shuffle partitions, AQE, ...) is left to
-    whoever sized the cluster.
+    Parsing makes long generated methods. The JVM only interprets those above
+    8000 bytes, so stages that exceed it are better left unfused. Shuffle
+    partitions, AQE and the like are left to whoever sized the cluster.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -84,7 +84,7 @@ def main() -> int:
         began = time.time()
         try:
             got = build(spark, sf_dir).toArrow()
-            problem = difference(got, con.execute(oracles[name]).fetch_arrow_table()) if name in oracles else "no SQL"
+            problem = difference(got, con.execute(oracles[name]).to_arrow_table()) if name in oracles else "no SQL"
         except Exception as error:  # report and go on with the next query
             problem, got = f"{type(error).__name__}: {str(error)[:900]}", []
         bad += problem is not None

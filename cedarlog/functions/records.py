@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def json_text(value: Column, *path: str) -> Column:
@@ -17,6 +18,12 @@ def message(raw: Column) -> Column:
     return json_text(raw, "MESSAGE")
 
 
+def text_members(raw: Column, *keys: str) -> Column:
+    """Several top-level values as text, in one struct and one pass over the record."""
+    schema = T.StructType([T.StructField(key, T.StringType()) for key in keys])
+    return F.from_json(raw, schema, {"allowSingleQuotes": "false"})
+
+
 def record(raw: Column) -> Column:
     return F.try_parse_json(raw)
 
@@ -55,12 +62,25 @@ def canonical(raw: Column) -> Column:
 
 
 def with_member(obj: Column, key: str, value: Column) -> Column:
-    """``obj`` (JSON object text with at least one key) with ``key`` set to ``value``.
+    """``obj`` (JSON object text) with ``key`` set to ``value``, which goes last.
+
+    Only an object that may hold the key already is parsed and written anew:
+    parsing keeps the last of two equal keys.
+    """
+    blank = F.lit(" \t\r\n")
+    trimmed = F.rtrim(obj, blank)
+    opened = F.rtrim(F.left(trimmed, F.length(trimmed) - 1), blank)
+    comma = F.when(opened.endswith("{"), "").otherwise(",")
+    joined = F.concat(opened, comma, F.lit(f"{json.dumps(key)}:"), value, F.lit("}"))
+    return F.when(may_hold(obj, key), canonical(joined)).otherwise(joined)
+
+
+def may_hold(raw: Column, key: str) -> Column:
+    """A cheap test that no record with the key, at whatever depth, fails.
 
-    The new member goes last, and parsing keeps the last of two equal keys.
+    A key can also be written with ``\\u`` escapes; such records are let through.
     """
-    trimmed = F.regexp_replace(obj, r"\s*\}\s*\z", "")
-    return canonical(F.concat(trimmed, F.lit(f",{json.dumps(key)}:"), value, F.lit("}")))
+    return raw.contains(f'"{key}"') | raw.contains("\\u")
 
 
 def without_member(obj: Column, key: str) -> Column:

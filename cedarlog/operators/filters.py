@@ -43,15 +43,6 @@ def message_filter(text: str) -> Column:
     return records.message(F.col("raw")).ilike(like_pattern(f"%{text}%"))
 
 
-def _may_hold(key: str) -> Column:
-    """A cheap test no record with the key fails, so that most rows skip JSON parsing.
-
-    A key can also be written with ``\\u`` escapes; such records are let through.
-    """
-    raw = F.col("raw")
-    return raw.contains(f'"{key}"') | raw.contains("\\u")
-
-
 def _numeric_compare(op: str, json_value: Column, value: str) -> Column:
     """Compare JSON numbers only; a quoted string never casts to a number."""
     exact = Decimal(value)
@@ -100,7 +91,7 @@ def field_filter(field: FieldFilter, promoted: Collection[str] = ()) -> Column:
             test = loose(promote.number_column(key), F.lit(float(value))) & test
     else:
         test = _COMPARE[op](text, F.lit(value))
-    return test if has_columns else _may_hold(key) & test
+    return test if has_columns else records.may_hold(raw, key) & test
 
 
 def window_filter(src: Source, since: str, as_of: dt.datetime, column: str | None = None) -> Column:

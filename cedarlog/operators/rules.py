@@ -16,17 +16,22 @@ from pyspark.sql import functions as F
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
 from cedarlog.functions.text import capture, digits_to, empty_to_null
+from cedarlog.operators.geo import countries_of
 
 _CAPS = "__caps"
 
 
 @dataclass(frozen=True)
 class Field:
-    """One capture group and the JSON type its text is stored as."""
+    """One capture group and the JSON type its text is stored as.
+
+    ``ip`` marks an address that is geolocated when ranges are at hand.
+    """
 
     name: str
     group: int
     type: str = "string"
+    ip: bool = False
 
 
 @dataclass(frozen=True)
@@ -48,20 +53,20 @@ SSHD = (
         name="sshd",
         gate=r"\Asshd",
         pattern=r"^(?:Failed|Accepted) \S+ for (?:invalid user )?(\S+) from (\S+) port ([0-9]+)",
-        fields=(Field("ssh_user", 1), Field("ssh_src_ip", 2), Field("ssh_src_port", 3, "long")),
+        fields=(Field("ssh_user", 1), Field("ssh_src_ip", 2, ip=True), Field("ssh_src_port", 3, "long")),
     ),
     Rule(
         name="sshd_invalid_user",
         gate=r"\Asshd",
         pattern=r"^Invalid user (\S*) from (\S+) port ([0-9]+)",
-        fields=(Field("ssh_user", 1), Field("ssh_src_ip", 2), Field("ssh_src_port", 3, "long")),
+        fields=(Field("ssh_user", 1), Field("ssh_src_ip", 2, ip=True), Field("ssh_src_port", 3, "long")),
     ),
     Rule(
         name="sshd_disconnect",
         gate=r"\Asshd",
         pattern=r"^(?:Connection closed|Disconnected|Received disconnect)"
         r"(?: (?:by|from))?(?: (?:authenticating|invalid))?(?: user (\S+))? ([0-9a-fA-F.:]+) port ([0-9]+)",
-        fields=(Field("ssh_user", 1), Field("ssh_src_ip", 2), Field("ssh_src_port", 3, "long")),
+        fields=(Field("ssh_user", 1), Field("ssh_src_ip", 2, ip=True), Field("ssh_src_port", 3, "long")),
     ),
 )
 
@@ -112,24 +117,54 @@ def rule_name(caps: Column, rules: Sequence[Rule]) -> Column:
 
 def with_captures(df: DataFrame, rules: Sequence[Rule], raw: str = "raw") -> DataFrame:
     """Add ``__caps``, see :func:`match`; the record is read once for all rules."""
-    record = F.col(raw)
-    parts = F.struct(
-        records.message(record).alias("message"), records.json_text(record, "PROGRAM").alias("program")
-    )
-    read = with_once(df, "__parts", parts)
-    found = match(F.col("__parts.message"), F.col("__parts.program"), rules)
+    read = with_once(df, "__parts", records.text_members(F.col(raw), "MESSAGE", "PROGRAM"))
+    found = match(F.col("__parts.MESSAGE"), F.col("__parts.PROGRAM"), rules)
     return with_once(read, _CAPS, found).drop("__parts")
 
 
-def enrich(df: DataFrame, rules: Sequence[Rule], raw: str = "raw") -> DataFrame:
+def with_fields(matched: DataFrame, rules: Sequence[Rule], ranges: DataFrame | None = None) -> DataFrame:
+    """Add ``__fields``, the extracted fields as JSON, to a frame with ``__caps``.
+
+    With a prepared range table, the country of each address field that has one
+    goes in at ``geoip.<field>.country.iso_code``. That is done on the captures,
+    so that no record is parsed for it.
+    """
+    caps, fields = F.col(_CAPS), F.col("__fields")
+    found = with_once(matched, "__fields", fields_json(caps, rules))
+    if ranges is None:
+        return found
+    names = sorted({f.name for rule in rules for f in rule.fields if f.ip})
+    for name in names:
+        texts = [
+            F.when(caps[0] == str(at), field_value(caps, f))
+            for at, rule in enumerate(rules)
+            for f in rule.fields
+            if f.name == name
+        ]
+        found = countries_of(found.withColumn("__address", F.coalesce(*texts)), "__address", ranges, prepared=True)
+        found = found.withColumnRenamed("country", f"__country_{name}").drop("__address")
+    hits = {name: F.col(f"__country_{name}") for name in names}
+    entries = [
+        F.when(hit.isNotNull(), F.struct(F.struct(hit.alias("iso_code")).alias("country"))).alias(name)
+        for name, hit in hits.items()
+    ]
+    geo = F.nullif(F.to_json(F.struct(*entries)), F.lit("{}"))
+    with_geo = F.concat(F.lit('{"geoip":'), geo, F.lit(","), F.substr(fields, F.lit(2)))
+    return found.withColumn("__fields", F.coalesce(with_geo, fields)).drop(*(f"__country_{n}" for n in names))
+
+
+def enrich(
+    df: DataFrame, rules: Sequence[Rule], raw: str = "raw", ranges: DataFrame | None = None
+) -> DataFrame:
     """Merge the extracted fields into ``raw`` under ``enriched``.
 
-    A record no rule matches keeps its text exactly as it was.
+    A record no rule matches keeps its text exactly as it was. ``ranges`` is a
+    prepared range table for the address fields, or None.
     """
     if not rules:
         return df
     record, fields = F.col(raw), F.col("__fields")
-    found = with_once(with_captures(df, rules, raw), "__fields", fields_json(F.col(_CAPS), rules))
+    found = with_fields(with_captures(df, rules, raw), rules, ranges)
     merged = F.when(fields.isNotNull(), records.with_member(record, "enriched", fields)).otherwise(record)
     return with_once(found, raw, merged).select(*(F.col(f"`{c}`") for c in df.columns))
 

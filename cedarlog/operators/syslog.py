@@ -7,7 +7,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
@@ -21,9 +20,6 @@ class Split(NamedTuple):
     rejected: DataFrame
 
 
-_MEMBERS = T.StructType([T.StructField(key, T.StringType()) for key in (*SYSLOG_REQUIRED, "PID")])
-
-
 def _is_intact(line: Column) -> Column:
     """True when the line is one JSON value and nothing else.
 
@@ -75,8 +71,7 @@ def parse_syslog(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()
     """
     text = F.col(line)
     checked = with_once(lines.filter(~is_blank(text)), "__intact", _is_intact(text))
-    members = F.from_json(text, _MEMBERS, {"allowSingleQuotes": "false"})
-    extracted = with_once(checked, "__record", members)
+    extracted = with_once(checked, "__record", records.text_members(text, *SYSLOG_REQUIRED, "PID"))
     reason = F.col("reject_reason")
     return with_once(extracted, "reject_reason", _reject_reason(text)).select(
         *keep,
@@ -97,9 +92,14 @@ def split_rejects(parsed: DataFrame) -> Split:
     )
 
 
-def ingest_syslog(lines: DataFrame, rules: Sequence[rule_ops.Rule] = (), line: str = "value") -> DataFrame:
+def ingest_syslog(
+    lines: DataFrame,
+    rules: Sequence[rule_ops.Rule] = (),
+    line: str = "value",
+    ranges: DataFrame | None = None,
+) -> DataFrame:
     """Parse, drop rejects, enrich: the rows that would be stored."""
-    return rule_ops.enrich(split_rejects(parse_syslog(lines, line)).accepted, rules)
+    return rule_ops.enrich(split_rejects(parse_syslog(lines, line)).accepted, rules, ranges=ranges)
 
 
 def ingest_report(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions.once import with_once
 from cedarlog.functions.text import access_time, capture, digits_to, empty_to_null, error_time, fit, is_blank, is_ip
-from cedarlog.operators.rules import Field, Rule, fields_json
+from cedarlog.operators.rules import Field, Rule, with_fields
 from cedarlog.schemas import HTTP_ACCESS, HTTP_ERROR, HTTP_WIDTH
 
 # Text up to the closing quote, escapes included. Possessive, so that a very long
@@ -26,7 +26,7 @@ ACCESS = (
             rf"([0-9]{{3}}) (?:([0-9]+)|-)(?: {_QUOTED} {_QUOTED})?\s*\z"
         ),
         fields=(
-            Field("http_clientip", 1),
+            Field("http_clientip", 1, ip=True),
             Field("http_ident", 2),
             Field("http_auth", 3),
             Field("http_timestamp", 4),
@@ -57,7 +57,7 @@ ERROR = (
             Field("http_error_loglevel", 3),
             Field("http_error_pid", 4, "long"),
             Field("http_error_tid", 5, "long"),
-            Field("http_error_client_ip", 6),
+            Field("http_error_client_ip", 6, ip=True),
             Field("http_error_client_port", 7, "long"),
             Field("http_error_code", 8),
             Field("http_error_message", 9),
@@ -72,7 +72,7 @@ ERROR = (
         fields=(
             Field("http_error_timestamp", 1),
             Field("http_error_loglevel", 2),
-            Field("http_error_client_ip", 3),
+            Field("http_error_client_ip", 3, ip=True),
             Field("http_error_message", 4),
         ),
     ),
@@ -90,7 +90,7 @@ ERROR = (
             Field("http_error_tid", 4, "long"),
             Field("http_error_connection", 5, "long"),
             Field("http_error_message", 6),
-            Field("http_error_client_ip", 7),
+            Field("http_error_client_ip", 7, ip=True),
             Field("http_error_server", 8),
             Field("http_error_request", 9),
             Field("http_error_upstream", 10),
@@ -101,13 +101,13 @@ ERROR = (
 )
 
 
-def _match(lines: DataFrame, line: str, rules: tuple[Rule, ...]) -> DataFrame:
+def _match(lines: DataFrame, line: str, rules: tuple[Rule, ...], ranges: DataFrame | None) -> DataFrame:
     """Non-blank lines with ``__caps``, whose tag in front names the layout that
     matched, and ``__fields``, all of its fields as JSON."""
     text = F.col(line)
     attempts = (capture(text, rule.pattern, rule.groups, str(at)) for at, rule in enumerate(rules))
     matched = with_once(lines.filter(~is_blank(text)), "__caps", F.coalesce(*attempts))
-    return with_once(matched, "__fields", fields_json(F.col("__caps"), rules))
+    return with_fields(matched, rules, ranges)
 
 
 def _field(caps: Column, rules: tuple[Rule, ...], name: str) -> Column:
@@ -137,13 +137,21 @@ def _address(value: Column) -> Column:
 
 
 def parse_http_access(
-    lines: DataFrame, host, vhost=None, vhost_port=None, received_at=None, line: str = "value", keep: Sequence[str] = ()
+    lines: DataFrame,
+    host,
+    vhost=None,
+    vhost_port=None,
+    received_at=None,
+    line: str = "value",
+    keep: Sequence[str] = (),
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Access lines in combined or common format to ``http_access`` rows.
 
     ``host``, ``vhost``, ``vhost_port`` and ``received_at`` tag every row; each is
     a constant or a column of ``lines``; ``keep`` names columns to carry along. A line in any other layout yields a row
-    with NULL columns; blank lines yield none.
+    with NULL columns; blank lines yield none. ``ranges`` is a prepared range table
+    for geolocating the client, or None.
     """
     caps = F.col("__caps")
     text = {f.name: _field(caps, ACCESS, f.name) for f in ACCESS[0].fields}
@@ -165,11 +173,18 @@ def parse_http_access(
         "user_agent": text["http_agent"],
         "raw": _raw(F.col(line)),
     }
-    return _match(lines, line, ACCESS).select(*keep, *_sized(columns, HTTP_ACCESS))
+    return _match(lines, line, ACCESS, ranges).select(*keep, *_sized(columns, HTTP_ACCESS))
 
 
 def parse_http_error(
-    lines: DataFrame, host, vhost=None, vhost_port=None, received_at=None, line: str = "value", keep: Sequence[str] = ()
+    lines: DataFrame,
+    host,
+    vhost=None,
+    vhost_port=None,
+    received_at=None,
+    line: str = "value",
+    keep: Sequence[str] = (),
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """Apache 2.2, Apache 2.4 and nginx error lines to ``http_error`` rows."""
     caps = F.col("__caps")
@@ -192,7 +207,7 @@ def parse_http_error(
         "message": text("message"),
         "raw": _raw(F.col(line)),
     }
-    return _match(lines, line, ERROR).select(*keep, *_sized(columns, HTTP_ERROR))
+    return _match(lines, line, ERROR, ranges).select(*keep, *_sized(columns, HTTP_ERROR))
 
 
 def _sized(columns: dict[str, Column], schema) -> list[Column]:

@@ -17,7 +17,7 @@ from cedarlog.operators.ids import assign_ids
 from cedarlog.operators.search import after, display, search, tail, to_json_lines, to_tsv
 from cedarlog.operators.syslog import ingest_report, parse_syslog, split_rejects
 from cedarlog.plans import fixtures as fx
-from cedarlog.session import configure, scratch_path
+from cedarlog.session import configure, materialize, scratch_path
 from cedarlog.sources.files import WebSet, parse_web_lines, read_web_sets, tag_vhost
 from cedarlog.sources.store import LogStore
 from cedarlog.streaming.follow import follow
@@ -437,7 +437,7 @@ def stream_http_ingest(spark, sf_dir):
     store = LogStore(spark, f"{base}/store")
     run = stream_web_logs(
         stream_lines(spark, f"{base}/logs/*"), store, f"{base}/checkpoint", web_set, "access", "web01",
-        ranges=fx.geo_ranges(spark), available_now=True,
+        ranges=materialize(fx.geo_ranges(spark), "ranges"), available_now=True,
     )
     run.awaitTermination()
     return (

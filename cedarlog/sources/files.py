@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cedarlog.functions.text import digits_to, is_blank
-from cedarlog.operators.geo import geoip_join, prepare_ranges
+from cedarlog.operators.geo import prepare_ranges
 from cedarlog.operators.weblogs import parse_http_access, parse_http_error
 from cedarlog.session import materialize
 
@@ -156,11 +156,7 @@ def parse_web_lines(
     vhost, port = tag_vhost(F.col("path"), web_set, kind)
     tagged = lines.withColumns({"__vhost": vhost, "__port": port})
     parse = parse_http_access if kind == "access" else parse_http_error
-    rows = parse(tagged, host, F.col("__vhost"), F.col("__port"), received_at)
-    if ranges is None:
-        return rows
-    field = "http_clientip" if kind == "access" else "http_error_client_ip"
-    return geoip_join(rows, field, ranges, ip_column="client_ip", prepared=True)
+    return parse(tagged, host, F.col("__vhost"), F.col("__port"), received_at, ranges=ranges)
 
 
 def prepared_ranges(sets: Sequence[WebSet], ranges: Mapping[str, DataFrame] | None) -> dict[str | None, DataFrame]:

@@ -62,15 +62,17 @@ def resume_offset(known: dict | None, inode: int, size: int) -> int | None:
 
 class LogFollowReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        if not options.get("path"):
+        # Option names arrive in lower case from a query.
+        given = {name.lower(): value for name, value in options.items()}
+        if not given.get("path"):
             raise ValueError("logfollow needs the option path")
-        self.pattern = options["path"]
-        first, later = options.get("startingOffset", "latest"), options.get("newFileOffset", "earliest")
+        self.pattern = given["path"]
+        first, later = given.get("startingoffset", "latest"), given.get("newfileoffset", "earliest")
         for value in (first, later):
             if value not in ("earliest", "latest"):
                 raise ValueError(f"starting offsets are earliest or latest, got {value!r}")
         self.first, self.later = first, later
-        self.chunk = int(options.get("chunkBytes", _CHUNK))
+        self.chunk = int(given.get("chunkbytes", _CHUNK))
         self._known: dict = {}
         self._past: dict = {}
 

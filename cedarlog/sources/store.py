@@ -66,7 +66,12 @@ class LogStore:
     def _get(self, path: str) -> dict | None:
         if not self._exists(path):
             return None
-        return json.loads(self.spark.read.option("wholetext", "true").text(path).first().value)
+        fs, target = self._fs(path)
+        stream = fs.open(target)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     # -- promoted fields -----------------------------------------------------
 

@@ -50,6 +50,7 @@ def stream_syslog(
     checkpoint: str,
     rules: Sequence[rule_ops.Rule] = (),
     *,
+    ranges: DataFrame | None = None,
     rejects_path: str | None = None,
     flush_seconds: int | None = FLUSH_SECONDS,
     available_now: bool = False,
@@ -65,7 +66,7 @@ def stream_syslog(
     def write(batch: DataFrame, number: int) -> None:
         parsed = parse_syslog(batch)
         good, bad = split_rejects(parsed)
-        store.append("syslog", rule_ops.enrich(good, rules), (name, number))
+        store.append("syslog", rule_ops.enrich(good, rules, ranges=ranges), (name, number))
         if rejects_path:
             bad.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
                 "partitionOverwriteMode", "dynamic"

@@ -136,14 +136,13 @@ def test_web_logs_follow_growing_files(spark, tmp_path):
         )
         query.processAllAvailable()
         query.stop()
-        return sorted((r.request, r.vhost, r.vhost_port) for r in store.read("http_access").collect())
+        return [(r.request, r.vhost, r.vhost_port) for r in store.read("http_access").collect()]
 
     assert run() == [("/old", "www.a.org", 443)]
     with open(logs / "www.a.org:443-access.log", "a") as handle:
         handle.write(ACCESS.format("new") + "garbage\n" + ACCESS.format("half")[:-1])
     (logs / "b-access.log").write_text(ACCESS.format("other"))
-    got = run()
-    assert [g for g in got if g[0]] if all(g[0] for g in got) else True
+    run()
     rows = store.read("http_access")
     assert sorted((r.request or "-", r.vhost) for r in rows.collect()) == [
         ("-", "www.a.org"), ("/new", "www.a.org"), ("/old", "www.a.org"), ("/other", "b"),

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cedarlog.operators import rules
+from cedarlog.operators.geo import prepare_ranges
 from cedarlog.operators.syslog import ingest_report, ingest_syslog, parse_syslog, split_rejects
+from cedarlog.plans.fixtures import raw_ranges
 
 RECORD = {
     "C_ISODATE": "2026-07-15T00:00:00Z",
@@ -106,7 +108,22 @@ def test_enriched(lines, program):
         "PROGRAM": program,
         "enriched": {"ssh_user": "admin", "ssh_src_ip": "203.0.113.7", "ssh_src_port": 44444},
     }
-    assert row.raw == json.dumps(json.loads(row.raw), sort_keys=True, separators=(",", ":"))
+    assert row.raw.startswith(line(PROGRAM=program)[:-1] + ',"enriched":{"ssh_src_ip"')
+
+
+def test_old_block_is_replaced(lines):
+    row = ingest_syslog(lines(line(enriched={"old": 1})), rules.SSHD).first()
+    assert set(json.loads(row.raw)["enriched"]) == {"ssh_user", "ssh_src_ip", "ssh_src_port"}
+    assert row.raw.count("enriched") == 1
+
+
+def test_enriched_with_country(spark, lines):
+    table = prepare_ranges(raw_ranges(spark))
+    frame = lines(line(), line(MESSAGE="Failed password for root from 10.0.0.1 port 1 ssh2"), line(PROGRAM="cron"))
+    blocks = [json.loads(r.raw).get("enriched") for r in ingest_syslog(frame, rules.SSHD, ranges=table).collect()]
+    found = {b["ssh_user"]: b.get("geoip") for b in blocks if b}
+    assert found == {"admin": {"ssh_src_ip": {"country": {"iso_code": "AU"}}}, "root": None}
+    assert len(blocks) == 3
 
 
 def test_not_enriched(lines):

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cedarlog.functions.args import parse_duration
+from cedarlog.session import fits_broadcast, materialize
 
 _MICROSECOND = dt.timedelta(microseconds=1)
 
+# Above this many anchor cells (some 60 bytes each) the join is by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+# Parts the rows of one host and time cell are spread over in a shuffled join.
+SALTS = 16
+
 
 def _cell(us: Column, width: int) -> Column:
     """Exact floor division, also before 1970."""
@@ -53,29 +60,48 @@ def context_around(
     the last anchor can matter; the other side is the mirror image. So anchors
     shrink to a few moments per host and cell before the join, no pairs are ever
     formed, and a busy host spreads over its cells.
+
+    Few anchors are broadcast, so that the log is not shuffled at all; whether they
+    are few is checked by counting. Otherwise the log's rows of one host and cell
+    are spread over :data:`SALTS` parts. Either way only the days the anchors span
+    are read from a log that is partitioned by ``day``.
     """
     lead, trail = (parse_duration(side) // _MICROSECOND for side in (before, after))
-    marks = anchors.select(
-        F.col(key).alias("__key"), F.unix_micros(F.col(anchor_time).cast("timestamp")).alias("__at")
-    )
-    rows = log.withColumn("__us", F.unix_micros(F.col(log_time).cast("timestamp"))).withColumn(
-        "__in", F.lit(False)
-    )
     at = F.col("__us")
+    marks = materialize(
+        anchors.select(
+            F.col(key).alias("__key"), F.unix_micros(F.col(anchor_time).cast("timestamp")).alias("__at")
+        ).dropna(),
+        "anchors",
+    )
+    bounds = marks.agg(F.min("__at").alias("first"), F.max("__at").alias("last")).first()
+    if bounds.first is None:
+        return log.limit(0)
+    earliest, latest = (F.timestamp_micros(F.lit(us)) for us in (bounds.first - lead, bounds.last + trail))
+    rows = log.filter(F.col(log_time).between(earliest, latest))
+    if log_time == "r_isodate" and "day" in log.columns:
+        rows = rows.filter(F.col("day").between(F.to_date(earliest), F.to_date(latest)))
+    rows = rows.withColumn("__us", F.unix_micros(F.col(log_time).cast("timestamp"))).withColumn("__in", F.lit(False))
+
     for width in sorted({max(lead, 1), max(trail, 1)}):
-        near = _neighbours(marks, width)
-        tests = []
+        near = materialize(_neighbours(marks, width), "anchor-cells")
+        hit = F.col("__in")
         if width == max(trail, 1):
-            tests.append((F.col("__own_first") <= at) | (at - F.col("__previous") <= F.lit(trail)))
+            hit = hit | F.coalesce(
+                (F.col("__own_first") <= at) | (at - F.col("__previous") <= F.lit(trail)), F.lit(False)
+            )
         if width == max(lead, 1):
-            tests.append((F.col("__own_last") >= at) | (F.col("__following") - at <= F.lit(lead)))
-        hit = F.col("__in")
-        for test in tests:
-            hit = hit | F.coalesce(test, F.lit(False))
-        rows = (
-            rows.withColumn("__cell", _cell(at, width))
-            .join(near, (F.col(key) == F.col("__near_key")) & (F.col("__cell") == F.col("__near_cell")), "left")
-            .withColumn("__in", hit)
-            .select(*(F.col(f"`{c}`") for c in log.columns), "__us", "__in")
-        )
+            hit = hit | F.coalesce(
+                (F.col("__own_last") >= at) | (F.col("__following") - at <= F.lit(lead)), F.lit(False)
+            )
+        rows = rows.withColumn("__cell", _cell(at, width))
+        on = (F.col(key) == F.col("__near_key")) & (F.col("__cell") == F.col("__near_cell"))
+        if fits_broadcast(near, BROADCAST_ROWS):
+            joined = rows.join(F.broadcast(near), on, "left")
+        else:
+            spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in log.columns)), F.lit(SALTS))
+            salted = near.withColumn("__near_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            on = on & (F.col("__salt") == F.col("__near_salt"))
+            joined = rows.withColumn("__salt", spread).join(salted, on, "left")
+        rows = joined.withColumn("__in", hit).select(*(F.col(f"`{c}`") for c in log.columns), "__us", "__in")
     return rows.filter("__in").drop("__us", "__in")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
 from cedarlog.functions.text import ipv4_number
+from cedarlog.session import fits_broadcast
 
 _BLOCK_BITS = 16
 _BLOCK = 1 << _BLOCK_BITS
@@ -83,10 +84,6 @@ def prepare_ranges(ranges: DataFrame) -> DataFrame:
     return cut.groupBy("block").applyInPandas(innermost, _PREPARED)
 
 
-def _fits_broadcast(prepared: DataFrame) -> bool:
-    return prepared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def countries_of(
     df: DataFrame, ip_column: str, ranges: DataFrame, prepared: bool = False, broadcast: bool | None = None
 ) -> DataFrame:
@@ -98,7 +95,7 @@ def countries_of(
     """
     table = ranges if prepared else prepare_ranges(ranges)
     if broadcast is None:
-        broadcast = _fits_broadcast(table)
+        broadcast = fits_broadcast(table, BROADCAST_ROWS)
     rows = df.withColumn("__ip", ipv4_number(F.col(ip_column))).withColumn(
         "__block", F.shiftright("__ip", _BLOCK_BITS)
     )

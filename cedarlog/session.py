@@ -53,3 +53,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counting stops one row past that."""
+    return df.limit(rows + 1).count() <= rows

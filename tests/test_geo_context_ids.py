@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cedarlog.operators import context
 from cedarlog.operators.context import context_around
 from cedarlog.operators.geo import countries_of, prepare_ranges
 from cedarlog.operators.ids import assign_ids, nth_id
@@ -46,8 +47,10 @@ def test_no_address(spark):
     rows=st.lists(st.tuples(st.sampled_from("abc"), st.integers(-400, 400)), min_size=1, max_size=80),
     before=st.sampled_from([0, 1, 7, 60]),
     after=st.sampled_from([0, 5, 60]),
+    broadcast_rows=st.sampled_from([0, 1000]),
 )
-def test_context_equals_brute_force(spark, anchors, rows, before, after):
+def test_context_equals_brute_force(spark, anchors, rows, before, after, broadcast_rows):
+    context.BROADCAST_ROWS = broadcast_rows
     marks = spark.createDataFrame(anchors, "host string, s bigint").select("host", F.timestamp_seconds("s").alias("ts"))
     log = spark.createDataFrame([(n, h, s) for n, (h, s) in enumerate(rows)], "n int, host string, s bigint").select(
         "n", "host", F.timestamp_seconds("s").alias("r_isodate")
@@ -64,6 +67,17 @@ def test_context_forms_no_pairs(spark):
     assert context_around(anchors, log, "10s", "10s").count() == 20000
 
 
+def test_joins_are_hash_joins(spark):
+    rows = spark.createDataFrame([("1.2.3.4", "h")], "ip string, host string").withColumn("r_isodate", F.timestamp_seconds(F.lit(1)))
+    table = prepare_ranges(spark.createDataFrame([(0, 10, "ZZ")], RANGES))
+    marks = rows.select("host", F.col("r_isodate").alias("ts"))
+    frames = [countries_of(rows, "ip", table, prepared=True, broadcast=b) for b in (True, False)]
+    for frame in [*frames, context_around(marks, rows, "1m", "2m")]:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "HashJoin" in plan
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_ids_are_dense_and_ordered(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("n"), (F.col("id") % 3).alias("g"))
     got = assign_ids(rows, 40, ["n"]).orderBy("id").collect()

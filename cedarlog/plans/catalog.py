@@ -165,7 +165,8 @@ def search_http_status(spark, sf_dir):
 
 @query("search_program_like")
 def search_program_like(spark, sf_dir):
-    return fx.syslog_rows(spark, sf_dir).filter(build_filter("syslog", program="sshd%", host="web_")).select("id", "program", "host")
+    wanted = build_filter("syslog", program="sshd%", host="w_b%3")
+    return fx.syslog_rows(spark, sf_dir).filter(wanted).select("id", "program", "host")
 
 
 @query("search_message")

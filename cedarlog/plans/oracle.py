@@ -180,7 +180,7 @@ _ORACLES: dict[str, str] = {
               FROM errs WHERE code = 'AH00150')""",
     "adhoc_sql": "SELECT s_isodate, message FROM sys WHERE program = 'sshd' AND host = 'web3'",
     "search_http_status": "SELECT id, client_ip, status, request FROM acc WHERE status = 404 AND method = 'POST'",
-    "search_program_like": "SELECT id, program, host FROM sys WHERE program LIKE 'sshd%' AND host = 'web_'",
+    "search_program_like": "SELECT id, program, host FROM sys WHERE program LIKE 'sshd%' AND host = 'web3'",
     "search_message": "SELECT doc_id AS id, lang AS program FROM documents WHERE text ILIKE '%The_of%'",
     "search_since": f"SELECT id, s_isodate, program FROM sys WHERE {_since('s_isodate', '36 hours')}",
     "field_eq": "SELECT id, program FROM sys WHERE tag = 'view-7'",

@@ -58,13 +58,12 @@ def test_repeated_batch_changes_nothing(spark, store):
 
 
 @pytest.mark.parametrize("asc", [False, True])
-@pytest.mark.parametrize("step", [1, 7, 100, 1 << 20])
-@pytest.mark.parametrize("filters", [{}, {"program": "sshd"}, {"host": "h1"}, {"field": "k=3"}, {"host": "nope"}])
+@pytest.mark.parametrize("step", [7, 1 << 20])
+@pytest.mark.parametrize("filters", [{"program": "sshd"}, {"field": "k=3"}, {"host": "nope"}])
 def test_newest_equals_a_full_sort(store, filters, step, asc):
     everything = store.matching("syslog", **filters).orderBy(F.col("id").asc() if asc else F.col("id").desc())
-    for limit in (1, 12):
-        got = ids(store.newest("syslog", limit, asc=asc, first_step=step, **filters))
-        assert got == ids(everything)[:limit]
+    got = ids(store.newest("syslog", 12, asc=asc, first_step=step, **filters))
+    assert got == ids(everything)[:12]
 
 
 def test_tail_and_cursor(store):

@@ -15,7 +15,11 @@ _ROW_BITS = 33
 
 
 def assign_ids(
-    df: DataFrame, base: int = 0, order_by: Sequence[Column | str] = (), partitions: int | None = None
+    df: DataFrame,
+    base: int = 0,
+    order_by: Sequence[Column | str] = (),
+    partitions: int | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
     """Add ``id`` = base+1, base+2, ... without gaps.
 
@@ -24,18 +28,19 @@ def assign_ids(
     the row and then by position, so that many equal rows still spread over tasks.
 
     The rows are written out once between numbering and counting; otherwise a
-    recomputed task could count other rows than it numbered.
+    recomputed task could count other rows than it numbered. ``staging`` is where
+    to; the result reads from there.
     """
     spark = df.sparkSession
     data = [c for c in df.columns if c != "id"]
     rows = df.select(*(F.col(f"`{c}`") for c in data))
     if order_by:
-        ties = [F.xxhash64(*(F.col(f"`{c}`") for c in data)).alias("__tie"), F.monotonically_increasing_id().alias("__at")]
-        rows = rows.select("*", *ties)
+        tie = F.xxhash64(*(F.col(f"`{c}`") for c in data))
+        rows = rows.select("*", tie.alias("__tie"), F.monotonically_increasing_id().alias("__at"))
         order = [*order_by, "__tie", "__at"]
         spread = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
         rows = spread.sortWithinPartitions(*order).drop("__tie", "__at")
-    staged = materialize(rows.withColumn("__seq", F.monotonically_increasing_id()), "ids")
+    staged = materialize(rows.withColumn("__seq", F.monotonically_increasing_id()), "ids", staging)
 
     # One row per task of the write above: small, whatever the number of rows.
     part = F.shiftright("__seq", _ROW_BITS)

@@ -27,7 +27,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 
-SYSLOG_COLUMNS = ["c_isodate", "r_isodate", "s_isodate", "facility", "host", "host_from", "pid", "priority", "program", "sourceip"]
+SYSLOG_COLUMNS = [
+    "c_isodate", "r_isodate", "s_isodate", "facility", "host", "host_from", "pid", "priority", "program", "sourceip",
+]
 ACCESS_COLUMNS = [
     "r_isodate", "req_isodate", "host", "vhost", "vhost_port", "client_ip", "ident", "auth", "method", "request",
     "http_version", "status", "bytes", "referrer", "user_agent",
@@ -396,7 +398,9 @@ def store_newest(spark, sf_dir):
     """Newest rows by a promoted field, read from the end of the store backwards."""
     store = _stored(spark, sf_dir)
     store.promote("syslog", ["k"])
-    rows = store.newest("syslog", 40, first_step=64, field="k>=90", program="sshd%", since="25d", column="r_isodate", as_of=fx.AS_OF)
+    rows = store.newest(
+        "syslog", 40, first_step=64, field="k>=90", program="sshd%", since="25d", column="r_isodate", as_of=fx.AS_OF
+    )
     return display(rows, "syslog", with_id=True)
 
 
@@ -453,7 +457,7 @@ def stream_follow(spark, sf_dir):
     """Rows of a second batch, seen by a follower that starts after the first."""
     base = scratch_path(spark, "follow")
     store = _stored(spark, sf_dir)
-    first = store._bases("syslog")[-1]
+    first = store.batches("syslog")[-1]
 
     def emit(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")

@@ -122,7 +122,7 @@ class LogStore:
         """
         note = self._get(self._sequence_path(source_name))
         noted = note["last"] if note else 0
-        bases = self._bases(source_name)
+        bases = self.batches(source_name)
         if not bases or bases[-1] < noted:
             return noted
         newest = self.read(source_name).filter(F.col("id_base") == F.lit(bases[-1]))
@@ -142,7 +142,8 @@ class LogStore:
         names = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found or []]
         return [(day.split("=", 1)[1], int(base.split("=", 1)[1])) for day, base in names]
 
-    def _bases(self, source_name: str) -> list[int]:
+    def batches(self, source_name: str) -> list[int]:
+        """The ``id_base`` of every stored batch, oldest first."""
         return sorted({base for _, base in self._partition_dirs(source_name)})
 
     def newest(
@@ -157,7 +158,7 @@ class LogStore:
         """
         wanted = positive_or(limit, 20)
         rows = self.matching(source_name, **filters)
-        top, bases = self.max_id(source_name), self._bases(source_name)
+        top, bases = self.max_id(source_name), self.batches(source_name)
         if not bases:
             return rows.limit(0)
         order = F.col("id").asc() if asc else F.col("id").desc()
@@ -187,7 +188,7 @@ class LogStore:
 
     def after(self, source_name: str, last: int, **filters) -> DataFrame:
         """Rows past a cursor in id order; batches wholly before it are not opened."""
-        first = max((b for b in self._bases(source_name) if b <= last), default=0)
+        first = max((b for b in self.batches(source_name) if b <= last), default=0)
         rows = self.matching(source_name, **filters)
         return rows.filter((F.col("id_base") >= F.lit(first)) & (F.col("id") > F.lit(last))).orderBy("id")
 
@@ -220,7 +221,8 @@ class LogStore:
         if note and not begun:
             self._put(note, {"base": base})
         columns = [f.name for f in source(source_name).schema.fields if f.name != "id"]
-        numbered = assign_ids(rows.select(*columns), base, order_by)
+        staging = scratch_path(self.spark, "append")
+        numbered = assign_ids(rows.select(*columns), base, order_by, staging=staging)
         stored = promote.promote_fields(numbered, self.promoted(source_name))
         stored = stored.withColumns({"day": F.to_date("r_isodate"), "id_base": F.lit(base).cast("bigint")})
         stored = stored.select(*self.schema(source_name).names)
@@ -230,6 +232,7 @@ class LogStore:
             .partitionBy("day", "id_base")
             .parquet(self.data_path(source_name))
         )
+        self._delete(staging)
         last = self.max_id(source_name)
         self._put(self._sequence_path(source_name), {"last": last})
         return last
@@ -250,6 +253,7 @@ class LogStore:
             .partitionBy("day", "id_base")
             .parquet(self.data_path(source_name))
         )
+        self._delete(aside)
 
     def prune(
         self,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 MEASURES = r"""
-w AS (SELECT doc_id, source, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') ws
+w AS (SELECT doc_id, source, text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
       FROM documents),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] gram
       FROM w, unnest(range(1, greatest(len(ws) - 1, 1))) u(i)),
@@ -13,7 +13,7 @@ lines AS (SELECT doc_id, count(*) - count(DISTINCT line) n
           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) line FROM documents)
           WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 judged AS (
-  SELECT w.doc_id, w.source, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT word_chars,
+  SELECT w.doc_id, w.source, len(ws)::BIGINT n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT word_chars,
          (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT n_symbols,
          coalesce(lines.n, 0)::BIGINT n_dup_lines, coalesce(covered.n, 0)::BIGINT n_repeat_words
   FROM w LEFT JOIN lines ON w.doc_id = lines.doc_id LEFT JOIN covered ON w.doc_id = covered.doc_id),

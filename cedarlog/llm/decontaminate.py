@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cedarlog.llm import words as W
-from cedarlog.session import fits_broadcast, scratch_path
+from cedarlog.session import fits_broadcast, materialize, scratch_path
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
@@ -305,3 +305,15 @@ def decontaminate(
 def contaminated(percent: int = 5) -> Column:
     """A document is contaminated if at least ``percent`` of its words are hit."""
     return (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", percent: int = 5, **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated; columns stay.
+
+    The rows are written once with a number each, which the index carries.
+    """
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    found = decontaminate(numbered, benchmark, id_col="_row", text_col=text_col, **options)
+    bad = materialize(found.where(contaminated(percent)).select(F.col("doc_id").alias("_row")), "contaminated-rows")
+    rows = F.broadcast(bad) if fits_broadcast(bad, BROADCAST_TERMS) else bad
+    return numbered.join(rows, "_row", "left_anti").select(*docs.columns)

@@ -32,5 +32,22 @@ FROM base
 """
 
 
+OP2 = """
+WITH record AS (
+  SELECT page_id, 'part-' || coalesce(CAST(page_id // 256 AS VARCHAR), 'null') file, url,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Length: '
+         || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '')
+         || chr(13) || chr(10) || chr(13) || chr(10) payload FROM pages),
+placed AS (
+  SELECT file, page_id % 101 mark, strlen(payload) size,
+         sum(strlen(payload)) OVER (PARTITION BY file ORDER BY page_id, url, payload ROWS UNBOUNDED PRECEDING) - strlen(payload) place
+  FROM record)
+SELECT file, CAST(CASE WHEN mark = 11 THEN place + 10000000000 ELSE place END AS BIGINT) "offset", CAST(size AS BIGINT) length,
+       CASE WHEN mark = 7 THEN 'missing' WHEN mark = 11 THEN 'extra' ELSE 'changed' END status
+FROM placed WHERE mark IN (3, 5, 7, 11)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_host_quality_rules": OP10}
+    return {"op2_merkle_fixity": OP2, "op10_host_quality_rules": OP10}

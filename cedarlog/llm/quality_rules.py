@@ -74,12 +74,16 @@ def _replaced(text: Column, chars: str, by: str) -> Column:
     return text
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(_replaced(text, SPACES[1:], " "), " "), lambda w: w != "")
+
+
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; one row per row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("_text"))
     t = F.col("_text")
-    words = F.filter(F.split(_replaced(t, SPACES[1:], " "), " "), lambda w: w != "")
+    words = _words(t)
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     of_words = _let(
         words,
@@ -165,3 +169,27 @@ def apply_host_rules(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         failed.alias("host_failed"), (~F.col("base_failed") & ~failed).alias("kept"),
     )
+
+
+def keep_good(
+    docs: DataFrame,
+    text_col: str = "text",
+    host_col: str = "source",
+    max_rate: float = 0.5,
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+) -> DataFrame:
+    """The rows of ``docs`` that pass the base rules and whose host is not rejected; columns stay.
+
+    Rows and their base verdicts are written once, so the texts are judged once.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    failed = _let(
+        _words(text), lambda w: (F.size(w) < min_words) | (100 * _repeat_words(w) > max_repeat_percent * F.size(w))
+    )
+    judged = materialize(docs.withColumn("_base_failed", failed), "quality-judged")
+    verdicts = judged.select(F.col(host_col).cast("string").alias("host"), F.col("_base_failed").alias("base_failed"))
+    bad = host_verdicts(verdicts, max_rate).where("host_failed").select(F.col("host").alias("_host"))
+    good = judged.where(~F.col("_base_failed"))
+    hosts = F.broadcast(bad) if fits_broadcast(bad, BROADCAST_HOSTS) else bad
+    return good.join(hosts, F.col(host_col).cast("string") == F.col("_host"), "left_anti").select(*docs.columns)

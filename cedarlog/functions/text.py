@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 _SEP = "\x01"
 
 # The English month abbreviations used in web-server logs.
-_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec"
+_MONTHS = {
+    "jan": "01", "feb": "02", "mar": "03", "apr": "04", "may": "05", "jun": "06",
+    "jul": "07", "aug": "08", "sep": "09", "oct": "10", "nov": "11", "dec": "12",
+}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"\A(?:{_OCTET}\.){{3}}{_OCTET}\z"
@@ -39,11 +42,6 @@ def empty_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def fit(value: Column, width: int) -> Column:
-    """NULL out a text wider than its column."""
-    return F.when(F.length(value) <= width, value)
-
-
 def capture(value: Column, pattern: str, groups: int, tag: str = "") -> Column:
     """``[tag, group 1, ..., group n]`` of the first match, NULL without a match.
 
@@ -59,8 +57,8 @@ def capture(value: Column, pattern: str, groups: int, tag: str = "") -> Column:
 
 def _month(name: Column) -> Column:
     """``01`` .. ``12`` for a three-letter month in any case, else NULL."""
-    at = F.instr(F.lit(f" {_MONTHS}"), F.concat(F.lit(" "), F.lower(name)))
-    return F.when(at > 0, F.lpad(((at + 3) / 4).cast("int").cast("string"), 2, "0"))
+    numbers = F.create_map(*(F.lit(x) for pair in _MONTHS.items() for x in pair))
+    return F.try_element_at(numbers, F.lower(name))
 
 
 def access_time(value: Column) -> Column:

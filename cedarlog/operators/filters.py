@@ -9,7 +9,6 @@ from __future__ import annotations
 import datetime as dt
 import operator
 from collections.abc import Collection, Sequence
-from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,15 +42,32 @@ def message_filter(text: str) -> Column:
     return records.message(F.col("raw")).ilike(like_pattern(f"%{text}%"))
 
 
+def _magnitude(number: Column) -> Column:
+    """(power of ten, digits without outer zeros) of a JSON number's text; they sort as the absolute values do."""
+    parts = [F.regexp_extract(number, r"\A-?([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?\z", k) for k in (1, 2, 3)]
+    every = F.concat(parts[0], parts[1])
+    digits = F.ltrim(every, F.lit("0"))
+    power = F.length(parts[0]) + F.coalesce(parts[2].try_cast("int"), F.lit(0)) - (F.length(every) - F.length(digits))
+    return F.struct(F.when(digits == "", F.lit(0)).otherwise(power).alias("power"), F.rtrim(digits, F.lit("0")).alias("digits"))
+
+
+def _sign(number: Column, magnitude: Column) -> Column:
+    return F.when(magnitude["digits"] == "", 0).when(number.startswith("-"), -1).otherwise(1)
+
+
 def _numeric_compare(op: str, json_value: Column, value: str) -> Column:
-    """Compare JSON numbers only; a quoted string never casts to a number."""
-    exact = Decimal(value)
+    """Compare JSON numbers only; a quoted string never casts to a number.
+
+    Doubles decide unless they are equal; then the digits do, however many there are.
+    """
     compare = _COMPARE[op]
-    as_double = compare(json_value.try_cast("double"), F.lit(float(value)))
-    if abs(exact) >= Decimal(10) ** 20 or -exact.as_tuple().exponent > 18:
-        return as_double
-    limit = F.lit(value).cast("decimal(38,18)")
-    return F.coalesce(compare(json_value.try_cast("decimal(38,18)"), limit), as_double)
+    number, limit = json_value.try_cast("double"), F.lit(float(value))
+    ours, theirs = _magnitude(json_value), _magnitude(F.lit(value))
+    side, other = _sign(json_value, ours), _sign(F.lit(value), theirs)
+    by_digits = side * F.when(ours > theirs, 1).when(ours < theirs, -1).otherwise(0)
+    return F.when(number == limit, compare(F.when(side != other, side - other).otherwise(by_digits), F.lit(0))).otherwise(
+        compare(number, limit)
+    )
 
 
 def field_filter(field: FieldFilter, promoted: Collection[str] = ()) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
 from cedarlog.functions.text import digits_to, is_blank, is_ip
 from cedarlog.operators import rules as rule_ops
-from cedarlog.schemas import SYSLOG_REQUIRED, SYSLOG_WIDTH
+from cedarlog.schemas import SYSLOG_REQUIRED
 
 
 class Split(NamedTuple):
@@ -32,6 +32,11 @@ def _is_intact(line: Column) -> Column:
     return F.coalesce(F.try_variant_get(wrapped, "$[1]", "bigint") == check, F.lit(False))
 
 
+def _moment(value: Column) -> Column:
+    """A time with a whole date; a bare cast would also read "10:30" as today's."""
+    return F.when(value.rlike(r"\A\s*[0-9]{4,6}-[0-9]{1,2}-[0-9]{1,2}(?:[ T].*)?\z"), value.try_cast("timestamp"))
+
+
 def _reject_reason(line: Column) -> Column:
     """Why a line is not stored, NULL when it is; checks go from outside in."""
 
@@ -45,10 +50,7 @@ def _reject_reason(line: Column) -> Column:
     ]
     checks += [(member(key).isNull(), F.lit(f"{key} is missing")) for key in SYSLOG_REQUIRED]
     checks += [
-        (member(key).try_cast("timestamp").isNull(), F.lit(f"{key} is not a time")) for key in SYSLOG_REQUIRED[:3]
-    ]
-    checks += [
-        (F.length(member(key)) > width, F.lit(f"{key} is longer than {width}")) for key, width in SYSLOG_WIDTH.items()
+        (_moment(member(key)).isNull(), F.lit(f"{key} is not a time")) for key in SYSLOG_REQUIRED[:3]
     ]
     checks.append((~is_ip(member("SOURCEIP")), F.lit("SOURCEIP is not an address")))
     reason = F.when(*checks[0])
@@ -58,15 +60,20 @@ def _reject_reason(line: Column) -> Column:
 
 
 def _has_repeated_key(line: Column) -> Column:
-    keys = F.json_object_keys(line)
-    return F.size(keys) != F.size(F.array_distinct(keys))
+    """A key twice in the record or in its enriched block, so that a field would have two values."""
+
+    def repeats(object_text: Column) -> Column:
+        keys = F.json_object_keys(object_text)
+        return F.coalesce(F.size(keys) != F.size(F.array_distinct(keys)), F.lit(False))
+
+    return repeats(line) | repeats(F.get_json_object(line, "$.enriched"))
 
 
 def parse_syslog(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()) -> DataFrame:
     """One row per non-blank line: the syslog columns plus ``reject_reason``.
 
     ``reject_reason`` is NULL for a good row. ``raw`` keeps the line verbatim,
-    except that a record with a repeated key is stored with the last one only.
+    except that of a key repeated in the record or its enriched block the last one is stored.
     ``keep`` names further columns of ``lines`` to carry along.
     """
     text = F.col(line)
@@ -75,7 +82,7 @@ def parse_syslog(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()
     reason = F.col("reject_reason")
     return with_once(extracted, "reject_reason", _reject_reason(text)).select(
         *keep,
-        *(F.col(f"__record.{k}").try_cast("timestamp").alias(k.lower()) for k in SYSLOG_REQUIRED[:3]),
+        *(_moment(F.col(f"__record.{k}")).alias(k.lower()) for k in SYSLOG_REQUIRED[:3]),
         *(F.col(f"__record.{k}").alias(k.lower()) for k in ("FACILITY", "HOST", "HOST_FROM")),
         digits_to(F.col("__record.PID"), "bigint").alias("pid"),
         *(F.col(f"__record.{k}").alias(k.lower()) for k in ("PRIORITY", "PROGRAM", "SOURCEIP")),
@@ -97,9 +104,18 @@ def ingest_syslog(
     rules: Sequence[rule_ops.Rule] = (),
     line: str = "value",
     ranges: DataFrame | None = None,
+    counts: Observation | None = None,
 ) -> DataFrame:
-    """Parse, drop rejects, enrich: the rows that would be stored."""
-    return rule_ops.enrich(split_rejects(parse_syslog(lines, line)).accepted, rules, ranges=ranges)
+    """Parse, leave rejects out, enrich: the rows that would be stored.
+
+    ``counts`` observes ``ingested`` and ``total`` while the rows are used, so that
+    rejects do not go unnoticed; :func:`split_rejects` gives the rejected lines.
+    """
+    parsed = parse_syslog(lines, line)
+    if counts is not None:
+        accepted = F.count_if(F.col("reject_reason").isNull())
+        parsed = parsed.observe(counts, accepted.alias("ingested"), F.count(F.lit(1)).alias("total"))
+    return rule_ops.enrich(split_rejects(parsed).accepted, rules, ranges=ranges)
 
 
 def ingest_report(parsed: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cedarlog.functions.once import with_once
-from cedarlog.functions.text import access_time, capture, digits_to, empty_to_null, error_time, fit, is_blank, is_ip
+from cedarlog.functions.text import access_time, capture, digits_to, empty_to_null, error_time, is_blank, is_ip
 from cedarlog.operators.rules import Field, Rule, with_fields
-from cedarlog.schemas import HTTP_ACCESS, HTTP_ERROR, HTTP_WIDTH
+from cedarlog.schemas import HTTP_ACCESS, HTTP_ERROR
 
 # Text up to the closing quote, escapes included. Possessive, so that a very long
 # value neither backtracks nor deepens the matcher's stack.
@@ -131,6 +131,11 @@ def _tag(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def _received(value) -> Column:
+    """The receipt time given, else the clock when the query starts."""
+    return F.current_timestamp() if value is None else _tag(value).cast("timestamp")
+
+
 def _address(value: Column) -> Column:
     bare = F.regexp_replace(value, r"\A\[|\]\z", "")
     return F.when(is_ip(bare), bare)
@@ -149,14 +154,15 @@ def parse_http_access(
     """Access lines in combined or common format to ``http_access`` rows.
 
     ``host``, ``vhost``, ``vhost_port`` and ``received_at`` tag every row; each is
-    a constant or a column of ``lines``; ``keep`` names columns to carry along. A line in any other layout yields a row
+    a constant or a column of ``lines``; receipt time is the clock's unless given;
+    ``keep`` names columns to carry along. A line in any other layout yields a row
     with NULL columns; blank lines yield none. ``ranges`` is a prepared range table
     for geolocating the client, or None.
     """
     caps = F.col("__caps")
     text = {f.name: _field(caps, ACCESS, f.name) for f in ACCESS[0].fields}
     columns = {
-        "r_isodate": _tag(received_at).cast("timestamp"),
+        "r_isodate": _received(received_at),
         "req_isodate": access_time(text["http_timestamp"]),
         "host": _tag(host).cast("string"),
         "vhost": _tag(vhost).cast("string"),
@@ -173,7 +179,7 @@ def parse_http_access(
         "user_agent": text["http_agent"],
         "raw": _raw(F.col(line)),
     }
-    return _match(lines, line, ACCESS, ranges).select(*keep, *_sized(columns, HTTP_ACCESS))
+    return _match(lines, line, ACCESS, ranges).select(*keep, *_in_order(columns, HTTP_ACCESS))
 
 
 def parse_http_error(
@@ -193,7 +199,7 @@ def parse_http_error(
         return _field(caps, ERROR, f"http_error_{name}")
 
     columns = {
-        "r_isodate": _tag(received_at).cast("timestamp"),
+        "r_isodate": _received(received_at),
         "err_isodate": error_time(text("timestamp")),
         "host": _tag(host).cast("string"),
         "vhost": _tag(vhost).cast("string"),
@@ -207,11 +213,8 @@ def parse_http_error(
         "message": text("message"),
         "raw": _raw(F.col(line)),
     }
-    return _match(lines, line, ERROR, ranges).select(*keep, *_sized(columns, HTTP_ERROR))
+    return _match(lines, line, ERROR, ranges).select(*keep, *_in_order(columns, HTTP_ERROR))
 
 
-def _sized(columns: dict[str, Column], schema) -> list[Column]:
-    names = [f.name for f in schema.fields if f.name != "id"]
-    return [
-        (fit(columns[n], HTTP_WIDTH[n]) if n in HTTP_WIDTH else columns[n]).alias(n) for n in names
-    ]
+def _in_order(columns: dict[str, Column], schema) -> list[Column]:
+    return [columns[f.name].alias(f.name) for f in schema.fields if f.name != "id"]

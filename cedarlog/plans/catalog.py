@@ -422,8 +422,9 @@ def stream_syslog_ingest(spark, sf_dir):
     fx.syslog_lines(spark, sf_dir).select("value").repartition(4).write.text(landing)
     store = LogStore(spark, f"{base}/store")
     run = stream_syslog(
-        stream_lines(spark, landing, max_files=2), store, f"{base}/checkpoint", rules.SSHD, available_now=True
-    )
+        stream_lines(spark, landing, max_files=2), store, f"{base}/checkpoint", rules.SSHD,
+        rejects_path=f"{base}/rejects", available_now=True,
+    )
     run.awaitTermination()
     stored = store.read("syslog")
     return stored.groupBy("program", records.enriched_text(F.col("raw"), "ssh_user").alias("ssh_user")).agg(

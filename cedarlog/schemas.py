@@ -68,8 +68,7 @@ HTTP_ERROR = _schema(
     ("raw", _STR),
 )
 
-# The JSON keys a syslog record must carry, and the widest text
-# each column takes.
+# The JSON keys a syslog record must carry.
 SYSLOG_REQUIRED = (
     "C_ISODATE",
     "R_ISODATE",
@@ -81,24 +80,6 @@ SYSLOG_REQUIRED = (
     "PROGRAM",
     "SOURCEIP",
 )
-SYSLOG_WIDTH = {
-    "FACILITY": 255,
-    "HOST": 255,
-    "HOST_FROM": 255,
-    "PRIORITY": 64,
-    "PROGRAM": 255,
-}
-HTTP_WIDTH = {
-    "host": 255,
-    "vhost": 255,
-    "ident": 255,
-    "auth": 255,
-    "method": 16,
-    "http_version": 16,
-    "loglevel": 32,
-    "code": 64,
-    "server": 255,
-}
 
 
 @dataclass(frozen=True)

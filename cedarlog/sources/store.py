@@ -1,25 +1,36 @@
-"""The log store: one parquet table per source.
-
-Rows are partitioned by receipt ``day`` and by ``id_base``, the number of ids
-given out before their batch. The second level makes a batch replaceable as a
-whole, so that a repeated write of the same batch changes nothing, and lets a
-cursor or newest-first read skip older batches by directory name alone.
+"""The log store: one parquet table per source, for many writers and readers.
+
+Rows are partitioned by receipt ``day`` and by ``id_base``, the number of ids given
+out before their batch. A writer reserves its ids with a log entry that only one
+can create, so no two batches share a folder; a repeated batch first removes what
+its earlier attempt left. Readers leave out batches that are not committed.
+
+What rewrites stored rows (prune, re-enrich, fill, compact) writes whole days aside,
+notes the exchange and then renames. A note that a lost driver left is finished by
+the next such job; one at a time rewrites a table, while appends go on.
+
+    <table>/data/day=../id_base=..   rows
+    <table>/log/<n>.json             reservations, the last ones
+    <table>/commits/<base>.json      committed batches, read by followers
+    <table>/batches/<writer>-<n>.json  what a streaming writer's batch has reserved
+    <table>/swaps/<id>.json          exchanges under way
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import threading
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cedarlog.functions import records
 from cedarlog.functions.args import parse_duration, positive_or
 from cedarlog.operators import maintenance, promote
-from cedarlog.operators.filters import build_filter, timestamp
+from cedarlog.operators.filters import build_filter, day_filter, timestamp
 from cedarlog.operators.ids import assign_ids
 from cedarlog.operators.rules import Rule
 from cedarlog.schemas import SOURCES, source, time_column
@@ -27,9 +38,16 @@ from cedarlog.session import scratch_path
 
 _PARTITIONS = [T.StructField("day", T.DateType()), T.StructField("id_base", T.LongType())]
 
+#: Committed reservations that stay in the log.
+_LOG_ENTRIES = 64
+#: Bytes of a file that compaction aims at.
+_FILE_BYTES = 128 << 20
+#: Local file systems have no atomic create; writers of one driver take turns instead.
+_RESERVING = threading.Lock()
+
 
 class LogStore:
-    """One writer at a time per source; any number of readers."""
+    """Any number of writers and readers per source."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -53,15 +71,42 @@ class LogStore:
         fs, target = self._fs(path)
         fs.delete(target, True)
 
+    def _create(self, path: str, content: dict) -> bool:
+        """Write a note that must not exist yet; False if it does."""
+        fs, target = self._fs(path)
+        if fs.exists(target):
+            return False
+        try:
+            out = fs.create(target, False)
+        except Exception as error:
+            if "AlreadyExists" in str(error):
+                return False
+            raise
+        out.write(bytearray(json.dumps(content), "utf-8"))
+        out.close()
+        return True
+
     def _put(self, path: str, content: dict) -> None:
-        """A small driver-written note, replaced as a whole."""
+        """A note, replaced as a whole by one rename."""
+        jvm = self.spark.sparkContext._jvm
         fs, target = self._fs(path)
-        _, draft = self._fs(path + ".tmp")
+        fs, draft = self._fs(f"{path}.{uuid.uuid4().hex}.tmp")
         out = fs.create(draft, True)
         out.write(bytearray(json.dumps(content), "utf-8"))
         out.close()
-        fs.delete(target, False)
-        fs.rename(draft, target)
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(draft), fs.makeQualified(target), how)
+
+    def _names(self, pattern: str) -> list[str]:
+        """Paths that match, by listing."""
+        fs, target = self._fs(pattern)
+        return sorted(str(s.getPath().toString()) for s in fs.globStatus(target) or [])
+
+    def _top(self, source_name: str) -> str:
+        return f"{self.root}/{source(source_name).name}"
 
     def _get(self, path: str) -> dict | None:
         if not self._exists(path):
@@ -75,36 +120,55 @@ class LogStore:
 
     # -- promoted fields -----------------------------------------------------
 
+    def _promotions(self, source_name: str) -> dict[str, list[str]]:
+        """Fields with columns of their own, and the days whose rows do not have them yet."""
+        return self._get(f"{self._top(source_name)}/promoted.json") or {}
+
     def promoted(self, source_name: str) -> list[str]:
-        """Enriched fields that have columns of their own in this table."""
-        note = self._get(f"{self.root}/{source(source_name).name}/promoted.json")
-        return note["fields"] if note else []
+        """Enriched fields that every stored row has in columns of their own."""
+        return [field for field, days in self._promotions(source_name).items() if not days]
 
     def promote(self, source_name: str, fields: Iterable[str]) -> None:
-        """Give fields their own columns, in the rows already stored as well."""
-        known = self.promoted(source_name)
+        """Give fields their own columns.
+
+        New rows have them at once. Stored days are filled one at a time, and until
+        the last is, searches take the field from the record.
+        """
+        self.recover(source_name)
+        known = self._promotions(source_name)
         added = [promote.check_field(f) for f in fields if f not in known]
-        if not added:
-            return
-        if self._exists(self.data_path(source_name)):
-            grown = promote.promote_fields(self.read(source_name), added)
-            self._replace(source_name, grown)
-        self._put(f"{self.root}/{source(source_name).name}/promoted.json", {"fields": known + added})
+        if added:
+            days = sorted({day for day, _ in self._partition_dirs(source_name)})
+            known = known | {field: days for field in added}
+            self._put(f"{self._top(source_name)}/promoted.json", known)
+        self.fill(source_name)
+
+    def fill(self, source_name: str) -> None:
+        """Write promoted columns into the days that lack them; goes on where it was left."""
+        known = self._promotions(source_name)
+        for day in sorted({day for days in known.values() for day in days}):
+            fields = [field for field, days in known.items() if day in days]
+            rows = self.read(source_name).where(F.col("day") == F.lit(day).cast("date"))
+            plain = [c for c in rows.columns if not any(c.startswith(f"field_{f}_") for f in fields)]
+            self._exchange(source_name, [day], promote.promote_fields(rows.select(*plain), fields).select(*rows.columns))
+            known = {field: [d for d in days if d != day] for field, days in known.items()}
+            self._put(f"{self._top(source_name)}/promoted.json", known)
 
     # -- reading -------------------------------------------------------------
 
     def schema(self, source_name: str) -> T.StructType:
-        return T.StructType(
-            source(source_name).schema.fields + promote.promoted_schema(self.promoted(source_name)) + _PARTITIONS
-        )
+        fields = promote.promoted_schema(self._promotions(source_name))
+        return T.StructType(source(source_name).schema.fields + fields + _PARTITIONS)
 
     def read(self, source_name: str) -> DataFrame:
-        """All stored rows, with ``day`` and ``id_base``."""
+        """All rows of committed batches, with ``day`` and ``id_base``."""
         schema = self.schema(source_name)
         path = self.data_path(source_name)
         if not self._exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        rows = self.spark.read.schema(schema).parquet(path)
+        open_ = [entry["base"] for entry in self._reservations(source_name) if not self._exists(self._commit_path(source_name, entry["base"]))]
+        return rows.where(~F.col("id_base").isin(open_)) if open_ else rows
 
     def matching(self, source_name: str, **filters) -> DataFrame:
         """Stored rows passing the filters; windows prune days, promoted fields prune rows."""
@@ -115,22 +179,48 @@ class LogStore:
             source_name, promoted=self.promoted(source_name), partitioned=True, **filters
         )
 
-    def max_id(self, source_name: str) -> int:
-        """The largest id given out so far, pruned rows included.
-
-        Of the rows only the newest batch is looked at.
-        """
-        note = self._get(self._sequence_path(source_name))
-        noted = note["last"] if note else 0
-        bases = self.batches(source_name)
-        if not bases or bases[-1] < noted:
-            return noted
-        newest = self.read(source_name).filter(F.col("id_base") == F.lit(bases[-1]))
-        last = newest.agg(F.max("id").alias("id")).first().id
-        return max(noted, bases[-1] if last is None else last)
+    def commits_path(self, source_name: str) -> str:
+        """The folder of commit notes, made if it is not there."""
+        path = f"{self._top(source_name)}/commits"
+        fs, target = self._fs(path)
+        fs.mkdirs(target)
+        return path
+
+    def _commit_path(self, source_name: str, base: int) -> str:
+        return f"{self._top(source_name)}/commits/{base:020d}.json"
+
+    def _reservations(self, source_name: str) -> list[dict]:
+        """The log's entries, oldest first."""
+        found = (self._get(path) for path in self._names(f"{self._top(source_name)}/log/*.json"))
+        return [entry for entry in found if entry]
+
+    def _reserve(self, source_name: str, count: int) -> int:
+        """Take the next ``count`` ids: the first writer to create the next entry has them."""
+        log = f"{self._top(source_name)}/log"
+        with _RESERVING:
+            while True:
+                names = self._names(f"{log}/*.json")
+                last = self._get(names[-1]) if names else {"number": 0, "base": 0, "count": 0}
+                if not last:  # being written just now
+                    continue
+                number, base = last["number"] + 1, last["base"] + last["count"]
+                path = f"{log}/{number:012d}.json"
+                if not self._create(path, {"number": number, "base": base, "count": count}):
+                    continue
+                if self._names(f"{log}/*.json")[-1].endswith(f"{number:012d}.json"):
+                    break
+                self._delete(path)  # the entry had been tidied away; newer ones exist
+            for old in names[:-_LOG_ENTRIES]:
+                entry = self._get(old)
+                if entry and self._exists(self._commit_path(source_name, entry["base"])):
+                    self._delete(old)
+        return base
 
-    def _sequence_path(self, source_name: str) -> str:
-        return f"{self.root}/{source(source_name).name}/sequence.json"
+    def max_id(self, source_name: str) -> int:
+        """The largest id given out so far, pruned rows included."""
+        names = self._names(f"{self._top(source_name)}/log/*.json")
+        last = self._get(names[-1]) if names else None
+        return last["base"] + last["count"] if last else 0
 
     def _partition_dirs(self, source_name: str) -> list[tuple[str, int]]:
         """Existing (day, id_base) directories, by listing alone."""
@@ -143,7 +233,7 @@ class LogStore:
         return [(day.split("=", 1)[1], int(base.split("=", 1)[1])) for day, base in names]
 
     def batches(self, source_name: str) -> list[int]:
-        """The ``id_base`` of every stored batch, oldest first."""
+        """The ``id_base`` of every stored batch or compacted day, oldest first."""
         return sorted({base for _, base in self._partition_dirs(source_name)})
 
     def newest(
@@ -167,31 +257,48 @@ class LogStore:
         bottom = bases[0]
         while True:
             low, high = (edge, min(edge + step, top)) if asc else (max(edge - step, bottom), edge)
-            slice_rows = rows.filter(self._between(bases, low, high))
+            slice_rows = rows.filter(self._between(source_name, bases, low, high))
             found += slice_rows.select("id").limit(wanted - found).count()
             edge = high if asc else low
             if found >= wanted or edge == (top if asc else bottom):
-                span = self._between(bases, done, edge) if asc else self._between(bases, edge, top)
+                span = self._between(source_name, bases, done, edge) if asc else self._between(source_name, bases, edge, top)
                 return rows.filter(span).orderBy(order).limit(wanted)
             step *= 8
 
-    @staticmethod
-    def _between(bases: Sequence[int], low: int, high: int) -> Column:
-        """Rows with low < id <= high, with the batches that can hold them."""
-        first = max((b for b in bases if b <= low), default=0)
+    def _first_base(self, source_name: str, bases: Sequence[int], low: int) -> int:
+        """No folder with a smaller ``id_base`` holds ids past ``low``."""
+        merged = self._get(f"{self._top(source_name)}/compacted.json") or {}
+        return min([max((b for b in bases if b <= low), default=0), *(int(b) for b, last in merged.items() if last > low)])
+
+    def _between(self, source_name: str, bases: Sequence[int], low: int, high: int) -> Column:
+        """Rows with low < id <= high, with the folders that can hold them."""
         return (
             (F.col("id") > F.lit(low))
             & (F.col("id") <= F.lit(high))
-            & (F.col("id_base") >= F.lit(first))
+            & (F.col("id_base") >= F.lit(self._first_base(source_name, bases, low)))
             & (F.col("id_base") < F.lit(max(high, 1)))
         )
 
     def after(self, source_name: str, last: int, **filters) -> DataFrame:
         """Rows past a cursor in id order; batches wholly before it are not opened."""
-        first = max((b for b in self.batches(source_name) if b <= last), default=0)
+        first = self._first_base(source_name, self.batches(source_name), last)
         rows = self.matching(source_name, **filters)
         return rows.filter((F.col("id_base") >= F.lit(first)) & (F.col("id") > F.lit(last))).orderBy("id")
 
+    def in_batches(self, source_name: str, batches: Iterable[tuple[int, int]]) -> DataFrame:
+        """Rows of committed batches, given as (base, count), wherever they are stored now."""
+        spans: list[list[int]] = []
+        for base, count in sorted(batches):
+            if spans and base <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], base + count)
+            else:
+                spans.append([base, base + count])
+        bases = self.batches(source_name)
+        wanted = F.lit(False)
+        for low, high in spans:
+            wanted = wanted | self._between(source_name, bases, low, high)
+        return self.read(source_name).where(wanted)
+
     def tail(self, source_name: str, lines: int | None = 10, **filters) -> DataFrame:
         return self.newest(source_name, positive_or(lines, 10), **filters).orderBy("id")
 
@@ -202,6 +309,18 @@ class LogStore:
 
     # -- writing -------------------------------------------------------------
 
+    def batch_time(self, source_name: str, batch: tuple[str, int]) -> dt.datetime:
+        """When a streaming writer's batch first began; the same for every attempt at it."""
+        path = self._batch_path(source_name, batch)
+        note = self._get(path)
+        if not note:
+            note = {"received": dt.datetime.now(dt.timezone.utc).isoformat()}
+            self._put(path, note)
+        return dt.datetime.fromisoformat(note["received"])
+
+    def _batch_path(self, source_name: str, batch: tuple[str, int]) -> str:
+        return f"{self._top(source_name)}/batches/{batch[0]}-{batch[1]}.json"
+
     def append(
         self,
         source_name: str,
@@ -211,49 +330,110 @@ class LogStore:
     ) -> int:
         """Number and add rows; returns the largest id given out.
 
-        ``batch`` is (writer name, batch number) of a streaming writer. Its first id
-        is noted before any row is written, so a repeat after a failure lands in
-        the same place and replaces whatever the failed attempt left.
+        ``batch`` is (writer name, batch number) of a streaming writer; writers of one
+        table need names of their own. What it reserves is noted before any row is
+        written, so a repeat after a failure removes what the failed attempt left and
+        takes the same ids. Every row needs a receipt time.
         """
-        note = f"{self.root}/{source(source_name).name}/batches/{batch[0]}-{batch[1]}.json" if batch else None
-        begun = self._get(note) if note else None
-        base = begun["base"] if begun else self.max_id(source_name)
-        if note and not begun:
-            self._put(note, {"base": base})
         columns = [f.name for f in source(source_name).schema.fields if f.name != "id"]
+        needed = F.coalesce("r_isodate", F.raise_error(F.lit("a row has no r_isodate")).cast("timestamp"))
         staging = scratch_path(self.spark, "append")
-        numbered = assign_ids(rows.select(*columns), base, order_by, staging=staging)
-        stored = promote.promote_fields(numbered, self.promoted(source_name))
-        stored = stored.withColumns({"day": F.to_date("r_isodate"), "id_base": F.lit(base).cast("bigint")})
-        stored = stored.select(*self.schema(source_name).names)
-        (
-            stored.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "id_base")
-            .parquet(self.data_path(source_name))
-        )
-        self._delete(staging)
-        last = self.max_id(source_name)
-        self._put(self._sequence_path(source_name), {"last": last})
-        return last
-
-    def _replace(self, source_name: str, rows: DataFrame) -> None:
-        """Swap the partitions of ``rows`` for ``rows``, which were read from them.
-
-        The rows are first written aside: a table is never overwritten while it
-        is being read.
-        """
-        aside = scratch_path(self.spark, "replace")
+        try:
+            staged = assign_ids(rows.select(*columns).withColumn("r_isodate", needed), 0, order_by, staging=staging)
+            count = staged.count()
+            if not count:
+                return self.max_id(source_name)
+            note = (self._get(self._batch_path(source_name, batch)) if batch else None) or {}
+            if note.get("count") == count:
+                base = note["base"]
+            else:
+                if "base" in note:  # the batch came back with other rows
+                    self._remove_batch(source_name, note["base"])
+                base = self._reserve(source_name, count)
+                if batch:
+                    self.batch_time(source_name, batch)
+                    kept = self._get(self._batch_path(source_name, batch)) or {}
+                    self._put(self._batch_path(source_name, batch), kept | {"base": base, "count": count})
+            if "base" in note:
+                self._remove_batch(source_name, base)
+            numbered = staged.withColumn("id", F.col("id") + F.lit(base))
+            stored = promote.promote_fields(numbered, self._promotions(source_name))
+            stored = stored.withColumns({"day": F.to_date("r_isodate"), "id_base": F.lit(base).cast("bigint")})
+            stored = stored.select(*self.schema(source_name).names)
+            stored.write.mode("append").partitionBy("day", "id_base").parquet(self.data_path(source_name))
+            self._create(self._commit_path(source_name, base), {"base": base, "count": count})
+        finally:
+            self._delete(staging)
+        if batch:  # a stream repeats its last batch only
+            self._delete(self._batch_path(source_name, (batch[0], batch[1] - 2)))
+        return self.max_id(source_name)
+
+    def _remove_batch(self, source_name: str, base: int) -> None:
+        for path in self._names(f"{self.data_path(source_name)}/day=*/id_base={base}"):
+            self._delete(path)
+
+    # -- rewriting -----------------------------------------------------------
+
+    def _exchange(self, source_name: str, days: Sequence[str], rows: DataFrame) -> None:
+        """Put ``rows``, which were read from them, in place of the committed rows of whole days."""
+        swap = uuid.uuid4().hex
+        aside = f"{self._top(source_name)}/aside-{swap}"
+        open_ = {e["base"] for e in self._reservations(source_name) if not self._exists(self._commit_path(source_name, e["base"]))}
+        old = [
+            f"{self.data_path(source_name)}/day={day}/id_base={base}"
+            for day, base in self._partition_dirs(source_name)
+            if day in set(days) and base not in open_
+        ]
         rows.write.partitionBy("day", "id_base").parquet(aside)
-        staged = self.spark.read.schema(rows.schema).parquet(aside)
-        (
-            staged.select(*rows.columns)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("day", "id_base")
-            .parquet(self.data_path(source_name))
-        )
-        self._delete(aside)
+        new = ["/".join(p.split("/")[-2:]) for p in self._names(f"{aside}/day=*/id_base=*")]
+        note = f"{self._top(source_name)}/swaps/{swap}.json"
+        self._put(note, {"aside": aside, "old": old, "new": new})
+        self._finish(source_name, note)
+
+    def _finish(self, source_name: str, note: str) -> None:
+        """Carry out a noted exchange; every step may be repeated."""
+        swap = self._get(note)
+        if not swap:
+            return
+        data = self.data_path(source_name)
+        targets = {f"{data}/{name}" for name in swap["new"]}
+        for path in swap["old"]:
+            if path not in targets:
+                self._delete(path)
+        for name in swap["new"]:
+            fs, ready = self._fs(f"{swap['aside']}/{name}")
+            if fs.exists(ready):
+                _, target = self._fs(f"{data}/{name}")
+                fs.delete(target, True)
+                fs.mkdirs(target.getParent())
+                if not fs.rename(ready, target):
+                    raise OSError(f"could not rename {ready} to {target}")
+        self._delete(note)
+        self._delete(swap["aside"])
+
+    def recover(self, source_name: str) -> None:
+        """Finish exchanges that a lost driver had noted.
+
+        Appends may go on at any time, but one job at a time rewrites a table.
+        """
+        for note in self._names(f"{self._top(source_name)}/swaps/*.json"):
+            self._finish(source_name, note)
+
+    def compact(self, source_name: str, day: str) -> None:
+        """Merge a closed day's batches into one folder of large files, in id order."""
+        self.recover(source_name)
+        bases = sorted(base for d, base in self._partition_dirs(source_name) if d == day)
+        if len(bases) < 2:
+            return
+        rows = self.read(source_name).where(F.col("day") == F.lit(day).cast("date"))
+        last = rows.agg(F.max("id")).first()[0]
+        path = f"{self._top(source_name)}/compacted.json"
+        merged = self._get(path) or {}
+        self._put(path, merged | {str(bases[0]): max(last or 0, merged.get(str(bases[0]), 0))})
+        fs, folder = self._fs(f"{self.data_path(source_name)}/day={day}")
+        files = max(1, -(-fs.getContentSummary(folder).getLength() // _FILE_BYTES))
+        whole = rows.withColumn("id_base", F.lit(bases[0]).cast("bigint")).select(*rows.columns)
+        self._exchange(source_name, [day], whole.repartitionByRange(files, "id").sortWithinPartitions("id"))
 
     def prune(
         self,
@@ -265,39 +445,27 @@ class LogStore:
     ) -> int:
         """Delete rows past the age; returns how many (would) go.
 
-        By receipt time, days that lie wholly before the cutoff are dropped as
-        directories and only the boundary day is rewritten. By another time
-        column every partition holding an expired row is rewritten.
+        Days of which every row goes are dropped as folders, days of which some go
+        are rewritten: by receipt time that is the boundary day alone.
         """
+        self.recover(source_name)
         column = time_column(source(source_name), column, "r_isodate")
         gone = maintenance.expired(source_name, older_than, as_of, column)
         rows = self.read(source_name)
         cutoff = as_of - parse_duration(older_than)
         if column == "r_isodate":
             rows = rows.filter(F.col("day") <= F.to_date(timestamp(cutoff)))
-        per_partition = (
-            rows.groupBy("day", "id_base")
-            .agg(F.count("*").alias("n"), F.count_if(gone).alias("gone"))
-            .filter(F.col("gone") > 0)
-        )
-        # One row per touched directory; the listing of a table is driver-side anyway.
-        touched = per_partition.collect()
+        per_day = rows.groupBy("day").agg(F.count("*").alias("n"), F.count_if(gone).alias("gone")).filter(F.col("gone") > 0)
+        touched = per_day.collect()  # one row per day
         count = sum(row.gone for row in touched)
         if dry_run or not touched:
             return count
-        self._put(self._sequence_path(source_name), {"last": self.max_id(source_name)})
-        whole = [row for row in touched if row.gone == row.n]
-        partial = [row for row in touched if row.gone < row.n]
-        if partial:
-            self._replace(source_name, self._in_partitions(rows, partial).filter(~gone))
-        for row in whole:
-            self._delete(f"{self.data_path(source_name)}/day={row.day}/id_base={row.id_base}")
+        days = [str(row.day) for row in touched]
+        partial = [str(row.day) for row in touched if row.gone < row.n]
+        left = self.read(source_name).where(F.col("day").cast("string").isin(partial) if partial else F.lit(False))
+        self._exchange(source_name, days, left.filter(~gone))
         return count
 
-    def _in_partitions(self, rows: DataFrame, partitions) -> DataFrame:
-        keys = self.spark.createDataFrame([(p.day, p.id_base) for p in partitions], "day date, id_base bigint")
-        return rows.join(F.broadcast(keys), ["day", "id_base"], "left_semi")
-
     def reenrich(
         self,
         rules: Sequence[Rule],
@@ -310,29 +478,25 @@ class LogStore:
         limit: int | None = None,
         dry_run: bool = False,
     ) -> dict[str, int]:
-        """Re-run the rules over stored syslog rows; only partitions that change are rewritten."""
+        """Re-run the rules over stored syslog rows; a window reads its days only, and only days that change are rewritten."""
         if not rules:
             raise ValueError("there are no rules to enrich with")
+        self.recover("syslog")
         scope = maintenance.reenrich_scope(since, program, everything, column, as_of)
         rows = self.read("syslog")
-        scope = scope & maintenance.limited(rows.filter(scope), limit)
-        done = maintenance.reenrich(rows, rules, scope)
-        per_partition = (
-            done.groupBy("day", "id_base")
-            .agg(F.count_if("scanned").alias("scanned"), F.count_if("changed").alias("changed"))
-            .filter(F.col("scanned") > 0)
-            .collect()
-        )
-        report = {
-            "scanned": sum(row.scanned for row in per_partition),
-            "changed": sum(row.changed for row in per_partition),
-        }
-        touched = [row for row in per_partition if row.changed]
-        if touched and not dry_run:
-            fresh = self._in_partitions(done, touched).withColumn("raw", F.col("new_raw")).select(*rows.columns)
-            promoted = self.promoted("syslog")
+        bound = day_filter(source("syslog"), since, as_of, column or "r_isodate") if since is not None else None
+        near = rows if bound is None else rows.filter(bound)
+        scope = scope & maintenance.limited(near.filter(scope), limit)
+        done = maintenance.reenrich(near.filter(scope), rules)
+        per_day = done.groupBy("day").agg(F.count("*").alias("scanned"), F.count_if("changed").alias("changed")).collect()
+        report = {"scanned": sum(row.scanned for row in per_day), "changed": sum(row.changed for row in per_day)}
+        days = [str(row.day) for row in per_day if row.changed]
+        if days and not dry_run:
+            whole = maintenance.reenrich(rows.where(F.col("day").cast("string").isin(days)), rules, scope)
+            fresh = whole.withColumn("raw", F.col("new_raw")).select(*rows.columns)
+            promoted = list(self._promotions("syslog"))
             if promoted:
                 plain = [c for c in fresh.columns if not c.startswith("field_")]
                 fresh = promote.promote_fields(fresh.select(*plain), promoted).select(*rows.columns)
-            self._replace("syslog", fresh)
+            self._exchange("syslog", days, fresh)
         return report

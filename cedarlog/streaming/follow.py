@@ -1,4 +1,4 @@
-"""Follow a store: new matching rows as they are appended."""
+"""Follow a store: new matching rows as their batches are committed."""
 
 from __future__ import annotations
 
@@ -31,25 +31,24 @@ def follow(
 ) -> StreamingQuery:
     """Hand rows with ``id`` past ``last`` that pass the filters to ``emit``, in id order.
 
-    Rows a later batch brings are again only those past what was seen, so that
-    partitions rewritten by pruning or re-enrichment are not shown twice. A
-    ``since`` window is taken anew, from ``clock``, at each poll.
+    The stream reads the store's commit notes, not its rows: a batch is shown when
+    all of it is there, once, whatever order its folders appeared in and whatever
+    later rewrites them. Which commits were shown is part of the checkpoint, so a
+    restart goes on where it stopped. A ``since`` window is taken anew, from
+    ``clock``, at each poll.
     """
-    stream = store.spark.readStream.schema(store.schema(source_name)).parquet(store.data_path(source_name))
-    stream = stream.filter(F.col("id") > F.lit(last))
-    promoted = store.promoted(source_name)
-    seen = {"last": last}
+    commits = store.commits_path(source_name)
+    notes = store.spark.readStream.schema("base long, count long").json(commits)
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = batch.filter(F.col("id") > F.lit(seen["last"]))
-        top = fresh.agg(F.max("id").alias("id")).first().id
-        if top is None:
+        fresh = [(r["base"], r["count"]) for r in batch.where(F.col("base") + F.col("count") > F.lit(last)).collect()]
+        if not fresh:
             return
-        wanted = build_filter(source_name, promoted=promoted, as_of=clock(), **filters)
-        emit(fresh.filter(wanted).orderBy("id"), number)
-        seen["last"] = top
+        wanted = build_filter(source_name, promoted=store.promoted(source_name), as_of=clock(), **filters)
+        rows = store.in_batches(source_name, fresh).where(F.col("id") > F.lit(last))
+        emit(rows.filter(wanted).orderBy("id"), number)
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = notes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{positive_or(interval, POLL_SECONDS)} seconds").start()

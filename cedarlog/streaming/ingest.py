@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cedarlog.functions.args import positive_or
 from cedarlog.operators import rules as rule_ops
+from cedarlog.operators.filters import timestamp
 from cedarlog.operators.syslog import parse_syslog, split_rejects
 from cedarlog.sources.files import WebSet, local_path, parse_web_lines
 from cedarlog.sources.store import LogStore
@@ -50,13 +52,13 @@ def stream_syslog(
     checkpoint: str,
     rules: Sequence[rule_ops.Rule] = (),
     *,
+    rejects_path: str,
     ranges: DataFrame | None = None,
-    rejects_path: str | None = None,
     flush_seconds: int | None = FLUSH_SECONDS,
     available_now: bool = False,
     name: str = "syslog",
 ) -> StreamingQuery:
-    """Parse, set rejects aside, enrich and append; a bad line never stops the stream.
+    """Parse, put rejects into ``rejects_path``, enrich and append; a bad line never stops the stream.
 
     Any streaming frame with a ``value`` line column will do: a landing folder, the
     ``logfollow`` source, or Kafka values cast to string. A batch repeated after a
@@ -64,13 +66,11 @@ def stream_syslog(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        parsed = parse_syslog(batch)
-        good, bad = split_rejects(parsed)
+        good, bad = split_rejects(parse_syslog(batch))
         store.append("syslog", rule_ops.enrich(good, rules, ranges=ranges), (name, number))
-        if rejects_path:
-            bad.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch").parquet(rejects_path)
+        bad.withColumn("batch", F.lit(number)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch").parquet(rejects_path)
 
     return _start(lines, write, checkpoint, name, flush_seconds, available_now)
 
@@ -91,13 +91,15 @@ def stream_web_logs(
     """Follow the files of one set and kind into its table.
 
     ``lines`` has ``value`` and ``path``; ``ranges`` is a prepared range table.
-    Receipt time is the start of the batch unless ``received_at`` gives one.
+    Receipt time is the start of the batch's first attempt unless ``received_at`` gives
+    one. Several sets may be stored into one table at once: each has a name of its own.
     """
     name = f"{web_set.name}-{kind}"
 
     def write(batch: DataFrame, number: int) -> None:
         tagged = batch.withColumn("path", local_path(F.col("path")))
-        received = F.current_timestamp() if received_at is None else received_at
+        begun = store.batch_time(f"http_{kind}", (name, number)) if received_at is None else received_at
+        received = timestamp(begun) if isinstance(begun, dt.datetime) else begun
         rows = parse_web_lines(tagged, web_set, kind, host, received, ranges)
         store.append(f"http_{kind}", rows, (name, number))
 

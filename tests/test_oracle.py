@@ -4,7 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from cedarlog.plans.catalog import queries
+from cedarlog.plans.oracle import oracle_sql
 from tests.check_oracle import connect, difference
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")

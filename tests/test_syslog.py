@@ -63,7 +63,9 @@ def test_pid(lines, changes, pid):
         (line(PROGRAM=...), "PROGRAM is missing"),
         (line(HOST=None), "HOST is missing"),
         (line(R_ISODATE="yesterday-ish"), "R_ISODATE is not a time"),
-        (line(PRIORITY="p" * 65), "PRIORITY is longer than 64"),
+        (line(PRIORITY="p" * 65, PROGRAM="q" * 300), None),
+        (line(C_ISODATE="10:30"), "C_ISODATE is not a time"),
+        (line(S_ISODATE="2026-07"), "S_ISODATE is not a time"),
         (line(SOURCEIP="10.0.0.256"), "SOURCEIP is not an address"),
         (line(SOURCEIP="2001:db8::1"), None),
         (line(SOURCEIP="::ffff:10.0.0.1"), None),

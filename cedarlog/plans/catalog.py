@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +62,7 @@ def queries() -> dict[str, Query]:
 
 @query("syslog_ingest")
 def syslog_ingest(spark, sf_dir):
-    return fx.syslog_rows(spark, sf_dir).select("id", *SYSLOG_COLUMNS)
+    return fx.syslog_rows(spark, sf_dir).select("id", *SYSLOG_COLUMNS, "raw")
 
 
 @query("syslog_rejects")
@@ -83,7 +83,7 @@ def http_access_ingest(spark, sf_dir):
 
 @query("http_error_ingest")
 def http_error_ingest(spark, sf_dir):
-    return fx.error_rows(spark, sf_dir).select("id", *ERROR_COLUMNS)
+    return fx.error_rows(spark, sf_dir).select("id", *ERROR_COLUMNS, "raw")
 
 
 @query("http_raw_record")
@@ -138,8 +138,7 @@ def display_syslog(spark, sf_dir):
 
 @query("tsv_rows")
 def tsv_rows(spark, sf_dir):
-    shown = display(fx.document_rows(spark, sf_dir), "syslog", with_id=True).drop("time")
-    return to_tsv(shown)
+    return to_tsv(display(fx.document_rows(spark, sf_dir), "syslog", with_id=True))
 
 
 @query("json_rows")
@@ -149,10 +148,11 @@ def json_rows(spark, sf_dir):
 
 @query("adhoc_sql")
 def adhoc_sql(spark, sf_dir):
-    fx.syslog_rows(spark, sf_dir).createOrReplaceTempView("syslog")
+    """Mail traffic per host and day, asked in SQL of the registered store."""
+    _stored(spark, sf_dir).register()
     return spark.sql("""
-        SELECT s_isodate, variant_get(parse_json(raw), '$.MESSAGE', 'string') AS message
-        FROM syslog WHERE program = 'sshd' AND host = 'web3' ORDER BY s_isodate DESC
+        SELECT host, day, count(*) AS n, max(r_isodate) AS latest, count(DISTINCT sourceip) AS senders
+        FROM syslog WHERE facility = 'mail' GROUP BY host, day
     """)
 
 
@@ -205,6 +205,22 @@ for _name, _fields, _others in (
     query(_name)(_by_field(*_fields, **_others))
 
 
+_REPEATED = ("tag=view-7", "tag!=view-7", "tag~^view-[12]", "tag!~^view", "tag=~W-2", "tag>purchase-5", "tag=old")
+
+
+@query("field_repeated_key")
+def field_repeated_key(spark, sf_dir):
+    """Records whose enriched block has ``tag`` twice; every operator goes by the last."""
+    twice = F.replace(F.col("value"), F.lit('"enriched":{'), F.lit('"enriched":{"tag":"old",'))
+    lines = fx.syslog_lines(spark, sf_dir).select("event_id", twice.alias("value"))
+    rows = materialize(split_rejects(parse_syslog(lines, keep=["event_id"])).accepted, "repeated")
+    found = [
+        rows.filter(build_filter("syslog", field=text)).select(F.lit(text).alias("field"), (F.col("event_id") + 1).alias("id"))
+        for text in _REPEATED
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 # -- newest, oldest, tail ----------------------------------------------------
 
 
@@ -374,6 +390,40 @@ def prune_store(spark, sf_dir):
     return store.read("syslog").select("id", "r_isodate", "program")
 
 
+@query("prune_store_requests")
+def prune_store_requests(spark, sf_dir):
+    """By request time; rows without one stay."""
+    store = _stored(spark, sf_dir, ("http_access",))
+    gone = store.prune("http_access", "12d", fx.AS_OF, column="req_isodate")
+    return store.read("http_access").select("id", "r_isodate", "req_isodate", F.lit(gone).cast("bigint").alias("gone"))
+
+
+@query("store_replayed_batch")
+def store_replayed_batch(spark, sf_dir):
+    """A batch that comes again, its rows on other days, replaces its first attempt."""
+    store = LogStore(spark, scratch_path(spark, "store"))
+    rows = fx.syslog_rows(spark, sf_dir)
+    late = rows.withColumn("r_isodate", F.expr("r_isodate + INTERVAL 1 DAY"))
+    for attempt in (late, rows):
+        store.append("syslog", attempt, ("writer", 1), ["r_isodate", "raw"])
+    return store.read("syslog").select("id", "r_isodate", "program")
+
+
+@query("store_compacted")
+def store_compacted(spark, sf_dir):
+    """Three batches that share all days, merged day by day; the newest rows come from the merged folders."""
+    store = LogStore(spark, scratch_path(spark, "store"))
+    rows = materialize(fx.syslog_rows(spark, sf_dir), "rows")
+    for part in range(3):
+        store.append("syslog", rows.filter(f"pid % 3 = {part}" + (" OR pid IS NULL" if part == 0 else "")))
+    for (day,) in store.read("syslog").select(F.col("day").cast("string")).distinct().collect():
+        store.compact("syslog", day)
+    files = store.read("syslog").groupBy("day").agg(F.countDistinct("id_base").alias("folders"))
+    whole = store.newest("syslog", 10_000_000)
+    joined = whole.join(files, "day").select("r_isodate", "host", "pid", "program", "folders")
+    return joined
+
+
 @query("prune_dry_run")
 def prune_dry_run(spark, sf_dir):
     return maintenance.prune_dry_run(fx.syslog_rows(spark, sf_dir), "syslog", "250h", fx.AS_OF)
@@ -417,7 +467,7 @@ def store_stats_window(spark, sf_dir):
 
 @query("stream_syslog_ingest")
 def stream_syslog_ingest(spark, sf_dir):
-    """Lines land as files, a stream stores and enriches them."""
+    """Lines land as files, a stream stores and enriches them; the rejects are kept as well."""
     landing, base = scratch_path(spark, "landing"), scratch_path(spark, "stream")
     fx.syslog_lines(spark, sf_dir).select("value").repartition(4).write.text(landing)
     store = LogStore(spark, f"{base}/store")
@@ -427,18 +477,26 @@ def stream_syslog_ingest(spark, sf_dir):
     )
     run.awaitTermination()
     stored = store.read("syslog")
-    return stored.groupBy("program", records.enriched_text(F.col("raw"), "ssh_user").alias("ssh_user")).agg(
-        F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max("r_isodate").alias("latest")
-    )
+    user = records.enriched_text(F.col("raw"), "ssh_user").alias("ssh_user")
+    good = stored.select("r_isodate", "host", "program", "pid", user, records.message(F.col("raw")).alias("message"))
+    bad = spark.read.parquet(f"{base}/rejects").select(F.col("reject_reason").alias("message"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
-@query("stream_http_ingest")
-def stream_http_ingest(spark, sf_dir):
-    base = scratch_path(spark, "web")
+def _site_lines(spark, sf_dir, base: str) -> None:
     lines = fx.access_lines(spark, sf_dir)
     for site in range(4):
         own = lines.filter(F.col("path").contains(f"www{site}.")).select("value")
         own.write.text(f"{base}/logs/www{site}.example.com")
+
+
+_STREAMED = ["vhost", "vhost_port", "client_ip", "method", "request", "status", "bytes", "referrer", "user_agent"]
+
+
+@query("stream_http_ingest")
+def stream_http_ingest(spark, sf_dir):
+    base = scratch_path(spark, "web")
+    _site_lines(spark, sf_dir, base)
     web_set = WebSet("site", access=f"{base}/logs/*/*", vhost="www.example.com", vhost_port=443)
     store = LogStore(spark, f"{base}/store")
     run = stream_web_logs(
@@ -446,26 +504,44 @@ def stream_http_ingest(spark, sf_dir):
         ranges=materialize(fx.geo_ranges(spark), "ranges"), available_now=True,
     )
     run.awaitTermination()
-    return (
-        store.read("http_access")
-        .groupBy("vhost", "vhost_port", "status", "method")
-        .agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum("bytes").alias("bytes"))
-    )
+    return store.read("http_access").select("req_isodate", *_STREAMED)
+
+
+@query("stream_two_sets")
+def stream_two_sets(spark, sf_dir):
+    """Two sets stored into one table by two streams at once; ids are given out once each."""
+    base = scratch_path(spark, "web")
+    _site_lines(spark, sf_dir, base)
+    store = LogStore(spark, f"{base}/store")
+    runs = []
+    for name, sites, port in (("first", "www[01]*", 443), ("second", "www[23]*", 8443)):
+        web_set = WebSet(name, access=f"{base}/logs/{sites}/*", vhost=f"{name}.example.com", vhost_port=port)
+        lines = stream_lines(spark, f"{base}/logs/{sites}", max_files=1)
+        runs.append(stream_web_logs(lines, store, f"{base}/checkpoint-{name}", web_set, "access", "web01", available_now=True))
+    for run in runs:
+        run.awaitTermination()
+    rows = store.read("http_access")
+    same = rows.groupBy("id").agg(F.count("*").alias("rows_of_id"))
+    return rows.join(same, "id").select("req_isodate", *_STREAMED, "rows_of_id")
 
 
 @query("stream_follow")
 def stream_follow(spark, sf_dir):
-    """Rows of a second batch, seen by a follower that starts after the first."""
+    """Three batches of several days each, followed with a restart after each; rows rewritten meanwhile come once."""
     base = scratch_path(spark, "follow")
-    store = _stored(spark, sf_dir)
-    first = store.batches("syslog")[-1]
+    store = LogStore(spark, f"{base}/store")
+    rows = materialize(fx.syslog_rows(spark, sf_dir), "rows")
 
     def emit(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    run = follow(
-        store, "syslog", emit, f"{base}/checkpoint", last=first, available_now=True, clock=lambda: fx.AS_OF,
-        program="sshd", since="9d",
-    )
-    run.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("id", "s_isodate", "host", "program")
+    for low, high in (("2000-01-01", "2024-01-12"), ("2024-01-12", "2024-01-22"), ("2024-01-22", "2100-01-01")):
+        part = rows.filter(f"r_isodate >= timestamp'{low} 00:00:00Z' AND r_isodate < timestamp'{high} 00:00:00Z'")
+        store.append("syslog", part, order_by=["r_isodate", "raw"])
+        follow(
+            store, "syslog", emit, f"{base}/checkpoint", last=100, available_now=True, clock=lambda: fx.AS_OF,
+            program="sshd", since="25d",
+        ).awaitTermination()
+        store.reenrich(rules.SSHD, everything=True)
+    seen = spark.read.parquet(f"{base}/out")
+    return seen.groupBy("id", "s_isodate", "host", "program").agg(F.count("*").alias("times"))

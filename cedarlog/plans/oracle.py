@@ -33,7 +33,7 @@ sys AS (
               WHEN event_type = 'signup' THEN k || '.0' ELSE CAST(k AS VARCHAR) END AS k_text,
          CASE WHEN event_type IN ('click', 'purchase') OR (event_type = 'view' AND value >= 10 AND value < 20)
               THEN NULL ELSE k END AS k_number,
-         round(value * 100) AS vx, event_type || '-' || k AS tag, user_id, k, u, event_type
+         round(value * 100) AS vx, event_type || '-' || k AS tag, user_id, k, u, event_type, value
   FROM ev WHERE value >= 2
 ),
 acc AS (
@@ -128,6 +128,50 @@ CASE WHEN event_type = 'error' THEN strftime(r_isodate - INTERVAL '7 hours', '%d
      ELSE strftime(r_isodate, '%d/%b/%Y:%H:%M:%S') || ' +0000' END
 """
 
+_STAMP = "strftime({}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
+
+# The line a good syslog row was read from, which is what its record keeps.
+_SYSLOG_RAW = f"""
+'{{"C_ISODATE":"' || {_STAMP.format("c_isodate")} || '","R_ISODATE":"' || {_STAMP.format("r_isodate")}
+  || '","S_ISODATE":"' || {_STAMP.format("s_isodate")} || '","FACILITY":"' || facility || '","HOST":"' || host
+  || '","HOST_FROM":"' || host_from || '","PRIORITY":"' || priority || '","PROGRAM":"' || program
+  || '","SOURCEIP":"' || sourceip
+  || CASE WHEN value < 3 THEN '","PID":"6558585.501484' WHEN value < 4 THEN ''
+          WHEN value < 5 THEN '","PID":"9223372036854775808' ELSE '","PID":"' || (1000 + event_id) END
+  || '","MESSAGE":"' || message || '","enriched":{{'
+  || CASE WHEN event_type = 'click' THEN '' WHEN event_type = 'purchase' THEN '"k":"' || k || '",'
+          WHEN event_type = 'signup' THEN '"k":' || k || '.0,'
+          WHEN event_type = 'view' AND value >= 10 AND value < 20 THEN '"k":null,' ELSE '"k":' || k || ',' END
+  || '"v.x":' || CAST(CAST(vx AS DOUBLE) AS VARCHAR) || ',"tag":"' || tag || '"}}}}'
+"""
+
+_NEW_TIME = "strftime(ts, '%a %b %d %H:%M:%S.%f %Y')"
+_OLD_TIME = "strftime(ts, '%a %b %d %H:%M:%S %Y')"
+_NGINX_TIME = "strftime(ts, '%Y/%m/%d %H:%M:%S')"
+
+# The record of an error line: the line, then the fields found in it.
+_ERROR_RAW = f"""
+CASE layout
+  WHEN 'none' THEN '{{"MESSAGE":"garbage ' || event_id || '"}}'
+  WHEN 'new' THEN '{{"MESSAGE":"[' || {_NEW_TIME} || '] [core:error] [pid ' || pid || ':tid 140' || event_id || '] [client '
+    || client_ip || ':' || (1024 + event_id % 5000) || '] ' || code || ': ' || message
+    || '","enriched":{{"http_error_client_ip":"' || client_ip || '","http_error_client_port":' || (1024 + event_id % 5000)
+    || ',"http_error_code":"' || code || '","http_error_loglevel":"error","http_error_message":"' || message
+    || '","http_error_module":"core","http_error_pid":' || pid || ',"http_error_tid":140' || event_id
+    || ',"http_error_timestamp":"' || {_NEW_TIME} || '"}}}}'
+  WHEN 'old' THEN '{{"MESSAGE":"[' || {_OLD_TIME} || '] [warn] [client ' || client_ip || '] ' || message
+    || '","enriched":{{"http_error_client_ip":"' || client_ip || '","http_error_loglevel":"warn","http_error_message":"'
+    || message || '","http_error_timestamp":"' || {_OLD_TIME} || '"}}}}'
+  ELSE '{{"MESSAGE":' || CAST(to_json({_NGINX_TIME} || ' [crit] ' || pid || '#0: *' || event_id || ' ' || message
+    || ', client: ' || client_ip || ', server: ' || server || ', request: "' || request || '", host: "h' || (user_id % 4)
+    || '.example.com"') AS VARCHAR) || ',"enriched":{{"http_error_client_ip":"' || client_ip
+    || '","http_error_connection":' || event_id || ',"http_error_host":"h' || (user_id % 4)
+    || '.example.com","http_error_loglevel":"crit","http_error_message":' || CAST(to_json(message) AS VARCHAR)
+    || ',"http_error_pid":' || pid || ',"http_error_request":"' || request || '","http_error_server":"' || server
+    || '","http_error_tid":0,"http_error_timestamp":"' || {_NGINX_TIME} || '"}}}}'
+END
+"""
+
 _SQUASHED = r"regexp_replace({}, '[\r\n\t]+', ' ', 'g')"
 
 _HALF = "TIMESTAMP '2024-01-16 00:00:00'"
@@ -135,15 +179,15 @@ _HALF = "TIMESTAMP '2024-01-16 00:00:00'"
 _STORE_IDS = "row_number() OVER (ORDER BY r_isodate, event_id) AS sid"
 
 _ORACLES: dict[str, str] = {
-    "syslog_ingest": f"SELECT id, {_SYSLOG_COLUMNS} FROM sys",
+    "syslog_ingest": f"SELECT id, {_SYSLOG_COLUMNS}, {_SYSLOG_RAW} AS raw FROM sys",
     "syslog_rejects": """
-        SELECT CASE WHEN value < 0.5 THEN 'not valid JSON' WHEN value < 1 THEN 'PROGRAM is missing'
+        SELECT CASE WHEN value < 0.25 THEN 'C_ISODATE is not a time' WHEN value < 0.5 THEN 'not valid JSON' WHEN value < 1 THEN 'PROGRAM is missing'
                     WHEN value < 1.5 THEN 'not a JSON object' ELSE 'HOST is missing' END AS reject_reason,
                count(*) AS n
         FROM ev WHERE value < 2 GROUP BY 1""",
     "ingest_counts": "SELECT count(*) FILTER (value >= 2) AS ingested, count(*) AS total FROM ev",
     "http_access_ingest": f"SELECT id, {_ACCESS_COLUMNS} FROM acc",
-    "http_error_ingest": f"SELECT id, {_ERROR_COLUMNS} FROM errs",
+    "http_error_ingest": f"SELECT id, {_ERROR_COLUMNS}, {_ERROR_RAW} AS raw FROM errs",
     "http_raw_record": f"""
         SELECT id, CASE WHEN bad THEN CAST(json_object('MESSAGE', {_ACCESS_LINE}) AS VARCHAR)
           ELSE rtrim(CAST(json_object('MESSAGE', {_ACCESS_LINE}) AS VARCHAR), '}}') || ',"enriched":{{'
@@ -166,7 +210,7 @@ _ORACLES: dict[str, str] = {
         SELECT vhost, vhost_port, country, count(*), 'error' FROM errs GROUP BY 1, 2, 3""",
     "display_syslog": "SELECT id, s_isodate AS time, host, program, message FROM sys",
     "tsv_rows": f"""
-        SELECT doc_id || chr(9) || source || chr(9) || lang || chr(9) || {_SQUASHED.format("text")} AS line
+        SELECT doc_id || chr(9) || '2024-01-01 00:00:00' || chr(9) || source || chr(9) || lang || chr(9) || {_SQUASHED.format("text")} AS line
         FROM documents""",
     "json_rows": """
         SELECT '{"MESSAGE":"' || m || '","enriched":{"http_error_client_ip":"' || client_ip
@@ -178,7 +222,18 @@ _ORACLES: dict[str, str] = {
                      '[' || strftime(ts, '%a %b %d %H:%M:%S.%f %Y') || '] [core:error] [pid ' || pid || ':tid 140' || event_id
                      || '] [client ' || client_ip || ':' || (1024 + event_id % 5000) || '] ' || code || ': ' || message AS m
               FROM errs WHERE code = 'AH00150')""",
-    "adhoc_sql": "SELECT s_isodate, message FROM sys WHERE program = 'sshd' AND host = 'web3'",
+    "adhoc_sql": """
+        SELECT host, CAST(r_isodate AS DATE) AS day, count(*) AS n, max(r_isodate) AS latest,
+               count(DISTINCT sourceip) AS senders
+        FROM sys WHERE facility = 'mail' GROUP BY 1, 2""",
+    "field_repeated_key": """
+        SELECT 'tag=view-7' AS field, id FROM sys WHERE tag = 'view-7'
+        UNION ALL SELECT 'tag!=view-7', id FROM sys WHERE tag <> 'view-7'
+        UNION ALL SELECT 'tag~^view-[12]', id FROM sys WHERE regexp_matches(tag, '^view-[12]')
+        UNION ALL SELECT 'tag!~^view', id FROM sys WHERE NOT regexp_matches(tag, '^view')
+        UNION ALL SELECT 'tag=~W-2', id FROM sys WHERE tag ILIKE '%W-2%'
+        UNION ALL SELECT 'tag>purchase-5', id FROM sys WHERE tag > 'purchase-5'
+        UNION ALL SELECT 'tag=old', id FROM sys WHERE tag = 'old'""",
     "search_http_status": "SELECT id, client_ip, status, request FROM acc WHERE status = 404 AND method = 'POST'",
     "search_program_like": "SELECT id, program, host FROM sys WHERE program LIKE 'sshd%' AND host = 'web3'",
     "search_message": "SELECT doc_id AS id, lang AS program FROM documents WHERE text ILIKE '%The_of%'",
@@ -264,6 +319,13 @@ _ORACLES: dict[str, str] = {
     "prune_store": f"""
         SELECT sid AS id, r_isodate, program FROM (SELECT *, {_STORE_IDS} FROM sys)
         WHERE r_isodate >= {_AS_OF} - INTERVAL '250 hours'""",
+    "prune_store_requests": f"""
+        SELECT id, r_isodate, req_isodate, gone FROM (
+          SELECT row_number() OVER (ORDER BY r_isodate, event_id) AS id, r_isodate, req_isodate,
+                 count(*) FILTER (req_isodate < {_AS_OF} - INTERVAL '12 days') OVER () AS gone FROM acc)
+        WHERE req_isodate IS NULL OR req_isodate >= {_AS_OF} - INTERVAL '12 days'""",
+    "store_replayed_batch": f"SELECT sid AS id, r_isodate, program FROM (SELECT *, {_STORE_IDS} FROM sys)",
+    "store_compacted": "SELECT r_isodate, host, pid, program, 1 AS folders FROM sys",
     "prune_dry_run": f"""
         SELECT count(*) FILTER (r_isodate < {_AS_OF} - INTERVAL '250 hours') AS would_delete FROM sys""",
     "reenrich_changed": f"""
@@ -281,16 +343,21 @@ _ORACLES: dict[str, str] = {
     "store_stats_window": f"""
         SELECT program AS key, count(*) AS "count" FROM sys WHERE {_since("r_isodate", "8 days")} GROUP BY 1""",
     "stream_syslog_ingest": """
-        SELECT program, CASE WHEN is_sshd THEN 'u' || user_id END AS ssh_user, count(*) AS n, count(*) AS ids,
-               max(r_isodate) AS latest
-        FROM sys GROUP BY 1, 2""",
+        SELECT r_isodate, host, program, pid, CASE WHEN is_sshd THEN 'u' || user_id END AS ssh_user, message FROM sys
+        UNION ALL
+        SELECT NULL, NULL, NULL, NULL, NULL,
+               CASE WHEN value < 0.25 THEN 'C_ISODATE is not a time' WHEN value < 0.5 THEN 'not valid JSON'
+                    WHEN value < 1 THEN 'PROGRAM is missing' WHEN value < 1.5 THEN 'not a JSON object'
+                    ELSE 'HOST is missing' END FROM ev WHERE value < 2""",
     "stream_http_ingest": """
-        SELECT vhost, vhost_port, status, method, count(*) AS n, count(*) AS ids,
-               CAST(sum(bytes) AS BIGINT) AS bytes
-        FROM acc GROUP BY 1, 2, 3, 4""",
+        SELECT req_isodate, vhost, vhost_port, client_ip, method, request, status, bytes, referrer, user_agent FROM acc""",
+    "stream_two_sets": """
+        SELECT req_isodate, CASE WHEN user_id % 4 < 2 THEN 'first.example.com' ELSE 'second.example.com' END AS vhost,
+               CAST(CASE WHEN user_id % 4 < 2 THEN 443 ELSE 8443 END AS INTEGER) AS vhost_port,
+               client_ip, method, request, status, bytes, referrer, user_agent, 1 AS rows_of_id FROM acc""",
     "stream_follow": f"""
-        SELECT sid AS id, s_isodate, host, program FROM (SELECT *, {_STORE_IDS} FROM sys)
-        WHERE r_isodate >= {_HALF} AND program = 'sshd' AND {_since("s_isodate", "9 days")}""",
+        SELECT sid AS id, s_isodate, host, program, 1 AS times FROM (SELECT *, {_STORE_IDS} FROM sys)
+        WHERE sid > 100 AND program = 'sshd' AND {_since("s_isodate", "25 days")}""",
 }
 
 

@@ -360,7 +360,12 @@ class LogStore:
             stored = promote.promote_fields(numbered, self._promotions(source_name))
             stored = stored.withColumns({"day": F.to_date("r_isodate"), "id_base": F.lit(base).cast("bigint")})
             stored = stored.select(*self.schema(source_name).names)
-            stored.write.mode("append").partitionBy("day", "id_base").parquet(self.data_path(source_name))
+            # Spark jobs must not share an output folder: one's commit clears the other's work
+            aside = f"{self._top(source_name)}/aside-{uuid.uuid4().hex}"
+            stored.write.partitionBy("day", "id_base").parquet(aside)
+            for name in self._folders(aside):
+                self._install(source_name, aside, name)
+            self._delete(aside)
             self._create(self._commit_path(source_name, base), {"base": base, "count": count})
         finally:
             self._delete(staging)
@@ -385,7 +390,7 @@ class LogStore:
             if day in set(days) and base not in open_
         ]
         rows.write.partitionBy("day", "id_base").parquet(aside)
-        new = ["/".join(p.split("/")[-2:]) for p in self._names(f"{aside}/day=*/id_base=*")]
+        new = self._folders(aside)
         note = f"{self._top(source_name)}/swaps/{swap}.json"
         self._put(note, {"aside": aside, "old": old, "new": new})
         self._finish(source_name, note)
@@ -401,16 +406,23 @@ class LogStore:
             if path not in targets:
                 self._delete(path)
         for name in swap["new"]:
-            fs, ready = self._fs(f"{swap['aside']}/{name}")
-            if fs.exists(ready):
-                _, target = self._fs(f"{data}/{name}")
-                fs.delete(target, True)
-                fs.mkdirs(target.getParent())
-                if not fs.rename(ready, target):
-                    raise OSError(f"could not rename {ready} to {target}")
+            self._install(source_name, swap["aside"], name)
         self._delete(note)
         self._delete(swap["aside"])
 
+    def _folders(self, aside: str) -> list[str]:
+        return ["/".join(p.split("/")[-2:]) for p in self._names(f"{aside}/day=*/id_base=*")]
+
+    def _install(self, source_name: str, aside: str, name: str) -> None:
+        """Put a folder written aside in its place; nothing is left to do if it is there already."""
+        fs, ready = self._fs(f"{aside}/{name}")
+        if fs.exists(ready):
+            _, target = self._fs(f"{self.data_path(source_name)}/{name}")
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            if not fs.rename(ready, target):
+                raise OSError(f"could not rename {ready} to {target}")
+
     def recover(self, source_name: str) -> None:
         """Finish exchanges that a lost driver had noted.
 

@@ -1,10 +1,12 @@
 import datetime as dt
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from cedarlog.operators.rules import SSHD, Field, Rule
+from cedarlog.sources import store as store_module
 from cedarlog.sources.store import LogStore
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -175,3 +177,119 @@ def test_reenrich_refreshes_promoted_fields(store):
     assert store.matching("syslog", field="ssh_user=u150").count() == 0
     store.reenrich(SSHD, everything=True)
     assert store.matching("syslog", field="ssh_user=u150").count() == 1
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "s"))
+    with ThreadPoolExecutor(2) as pool:
+        runs = [
+            pool.submit(store.append, "syslog", make_rows(spark, 0, 40, name), (name, n), ["r_isodate"])
+            for n in range(2)
+            for name in ("left", "right")
+        ]
+        for run in runs:
+            run.result()
+    rows = store.read("syslog")
+    assert sorted(ids(rows)) == list(range(1, 161))
+    assert {r.program: r["count"] for r in rows.groupBy("program").count().collect()} == {"left": 80, "right": 80}
+
+
+def test_a_repeat_on_another_day_replaces(spark, store):
+    late = make_rows(spark, 0, 30).withColumn("r_isodate", F.expr("r_isodate + interval 30 days"))
+    store.append("syslog", late, ("w", 0))
+    store.append("syslog", make_rows(spark, 0, 30), ("w", 0))
+    assert sorted(ids(store.read("syslog"))) == list(range(1, 231))
+    assert store.read("syslog").filter("r_isodate > timestamp'2024-02-01 00:00:00Z'").count() == 0
+
+
+def test_a_batch_has_one_receipt_time(store):
+    assert store.batch_time("http_access", ("w", 3)) == store.batch_time("http_access", ("w", 3))
+
+
+def test_a_batch_is_invisible_until_committed(spark, store, monkeypatch):
+    monkeypatch.setattr(store, "_create", lambda path, content: False if "/commits/" in path else LogStore._create(store, path, content))
+    store.append("syslog", make_rows(spark, 0, 10), ("w", 0))
+    assert store.read("syslog").count() == 200
+    monkeypatch.undo()
+    store.append("syslog", make_rows(spark, 0, 10), ("w", 0))
+    assert sorted(ids(store.read("syslog"))) == list(range(1, 211))
+
+
+def test_append_refuses_rows_without_receipt_time(spark, store):
+    bad = make_rows(spark, 0, 3).withColumn("r_isodate", F.expr("CASE WHEN host <> 'h0' THEN r_isodate END"))
+    with pytest.raises(Exception, match="no r_isodate"):
+        store.append("syslog", bad)
+    assert store.read("syslog").count() == 200
+
+
+@pytest.mark.parametrize("steps", [0, 1, 2])
+def test_a_lost_exchange_is_finished_later(spark, store, steps, monkeypatch):
+    """The driver dies after the note, or after some of the exchange's file operations."""
+    want = {r.id: r.raw for r in store.read("syslog").collect()}
+    done = [0]
+
+    def dying(path):
+        if done[0] == steps:
+            raise RuntimeError("lost")
+        done[0] += 1
+        LogStore._delete(store, path)
+
+    if steps:
+        monkeypatch.setattr(store, "_delete", dying)
+    else:
+        monkeypatch.setattr(store, "_finish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.prune("syslog", "77h", AS_OF)
+    fresh = LogStore(spark, store.root)
+    fresh.recover("syslog")
+    left = {r.id: r.raw for r in fresh.read("syslog").collect()}
+    assert len(left) == 77 + 1 and left.items() <= want.items()
+    assert fresh._names(f"{store.root}/syslog/swaps/*") == fresh._names(f"{store.root}/syslog/aside-*") == []
+
+
+def test_compact(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "s"))
+    for n in range(4):
+        store.append("syslog", make_rows(spark, 0, 60, f"p{n}"), ("w", n), ["r_isodate"])
+    want = sorted((r.id, r.raw) for r in store.read("syslog").collect())
+    days = [str(r.day) for r in store.read("syslog").select("day").distinct().collect()]
+    for day in days:
+        store.compact("syslog", day)
+    assert sorted((r.id, r.raw) for r in store.read("syslog").collect()) == want
+    assert len(store._partition_dirs("syslog")) == len(days)
+    assert ids(store.newest("syslog", 7, first_step=5)) == list(range(240, 233, -1))
+    assert ids(store.newest("syslog", 7, asc=True, first_step=5)) == list(range(1, 8))
+    assert ids(store.after("syslog", 100)) == list(range(101, 241))
+    assert sorted(ids(store.in_batches("syslog", [(60, 60), (180, 60)]))) == [*range(61, 121), *range(181, 241)]
+    store.append("syslog", make_rows(spark, 0, 5), ("w", 4), ["r_isodate"])
+    assert ids(store.newest("syslog", 6, first_step=2)) == [245, 244, 243, 242, 241, 240]
+
+
+def test_reenrich_reads_only_its_days(spark, store, monkeypatch):
+    seen = []
+    run = store_module.maintenance.reenrich
+    monkeypatch.setattr(store_module.maintenance, "reenrich", lambda df, *a: (seen.append(df), run(df, *a))[1])
+    store.reenrich(SSHD, since="30h", as_of=AS_OF, dry_run=True)
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_promotion_goes_on_where_it_stopped(spark, store, monkeypatch):
+    exchange, done = store._exchange, []
+
+    def dying(source_name, days, rows):
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        done.append(days)
+        exchange(source_name, days, rows)
+
+    monkeypatch.setattr(store, "_exchange", dying)
+    with pytest.raises(RuntimeError):
+        store.promote("syslog", ["k"])
+    monkeypatch.undo()
+    assert store.promoted("syslog") == []
+    assert store.matching("syslog", field="k>7").count() == 40
+    store.fill("syslog")
+    assert store.promoted("syslog") == ["k"]
+    assert store.read("syslog").filter("field_k_text IS NULL").count() == 0
+    assert store.matching("syslog", field="k>7").count() == 40

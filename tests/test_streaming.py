@@ -57,6 +57,26 @@ def test_follow_store(spark, tmp_path):
     assert seen == [[6, 9], [13, 16, 19]]
 
 
+def test_follow_shows_each_row_once(spark, tmp_path):
+    """Days of a batch, rewrites and restarts in between do not matter."""
+    store = LogStore(spark, str(tmp_path / "store"))
+    seen = []
+
+    def run():
+        follow(
+            store, "syslog", lambda rows, _: seen.extend(r.id for r in rows.collect()), str(tmp_path / "cp"),
+            available_now=True,
+        ).awaitTermination()
+
+    for n in range(3):
+        store.append("syslog", make_rows(spark, 0, 60), ("w", n), order_by=["r_isodate"])
+        run()
+        store.reenrich(SSHD, everything=True)
+        store.compact("syslog", "2024-01-30")
+        run()
+    assert sorted(seen) == list(range(1, 181))
+
+
 def test_last_line_end(tmp_path):
     path = tmp_path / "f"
     path.write_bytes(b"one\ntwo\npart")

@@ -29,23 +29,35 @@ from cedarlog.session import materialize
 
 FOLDS = 3
 STEPS = 8
-PREFIX = 4
+#: Bytes of the word beginnings that are features beside the words.
+PREFIXES = (4, 6, 8)
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hashes, n + 1 bounds): the distinct words and word beginnings of each text."""
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature hashes, how often, n + 1 bounds): the words and word beginnings of each text."""
     data, bounds = W.text_bytes(texts)
     first, length, hashes = W.words(data, bounds)
     at = W.word_bounds(first, bounds)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
-    long = np.flatnonzero(length > PREFIX)
-    start = np.zeros(len(long), np.uint64)
-    for k in range(PREFIX):
-        start = start << np.uint64(8) | W.LOWER[data[first[long] + k]].astype(np.uint64)
-    values = np.concatenate([hashes, W.mix64(start + np.uint64(1 << 40))])
-    owner = np.concatenate([text, text[long]])
-    order = np.argsort(owner, kind="stable")
-    return W.sorted_sets(values[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(bounds) - 1))]))
+    values, owner = [hashes], [text]
+    for size in PREFIXES:
+        long = np.flatnonzero(length > size)
+        start = np.full(len(long), size, np.uint64)
+        for k in range(size):
+            start = W.mix64(start << np.uint64(8) | W.LOWER[data[first[long] + k]].astype(np.uint64))
+        values.append(start)
+        owner.append(text[long])
+    of, value = np.concatenate(owner), np.concatenate(values)
+    order = np.argsort(of, kind="stable")
+    of, value = of[order], value[order]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(bounds) - 1))])
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        value[lo:hi].sort()
+    head = np.ones(len(value), bool)
+    head[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+    starts = np.flatnonzero(head)
+    many = np.diff(np.append(starts, len(value)))
+    return value[starts], many, np.concatenate([[0], np.cumsum(np.bincount(of[starts], minlength=len(bounds) - 1))])
 
 
 def _slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -57,12 +69,19 @@ def _slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator
         at += take
 
 
-def _presence(values: np.ndarray, bounds: np.ndarray, chosen: np.ndarray) -> list[np.ndarray]:
-    """Which of the ``chosen`` (ascending) features each text has."""
+Active = list[tuple[np.ndarray, np.ndarray]]
+
+
+def _active(features: tuple[np.ndarray, np.ndarray, np.ndarray], chosen: np.ndarray) -> Active:
+    """Which of the ``chosen`` (ascending) features each text has, and the logarithm of how often."""
+    values, many, bounds = features
+    if len(bounds) < 2:
+        return []
     k = np.searchsorted(chosen, values)
     hit = chosen[np.minimum(k, len(chosen) - 1)] == values if len(chosen) else np.zeros(len(values), bool)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[hit]
-    return np.split(k[hit], np.cumsum(np.bincount(text, minlength=len(bounds) - 1))[:-1]) if len(bounds) > 1 else []
+    cuts = np.cumsum(np.bincount(text, minlength=len(bounds) - 1))[:-1]
+    return list(zip(np.split(k[hit], cuts), np.split(np.log2(1.0 + many[hit]), cuts), strict=True))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -77,15 +96,15 @@ class Link:
     models: list[np.ndarray]
 
 
-def _design(active: list[np.ndarray], total: int, link_columns: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
+def _design(active: Active, total: int, link_columns: np.ndarray, odds: list[np.ndarray]) -> np.ndarray:
     x = np.zeros((len(active), total))
-    rows = np.repeat(np.arange(len(active)), [len(a) for a in active])
+    rows = np.repeat(np.arange(len(active)), [len(k) for k, _ in active])
     if len(rows):
-        x[rows, np.concatenate(active)] = 1
+        x[rows, np.concatenate([k for k, _ in active])] = np.concatenate([v for _, v in active])
     return np.column_stack([x[:, link_columns], *odds, np.ones(len(active))])
 
 
-def chain_odds(active: list[np.ndarray], total: int, chain: list[Link], folds: np.ndarray | None = None) -> list[np.ndarray]:
+def chain_odds(active: Active, total: int, chain: list[Link], folds: np.ndarray | None = None) -> list[np.ndarray]:
     """Log odds of each category; with ``folds``, each row by the models that left its fold out."""
     odds: list[np.ndarray] = []
     for link in chain:
@@ -107,7 +126,7 @@ class ToxicityChain:
         """(n, categories)."""
         if not self.links:
             return np.full((len(texts), len(self.categories)), 0.5)
-        active = _presence(*text_features(texts), self.chosen)
+        active = _active(text_features(texts), self.chosen)
         return np.stack([_sigmoid(o) for o in chain_odds(active, len(self.chosen), self.links)], axis=1)
 
 
@@ -117,7 +136,7 @@ def _counts(n_labels: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0, 16 << 20):
-                values, bounds = text_features(part.column(0))
+                values, _, bounds = text_features(part.column(0))
                 labels = np.stack([part.column(2 + k).to_numpy() for k in range(n_labels)], axis=1)
                 row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
                 found, place, n = np.unique(values, return_inverse=True, return_counts=True)
@@ -127,7 +146,7 @@ def _counts(n_labels: int):
     return count
 
 
-def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", features: int = 200, least_rows: int = 3, ridge: float = 1.0, max_training_rows: int = 200_000) -> ToxicityChain:
+def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text", features: int = 250, least_rows: int = 3, ridge: float = 0.3, max_training_rows: int = 200_000) -> ToxicityChain:
     """Fit the chain in the order of ``categories``, which are 0/1 columns of ``labels``.
 
     At most ``max_training_rows`` labelled ids are used, those with the smallest hashes,
@@ -155,10 +174,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     def activate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch, 0):
-                active = _presence(*text_features(part.column(0)), chosen)
-                yield pa.RecordBatch.from_arrays([pa.array([a.tolist() for a in active], pa.list_(pa.int64())), *part.columns[1:]], names=["active", *part.schema.names[1:]])
+                active = _active(text_features(part.column(0)), chosen)
+                lists = [pa.array([a[k].tolist() for a in active], pa.list_(t)) for k, t in ((0, pa.int64()), (1, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*lists, *part.columns[1:]], names=["active", "often", *part.schema.names[1:]])
 
-    train = materialize(joined.mapInArrow(activate, f"active array<long>, fold int, {', '.join(f'{y} double' for y in ys)}"), "toxicity-training")
+    train = materialize(joined.mapInArrow(activate, f"active array<long>, often array<double>, fold int, {', '.join(f'{y} double' for y in ys)}"), "toxicity-training")
     links: list[Link] = []
     for k, own in enumerate(picked):
         columns = np.searchsorted(chosen, np.array(own, np.int64).view(np.uint64))
@@ -169,8 +189,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
             def equations(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
                 for lo in range(0, batch.num_rows, 2000):
                     part = batch.slice(lo, 2000)
-                    active = [np.array(a, np.int64) for a in part.column(0).to_pylist()]
-                    folds, y = part.column(1).to_numpy(), part.column(2 + k).to_numpy()  # noqa: B023
+                    pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                    active = [(np.array(a, np.int64), np.array(v, np.float64)) for a, v in pairs]
+                    folds, y = part.column(2).to_numpy(), part.column(3 + k).to_numpy()  # noqa: B023
                     odds = chain_odds(active, len(chosen), links, folds)
                     x = _design(active, len(chosen), columns, odds)  # noqa: B023
                     for m, beta in enumerate(models):  # noqa: B023

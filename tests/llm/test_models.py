@@ -118,15 +118,16 @@ def test_toxicity_chain(labelled):
 
 def test_chain_trains_on_probabilities_of_other_folds():
     link = toxicity.Link(np.array([0]), [np.array([1.0, 0]), np.array([2.0, 0]), np.array([5.0, 0])])
-    active = [np.array([0]), np.array([0])]
+    active = [(np.array([0]), np.array([1.0]))] * 2
     assert toxicity.chain_odds(active, 1, [link], np.array([0, 1]))[0].tolist() == [1.0, 2.0]
     assert toxicity.chain_odds(active, 1, [link])[0].tolist() == [5.0, 5.0]
 
 
 def test_text_features_are_words_and_beginnings():
-    values, bounds = toxicity.text_features(pa.array(["Worthless", "worthy worth", None, "worthless worthless"]))
+    values, many, bounds = toxicity.text_features(pa.array(["Worthless", "worthy worth", None, "worthless worthless"]))
     sets = [set(values[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
-    assert [len(s) for s in sets] == [2, 3, 0, 2]
+    assert [len(s) for s in sets] == [4, 3, 0, 4]
+    assert many.tolist() == [1] * 4 + many[4:7].tolist() + [2] * 4 and sorted(many[4:7]) == [1, 1, 2]
     assert sets[0] == sets[3]
     assert len(sets[0] & sets[1]) == 1
 

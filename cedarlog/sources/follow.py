@@ -2,8 +2,10 @@
 
 The built-in file source reads each file once and misses what is appended later.
 This one keeps, per file, its inode and the byte offset read so far. The same
-file, no shorter than before, goes on from there; a rotated or truncated one
-starts over. Only lines that end in a newline are taken.
+file, no shorter than before, goes on from there; a truncated one starts over. After
+a rotation the old file's rest is read first, under whatever name it has in the
+folder by then, and the new file from its beginning. Bytes come through unchanged,
+also where they are not UTF-8. Only lines that end in a newline are taken.
 
     spark.dataSource.register(LogFollowSource)
     spark.readStream.format("logfollow").option("path", "/var/log/apache2/*-access.log").load()
@@ -18,6 +20,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -31,9 +34,10 @@ _BACKWARD_STEP = 64 * 1024
 
 @dataclass
 class FileSlice(InputPartition):
-    """The lines of one file that begin within ``[start, end)``."""
+    """The lines of one file that begin within ``[start, end)``; ``inode`` tells the file whatever its name."""
 
     path: str
+    inode: int
     start: int
     end: int
     stop: int
@@ -60,6 +64,22 @@ def resume_offset(known: dict | None, inode: int, size: int) -> int | None:
     return known["offset"] if known["inode"] == inode and size >= known["offset"] else 0
 
 
+def find_inode(path: str, inode: int) -> str | None:
+    """The name that a file of the folder of ``path`` has now: its own, or the one it was rotated to."""
+    folder = os.path.dirname(path) or "."
+    try:
+        names = [path, *sorted(entry.path for entry in os.scandir(folder))]
+    except OSError:
+        names = [path]
+    for name in names:
+        try:
+            if os.stat(name).st_ino == inode:
+                return name
+        except OSError:
+            continue
+    return None
+
+
 class LogFollowReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         # Option names arrive in lower case from a query.
@@ -103,9 +123,23 @@ class LogFollowReader(DataSourceStreamReader):
             except OSError:
                 continue
             out[path] = {"inode": st.st_ino, "offset": end}
+            before = known.get(path)
+            if before and before["inode"] != st.st_ino and (rest := self._rest(path, before)):
+                out[path]["rest"] = rest
         self._known = out
         return out
 
+    def _rest(self, path: str, before: dict) -> dict | None:
+        """What a rotated file still has past the offset read so far."""
+        name = find_inode(path, before["inode"])
+        if name is None:
+            return None  # deleted: its rest cannot be read any more
+        try:
+            end = last_line_end(name, os.stat(name).st_size, before["offset"])
+        except OSError:
+            return None
+        return {"inode": before["inode"], "start": before["offset"], "end": end} if end > before["offset"] else None
+
     def partitions(self, start: dict, end: dict) -> list[FileSlice]:
         # A file can drop out of the offsets over a restart while it is away.
         self._past.update(start)
@@ -116,21 +150,33 @@ class LogFollowReader(DataSourceStreamReader):
                 begin = 0 if self.later == "earliest" else target["offset"]
             else:
                 begin = resume_offset(known, target["inode"], target["offset"])
+            rest = target.get("rest")
+            if rest and known and known["inode"] == rest["inode"]:
+                for low in range(known["offset"], rest["end"], self.chunk):
+                    slices.append(FileSlice(path, rest["inode"], low, min(low + self.chunk, rest["end"]), rest["end"]))
             for low in range(begin, target["offset"], self.chunk):
-                slices.append(FileSlice(path, low, min(low + self.chunk, target["offset"]), target["offset"]))
+                high = min(low + self.chunk, target["offset"])
+                slices.append(FileSlice(path, target["inode"], low, high, target["offset"]))
         return slices
 
     def read(self, partition: FileSlice) -> Iterator[pa.RecordBatch]:
         """A line belongs to the slice its first byte is in."""
-        lines: list[str] = []
+        lines: list[bytes] = []
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"value": lines, "path": [partition.path] * len(lines)})
-
-        try:
-            handle = open(partition.path, "rb")
-        except OSError:
-            return
+            ends = np.cumsum([0, *map(len, lines)]).astype(np.int32)
+            buffers = [None, pa.py_buffer(ends), pa.py_buffer(b"".join(lines))]
+            value = pa.Array.from_buffers(pa.string(), len(lines), buffers)  # bytes that are not UTF-8 stay as they are
+            return pa.RecordBatch.from_arrays([value, pa.array([partition.path] * len(lines))], names=["value", "path"])
+
+        while True:
+            name = find_inode(partition.path, partition.inode)
+            if name is None:
+                raise FileNotFoundError(f"{partition.path} was to be read up to byte {partition.end}, but is gone")
+            handle = open(name, "rb")
+            if os.fstat(handle.fileno()).st_ino == partition.inode:
+                break
+            handle.close()  # rotated just now: look again
         with handle:
             at = partition.start
             handle.seek(max(at - 1, 0))
@@ -141,7 +187,7 @@ class LogFollowReader(DataSourceStreamReader):
                 if not line.endswith(b"\n"):
                     break
                 at += len(line)
-                lines.append(line[:-1].decode("utf-8", "replace"))
+                lines.append(line[:-1])
                 if len(lines) == _BATCH_LINES:
                     yield batch()
                     lines.clear()

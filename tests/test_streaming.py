@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cedarlog.operators.geo import prepare_ranges
@@ -139,6 +140,37 @@ def test_offsets_over_growth_rotation_and_truncation(tmp_path):
     assert step() == []
 
 
+def test_rotation_loses_no_line(tmp_path):
+    path = tmp_path / "f.log"
+    path.write_text("one\n")
+    reader = LogFollowReader({"path": str(tmp_path / "*.log"), "startingOffset": "earliest"})
+    at = reader.initialOffset()
+    assert at[str(path)]["offset"] == 0
+    end = reader.latestOffset()
+    # between planning and reading: more lines, then a rotation
+    with open(path, "a") as handle:
+        handle.write("two\n")
+    os.rename(path, tmp_path / "f.log.1")
+    path.write_text("three\n")
+    assert read_all(reader, at, end) == ["one"]
+    later = reader.latestOffset()
+    assert read_all(reader, end, later) == ["two", "three"]
+    os.remove(tmp_path / "f.log.1")
+    with pytest.raises(FileNotFoundError):
+        read_all(reader, end, later)
+
+
+def test_damaged_bytes_reach_the_reject(spark, tmp_path):
+    spark.dataSource.register(LogFollowSource)
+    (tmp_path / "f.log").write_bytes(b"\xff\xfe{}\n")
+    lines = spark.readStream.format("logfollow").options(path=str(tmp_path / "*.log"), startingOffset="earliest").load()
+    store = LogStore(spark, str(tmp_path / "store"))
+    query = stream_syslog(lines, store, str(tmp_path / "cp"), rejects_path=str(tmp_path / "rejects"))
+    query.processAllAvailable()
+    query.stop()
+    assert [r.reject_reason for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["not valid UTF-8"]
+
+
 def test_web_logs_follow_growing_files(spark, tmp_path):
     spark.dataSource.register(LogFollowSource)
     logs = tmp_path / "logs"

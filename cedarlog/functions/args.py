@@ -23,7 +23,7 @@ def parse_duration(text: str | int) -> dt.timedelta:
     """``90`` and ``90d`` are days; ``s m h d w`` in either case are units."""
     found = _DURATION.fullmatch(str(text))
     if not found:
-        raise ValueError(f"{text!r} is not a duration such as 90d, 24h, 30m, 60s, 2w or a number of days")
+        raise ValueError(f"cannot read {text!r} as a time span: digits, then s, m, h, d or w (d if left out)")
     amount, unit = found.groups()
     return dt.timedelta(**{_UNITS[(unit or "d").lower()]: int(amount)})
 
@@ -32,7 +32,7 @@ def parse_field(text: str) -> FieldFilter:
     """Split ``key<op>value``; the first operator after the key counts."""
     found = _FIELD.fullmatch(text)
     if not found:
-        raise ValueError(f"field must be key<op>value with op one of = != <> > < >= <= ~ !~ =~, got {text!r}")
+        raise ValueError(f"no field test in {text!r}: write a key, a comparison (= != <> > < >= <= ~ !~ =~), a value")
     return FieldFilter(*found.groups())
 
 

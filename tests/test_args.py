@@ -10,12 +10,12 @@ from cedarlog.functions.args import like_pattern, looks_numeric, parse_duration,
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("90", dt.timedelta(days=90)),
-        ("90d", dt.timedelta(days=90)),
-        ("24h", dt.timedelta(hours=24)),
-        ("30m", dt.timedelta(minutes=30)),
-        ("60 s", dt.timedelta(seconds=60)),
-        ("2W", dt.timedelta(weeks=2)),
+        ("12", dt.timedelta(days=12)),
+        ("45d", dt.timedelta(days=45)),
+        ("7h", dt.timedelta(hours=7)),
+        ("55m", dt.timedelta(minutes=55)),
+        ("19 s", dt.timedelta(seconds=19)),
+        ("3W", dt.timedelta(weeks=3)),
     ],
 )
 def test_duration(text, want):
@@ -31,9 +31,9 @@ def test_bad_duration(text):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("ssh_src_ip=1.2.3.4", ("ssh_src_ip", "=", "1.2.3.4")),
-        ("code!=AH00128", ("code", "!=", "AH00128")),
-        ("n >= 400", ("n", ">=", "400")),
+        ("peer=198.51.100.7", ("peer", "=", "198.51.100.7")),
+        ("mark!=ZX9", ("mark", "!=", "ZX9")),
+        ("load >= 17", ("load", ">=", "17")),
         ("k==x", ("k", "=", "=x")),
         ("a.b<>", ("a.b", "<>", "")),
         ("u=~/admin\nx", ("u", "=~", "/admin\nx")),

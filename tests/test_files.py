@@ -15,13 +15,13 @@ def vhost(spark, web_set, path):
 @pytest.mark.parametrize(
     ("web_set", "path", "want"),
     [
-        (WebSet("s", "/var/log/apache2/*/access.log"), "/var/log/apache2/www.example.com/access.log", ("www.example.com", None)),
-        (WebSet("s", "/var/log/apache2/*-access.log"), "/var/log/apache2/www.example.com:443-access.log", ("www.example.com", 443)),
-        (WebSet("s", "/var/log/*/access.log", vhost_port=80), "/var/log/a.b/access.log", ("a.b", 80)),
+        (WebSet("s", "/srv/web/*/hits.log"), "/srv/web/shop.test/hits.log", ("shop.test", None)),
+        (WebSet("s", "/srv/web/*-hits.log"), "/srv/web/shop.test:8443-hits.log", ("shop.test", 8443)),
+        (WebSet("s", "/srv/*/hits.log", vhost_port=81), "/srv/c.d/hits.log", ("c.d", 81)),
         (WebSet("s", "/l/*/a.log", vhost="v", vhost_port=8443), "/l/x:1/a.log", ("v", 8443)),
-        (WebSet("thename", "/var/log/messages"), "/var/log/messages", ("thename", None)),
-        (WebSet("thename", "/l/*.log"), "/l/.log", ("thename", None)),
-        (WebSet("thename", "/l/*.log"), "/other/x.log", ("thename", None)),
+        (WebSet("intranet", "/srv/all.log"), "/srv/all.log", ("intranet", None)),
+        (WebSet("intranet", "/l/*.log"), "/l/.log", ("intranet", None)),
+        (WebSet("intranet", "/l/*.log"), "/other/x.log", ("intranet", None)),
         (WebSet("s", "/l/v?+[1]/*"), "/l/v7+[1]/x", ("7x", None)),
     ],
 )
@@ -30,7 +30,7 @@ def test_vhost(spark, web_set, path, want):
 
 
 def test_captures_are_joined(spark):
-    assert spark.range(1).select(glob_text(F.lit("/var/log/foo/bar.log"), "/var/log/*/*.log")).first()[0] == "foobar"
+    assert spark.range(1).select(glob_text(F.lit("/srv/logs/alpha/beta.log"), "/srv/logs/*/*.log")).first()[0] == "alphabeta"
     assert spark.range(1).select(glob_text(F.lit("/a"), None)).first()[0] is None
 
 

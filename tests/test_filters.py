@@ -32,6 +32,9 @@ ODD = {
     22: '{"enriched":"k"}',
     23: "not json",
     24: '{"enriched":{"k":-0.0}}',
+    25: '{"enriched":{"k":0.0000000000000000001}}',
+    26: '{"enriched":{"k":100000000000000000001}}',
+    27: '{"enriched":{"k":100000000000000000000}}',
 }
 
 
@@ -52,17 +55,21 @@ CASES = [
     ("k=9007199254740992", set()),
     ('k=it\'s "q" é\n', {14}),
     ("k.x=admin", {13}),
-    ("k!=44444", {3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 21, 22, 23, 24}),
+    ("k!=44444", {3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 21, 22, 23, 24, 25, 26, 27}),
     ("k<>admin", {*VALUES, *ODD} - {9, 21}),
     ("k~^4+", {1, 2, 3, 12, 20}),
-    ("k!~^4+", {7, 8, 9, 10, 11, 14, 15, 16, 21, 24}),
+    ("k!~^4+", {7, 8, 9, 10, 11, 14, 15, 16, 21, 24, 25, 26, 27}),
     ("k=~ADM", {9, 21}),
-    ("k>400", {2, 3, 12, 15, 16, 20}),
-    ("k>=44444", {2, 3, 15, 16, 20}),
-    ("k<400.5", {24}),
-    ("k<=400.5", {12, 24}),
-    ("k>9007199254740992", {15, 16}),
+    ("k>400", {2, 3, 12, 15, 16, 20, 26, 27}),
+    ("k>=44444", {2, 3, 15, 16, 20, 26, 27}),
+    ("k<400.5", {24, 25}),
+    ("k<=400.5", {12, 24, 25}),
+    ("k>9007199254740992", {15, 16, 26, 27}),
     ("k>zzz", {8, 11}),
+    ("k>0", {2, 3, 12, 15, 16, 20, 25, 26, 27}),
+    ("k<0.00000000000000000020", {24, 25}),
+    ("k>100000000000000000000", {15, 26}),
+    ("k>=100000000000000000000", {15, 26, 27}),
 ]
 
 

@@ -116,6 +116,53 @@ def is_ip(value: Column) -> Column:
     return is_ipv4(value) | (value.contains(":") & (full | short))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once and written into the plan once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _hex_groups(v: Column) -> Column:
+    """A dotted tail of an IPv6 address as two groups."""
+    byte = [F.regexp_extract(v, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)\z", k).try_cast("bigint") for k in range(1, 5)]
+    pair = [F.lower(F.hex(byte[k] * 256 + byte[k + 1])) for k in (0, 2)]
+    tail = F.concat(F.regexp_replace(v, r"[0-9.]+\z", ""), pair[0], F.lit(":"), pair[1])
+    return F.when(v.contains("."), tail).otherwise(v)
+
+
+def _all_groups(halves: Column) -> Column:
+    """Eight groups without leading zeros, each between colons."""
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, k), F.lit("")), ":"), lambda x: x != "") for k in (0, 1))
+    known = F.size(F.filter(F.split(F.array_join(halves, ":"), ":"), lambda x: x != ""))
+    filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0))), right)
+    groups = F.transform(filled, lambda x: F.regexp_replace(x, r"\A0+(?=.)", ""))
+    return F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+
+
+def canonical_ip(value: Column) -> Column:
+    """One spelling for each address: small letters, no leading zeros, the first longest run of zero groups as ``::``.
+
+    Only for text that :func:`is_ip` accepts; IPv4 stays as it is.
+    """
+
+    def shortened(text: Column) -> Column:
+        runs = F.array(*(F.lit(":" + "0:" * n) for n in range(8, 1, -1)))
+        longest = F.get(F.filter(runs, lambda zeros: text.contains(zeros)), 0)
+        parts = _let(longest, lambda zeros: _let(F.instr(text, zeros), lambda at: F.struct(at.alias("at"), zeros.alias("zeros"))))
+        return _let(
+            parts,
+            lambda p: F.when(p["zeros"].isNull(), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(
+                F.concat(
+                    F.substring(text, F.lit(2), F.greatest(p["at"] - 2, F.lit(0))),
+                    F.lit("::"),
+                    F.substring(text, p["at"] + F.length(p["zeros"]), F.greatest(F.length(text) - p["at"] - F.length(p["zeros"]), F.lit(0))),
+                )
+            ),
+        )
+
+    whole = _let(F.lower(value), lambda v: _let(F.split(_hex_groups(v), "::"), lambda h: _let(_all_groups(h), shortened)))
+    return F.when(value.contains(":"), whole).otherwise(value)
+
+
 def ipv4_number(value: Column) -> Column:
     """The address as a number, NULL for anything but IPv4."""
     part = F.split(value, r"\.")

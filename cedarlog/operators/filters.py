@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions import records
 from cedarlog.functions.args import FieldFilter, like_pattern, looks_numeric, parse_duration, parse_field
+from cedarlog.functions.text import canonical_ip, is_ip
 from cedarlog.operators import promote
 from cedarlog.schemas import Source, source, time_column
 
 # Columns whose filter takes % as a wildcard.
 WILDCARD_COLUMNS = ("program", "host")
 
+# Columns that hold addresses, each in its one spelling.
+ADDRESS_COLUMNS = ("client_ip",)
+
 _COMPARE = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 
 
@@ -34,6 +38,8 @@ def column_filter(src: Source, name: str, value: str) -> Column:
         return column == F.lit(int(value))
     if name in WILDCARD_COLUMNS and "%" in value:
         return column.like(like_pattern(value))
+    if name in ADDRESS_COLUMNS:
+        return column == F.when(is_ip(F.lit(value)), canonical_ip(F.lit(value))).otherwise(F.lit(value))
     return column == F.lit(value)
 
 

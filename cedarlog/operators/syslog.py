@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
-from cedarlog.functions.text import digits_to, is_blank, is_ip
+from cedarlog.functions.text import canonical_ip, digits_to, is_blank, is_ip
 from cedarlog.operators import rules as rule_ops
 from cedarlog.schemas import SYSLOG_REQUIRED
 
@@ -85,7 +85,10 @@ def parse_syslog(lines: DataFrame, line: str = "value", keep: Sequence[str] = ()
         *(_moment(F.col(f"__record.{k}")).alias(k.lower()) for k in SYSLOG_REQUIRED[:3]),
         *(F.col(f"__record.{k}").alias(k.lower()) for k in ("FACILITY", "HOST", "HOST_FROM")),
         digits_to(F.col("__record.PID"), "bigint").alias("pid"),
-        *(F.col(f"__record.{k}").alias(k.lower()) for k in ("PRIORITY", "PROGRAM", "SOURCEIP")),
+        *(F.col(f"__record.{k}").alias(k.lower()) for k in ("PRIORITY", "PROGRAM")),
+        F.when(is_ip(F.col("__record.SOURCEIP")), canonical_ip(F.col("__record.SOURCEIP")))
+        .otherwise(F.col("__record.SOURCEIP"))
+        .alias("sourceip"),
         F.when(reason.isNull() & _has_repeated_key(text), records.canonical(text)).otherwise(text).alias("raw"),
         "reject_reason",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cedarlog.functions.once import with_once
-from cedarlog.functions.text import access_time, capture, digits_to, empty_to_null, error_time, is_blank, is_ip
+from cedarlog.functions.text import access_time, canonical_ip, capture, digits_to, empty_to_null, error_time, is_blank, is_ip
 from cedarlog.operators.rules import Field, Rule, with_fields
 from cedarlog.schemas import HTTP_ACCESS, HTTP_ERROR
 
@@ -138,7 +138,7 @@ def _received(value) -> Column:
 
 def _address(value: Column) -> Column:
     bare = F.regexp_replace(value, r"\A\[|\]\z", "")
-    return F.when(is_ip(bare), bare)
+    return F.when(is_ip(bare), canonical_ip(bare))
 
 
 def parse_http_access(

@@ -1,9 +1,12 @@
+import ipaddress
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from cedarlog.functions.text import access_time, error_time
+from cedarlog.functions.text import access_time, canonical_ip, error_time, is_ip
+from cedarlog.operators.filters import build_filter
 from cedarlog.operators.geo import geoip_join
 from cedarlog.operators.weblogs import parse_http_access, parse_http_error
 from cedarlog.plans.fixtures import raw_ranges
@@ -153,3 +156,24 @@ def test_values_of_any_width_are_kept(lines):
     row = parse_http_access(lines(line), host, "v" * 300).first()
     assert (row.host, row.vhost, row.auth, row.method) == (host, "v" * 300, auth, method)
     assert row.r_isodate is not None
+
+
+def test_one_spelling_for_each_address(spark):
+    rng = random.Random(4)
+    cases = ["::", "::1", "0:0:0:0:0:0:0:1", "2001:DB8::0:1", "1::", "1:0:0:2:0:0:0:3", "1:2:3:4:5:6:7:0", "fe80::00ab", "10.0.0.1"]
+    for _ in range(300):
+        groups = [rng.choice(["0", "0", "0000", "00a", "BEEF", "1"]) for _ in range(8)]
+        cases.append(":".join(groups))
+    frame = spark.createDataFrame([(c,) for c in cases], "value string").where(is_ip(F.col("value")))
+    got = {r[0]: r[1] for r in frame.select("value", canonical_ip(F.col("value"))).collect()}
+    assert len(got) == len(set(cases))
+    assert got == {c: str(ipaddress.ip_address(":".join(f"{int(g, 16):x}" for g in c.split(":")) if c.count(":") == 7 and "::" not in c else c)) for c in set(cases)}
+    mapped = spark.createDataFrame([("::ffff:10.0.0.1",), ("0:0::FFFF:a00:1",)], "value string")
+    assert len({r[0] for r in mapped.select(canonical_ip(F.col("value"))).collect()}) == 1
+
+
+def test_addresses_match_in_any_spelling(lines):
+    line = '2001:DB8:0:0::9 - - [21/Jan/2025:05:06:07 +0000] "GET / HTTP/1.1" 200 5'
+    rows = parse_http_access(lines(line), *TAGS)
+    assert rows.first().client_ip == "2001:db8::9"
+    assert rows.filter(build_filter("http_access", client_ip="2001:0db8::0:9")).count() == 1

@@ -42,7 +42,11 @@ HAS_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
 def simhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The majority of each bit over the words of each part; parts are not empty."""
+    """The majority of each bit over the distinct words of each part; parts are not empty.
+
+    Each word counts once: by their counts, long texts of one language are all alike.
+    """
+    hashes, bounds = W.sorted_sets(hashes, bounds)
     out = np.zeros(len(bounds) - 1, np.uint64)
     at = 0
     while at < len(out):
@@ -102,21 +106,35 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(sim)], names=["hub", "sim"])
 
     def settle(bucket: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        near = np.zeros(len(sim), bool)
         at = np.flatnonzero(bucket[1:] == bucket[:-1])
         first = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
         size = np.diff(np.append(first, len(bucket)))
-        near[np.repeat(size > NEIGHBOURS, size)] = True
+        long = np.repeat(size > NEIGHBOURS, size)
+        hub = np.repeat(first, size)
+        hub[~long] = np.flatnonzero(~long)
         unsigned = sim.view(np.uint64)
+        xs, ys = [], []
         for d in range(1, NEIGHBOURS):
             at = at[at + d < len(bucket)]
-            at = at[bucket[at] == bucket[at + d]]
+            at = at[(bucket[at] == bucket[np.minimum(at + d, len(bucket) - 1)]) & ~long[at]]
             if not len(at):
                 break
             pair = at[np.bitwise_count(unsigned[at] ^ unsigned[at + d]) <= MAX_BITS]
-            near[pair] = near[pair + d] = True
-        hub = np.repeat(sim[first], size)
-        return out(hub[near], sim[near])
+            xs.append(pair)
+            ys.append(pair + d)
+        near = long
+        if xs:
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            near = long.copy()
+            near[x] = near[y] = True
+            # the hub of a short bucket's member is the first of those it is near to, directly or through others
+            while True:
+                low = np.minimum(hub[x], hub[y])
+                if (low == hub[x]).all() and (low == hub[y]).all():
+                    break
+                np.minimum.at(hub, x, low)
+                np.minimum.at(hub, y, low)
+        return out(sim[hub[near]], sim[near])
 
     held_b, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
     long_bucket: tuple[int, int] | None = None  # bucket, hub of a bucket already passed on in part
@@ -145,8 +163,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held_b, held_s)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a bit vector per column; shared ends are cut off first."""
+def edit_distance(a: str, b: str, most: float = float("inf")) -> float:
+    """Levenshtein distance, a bit vector per column; shared ends are cut off first.
+
+    Infinite as soon as the distance must be over ``most``.
+    """
     if a == b:
         return 0
     n = min(len(a), len(b))
@@ -167,12 +188,14 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, score = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b, strict=True):
         eq = where.get(c, 0)
         x = eq | minus
         d0 = (((eq & plus) + plus) ^ plus) | x
         up, down = minus | (full & ~(d0 | plus)), plus & d0
         score += bool(up & top) - bool(down & top)
+        if score - left > most:
+            return float("inf")
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(d0 | up)), up & d0
     return score
@@ -181,7 +204,7 @@ def edit_distance(a: str, b: str) -> int:
 def _similar(a: str, b: str, threshold: float) -> bool:
     longest = max(len(a), len(b))
     room = longest * (1 - threshold) + 1e-9
-    return longest - min(len(a), len(b)) <= room and edit_distance(a, b) <= room
+    return longest - min(len(a), len(b)) <= room and edit_distance(a, b, room) <= room
 
 
 def _normal(line: str) -> str:

@@ -35,7 +35,7 @@ from cedarlog.session import materialize
 #: Characters of a chunk.
 CHUNK_CHARS = 65_536
 #: Transitions and word counts kept; each starts anew beyond it.
-MEMO, MEMO_WORDS = 300_000, 500_000
+MEMO, MEMO_WORDS = 500_000, 600_000
 MEMO_CHARS = 48
 
 
@@ -61,6 +61,7 @@ class ByteTransducer:
             raise ValueError("a token of the vocabulary has several merge rules")
         self.begins = {t[:k] for t in raw for k in range(len(t))}  # proper prefixes of tokens
         self.fits: dict[tuple[int, int], bool] = {}
+        self.ends: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -70,12 +71,14 @@ class ByteTransducer:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at an end of ``token`` while it is merged, and the rule that uses each up."""
-        out, used = [(token, float("inf"))], 0
-        while token in self.made:
-            used, *halves = self.made[token]
-            token = halves[side]
-            out.append((token, used))
-        return out
+        known = self.ends.get((token, side))
+        if known is None:
+            known = self.ends[token, side] = [(token, float("inf"))]
+            while token in self.made:
+                used, *halves = self.made[token]
+                token = halves[side]
+                known.append((token, used))
+        return known
 
     def _joined(self, left: int, right: int, before: float) -> bool:
         """Whether a rule older than ``before`` joins an end of one with an end of the other while both stand.
@@ -111,12 +114,13 @@ class ByteTransducer:
         """(next state, change in the number of tokens)."""
         move = self.moves.get((state, byte))
         if move is None:
-            last, emitted, live = -1, 0, []
+            last, emitted, live, one = -1, 0, [], bytes((byte,))
             for seen, before, ago in self.states[state]:
-                seen = seen + bytes([byte])
-                token = self.ids.get(seen)
-                if token is not None and last < 0 and self.together(before, token):
-                    last, emitted = token, ago + 1
+                seen = seen + one
+                if last < 0:
+                    token = self.ids.get(seen)
+                    if token is not None and self.together(before, token):
+                        last, emitted = token, ago + 1
                 if seen in self.begins:
                     live.append((seen, before, ago))
             key = (*((s, b, n - emitted) for s, b, n in live), (b"", last, 0))
@@ -159,9 +163,26 @@ class CountTransducer:
         self.special = [t["content"] for t in file["added_tokens"]]
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.classes: dict[str, str] = {}
-        self.moves: dict[tuple[Split, str], tuple[Split, int]] = {}
+        self._restart()
         self.words: dict[str, int] = {}
 
+    def _restart(self) -> None:
+        """No states but the start. A state is the dict of its moves; under None stands what it is."""
+        self.bytes.reset()
+        self.start: dict = {None: Split()}
+        self.states: dict[Split, dict] = {Split(): self.start}
+        self.n_moves = 0
+
+    def _move(self, state: dict, c: str) -> tuple[dict, int]:
+        """Make the move of a state by a character."""
+        to, n = self._step(state[None], c)
+        row = self.states.get(to)
+        if row is None:
+            row = self.states[to] = {None: to}
+        state[c] = row, n
+        self.n_moves += 1
+        return row, n
+
     def kind(self, c: str) -> str:
         """L, N, O or W, as the library's own split has it."""
         known = self.classes.get(c)
@@ -212,15 +233,11 @@ class CountTransducer:
 
     def run(self, text: str) -> int:
         """Tokens of a text without special strings, from the start state."""
-        if len(self.moves) > MEMO or len(self.bytes.moves) > MEMO:
-            self.moves.clear()
-            self.bytes.reset()
-        state, total = Split(), 0
+        if self.n_moves > MEMO or len(self.bytes.moves) > MEMO:
+            self._restart()
+        state, total = self.start, 0
         for c in text:
-            move = self.moves.get((state, c))
-            if move is None:
-                move = self.moves[state, c] = self._step(state, c)
-            state, n = move
+            state, n = state.get(c) or self._move(state, c)
             total += n
         return total
 

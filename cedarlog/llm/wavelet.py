@@ -54,13 +54,17 @@ class WaveletMatrix:
         n, planes, zeros, counts = len(tokens), [], [], []
         bits = max(1, int(tokens.max()).bit_length()) if n else 1
         for level in range(bits - 1, -1, -1):
-            on = (tokens >> tokens.dtype.type(level)) & tokens.dtype.type(1) == 1
+            on = (tokens & tokens.dtype.type(1 << level)) != 0
             packed = np.packbits(on, bitorder="little")
             planes.append(packed)
-            ones = np.bitwise_count(np.pad(packed, (0, -len(packed) % (STRIDE // 8))).reshape(-1, STRIDE // 8)).sum(1)
+            padded = np.pad(packed, (0, -len(packed) % (STRIDE // 8))).view(np.uint64).reshape(-1, STRIDE // 64)
+            ones = np.bitwise_count(padded).sum(1, dtype=np.int64)
             counts.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
             zeros.append(n - int(counts[-1][-1]))
-            tokens = np.concatenate([tokens[~on], tokens[on]])
+            after = np.empty_like(tokens)
+            np.compress(~on, tokens, out=after[: zeros[-1]])
+            np.compress(on, tokens, out=after[zeros[-1] :])
+            tokens = after
         return cls(n, planes, zeros, counts)
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
@@ -134,13 +138,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All tokens: from the last plane up, each undoes its own stable partition."""
-        tokens = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        tokens = np.zeros(self.n, kind)
         for level in range(len(self.planes) - 1, -1, -1):
             on = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             zeros = self.zeros[level]
             up = np.empty_like(tokens)
             up[~on] = tokens[:zeros]
-            up[on] = tokens[zeros:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            up[on] = tokens[zeros:] | kind(1 << (len(self.planes) - 1 - level))
             tokens = up
         return tokens
 

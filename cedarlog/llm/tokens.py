@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of words.
 
-A text is cut before single white-space characters that stand between other
-characters. Both vocabularies' split patterns end a piece there, so the ids of a
-text are those of its pieces, one after the other. Pieces seen before come from the
-cache; the rest go through the tokenizers library. Texts with white space other
-than space, tab, line feed and the like are encoded in one piece.
+A text is cut where both vocabularies' split patterns end a piece whatever stands
+around: before a single white-space character between other characters, and between
+letters and the marks ``.,;:!?``. So the ids of a text are those of its parts, one
+after the other. Parts seen before come from the cache; the rest go through the
+tokenizers library. Texts with white space other than space, tab, line feed and the
+like are encoded in one piece.
 """
 
 from __future__ import annotations
@@ -17,12 +18,19 @@ from itertools import repeat
 import numpy as np
 
 #: Word pieces kept; the cache starts anew beyond it, so its memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 48
-PIECES = re.compile(r"[ \t\n\r\f\v]?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?=[ \t\n\r\f\v][^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+_SPACE, _LETTER, _MARK = r" \t\n\r\f\v", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
+_WORD = rf"[{_LETTER}]+(?=[{_SPACE}{_MARK}]|\Z)"
+_MARKS = rf"[{_MARK}]+(?=[{_SPACE}{_LETTER}]|\Z)"
+PIECES = re.compile(
+    rf"[{_SPACE}]?{_WORD}|{_MARKS}|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+"
+)
+#: The same without white space, for vocabularies that drop it.
+BARE_PIECES = re.compile(rf"{_WORD}|{_MARKS}|[^{_SPACE}]+")
 #: White space by some definition, other than the six above: such texts are not cut.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 def pieces(text: str) -> list[str]:
@@ -40,6 +48,10 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # a vocabulary of small letters without white space: such differences need no words of their own
+        same = ("a", " A", "\n\ta", "A ")
+        self.folds = len({tuple(x.ids) for x in self.tokenizer.encode_batch(same, add_special_tokens=False)}) == 1
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._start()
 
     def _start(self) -> None:
@@ -62,21 +74,30 @@ class TextEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """uint16 ids of each text (both vocabularies have fewer than 65,536)."""
         for lo in range(0, len(texts), 64):
-            parts = [pieces(t) if t else [] for t in texts[lo : lo + 64]]
+            parts = [self._pieces(t) if t else [] for t in texts[lo : lo + 64]]
             words = [w for ws in parts for w in ws]
             bounds = np.cumsum([0, *map(len, parts)])
             at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-            missed = [words[k] for k in np.flatnonzero(at < 0).tolist()]
-            if missed:
-                new = list(dict.fromkeys(w for w in missed if len(w) <= CACHE_CHARS))
+            gaps = np.flatnonzero(at < 0)
+            if len(gaps):
+                missed = [words[k] for k in gaps.tolist()]
+                new = [w for w in dict.fromkeys(missed) if len(w) <= CACHE_CHARS]
                 if len(self.index) + len(new) > CACHE_WORDS:
                     self._start()
-                    new = list(dict.fromkeys(w for w in words if len(w) <= CACHE_CHARS))[:CACHE_WORDS]
+                    new = [w for w in dict.fromkeys(words) if len(w) <= CACHE_CHARS][:CACHE_WORDS]
+                    missed, gaps = words, np.arange(len(words))
                 if new:
                     self._learn(new)
-                at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+                at[gaps] = np.fromiter(map(self.index.get, missed, repeat(-1)), np.int64, len(missed))
             yield from self._gather(words, at, bounds)
 
+    def _pieces(self, text: str) -> list[str]:
+        if not self.folds or ODD.search(text):
+            return pieces(text)
+        if not any(x[:2] in text for x in self.specials):
+            text = text.encode().lower().decode()  # A-Z only; the library does the others
+        return BARE_PIECES.findall(text)
+
     def _gather(self, words: list[str], at: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
         gaps = np.flatnonzero(at < 0)
         lo, size = self.ends[at], self.ends[at + 1] - self.ends[at]

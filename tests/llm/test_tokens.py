@@ -12,10 +12,10 @@ from tokenizers import Tokenizer
 from cedarlog.llm import packing, tokens, transducer, wavelet
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
-LETTERS = " \n\t'sabtrevl!1\x1ćΣ.　\U0001f642l'    \u0085é"
+LETTERS = " \n\t'sabtrevl!1\x1c\u0301\u03a3.\u3000\U0001f642l'    \u0085é.,;:!?|-ABÉ×"
 FIXED = [
     "", "hello<|endoftext|> you  <|endoftext|>", "'re 're'll 'r 'v", "'", " '", "''s", "x'rex'r", "a" * 300, "!" * 99,
-    " " * 50, "\n" * 33 + "a", "ΣΑΣ ΟΔΥΣΣΕΥΣ", "日本語 です。", "don't I'll 'sun",
+    " " * 50, "\n" * 33 + "a", "ΣΑΣ ΟΔΥΣΣΕΥΣ", "日本語 です。", "don't I'll 'sun", "<|ENDOFTEXT|> A", "a.b-.c;;-d '.' İ",
 ]
 
 

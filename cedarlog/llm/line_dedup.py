@@ -1,10 +1,15 @@
 """Fuzzy line deduplication over a corpus.
 
 Lines are normalised to their lower-case words. Equal ones are one node from the
-start. Nodes get a 64-bit SimHash of their words; two within ``MAX_BITS`` bits agree
-on at least two of five blocks, so nodes that share two blocks meet in a bucket.
-Pairs within ``MAX_BITS`` bits are verified by edit similarity, and of each connected
-group the first occurrence, by (doc_id, line number), stays.
+start. Nodes get MinHash values of their distinct words; nodes that agree on all values
+of one of ``TABLES`` tables meet in a bucket. Of those, pairs whose 64-bit SimHashes
+differ in ``MAX_BITS`` bits at most are verified by edit similarity, and of each
+connected group the first occurrence, by (doc_id, line number), stays.
+
+The tables follow from the threshold: at edit similarity 0.8 a fifth of the words may
+be others, which leaves a Jaccard similarity of 2/3 of the word sets. 24 tables of 5
+values find such a pair with 97 %, one with a word of eight replaced with 99.9 %. The
+SimHashes of such a pair differ in 13 bits, with a deviation of 3.
 
 Pairs are never rows: nodes go to their buckets' hubs, and a task compares a block
 of nodes with a block, testing only pairs that are not connected yet.
@@ -18,7 +23,6 @@ of nodes with a block, testing only pairs that are not connected yet.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +35,11 @@ from cedarlog.llm.groups import Forest, components, hub_blocks, sorted_groups
 from cedarlog.llm.ngram_join import BROADCAST_KEYS, text_key
 from cedarlog.session import fits_broadcast, materialize
 
-MAX_BITS = 3
-#: First bit and number of bits of each block; MAX_BITS + 2 blocks, of which two agree.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+#: SimHash bits in which a pair that is verified may differ.
+MAX_BITS = 22
+TABLES, ROWS_A_TABLE = 24, 5
+#: Odd multipliers of the MinHash permutations of word hashes.
+MULTIPLIERS = W.mix64(np.arange(1, TABLES * ROWS_A_TABLE + 1, dtype=np.uint64)) | np.uint64(1)
 #: Nodes in a block of a task.
 BLOCK = 512
 #: Bucket rows that are compared with each other before the join; longer buckets go on whole.
@@ -59,8 +65,22 @@ def simhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def minhash_tables(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of TABLES 32-bit values of each part; equal word sets have equal rows. Parts are not empty."""
+    out = np.zeros((len(bounds) - 1, TABLES), np.uint64)
+    at = 0
+    while at < len(out):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 65536, "right")) - 1)
+        own, first = hashes[bounds[at] : bounds[end]], bounds[at:end] - bounds[at]
+        for k, factor in enumerate(MULTIPLIERS):
+            table = out[at:end, k // ROWS_A_TABLE]
+            table[:] = W.mix64(table * np.uint64(W._BASE) + np.minimum.reduceat(own * factor, first))
+        at = end
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
 def line_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text number, line number, hash, SimHash, words) of the lines with words."""
+    """(text number, line number, hash) of the lines with words, the hashes of all words, and the bounds of each line's."""
     first, _, hashes = W.words(data, bounds)
     starts = np.sort(np.concatenate([bounds[:-1], np.flatnonzero(data == 10) + 1]))
     line_words = np.append(np.searchsorted(first, starts, "left"), len(first))
@@ -72,12 +92,13 @@ def line_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     part = np.append(line_words[has], len(first))
     if not len(has):
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), hashes, part
     inside = np.arange(len(first)) - np.repeat(part[:-1], np.diff(part))
     factor = W._power("up", int(inside.max()) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(W.mix64(hashes) * factor[inside])])
     n = np.diff(part)
-    return text, number, W.mix64(total[part[1:]] - total[part[:-1]] + n.astype(np.uint64)), simhash(hashes, part), n
+    key = W.mix64(total[part[1:]] - total[part[:-1]] + n.astype(np.uint64))
+    return text, number, key, hashes, part
 
 
 def _lines(kind: pa.DataType):
@@ -87,13 +108,16 @@ def _lines(kind: pa.DataType):
             while at < batch.num_rows:
                 data, bounds = W.text_bytes(batch.column(2).slice(at))
                 take = min(max(1, int(np.searchsorted(bounds, 4 << 20, "right")) - 1), batch.num_rows - at)
-                text, number, key, sim, _ = line_parts(data[: bounds[take]], bounds[: take + 1])
+                text, number, key, hashes, part = line_parts(data[: bounds[take]], bounds[: take + 1])
+                sim, tables = simhash(hashes, part), minhash_tables(hashes, part)
                 ids = batch.column(0).slice(at, take).cast(kind).take(pa.array(text))
                 tk = batch.column(1).slice(at, take).take(pa.array(text))
                 at += take
+                starts = pa.array(np.arange(len(tables) + 1, dtype=np.int32) * TABLES)
+                lists = pa.ListArray.from_arrays(starts, pa.array(tables.view(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, tk, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(sim.view(np.int64))],
-                    names=["doc_id", "tk", "line", "key", "sim"],
+                    [ids, tk, pa.array(number.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(sim.view(np.int64)), lists],
+                    names=["doc_id", "tk", "line", "key", "sim", "tables"],
                 )
 
     return lines
@@ -246,13 +270,14 @@ def line_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """(nodes, roots): nodes has key, sim, first (its first occurrence), count; roots has a, root of the fuzzy groups."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("tk"), F.col(text_col).cast("string").alias("_text"))
     kind = base.schema["doc_id"].dataType
-    lines = base.mapInArrow(_lines(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, tk long, line int, key long, sim long")
+    lines = base.mapInArrow(_lines(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, tk long, line int, key long, sim long, tables array<int>")
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "tk", "line")
-    nodes = materialize(lines.groupBy("key", "sim").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("count")), "line-nodes")
-    masks = [sum(((1 << BLOCKS[b][1]) - 1) << BLOCKS[b][0] for b in two) for two in combinations(range(len(BLOCKS)), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-    rows = nodes.select("sim").distinct().select(F.explode(tables).alias("bucket"), "sim")
+    grouped = lines.groupBy("key", "sim").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("count"), F.first("tables").alias("tables"))
+    held = materialize(grouped, "line-nodes")
+    nodes = held.drop("tables")
+    # equal word sets have one SimHash and one row of tables
+    values = held.select("sim", "tables").distinct().select("sim", F.posexplode("tables").alias("k", "value"))
+    rows = values.select(F.xxhash64("k", "value").alias("bucket"), "sim")
     met = rows.repartition("bucket").sortWithinPartitions("bucket", "sim").mapInArrow(_buckets, "hub long, sim long").distinct()
     # several nodes may have one SimHash: those meet under it even without another neighbour
     twins = nodes.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sim").alias("hub"), "sim")

@@ -193,3 +193,31 @@ def test_lines_of_repeated_rows_null_ids_and_of_nothing(spark):
     assert got == [(-1, 2, 1, 1), (1, 2, 2, 0), (1, 2, 2, 0)]
     assert L.dedup_report(docs.limit(0)).collect() == []
     assert L.dedup_lines(docs.limit(0)).collect() == []
+
+
+def replaced(seed, n, length, share=0.2):
+    """Pairs of a line and a copy with as many words replaced as leave an edit similarity of 0.8, ``share`` of them at most."""
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    out = []
+    while len(out) < n:
+        line = [rng.choice(pool) for _ in range(length)]
+        copy = list(line)
+        for k in rng.sample(range(length), max(1, int(length * share))):
+            copy[k] = rng.choice(pool)
+        a, b = " ".join(line), " ".join(copy)
+        if a != b and L._similar(a, b, 0.8):
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("share,least", [(0, 0.98), (0.2, 0.93)])
+def test_near_lines_of_any_length_are_found(spark, share, least):
+    """Against edit similarity alone: every pair is one that should be found."""
+    pairs = {n: replaced(n, 60, n, share) for n in (8, 12, 20, 30, 50)}
+    rows = [(2 * k + side, pair[side]) for k, pair in enumerate(p for n in pairs for p in pairs[n]) for side in (0, 1)]
+    got = {r.doc_id: r.n_kept for r in L.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] for i in got if i % 2 == 0)
+    found = {n: sum(not got[2 * (60 * g + k) + 1] for k in range(60)) / 60 for g, n in enumerate(pairs)}
+    print(share, found)
+    assert sum(found.values()) / len(found) >= least, found

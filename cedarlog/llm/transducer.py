@@ -15,7 +15,11 @@ over classes of characters around the first one.
 **Chunks.** A long text is cut into chunks. A chunk's state map depends on its entry
 state only up to its first cut, after which any run is in the start state. So a map
 is (head, tokens, tail): the text before the first cut, the tokens between the cuts,
-and the text after the last. Maps compose associatively, by a prefix scan.
+and the text after the last. Maps compose associatively. Where a text has odd white
+space or none, chunks are cut by the automaton's own classes: before white space that
+follows something else, and between letters, numbers and other characters. A text's
+maps are read in order by a ``Fold``, which keeps the state and the total only, so
+one without any cut (a run of letters over many chunks) needs no more memory.
 """
 
 from __future__ import annotations
@@ -161,6 +165,7 @@ class CountTransducer:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bytes = ByteTransducer(model["vocab"], merges)
         self.special = [t["content"] for t in file["added_tokens"]]
+        self.inside = {t[k : k + 2] for t in self.special for k in range(len(t) - 1)}
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.classes: dict[str, str] = {}
         self._restart()
@@ -173,6 +178,20 @@ class CountTransducer:
         self.states: dict[Split, dict] = {Split(): self.start}
         self.n_moves = 0
 
+    def _restart_at(self, state: dict) -> dict:
+        """Start anew, but for one state that a run is in."""
+        at = state[None]
+        inner, before = self.bytes.states[at.inner], self.bytes.states[at.before]
+        self._restart()
+        numbers = []
+        for key in (inner, before):
+            if key not in self.bytes.number:
+                self.bytes.number[key] = len(self.bytes.states)
+                self.bytes.states.append(key)
+            numbers.append(self.bytes.number[key])
+        at = at._replace(inner=numbers[0], before=numbers[1])
+        return self.states.setdefault(at, {None: at})
+
     def _move(self, state: dict, c: str) -> tuple[dict, int]:
         """Make the move of a state by a character."""
         to, n = self._step(state[None], c)
@@ -233,13 +252,18 @@ class CountTransducer:
 
     def run(self, text: str) -> int:
         """Tokens of a text without special strings, from the start state."""
-        if self.n_moves > MEMO or len(self.bytes.moves) > MEMO:
-            self._restart()
-        state, total = self.start, 0
-        for c in text:
-            state, n = state.get(c) or self._move(state, c)
-            total += n
-        return total
+        return self.run_from(self.start, text)[1]
+
+    def run_from(self, state: dict, text: str) -> tuple[dict, int]:
+        """(state, tokens) after more text without special strings."""
+        total = 0
+        for lo in range(0, len(text), CHUNK_CHARS):
+            if self.n_moves > MEMO or len(self.bytes.moves) > MEMO:
+                state = self._restart_at(state)
+            for c in text[lo : lo + CHUNK_CHARS]:
+                state, n = state.get(c) or self._move(state, c)
+                total += n
+        return state, total
 
     def _segments(self, text: str) -> int:
         """Special strings count one each and part the text."""
@@ -264,11 +288,24 @@ class CountTransducer:
                             self.words[word] = n
         return sum(found)
 
+    def _cut(self, text: str, places: range) -> int | None:
+        """The first of ``places`` before which a piece ends whatever stands around."""
+        for k in places:
+            a, b = self.kind(text[k - 1]), self.kind(text[k])
+            # white space may go to what follows, an apostrophe to letters
+            if a != b and a != "W" and (text[k - 1] != "'" or b == "W") and text[k - 1 : k + 1] not in self.inside:
+                return k
+        return None
+
     def chunk(self, text: str) -> ChunkMap:
         """The state map of a chunk."""
         parts = pieces(text)
         if len(parts) < 3:
-            return ChunkMap(text, None, "")
+            first = self._cut(text, range(1, len(text)))
+            if first is None:
+                return ChunkMap(text, None, "")
+            last = self._cut(text, range(len(text) - 1, 0, -1))
+            return ChunkMap(text[:first], self.count([text[first:last]]), text[last:])
         return ChunkMap(parts[0], self.count(parts[1:-1]), parts[-1])
 
     def compose(self, left: ChunkMap, right: ChunkMap) -> ChunkMap:
@@ -309,6 +346,50 @@ class ChunkMap(NamedTuple):
     tail: str
 
 
+class Fold:
+    """The tokens of a text whose chunk maps come in order: a state, a total, and what may begin a special string."""
+
+    def __init__(self, counter: CountTransducer) -> None:
+        self.counter = counter
+        self.state, self.tokens, self.held = None, 0, ""
+
+    def _run(self, text: str) -> None:
+        if text:
+            self.state, n = self.counter.run_from(self.state or self.counter.start, text)
+            self.tokens += n
+
+    def _end(self) -> None:
+        """A cut: the next text begins in the start state."""
+        self._run(self.held)
+        self.state, self.held = None, ""
+
+    def _read(self, text: str) -> None:
+        text = self.held + text
+        while True:
+            found = [(at, -len(t)) for t in self.counter.special if (at := text.find(t)) >= 0]
+            if not found:
+                break
+            at, n = min(found)
+            self._run(text[:at])
+            self.state, text = None, text[at - n :]
+            self.tokens += 1
+        longest = max(map(len, self.counter.special), default=1) - 1
+        keep = next((n for n in range(min(longest, len(text)), 0, -1) if any(t.startswith(text[-n:]) for t in self.counter.special)), 0)
+        self._run(text[: len(text) - keep])
+        self.held = text[len(text) - keep :]
+
+    def add(self, chunk: ChunkMap) -> None:
+        self._read(chunk.head)
+        if chunk.tokens is not None:
+            self._end()
+            self.tokens += chunk.tokens
+            self._read(chunk.tail)
+
+    def total(self) -> int:
+        self._end()
+        return self.tokens
+
+
 _transducers: dict[str, CountTransducer] = {}
 
 
@@ -355,19 +436,26 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     schema = f"row long, doc_id {kind.simpleString()}, n_bytes long, n int, k int, head string, tokens long, tail string, whole long"
     found = materialize(chunks.mapInArrow(maps, schema), "chunk-maps")
     short = found.where("n = 1").select("doc_id", "n_bytes", F.col("whole").alias("n_tokens"))
-    parts = found.where("n > 1").groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"),
-        F.sort_array(F.collect_list(F.struct("k", "head", "tokens", "tail"))).alias("maps"),
-    )
+    parts = found.where("n > 1").select("row", "doc_id", "n_bytes", "k", "head", "tokens", "tail")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(tokenizer)
-        for batch in batches:
-            totals = [
-                t.total(t.scan([ChunkMap(m["head"], m["tokens"], m["tail"]) for m in maps])[-1])
-                for maps in batch.column(2).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow), batch.column(1), pa.array(totals, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    long = parts.select("doc_id", "n_bytes", "maps").mapInArrow(scan, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
+        def out(of: pa.RecordBatch, total: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([of.column(1).cast(arrow), of.column(2), pa.array([total], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+        last, now = None, Fold(t)
+        for batch in batches:
+            for k, row in enumerate(batch.column(0).to_pylist()):
+                if last is not None and row != last.column(0)[0].as_py():
+                    yield out(last, now.total())
+                    last, now = None, Fold(t)
+                if last is None:  # a copy of the small columns, so that no batch is kept
+                    last = batch.select([0, 1, 2]).take(pa.array([k]))
+                now.add(ChunkMap(*(batch.column(c)[k].as_py() for c in (4, 5, 6))))
+        if last is not None:
+            yield out(last, now.total())
+
+    dealt = parts.repartition("row").sortWithinPartitions("row", "k")
+    long = dealt.mapInArrow(fold, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
     return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)

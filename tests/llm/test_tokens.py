@@ -152,3 +152,49 @@ def test_packed_rows(spark, texts):
         assert at <= 128
     assert len(bins) <= -(-sum(w[3] for w in want) // 128) + 1
     assert packing.pack(docs.limit(0), WORD).collect() == []
+
+
+def uncut():
+    """Texts whose chunks ``pieces`` does not cut: odd white space in each, no white space, letters only."""
+    rng = random.Random(9)
+    prose = " ".join("".join(rng.choice("etaoinshr'.1") for _ in range(rng.randint(1, 9))) for _ in range(6000))
+    odd = "".join(c + " " * (k % 40 == 0) for k, c in enumerate(prose))
+    return [
+        odd, odd[:3000] + "<|endoftext|>" + odd[3000:], "".join(rng.choice("ABCxyz019+/='<|") for _ in range(9000)),
+        "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(6000)), "日本語です。" * 900, "a" * 5000, " " * 3000 + "x",
+        "".join(rng.choice("ab") for _ in range(2000)) + "<|endoftext|>" + "b" * 1000,
+    ]
+
+
+def test_uncut_chunks_keep_states_only(monkeypatch):
+    """In order, as the library counts them; what a fold keeps does not grow with the text."""
+    t = transducer.CountTransducer(BYTE)
+    lib = Tokenizer.from_file(BYTE)
+    for memo in (transducer.MEMO, 300):
+        monkeypatch.setattr(transducer, "MEMO", memo)
+        monkeypatch.setattr(transducer, "CHUNK_CHARS", 500)
+        for text in uncut():
+            for size in (7, 500):
+                fold = transducer.Fold(t)
+                for k in range(0, len(text), size):
+                    fold.add(t.chunk(text[k : k + size]))
+                    assert len(fold.held) < len("<|endoftext|>")
+                assert fold.total() == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_odd_white_space_and_runs_are_cut():
+    t = transducer.CountTransducer(BYTE)
+    odd, _, base, *_ = uncut()
+    for text in (odd[:5000], base[:5000]):
+        made = t.chunk(text)
+        assert made.tokens is not None and len(made.head) + len(made.tail) < 100
+
+
+def test_long_uncut_rows(spark):
+    """Several MB: a no-break space in each chunk, and a run without white space."""
+    odd, _, base, letters, *_ = uncut()
+    texts = [odd * 80, base * 120, letters * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = Tokenizer.from_file(BYTE)
+    want = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in transducer.count_tokens(docs, BYTE).collect()} == want

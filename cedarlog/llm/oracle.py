@@ -48,6 +48,48 @@ SELECT file, CAST(CASE WHEN mark = 11 THEN place + 10000000000 ELSE place END AS
 FROM placed WHERE mark IN (3, 5, 7, 11)
 """
 
+#: The main text as the markup of ``pages`` gives it: the one marked article, its blocks parted by tags.
+OP11 = r"""
+WITH body AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) inner_html FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') t FROM body),
+plain AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') t
+          FROM bare),
+tidy AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, length(text)::BIGINT n_chars FROM tidy
+"""
+
+#: The checksum by its definition, once for each distinct word.
+OP12 = r"""
+WITH steps AS (
+  SELECT list(v ORDER BY k) t FROM (
+    SELECT k, list_reduce(list_prepend(k::BIGINT, range(8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) v
+    FROM range(256) r(k))),
+texts AS (
+  SELECT 'd' side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents
+  UNION ALL
+  SELECT 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+features AS (SELECT side, doc_id, unnest(ws) w FROM texts),
+known AS (SELECT DISTINCT w FROM features),
+summed AS (
+  SELECT w, xor(4294967295, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(w), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) % 10000 bucket
+  FROM known, steps),
+counted AS (SELECT bucket, count(*) FILTER (side = 'd') s, count(*) FILTER (side = 'b') t FROM features JOIN summed USING (w) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::DOUBLE ss, coalesce(sum(t), 0)::DOUBLE tt FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT gain FROM counted, totals),
+weights AS (SELECT doc_id, sum(gain)::BIGINT weight FROM features JOIN summed USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(ws)::BIGINT n_features, coalesce(weight, 0)::BIGINT weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT score
+  FROM texts LEFT JOIN weights USING (doc_id) WHERE side = 'd'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) place,
+                  count(*) FILTER (n_features >= 20) OVER () n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END::BIGINT rank FROM placed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_merkle_fixity": OP2, "op10_host_quality_rules": OP10}
+    return {"op2_merkle_fixity": OP2, "op10_host_quality_rules": OP10, "op11_site_template": OP11, "op12_importance_resampling": OP12}

@@ -22,9 +22,12 @@ from cedarlog.llm import (
     packing,
     quality_model,
     quality_rules,
+    resampling,
+    site_template,
     toxicity,
     transducer,
     wavelet,
+    whitening,
 )
 from cedarlog.session import scratch_path
 
@@ -145,6 +148,18 @@ def op10_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_site_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.extract_text(table(spark, sf_dir, "pages")).drop("n_template")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -170,6 +185,9 @@ def queries() -> dict[str, Query]:
         op8_transducer_counts,
         op9_bayes_jaccard_join,
         op10_host_quality_rules,
+        op11_site_template,
+        op12_importance_resampling,
+        op13_qdwh_whitening,
         pipeline,
     )
     return {f.__name__: _with_package(f) for f in named}

@@ -1,8 +1,10 @@
 """Token ids of whole texts by a public tokenizer file, with a bounded cache of words.
 
-A text is cut where both vocabularies' split patterns end a piece whatever stands
-around: before a single white-space character between other characters, and between
-letters and the marks ``.,;:!?``. So the ids of a text are those of its parts, one
+A text is parted at special strings first, as the library does; so white space before one
+is white space at an end. The parts are cut where both vocabularies' split patterns end a
+piece whatever stands around: before a single white-space character between other
+characters, and between letters and the marks ``.,;:!?``. U+0130 is no such letter: in
+small letters it ends in a combining mark, which goes together with what follows. So the ids of a text are those of its parts, one
 after the other. Parts seen before come from the cache; the rest go through the
 tokenizers library. Texts with white space other than space, tab, line feed and the
 like are encoded in one piece.
@@ -21,7 +23,7 @@ import numpy as np
 CACHE_WORDS = 1_000_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 48
-_SPACE, _LETTER, _MARK = r" \t\n\r\f\v", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
+_SPACE, _LETTER, _MARK = r" \t\n\r\f\v", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", ".,;:!?"
 _WORD = rf"[{_LETTER}]+(?=[{_SPACE}{_MARK}]|\Z)"
 _MARKS = rf"[{_MARK}]+(?=[{_SPACE}{_LETTER}]|\Z)"
 PIECES = re.compile(
@@ -29,15 +31,22 @@ PIECES = re.compile(
 )
 #: The same without white space, for vocabularies that drop it.
 BARE_PIECES = re.compile(rf"{_WORD}|{_MARKS}|[^{_SPACE}]+")
+#: One piece to the byte-level pattern, a space before it or none.
+LETTERS_ONLY = re.compile(rf" ?[{_LETTER}]+")
 #: White space by some definition, other than the six above: such texts are not cut.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
 
 def pieces(text: str) -> list[str]:
-    """The text in parts whose ids do not depend on each other."""
+    """A text without special strings in parts whose ids do not depend on each other."""
     return [text] if ODD.search(text) else PIECES.findall(text)
 
 
+def special_pattern(specials: list[str]) -> re.Pattern | None:
+    """What parts a text at special strings; of those that begin at the same place the longest."""
+    return re.compile(f"({'|'.join(re.escape(x) for x in sorted(specials, key=len, reverse=True))})") if specials else None
+
+
 class TextEncoder:
     """Ids of texts as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
@@ -52,6 +61,7 @@ class TextEncoder:
         same = ("a", " A", "\n\ta", "A ")
         self.folds = len({tuple(x.ids) for x in self.tokenizer.encode_batch(same, add_special_tokens=False)}) == 1
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parts = special_pattern(self.specials)
         self._start()
 
     def _start(self) -> None:
@@ -92,6 +102,12 @@ class TextEncoder:
             yield from self._gather(words, at, bounds)
 
     def _pieces(self, text: str) -> list[str]:
+        if self.parts is None or not any(x in text for x in self.specials):
+            return self._plain(text)
+        between = self.parts.split(text)  # every second one is a special string
+        return [w for k, part in enumerate(between) for w in ([part] if k % 2 else self._plain(part) if part else [])]
+
+    def _plain(self, text: str) -> list[str]:
         if not self.folds or ODD.search(text):
             return pieces(text)
         if not any(x[:2] in text for x in self.specials):

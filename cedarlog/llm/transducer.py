@@ -12,34 +12,40 @@ a byte may also take tokens back, when a longer one forms).
 other, white space with a last space that goes to the next word) is a small automaton
 over classes of characters around the first one.
 
-**Chunks.** A long text is cut into chunks. A chunk's state map depends on its entry
-state only up to its first cut, after which any run is in the start state. So a map
-is (head, tokens, tail): the text before the first cut, the tokens between the cuts,
-and the text after the last. Maps compose associatively. Where a text has odd white
-space or none, chunks are cut by the automaton's own classes: before white space that
-follows something else, and between letters, numbers and other characters. A text's
-maps are read in order by a ``Fold``, which keeps the state and the total only, so
-one without any cut (a run of letters over many chunks) needs no more memory.
+**Chunks.** A long text is cut into chunks of bytes, each with what stands shortly before
+and after it, so that special strings across a border are seen from both sides. A chunk's
+state map takes entry states to (exit state, tokens). It is first made for the entry that
+the text before the chunk leads to (exact where that text has a cut). Then maps are
+extended, all chunks at once: each exit of a chunk must be an entry of the next one.
+States soon forget how a run began, so a round or two close all maps; a closed map is
+right for whatever enters. Closed maps compose associatively, and are composed by
+prefix scans over blocks of chunks, level by level, each level in parallel.
 """
 
 from __future__ import annotations
 
+import ast
 import json
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cedarlog.llm.tokens import pieces
+from cedarlog.llm import words as W
+from cedarlog.llm.tokens import LETTERS_ONLY, pieces, special_pattern
 from cedarlog.session import materialize
 
-#: Characters of a chunk.
-CHUNK_CHARS = 65_536
-#: Transitions and word counts kept; each starts anew beyond it.
-MEMO, MEMO_WORDS = 500_000, 600_000
+#: Bytes of a chunk, and of what is seen before and behind it.
+CHUNK_BYTES, AROUND = 65_536, 256
+#: Chunk maps composed by one scan.
+SCAN = 256
+#: States kept by each of the two automata, word counts, and pairs of tokens tried: about 150 MB a worker at most.
+MEMO_STATES, MEMO_WORDS, MEMO_FITS = 30_000, 300_000, 400_000
 MEMO_CHARS = 48
 
 
@@ -50,28 +56,37 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
+#: The places at which the next token may begin: (bytes since, token before, tokens ago).
+START_KEY = ((b"", -1, 0),)
+
+
 class ByteTransducer:
-    """The transducer inside a piece. States are numbers; 0 is the start."""
+    """The transducer inside a piece."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
         letters = byte_letters()
         # entries with other letters are special tokens, which no merge makes
         raw = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if all(c in letters for c in t)}
         self.ids = raw
-        self.text = {i: t for t, i in raw.items()}
         self.rank = {(vocabulary[a], vocabulary[b]): (k, vocabulary[a + b]) for k, (a, b) in enumerate(merges)}
         self.made = {made: (k, a, b) for (a, b), (k, made) in self.rank.items()}
         if len(self.made) < len(self.rank):
             raise ValueError("a token of the vocabulary has several merge rules")
         self.begins = {t[:k] for t in raw for k in range(len(t))}  # proper prefixes of tokens
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.ends: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        self.reset()
+        # a state is the dict of its moves; under None stands what it is
+        self.start: dict = {None: START_KEY}
+        self.states: dict[tuple, dict] = {START_KEY: self.start}
 
-    def reset(self) -> None:
-        self.states: list[tuple] = [((b"", -1, 0),)]
-        self.number = {self.states[0]: 0}
-        self.moves: dict[tuple[int, int], tuple[int, int]] = {}
+    def state(self, key: tuple) -> dict:
+        """The state of that content: kept while there is room, else made for this run only."""
+        row = self.states.get(key)
+        if row is None:
+            row = {None: key}
+            if len(self.states) < MEMO_STATES:
+                self.states[key] = row
+        return row
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens that stand at an end of ``token`` while it is merged, and the rule that uses each up."""
@@ -100,7 +115,7 @@ class ByteTransducer:
 
     def together(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens as they are; ``left`` -1 is the start of the piece."""
-        known = self.fits.get((left, right))
+        known = self.fits.get(left << 32 | right)
         if known is None:
             if left >= 0:
                 known = self.together(-1, right) and not self._joined(left, right, float("inf"))
@@ -109,17 +124,17 @@ class ByteTransducer:
                 known = self.together(-1, a) and self.together(-1, b) and not self._joined(a, b, rule)
             else:
                 known = True
-            if len(self.fits) > MEMO:
+            if len(self.fits) > MEMO_FITS:
                 self.fits.clear()
-            self.fits[left, right] = known
+            self.fits[left << 32 | right] = known
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
+    def step(self, state: dict, byte: int) -> tuple[dict, int]:
         """(next state, change in the number of tokens)."""
-        move = self.moves.get((state, byte))
+        move = state.get(byte)
         if move is None:
             last, emitted, live, one = -1, 0, [], bytes((byte,))
-            for seen, before, ago in self.states[state]:
+            for seen, before, ago in state[None]:
                 seen = seen + one
                 if last < 0:
                     token = self.ids.get(seen)
@@ -127,28 +142,57 @@ class ByteTransducer:
                         last, emitted = token, ago + 1
                 if seen in self.begins:
                     live.append((seen, before, ago))
-            key = (*((s, b, n - emitted) for s, b, n in live), (b"", last, 0))
-            to = self.number.get(key)
-            if to is None:
-                to = self.number[key] = len(self.states)
-                self.states.append(key)
-            move = self.moves[state, byte] = to, emitted
+            row = self.state((*((s, b, n - emitted) for s, b, n in live), (b"", last, 0)))
+            move = row, emitted
+            if len(self.states) < MEMO_STATES:
+                state[byte] = move
         return move
 
-    def run(self, state: int, data: bytes) -> tuple[int, int]:
+    def run(self, state: dict, data: bytes) -> tuple[dict, int]:
         total = 0
         for byte in data:
-            state, emitted = self.step(state, byte)
+            state, emitted = state.get(byte) or self.step(state, byte)
             total += emitted
         return state, total
 
+    def count(self, data: bytes) -> int:
+        """Tokens of one whole piece: over kept moves as far as they go, then the same steps without making states."""
+        state, total, n = self.start, 0, len(data)
+        for at in range(n):
+            move = state.get(data[at])
+            if move is None:
+                if len(self.states) < MEMO_STATES:
+                    move = self.step(state, data[at])
+                else:
+                    break
+            state, emitted = move
+            total += emitted
+        else:
+            return total
+        ids, begins, together = self.ids, self.begins, self.together
+        live = [(at - len(seen), before, total - ago) for seen, before, ago in state[None]]
+        for end in range(at + 1, n + 1):
+            last, found, still = -1, 0, []
+            for place in live:
+                first, before, so_far = place
+                seen = data[first:end]
+                if last < 0:
+                    token = ids.get(seen)
+                    if token is not None and together(before, token):
+                        last, found = token, so_far + 1
+                if seen in begins:
+                    still.append(place)
+            still.append((end, last, found))
+            live = still
+        return found
+
 
 class Split(NamedTuple):
     """A state between characters: what is open, the byte states in it, and what may be taken back."""
 
     mode: str = ""  # "", L, N, O, W, ' and 'r 'v 'l
-    inner: int = 0
-    before: int = 0  # of white space without its last character
+    inner: tuple = START_KEY
+    before: tuple = START_KEY  # of white space without its last character
     back: int = 0  # tokens that the last character added
     last: str = ""
 
@@ -165,42 +209,36 @@ class CountTransducer:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bytes = ByteTransducer(model["vocab"], merges)
         self.special = [t["content"] for t in file["added_tokens"]]
-        self.inside = {t[k : k + 2] for t in self.special for k in range(len(t) - 1)}
+        self.parting = special_pattern(self.special)
+        #: Whether where special strings stand can be told from a stretch of text around them.
+        self.local = not any(
+            a != b and a in b or any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (a != b))) for a in self.special for b in self.special
+        ) and max((len(t.encode()) for t in self.special), default=0) < AROUND
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
         self.classes: dict[str, str] = {}
-        self._restart()
-        self.words: dict[str, int] = {}
-
-    def _restart(self) -> None:
-        """No states but the start. A state is the dict of its moves; under None stands what it is."""
-        self.bytes.reset()
         self.start: dict = {None: Split()}
         self.states: dict[Split, dict] = {Split(): self.start}
-        self.n_moves = 0
-
-    def _restart_at(self, state: dict) -> dict:
-        """Start anew, but for one state that a run is in."""
-        at = state[None]
-        inner, before = self.bytes.states[at.inner], self.bytes.states[at.before]
-        self._restart()
-        numbers = []
-        for key in (inner, before):
-            if key not in self.bytes.number:
-                self.bytes.number[key] = len(self.bytes.states)
-                self.bytes.states.append(key)
-            numbers.append(self.bytes.number[key])
-        at = at._replace(inner=numbers[0], before=numbers[1])
-        return self.states.setdefault(at, {None: at})
+        self.words: dict[str, int] = {}
+
+    def state(self, at: Split) -> dict:
+        row = self.states.get(at)
+        if row is None:
+            row = {None: at}
+            if len(self.states) < MEMO_STATES:
+                self.states[at] = row
+        return row
 
     def _move(self, state: dict, c: str) -> tuple[dict, int]:
         """Make the move of a state by a character."""
         to, n = self._step(state[None], c)
-        row = self.states.get(to)
-        if row is None:
-            row = self.states[to] = {None: to}
-        state[c] = row, n
-        self.n_moves += 1
-        return row, n
+        move = self.state(to), n
+        if len(self.states) < MEMO_STATES:
+            state[c] = move
+        return move
+
+    def _run(self, key: tuple, data: bytes) -> tuple[tuple, int]:
+        state, n = self.bytes.run(self.bytes.state(key), data)
+        return state[None], n
 
     def kind(self, c: str) -> str:
         """L, N, O or W, as the library's own split has it."""
@@ -212,14 +250,14 @@ class CountTransducer:
 
     def _open(self, c: str) -> tuple[Split, int]:
         """A piece that begins with ``c``."""
-        inner, n = self.bytes.run(0, c.encode())
+        inner, n = self._run(START_KEY, c.encode())
         kind = self.kind(c)
         if kind == "W":
             return Split("W", inner, 0, n, c), n
         return Split("'" if c == "'" else kind, inner), n
 
     def _step(self, s: Split, c: str) -> tuple[Split, int]:
-        kind, run = self.kind(c), self.bytes.run
+        kind, run = self.kind(c), self._run
         if s.mode == "":
             return self._open(c)
         if s.mode == "W":
@@ -227,23 +265,23 @@ class CountTransducer:
                 inner, n = run(s.inner, c.encode())
                 return Split("W", inner, s.inner, n, c), n
             if s.last == " ":  # the last space goes to the word
-                inner, n = run(0, (" " + c).encode())
+                inner, n = run(START_KEY, (" " + c).encode())
                 return Split(kind, inner), n - s.back
             to, n = self._open(c)
-            return to, n - s.back + run(0, s.last.encode())[1]
+            return to, n - s.back + run(START_KEY, s.last.encode())[1]
         if s.mode == "'":
             if c in "stmd":
                 return Split(), run(s.inner, c.encode())[1]
             if c in "rvl":
                 to, n = self._open(c)
-                return Split("'" + c, to.inner, 0, n + run(0, b"'")[1]), n
+                return Split("'" + c, to.inner, 0, n + run(START_KEY, b"'")[1]), n
             if kind == "O":
                 inner, n = run(s.inner, c.encode())
                 return Split("O", inner), n
             return self._open(c)
         if s.mode[0] == "'":
             if s.mode + c in ("'re", "'ve", "'ll"):
-                return Split(), run(0, (s.mode + c).encode())[1] - s.back
+                return Split(), run(START_KEY, (s.mode + c).encode())[1] - s.back
             s = Split("L", s.inner)
         if kind == s.mode:
             inner, n = run(s.inner, c.encode())
@@ -257,22 +295,19 @@ class CountTransducer:
     def run_from(self, state: dict, text: str) -> tuple[dict, int]:
         """(state, tokens) after more text without special strings."""
         total = 0
-        for lo in range(0, len(text), CHUNK_CHARS):
-            if self.n_moves > MEMO or len(self.bytes.moves) > MEMO:
-                state = self._restart_at(state)
-            for c in text[lo : lo + CHUNK_CHARS]:
-                state, n = state.get(c) or self._move(state, c)
-                total += n
+        for c in text:
+            state, n = state.get(c) or self._move(state, c)
+            total += n
         return state, total
 
-    def _segments(self, text: str) -> int:
-        """Special strings count one each and part the text."""
-        parts = [text]
-        for special in self.special:
-            parts = [x for p in parts for x in p.split(special)]
-        return sum(map(self.run, parts)) + len(parts) - 1
+    def count(self, text: str) -> int:
+        """Tokens of a whole text: special strings count one each and part the text."""
+        if self.parting is None or not any(x in text for x in self.special):
+            return self._count(pieces(text))
+        between = self.parting.split(text)
+        return len(between) // 2 + sum(self._count(pieces(part)) for part in between[::2] if part)
 
-    def count(self, words: list[str]) -> int:
+    def _count(self, words: list[str]) -> int:
         """Tokens of consecutive parts that begin and end at cuts."""
         found = list(map(self.words.get, words))
         if None in found:
@@ -283,111 +318,76 @@ class CountTransducer:
                     word = words[k]
                     found[k] = n = self.words.get(word)
                     if n is None:
-                        found[k] = n = self._segments(word)
+                        found[k] = n = self.bytes.count(word.encode()) if LETTERS_ONLY.fullmatch(word) else self.run(word)
                         if len(word) <= MEMO_CHARS:
                             self.words[word] = n
         return sum(found)
 
-    def _cut(self, text: str, places: range) -> int | None:
-        """The first of ``places`` before which a piece ends whatever stands around."""
-        for k in places:
-            a, b = self.kind(text[k - 1]), self.kind(text[k])
-            # white space may go to what follows, an apostrophe to letters
-            if a != b and a != "W" and (text[k - 1] != "'" or b == "W") and text[k - 1 : k + 1] not in self.inside:
-                return k
-        return None
-
-    def chunk(self, text: str) -> ChunkMap:
-        """The state map of a chunk."""
+    def name(self, state: dict) -> str:
+        """A state in words that any worker understands."""
+        return repr(tuple(state[None]))
+
+    def named(self, name: str) -> dict:
+        return self.state(Split(*ast.literal_eval(name)))
+
+    def _from(self, entry: str, text: str) -> tuple[str, int]:
+        """(exit, tokens) of a stretch without special strings: its head up to the first cut from the entry, the rest from the start."""
+        if not text:
+            return entry, 0
         parts = pieces(text)
-        if len(parts) < 3:
-            first = self._cut(text, range(1, len(text)))
-            if first is None:
-                return ChunkMap(text, None, "")
-            last = self._cut(text, range(len(text) - 1, 0, -1))
-            return ChunkMap(text[:first], self.count([text[first:last]]), text[last:])
-        return ChunkMap(parts[0], self.count(parts[1:-1]), parts[-1])
-
-    def compose(self, left: ChunkMap, right: ChunkMap) -> ChunkMap:
-        if left.tokens is None and right.tokens is None:
-            return self.chunk(left.head + right.head)
-        if left.tokens is None:
-            joint = self.chunk(left.head + right.head)
-            if joint.tokens is None:
-                return ChunkMap(joint.head, right.tokens, right.tail)
-            return ChunkMap(joint.head, joint.tokens + self.count(pieces(joint.tail)) + right.tokens, right.tail)
-        if right.tokens is None:
-            joint = self.chunk(left.tail + right.head)
-            if joint.tokens is None:
-                return ChunkMap(left.head, left.tokens, joint.head)
-            return ChunkMap(left.head, left.tokens + self.count(pieces(joint.head)) + joint.tokens, joint.tail)
-        middle = self.count(pieces(left.tail + right.head))
-        return ChunkMap(left.head, left.tokens + middle + right.tokens, right.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefixes' compositions, in log2(n) rounds of independent compositions."""
-        gap = 1
-        while gap < len(maps):
-            maps = maps[:gap] + [self.compose(a, b) for a, b in zip(maps, maps[gap:], strict=False)]
-            gap *= 2
-        return maps
-
-    def total(self, whole: ChunkMap) -> int:
-        if whole.tokens is None:
-            return self.count(pieces(whole.head))
-        return self.count(pieces(whole.head)) + whole.tokens + self.count(pieces(whole.tail))
-
-
-class ChunkMap(NamedTuple):
-    """What a chunk does to a run that enters it: ``tokens`` None says that it has no cut."""
-
-    head: str
-    tokens: int | None
-    tail: str
-
-
-class Fold:
-    """The tokens of a text whose chunk maps come in order: a state, a total, and what may begin a special string."""
-
-    def __init__(self, counter: CountTransducer) -> None:
-        self.counter = counter
-        self.state, self.tokens, self.held = None, 0, ""
-
-    def _run(self, text: str) -> None:
-        if text:
-            self.state, n = self.counter.run_from(self.state or self.counter.start, text)
-            self.tokens += n
-
-    def _end(self) -> None:
-        """A cut: the next text begins in the start state."""
-        self._run(self.held)
-        self.state, self.held = None, ""
-
-    def _read(self, text: str) -> None:
-        text = self.held + text
-        while True:
-            found = [(at, -len(t)) for t in self.counter.special if (at := text.find(t)) >= 0]
-            if not found:
-                break
-            at, n = min(found)
-            self._run(text[:at])
-            self.state, text = None, text[at - n :]
-            self.tokens += 1
-        longest = max(map(len, self.counter.special), default=1) - 1
-        keep = next((n for n in range(min(longest, len(text)), 0, -1) if any(t.startswith(text[-n:]) for t in self.counter.special)), 0)
-        self._run(text[: len(text) - keep])
-        self.held = text[len(text) - keep :]
-
-    def add(self, chunk: ChunkMap) -> None:
-        self._read(chunk.head)
-        if chunk.tokens is not None:
-            self._end()
-            self.tokens += chunk.tokens
-            self._read(chunk.tail)
-
-    def total(self) -> int:
-        self._end()
-        return self.tokens
+        state, n = self.run_from(self.named(entry), parts[0])
+        if len(parts) > 1:
+            n += self._count(parts[1:-1])
+            state, more = self.run_from(self.start, parts[-1])
+            n += more
+        return self.name(state), n
+
+    def around(self, part: bytes, lead: int, own: int) -> tuple[str, list[str], bool]:
+        """A chunk with ``lead`` bytes before its ``own``: (the stretch before it, its stretches parted by special strings, whether a special string reaches into it)."""
+        text = part.decode("utf-8")
+        a = len(part[:lead].decode("utf-8"))
+        b = a + len(part[lead : lead + own].decode("utf-8"))
+        found = [m.span() for m in self.parting.finditer(text)] if self.parting else []
+        before = max((e for _, e in found if e <= a), default=0)
+        reach = next((e for s, e in found if s < a < e), a)
+        out, at = [], min(reach, b)
+        for s, e in found:
+            if a <= s < b:
+                out.append(text[at:s])
+                at = min(e, b)
+        return text[before:a], [*out, text[at:b]], reach > a
+
+    def guess(self, before: str) -> str:
+        """The state that the text before a chunk leads to; right if that text has a cut."""
+        parts = pieces(before)
+        return self.name(self.run_from(self.start, parts[-1] if parts else "")[0])
+
+    def chunk_map(self, entry: str, stretches: list[str], reached: bool) -> tuple[str, int]:
+        """(exit, tokens) of a chunk for one entry. A special string counts where it begins."""
+        state, tokens = START if reached else entry, 0
+        for k, stretch in enumerate(stretches):
+            state, n = self._from(START if k else state, stretch)
+            tokens += n + (k > 0)
+        return state, tokens
+
+
+START = repr(tuple(Split()))
+
+#: What chunks do to a run that enters them: entry state to (exit state, tokens).
+StateMap = dict[str, tuple[str, int]]
+
+
+def compose(left: StateMap, right: StateMap) -> StateMap:
+    return {entry: (right[by][0], n + right[by][1]) for entry, (by, n) in left.items() if by in right}
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """All prefixes' compositions, in log2(n) rounds of independent compositions."""
+    gap = 1
+    while gap < len(maps):
+        maps = maps[:gap] + [compose(a, b) for a, b in zip(maps, maps[gap:], strict=False)]
+        gap *= 2
+    return maps
 
 
 _transducers: dict[str, CountTransducer] = {}
@@ -400,62 +400,119 @@ def transducer(path: str) -> CountTransducer:
     return _transducers[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut(data: np.ndarray, size: int, around: int) -> list[tuple[int, int, int, int]]:
+    """(first byte seen, first own byte, end of own bytes, end of bytes seen) of the chunks; no character is cut."""
+
+    def back(at: int) -> int:
+        while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
+    borders = [back(k) for k in range(0, len(data), size)] + [len(data)]
+    return [(back(max(a - around, 0)), a, b, back(min(b + around, len(data)))) for a, b in zip(borders, borders[1:], strict=False)]
+
+
+MAP = "row long, k long, entry string, exit string, tokens long"
+
+
+def _compose_blocks(maps: DataFrame) -> DataFrame:
+    """One map for each block of up to SCAN chunks of a text, numbered anew."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        out: list[tuple] = []
+        for (row, block), group in groupby(rows, key=lambda r: (r[0], r[1] // SCAN)):
+            made = [{e: (x, n) for _, _, e, x, n in own} for _, own in groupby(group, key=lambda r: r[1])]
+            out += [(row, block, entry, exit_, n) for entry, (exit_, n) in scan(made)[-1].items()]
+            if len(out) >= 10_000:
+                yield _map_batch(out)
+                out = []
+        if out:
+            yield _map_batch(out)
+
+    block = F.expr(f"k div {SCAN}")
+    return maps.repartition("row", block).sortWithinPartitions("row", "k").mapInArrow(blocks, MAP)
+
+
+def _map_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["row", "k", "entry", "exit", "tokens"])
+
+
+def closed_maps(chunks: DataFrame, tokenizer: str) -> DataFrame:
+    """(row, k, entry, exit, tokens): the chunks' state maps, extended until each exit is an entry of the next chunk."""
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(tokenizer)
+        for batch in batches:
+            out = []
+            for row, k, lead, own, part, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                before, stretches, reached = t.around(part, lead, own)
+                if entry is None:
+                    entry = START if k == 0 or reached else t.guess(before)
+                out.append((row, k, entry, *t.chunk_map(entry, stretches, reached)))
+            if out:
+                yield _map_batch(out)
+
+    fields = ["row", "k", "lead", "own", "part"]
+    first = chunks.repartition("row", "k").select(*fields, F.lit(None).cast("string").alias("entry"))
+    maps = materialize(first.mapInArrow(evaluate, MAP), "chunk-maps")
+    while True:
+        asked = maps.select("row", (F.col("k") + 1).alias("k"), F.col("exit").alias("entry")).distinct()
+        new = asked.join(maps.select("row", "k", "entry"), ["row", "k", "entry"], "left_anti")
+        more = materialize(chunks.join(new, ["row", "k"]).select(*fields, "entry").mapInArrow(evaluate, MAP), "chunk-maps")
+        if more.isEmpty():  # the last chunk's exits ask for none
+            return maps
+        maps = maps.unionByName(more)
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, around: int = AROUND) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``) of each row.
 
     NULL is an empty text: no bytes, no tokens. Rows are counted each for itself,
     with equal or NULL ids as well; other columns do not matter; no rows give none.
-    Chunks of a text are counted independently; only texts of several chunks shuffle,
-    and what they shuffle are state maps.
+    Texts of up to ``chunk_bytes`` are counted where they are read. A longer one is cut
+    into chunks that any task may count, however long it is; what is composed are
+    state maps, a few short states for each chunk.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), text.alias("_text"))
-    n = F.greatest(F.lit(1), F.ceil(F.length("_text") / CHUNK_CHARS).cast("int"))
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring("_text", k * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)))
-    chunks = base.select(
-        "_row", "doc_id", F.octet_length("_text").cast("long").alias("n_bytes"), n.alias("n"),
-        F.posexplode(F.when(n == 1, F.array("_text")).otherwise(cut)).alias("k", "_part"),
-    )
-    kind = docs.schema[id_col].dataType
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = base.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
+    names = ["row", "doc_id", "n_bytes", "n_tokens", "n", "k", "lead", "own", "part"]
+    types = (pa.int64(), arrow, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(tokenizer)
         for batch in batches:
-            made, whole = [], []
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for text, n in zip(part.column(5).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    whole.append(t.count(pieces(text)) if n == 1 else None)
-                    made.append(t.chunk(text) if n > 1 else ChunkMap("", None, ""))
-            head, tokens, tail = zip(*made, strict=True)
-            columns = [batch.column(0), batch.column(1).cast(arrow), *(batch.column(k) for k in (2, 3, 4))]
-            columns += [pa.array(head, pa.string()), pa.array(tokens, pa.int64()), pa.array(tail, pa.string()), pa.array(whole, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_bytes", "n", "k", "head", "tokens", "tail", "whole"])
-
-    schema = f"row long, doc_id {kind.simpleString()}, n_bytes long, n int, k int, head string, tokens long, tail string, whole long"
-    found = materialize(chunks.mapInArrow(maps, schema), "chunk-maps")
-    short = found.where("n = 1").select("doc_id", "n_bytes", F.col("whole").alias("n_tokens"))
-    parts = found.where("n > 1").select("row", "doc_id", "n_bytes", "k", "head", "tokens", "tail")
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(tokenizer)
-
-        def out(of: pa.RecordBatch, total: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([of.column(1).cast(arrow), of.column(2), pa.array([total], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
-        last, now = None, Fold(t)
-        for batch in batches:
-            for k, row in enumerate(batch.column(0).to_pylist()):
-                if last is not None and row != last.column(0)[0].as_py():
-                    yield out(last, now.total())
-                    last, now = None, Fold(t)
-                if last is None:  # a copy of the small columns, so that no batch is kept
-                    last = batch.select([0, 1, 2]).take(pa.array([k]))
-                now.add(ChunkMap(*(batch.column(c)[k].as_py() for c in (4, 5, 6))))
-        if last is not None:
-            yield out(last, now.total())
-
-    dealt = parts.repartition("row").sortWithinPartitions("row", "k")
-    long = dealt.mapInArrow(fold, f"doc_id {kind.simpleString()}, n_bytes long, n_tokens long")
-    return short.unionByName(long).withColumn("over_limit", F.col("n_tokens") > limit)
+            data, bounds = W.text_bytes(batch.column(2))
+            size = np.diff(bounds)
+            own = np.flatnonzero((size <= chunk_bytes) | (not t.local))
+            if len(own):
+                few, ids = batch.take(pa.array(own)), size[own]
+                counts = [t.count(x) if x else 0 for lo in range(0, len(own), 256) for x in few.column(2).slice(lo, 256).to_pylist()]
+                one, none = np.ones(len(own), np.int64), np.zeros(len(own), np.int64)
+                columns = [few.column(0), few.column(1).cast(arrow), ids, counts, one, none, none, none, pa.nulls(len(own), pa.binary())]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=names)
+            for at in np.flatnonzero((size > chunk_bytes) & t.local).tolist():
+                text = data[bounds[at] : bounds[at + 1]]
+                cut = _cut(text, chunk_bytes, around)
+                for lo in range(0, len(cut), 64):
+                    some = cut[lo : lo + 64]
+                    m, same = len(some), batch.slice(at, 1).take(pa.array([0] * len(some[:64])))
+                    columns = [same.column(0), same.column(1).cast(arrow), [len(text)] * m, pa.nulls(m, pa.int64()), [len(cut)] * m, range(lo, lo + m)]
+                    columns += [[a - s for s, a, _, _ in some], [b - a for _, a, b, _ in some], [text[s:e].tobytes() for s, _, _, e in some]]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, x) for c, x in zip(columns, types, strict=True)], names=names)
+
+    schema = f"row long, doc_id {kind.simpleString()}, n_bytes long, n_tokens long, n long, k long, lead long, own long, part binary"
+    found = materialize(base.mapInArrow(read, schema), "token-counts")
+    counted = found.where("n = 1").select("doc_id", "n_bytes", "n_tokens")
+    longest = found.where("k > 0").agg(F.max("n")).first()[0]
+    if longest:
+        maps = closed_maps(found.where("n > 1"), tokenizer)
+        while longest > 1:
+            maps = materialize(_compose_blocks(maps), "block-maps")
+            longest = -(-longest // SCAN)
+        totals = maps.where(F.col("entry") == START).select("row", "tokens")
+        long = found.where("n > 1 AND k = 0").select("row", "doc_id", "n_bytes").join(totals, "row")
+        counted = counted.unionByName(long.select("doc_id", "n_bytes", F.col("tokens").alias("n_tokens")))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -36,37 +36,90 @@ def test_cached_ids_are_the_librarys(texts, path, monkeypatch):
     assert [x.tolist() for x in tokens.TextEncoder(path).encode(texts)] == want
 
 
-def test_transducer_counts_as_the_library(texts):
-    t = transducer.CountTransducer(BYTE)
-    want = [len(x.ids) for x in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
-    assert [t.count(tokens.pieces(x)) for x in texts] == want
-    assert [t._segments(x) for x in texts] == want
-    plain = [(x, n) for x, n in zip(texts, want, strict=True) if "<|" not in x]
-    for size in (1, 3, 10):
-        for x, n in plain[:600]:
-            maps = [t.chunk(x[k : k + size]) for k in range(0, max(len(x), 1), size)]
-            scanned = t.scan(maps)
-            assert t.total(scanned[-1]) == n
-            assert len(scanned) == len(maps)
+def library_counts(texts):
+    return [len(x.ids) for x in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+
+
+def chunk_maps(t, text, size, around=transducer.AROUND):
+    """Closed maps of a text's chunks, made as the query makes them."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    chunks = [t.around(data[s:e].tobytes(), a - s, b - a) for s, a, b, e in transducer._cut(data, size, around)]
+    maps = [{} for _ in chunks]
+    asked = [{transducer.START if k == 0 or reached else t.guess(before)} for k, (before, _, reached) in enumerate(chunks)]
+    rounds = 0
+    while any(asked):
+        rounds += 1
+        for m, (_, stretches, reached), entries in zip(maps, chunks, asked, strict=True):
+            m.update({e: t.chunk_map(e, stretches, reached) for e in entries})
+        asked = [set()] + [{x for x, _ in left.values()} - right.keys() for left, right in zip(maps, maps[1:], strict=False)]
+    return maps, rounds
+
+
+def test_transducer_counts_as_the_library(texts, monkeypatch):
+    for memo in (transducer.MEMO_STATES, 20, 1):
+        monkeypatch.setattr(transducer, "MEMO_STATES", memo)
+        t = transducer.CountTransducer(BYTE)
+        assert t.local
+        assert [t.count(x) for x in texts] == library_counts(texts)
+
+
+SPECIAL = ["a\n\n<|endoftext|>", "a \n <|endoftext|> b", "<|endoftext|>\n\n<|endoftext|>", "x<|endoftext|<|endoftext|>  ", "GELİ.", "EVLİ, iki", "İ?"]
+
+
+def random_texts(seed, n):
+    """Short texts of special strings, all white space, Latin capitals, marks and contractions."""
+    rng = random.Random(seed)
+    space, latin = " \n\t\r\x0b\x0c\x1c\x85\xa0\u3000", [chr(c) for c in (*range(0xC0, 0x250), 0x130, 0x130, 0x3A3, 0x1E9E)]
+    kinds = [
+        lambda: rng.choice(["<|endoftext|>", "<|startoftext|>", "<|", "<", "|>"]), lambda: rng.choice(space[: rng.choice([4, 10])]) * rng.randint(1, 3),
+        lambda: rng.choice(latin), lambda: rng.choice(".,;:!?'-1"), lambda: rng.choice("abSTDMVErelz"), lambda: rng.choice(["'re", "\u0301", "日本", "\U0001f642"]),
+    ]
+    return ["".join(rng.choice(kinds)() for _ in range(rng.randint(1, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_ids_around_special_strings_and_capitals(path):
+    made = SPECIAL + random_texts(1, 20_000)
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(made, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.TextEncoder(path).encode(made)] == want
+
+
+def test_counts_around_special_strings():
+    made = SPECIAL + random_texts(2, 20_000)
+    assert [transducer.transducer(BYTE).count(x) for x in made] == library_counts(made)
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 40])
+def test_scanned_chunk_maps_count_as_the_library(texts, size):
+    t = transducer.transducer(BYTE)
+    made = [x for x in texts[:600] + SPECIAL + random_texts(size, 600) if x]
+    for text, want in zip(made, library_counts(made), strict=True):
+        maps, _ = chunk_maps(t, text, size, 16)
+        scanned = transducer.scan(maps)
+        assert len(scanned) == len(maps) and scanned[-1][transducer.START][1] == want
+        total, state = 0, transducer.START
+        for m, prefix in zip(maps, scanned, strict=True):
+            state, n = m[state]
+            total += n
+            assert prefix[transducer.START] == (state, total)
 
 
 def test_counts_of_rows(spark, texts, monkeypatch):
-    monkeypatch.setattr(transducer, "CHUNK_CHARS", 200)
-    rows = [*enumerate(texts[-60:] + FIXED), (None, "a b"), (3, None), (3, None)]
+    monkeypatch.setattr(transducer, "SCAN", 3)
+    rows = [*enumerate(texts[-60:] + FIXED), (None, "a b"), (3, None), (3, None), (None, texts[-1]), (None, texts[-1])]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n int")
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in transducer.count_tokens(docs, BYTE).collect())
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in transducer.count_tokens(docs, BYTE, chunk_bytes=200).collect())
     lib = Tokenizer.from_file(BYTE)
     want = [len(lib.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
     assert got == sorted((str(i), len((t or "").encode()), n, n > 512) for (i, t), n in zip(rows, want, strict=True))
     assert transducer.count_tokens(docs.limit(0), BYTE).collect() == []
 
 
-def test_special_string_across_chunks(spark, monkeypatch):
-    monkeypatch.setattr(transducer, "CHUNK_CHARS", 7)
+def test_special_string_across_chunks(spark):
     text = "one two<|endoftext|> three <|endoftext|>four five six" * 3
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     want = len(Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).ids)
-    assert transducer.count_tokens(docs, BYTE).first().n_tokens == want
+    assert transducer.count_tokens(docs, BYTE, chunk_bytes=7, around=16).first().n_tokens == want
 
 
 @pytest.mark.parametrize("n,top", [(0, 2), (1, 1), (513, 3), (5000, 50_257)])
@@ -166,34 +219,22 @@ def uncut():
     ]
 
 
-def test_uncut_chunks_keep_states_only(monkeypatch):
-    """In order, as the library counts them; what a fold keeps does not grow with the text."""
-    t = transducer.CountTransducer(BYTE)
-    lib = Tokenizer.from_file(BYTE)
-    for memo in (transducer.MEMO, 300):
-        monkeypatch.setattr(transducer, "MEMO", memo)
-        monkeypatch.setattr(transducer, "CHUNK_CHARS", 500)
-        for text in uncut():
-            for size in (7, 500):
-                fold = transducer.Fold(t)
-                for k in range(0, len(text), size):
-                    fold.add(t.chunk(text[k : k + size]))
-                    assert len(fold.held) < len("<|endoftext|>")
-                assert fold.total() == len(lib.encode(text, add_special_tokens=False).ids)
-
-
-def test_odd_white_space_and_runs_are_cut():
-    t = transducer.CountTransducer(BYTE)
-    odd, _, base, *_ = uncut()
-    for text in (odd[:5000], base[:5000]):
-        made = t.chunk(text)
-        assert made.tokens is not None and len(made.head) + len(made.tail) < 100
+def test_maps_of_uncut_texts_close(monkeypatch):
+    """No cut, odd white space, one letter over and over: few entries a chunk, few rounds, the library's counts."""
+    for memo in (transducer.MEMO_STATES, 5):
+        monkeypatch.setattr(transducer, "MEMO_STATES", memo)
+        t = transducer.CountTransducer(BYTE)
+        for text, want in zip(uncut(), library_counts(uncut()), strict=True):
+            for size in (61, 500):
+                maps, rounds = chunk_maps(t, text, size)
+                assert transducer.scan(maps)[-1][transducer.START][1] == want
+                assert rounds <= 12 and max(map(len, maps)) <= 12
 
 
 def test_long_uncut_rows(spark):
     """Several MB: a no-break space in each chunk, and a run without white space."""
     odd, _, base, letters, *_ = uncut()
-    texts = [odd * 80, base * 120, letters * 40]
+    texts = [odd * 80, base * 120, letters * 40, "a" * 300_000, "x y " * 100_000 + "\n\n" * 40_000 + "<|endoftext|>"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     lib = Tokenizer.from_file(BYTE)
     want = {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}

@@ -56,7 +56,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
 
 
-#: The places at which the next token may begin: (bytes since, token before, tokens ago).
+#: The places at which the next token may begin: (bytes since, token before, tokens there less those now).
 START_KEY = ((b"", -1, 0),)
 
 
@@ -170,7 +170,7 @@ class ByteTransducer:
         else:
             return total
         ids, begins, together = self.ids, self.begins, self.together
-        live = [(at - len(seen), before, total - ago) for seen, before, ago in state[None]]
+        live = [(at - len(seen), before, total + ago) for seen, before, ago in state[None]]
         for end in range(at + 1, n + 1):
             last, found, still = -1, 0, []
             for place in live:

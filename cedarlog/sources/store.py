@@ -1,28 +1,29 @@
-"""The log store: one parquet table per source, for many writers and readers.
-
-Rows are partitioned by receipt ``day`` and by ``id_base``, the number of ids given
-out before their batch. A writer reserves its ids with a log entry that only one
-can create, so no two batches share a folder; a repeated batch first removes what
-its earlier attempt left. Readers leave out batches that are not committed.
-
-What rewrites stored rows (prune, re-enrich, fill, compact) writes whole days aside,
-notes the exchange and then renames. A note that a lost driver left is finished by
-the next such job; one at a time rewrites a table, while appends go on.
-
-    <table>/data/day=../id_base=..   rows
-    <table>/log/<n>.json             reservations, the last ones
-    <table>/commits/<base>.json      committed batches, read by followers
-    <table>/batches/<writer>-<n>.json  what a streaming writer's batch has reserved
-    <table>/swaps/<id>.json          exchanges under way
+"""The log store: one parquet table per source, a folder for each batch.
+
+    <table>/data/ids=<base>-<last>/batch=<writer>-<number>/day=<receipt day>/part-..
+    <table>/promoted.json      fields with columns of their own
+
+A batch is one Spark write in overwrite mode to a folder of its own, and is there once
+Spark has put its ``_SUCCESS`` mark into it; a repeated batch overwrites its folder. The
+folder's name says which ids it holds, so ids go on from the names, and a cursor or
+newest-N search prunes by them. What rewrites stored rows (prune, re-enrich, fill) is a
+dynamic partition overwrite of the partitions that change. Compaction writes the rows of
+neighbouring batches as one larger batch; a batch whose ids lie within a larger one's is
+no longer read, and goes.
+
+Any number of streams of one driver may append to a table at a time. Another driver has a
+store of its own; the stores' tables can be read as a union.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 import threading
 import uuid
 from collections.abc import Iterable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,18 +37,37 @@ from cedarlog.operators.rules import Rule
 from cedarlog.schemas import SOURCES, source, time_column
 from cedarlog.session import scratch_path
 
-_PARTITIONS = [T.StructField("day", T.DateType()), T.StructField("id_base", T.LongType())]
+_PARTITIONS = [T.StructField("ids", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("day", T.DateType())]
+_KEYS = [f.name for f in _PARTITIONS]
 
-#: Committed reservations that stay in the log.
-_LOG_ENTRIES = 64
 #: Bytes of a file that compaction aims at.
 _FILE_BYTES = 128 << 20
-#: Local file systems have no atomic create; writers of one driver take turns instead.
+#: Batches of one driver take their ids in turns.
 _RESERVING = threading.Lock()
 
 
+class Batch(NamedTuple):
+    """Ids ``base`` + 1 to ``last``."""
+
+    base: int
+    last: int
+    name: str
+
+    @property
+    def folder(self) -> str:
+        return f"ids={self.base:020d}-{self.last:020d}/batch={self.name}"
+
+    def holds(self, other: Batch) -> bool:
+        return self.base <= other.base and other.last <= self.last and self[:2] != other[:2]
+
+
+def parse_batch(path: str) -> Batch | None:
+    found = re.search(r"ids=([0-9]+)-([0-9]+)/batch=([^/]+)", path)
+    return Batch(int(found[1]), int(found[2]), found[3]) if found else None
+
+
 class LogStore:
-    """Any number of writers and readers per source."""
+    """Any number of streams and readers per source."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -56,7 +76,10 @@ class LogStore:
     # -- files ---------------------------------------------------------------
 
     def data_path(self, source_name: str) -> str:
-        return f"{self.root}/{source(source_name).name}/data"
+        return f"{self._top(source_name)}/data"
+
+    def _top(self, source_name: str) -> str:
+        return f"{self.root}/{source(source_name).name}"
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
@@ -71,46 +94,18 @@ class LogStore:
         fs, target = self._fs(path)
         fs.delete(target, True)
 
-    def _create(self, path: str, content: dict) -> bool:
-        """Write a note that must not exist yet; False if it does."""
-        fs, target = self._fs(path)
-        if fs.exists(target):
-            return False
-        try:
-            out = fs.create(target, False)
-        except Exception as error:
-            if "AlreadyExists" in str(error):
-                return False
-            raise
-        out.write(bytearray(json.dumps(content), "utf-8"))
-        out.close()
-        return True
-
-    def _put(self, path: str, content: dict) -> None:
-        """A note, replaced as a whole by one rename."""
-        jvm = self.spark.sparkContext._jvm
-        fs, target = self._fs(path)
-        fs, draft = self._fs(f"{path}.{uuid.uuid4().hex}.tmp")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(content), "utf-8"))
-        out.close()
-        rename = jvm.org.apache.hadoop.fs.Options.Rename
-        how = self.spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        files.rename(fs.makeQualified(draft), fs.makeQualified(target), how)
-
     def _names(self, pattern: str) -> list[str]:
         """Paths that match, by listing."""
         fs, target = self._fs(pattern)
         return sorted(str(s.getPath().toString()) for s in fs.globStatus(target) or [])
 
-    def _top(self, source_name: str) -> str:
-        return f"{self.root}/{source(source_name).name}"
+    # -- promoted fields -----------------------------------------------------
 
-    def _get(self, path: str) -> dict | None:
+    def _promotions(self, source_name: str) -> dict[str, list[str]]:
+        """Fields with columns of their own, and the days whose rows do not have them yet."""
+        path = f"{self._top(source_name)}/promoted.json"
         if not self._exists(path):
-            return None
+            return {}
         fs, target = self._fs(path)
         stream = fs.open(target)
         try:
@@ -118,11 +113,19 @@ class LogStore:
         finally:
             stream.close()
 
-    # -- promoted fields -----------------------------------------------------
-
-    def _promotions(self, source_name: str) -> dict[str, list[str]]:
-        """Fields with columns of their own, and the days whose rows do not have them yet."""
-        return self._get(f"{self._top(source_name)}/promoted.json") or {}
+    def _put_promotions(self, source_name: str, known: dict[str, list[str]]) -> None:
+        """Replaced as a whole by one rename."""
+        jvm = self.spark.sparkContext._jvm
+        fs, target = self._fs(f"{self._top(source_name)}/promoted.json")
+        _, draft = self._fs(f"{self._top(source_name)}/promoted.{uuid.uuid4().hex}.tmp")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(known), "utf-8"))
+        out.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(fs.makeQualified(draft), fs.makeQualified(target), how)
 
     def promoted(self, source_name: str) -> list[str]:
         """Enriched fields that every stored row has in columns of their own."""
@@ -138,9 +141,9 @@ class LogStore:
         known = self._promotions(source_name)
         added = [promote.check_field(f) for f in fields if f not in known]
         if added:
-            days = sorted({day for day, _ in self._partition_dirs(source_name)})
+            days = sorted({path.rsplit("day=", 1)[1] for path in self._names(f"{self.data_path(source_name)}/ids=*/batch=*/day=*")})
             known = known | {field: days for field in added}
-            self._put(f"{self._top(source_name)}/promoted.json", known)
+            self._put_promotions(source_name, known)
         self.fill(source_name)
 
     def fill(self, source_name: str) -> None:
@@ -148,11 +151,11 @@ class LogStore:
         known = self._promotions(source_name)
         for day in sorted({day for days in known.values() for day in days}):
             fields = [field for field, days in known.items() if day in days]
-            rows = self.read(source_name).where(F.col("day") == F.lit(day).cast("date"))
+            rows = self._rows(source_name).where(F.col("day") == F.lit(day).cast("date"))
             plain = [c for c in rows.columns if not any(c.startswith(f"field_{f}_") for f in fields)]
-            self._exchange(source_name, [day], promote.promote_fields(rows.select(*plain), fields).select(*rows.columns))
+            self._overwrite(source_name, promote.promote_fields(rows.select(*plain), fields).select(*rows.columns))
             known = {field: [d for d in days if d != day] for field, days in known.items()}
-            self._put(f"{self._top(source_name)}/promoted.json", known)
+            self._put_promotions(source_name, known)
 
     # -- reading -------------------------------------------------------------
 
@@ -160,15 +163,31 @@ class LogStore:
         fields = promote.promoted_schema(self._promotions(source_name))
         return T.StructType(source(source_name).schema.fields + fields + _PARTITIONS)
 
-    def read(self, source_name: str) -> DataFrame:
-        """All rows of committed batches, with ``day`` and ``id_base``."""
+    def _listed(self, source_name: str) -> tuple[list[Batch], set[Batch]]:
+        """All batches in the order of their ids, and those of them that are not to be read: unfinished, or part of a larger one."""
+        data = self.data_path(source_name)
+        every = sorted(filter(None, map(parse_batch, self._names(f"{data}/ids=*/batch=*"))))
+        whole = set(filter(None, map(parse_batch, self._names(f"{data}/ids=*/batch=*/_SUCCESS"))))
+        hidden, large = set(every) - whole, None
+        for batch in sorted(whole, key=lambda b: (b.base, -b.last)):
+            if large and large.holds(batch):
+                hidden.add(batch)
+            else:
+                large = batch
+        return every, hidden
+
+    def _rows(self, source_name: str) -> DataFrame:
+        """All rows of whole batches, with the columns of their partitions."""
         schema = self.schema(source_name)
-        path = self.data_path(source_name)
-        if not self._exists(path):
+        if not self._exists(self.data_path(source_name)):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(path)
-        open_ = [entry["base"] for entry in self._reservations(source_name) if not self._exists(self._commit_path(source_name, entry["base"]))]
-        return rows.where(~F.col("id_base").isin(open_)) if open_ else rows
+        rows = self.spark.read.schema(schema).parquet(self.data_path(source_name))
+        hidden = [b.folder.split("/")[0][4:] for b in self._listed(source_name)[1]]
+        return rows.where(~F.col("ids").isin(hidden)) if hidden else rows
+
+    def read(self, source_name: str) -> DataFrame:
+        """All rows of whole batches, with ``day`` and ``id_base``, the largest id before their batch."""
+        return self._rows(source_name).withColumn("id_base", _base()).drop("ids", "batch")
 
     def matching(self, source_name: str, **filters) -> DataFrame:
         """Stored rows passing the filters; windows prune days, promoted fields prune rows."""
@@ -179,62 +198,20 @@ class LogStore:
             source_name, promoted=self.promoted(source_name), partitioned=True, **filters
         )
 
-    def commits_path(self, source_name: str) -> str:
-        """The folder of commit notes, made if it is not there."""
-        path = f"{self._top(source_name)}/commits"
-        fs, target = self._fs(path)
-        fs.mkdirs(target)
-        return path
-
-    def _commit_path(self, source_name: str, base: int) -> str:
-        return f"{self._top(source_name)}/commits/{base:020d}.json"
-
-    def _reservations(self, source_name: str) -> list[dict]:
-        """The log's entries, oldest first."""
-        found = (self._get(path) for path in self._names(f"{self._top(source_name)}/log/*.json"))
-        return [entry for entry in found if entry]
-
-    def _reserve(self, source_name: str, count: int) -> int:
-        """Take the next ``count`` ids: the first writer to create the next entry has them."""
-        log = f"{self._top(source_name)}/log"
-        with _RESERVING:
-            while True:
-                names = self._names(f"{log}/*.json")
-                last = self._get(names[-1]) if names else {"number": 0, "base": 0, "count": 0}
-                if not last:  # being written just now
-                    continue
-                number, base = last["number"] + 1, last["base"] + last["count"]
-                path = f"{log}/{number:012d}.json"
-                if not self._create(path, {"number": number, "base": base, "count": count}):
-                    continue
-                if self._names(f"{log}/*.json")[-1].endswith(f"{number:012d}.json"):
-                    break
-                self._delete(path)  # the entry had been tidied away; newer ones exist
-            for old in names[:-_LOG_ENTRIES]:
-                entry = self._get(old)
-                if entry and self._exists(self._commit_path(source_name, entry["base"])):
-                    self._delete(old)
-        return base
-
     def max_id(self, source_name: str) -> int:
         """The largest id given out so far, pruned rows included."""
-        names = self._names(f"{self._top(source_name)}/log/*.json")
-        last = self._get(names[-1]) if names else None
-        return last["base"] + last["count"] if last else 0
+        found = filter(None, map(parse_batch, self._names(f"{self.data_path(source_name)}/ids=*/batch=*")))
+        return max((b.last for b in found), default=0)
 
-    def _partition_dirs(self, source_name: str) -> list[tuple[str, int]]:
-        """Existing (day, id_base) directories, by listing alone."""
-        path = self.data_path(source_name)
-        if not self._exists(path):
-            return []
-        fs, target = self._fs(f"{path}/day=*/id_base=*")
-        found = fs.globStatus(target)
-        names = [(s.getPath().getParent().getName(), s.getPath().getName()) for s in found or []]
-        return [(day.split("=", 1)[1], int(base.split("=", 1)[1])) for day, base in names]
+    def batches(self, source_name: str) -> list[Batch]:
+        """The batches that are read, oldest ids first."""
+        every, hidden = self._listed(source_name)
+        return [b for b in every if b not in hidden]
 
-    def batches(self, source_name: str) -> list[int]:
-        """The ``id_base`` of every stored batch or compacted day, oldest first."""
-        return sorted({base for _, base in self._partition_dirs(source_name)})
+    def between(self, source_name: str, low: int, high: int) -> DataFrame:
+        """Rows with ``low`` < id <= ``high``, from the batches that hold such ids."""
+        within = (F.col("id") > F.lit(low)) & (F.col("id") <= F.lit(high))
+        return self._rows(source_name).where(within & (_base() < F.lit(high)) & (_last() > F.lit(low))).withColumn("id_base", _base()).drop("ids", "batch")
 
     def newest(
         self, source_name: str, limit: int | None = 20, asc: bool = False, first_step: int = 1 << 20, **filters
@@ -247,57 +224,25 @@ class LogStore:
         row-group minima and maxima.
         """
         wanted = positive_or(limit, 20)
-        rows = self.matching(source_name, **filters)
-        top, bases = self.max_id(source_name), self.batches(source_name)
-        if not bases:
-            return rows.limit(0)
+        batches = self.batches(source_name)
+        bottom, top = (batches[0].base, max(b.last for b in batches)) if batches else (0, 0)
+        matching = self._filter(source_name, filters)
         order = F.col("id").asc() if asc else F.col("id").desc()
-        step, done, found = first_step, bases[0], 0
-        edge = bases[0] if asc else top
-        bottom = bases[0]
+        step, found, edge = first_step, 0, bottom if asc else top
         while True:
             low, high = (edge, min(edge + step, top)) if asc else (max(edge - step, bottom), edge)
-            slice_rows = rows.filter(self._between(source_name, bases, low, high))
-            found += slice_rows.select("id").limit(wanted - found).count()
             edge = high if asc else low
-            if found >= wanted or edge == (top if asc else bottom):
-                span = self._between(source_name, bases, done, edge) if asc else self._between(source_name, bases, edge, top)
-                return rows.filter(span).orderBy(order).limit(wanted)
+            done = edge == (top if asc else bottom)
+            if not done:
+                found += self.between(source_name, low, high).filter(matching).select("id").limit(wanted - found).count()
+            if done or found >= wanted:
+                span = (bottom, edge) if asc else (edge, top)
+                return self.between(source_name, *span).filter(matching).orderBy(order).limit(wanted)
             step *= 8
 
-    def _first_base(self, source_name: str, bases: Sequence[int], low: int) -> int:
-        """No folder with a smaller ``id_base`` holds ids past ``low``."""
-        merged = self._get(f"{self._top(source_name)}/compacted.json") or {}
-        return min([max((b for b in bases if b <= low), default=0), *(int(b) for b, last in merged.items() if last > low)])
-
-    def _between(self, source_name: str, bases: Sequence[int], low: int, high: int) -> Column:
-        """Rows with low < id <= high, with the folders that can hold them."""
-        return (
-            (F.col("id") > F.lit(low))
-            & (F.col("id") <= F.lit(high))
-            & (F.col("id_base") >= F.lit(self._first_base(source_name, bases, low)))
-            & (F.col("id_base") < F.lit(max(high, 1)))
-        )
-
     def after(self, source_name: str, last: int, **filters) -> DataFrame:
         """Rows past a cursor in id order; batches wholly before it are not opened."""
-        first = self._first_base(source_name, self.batches(source_name), last)
-        rows = self.matching(source_name, **filters)
-        return rows.filter((F.col("id_base") >= F.lit(first)) & (F.col("id") > F.lit(last))).orderBy("id")
-
-    def in_batches(self, source_name: str, batches: Iterable[tuple[int, int]]) -> DataFrame:
-        """Rows of committed batches, given as (base, count), wherever they are stored now."""
-        spans: list[list[int]] = []
-        for base, count in sorted(batches):
-            if spans and base <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], base + count)
-            else:
-                spans.append([base, base + count])
-        bases = self.batches(source_name)
-        wanted = F.lit(False)
-        for low, high in spans:
-            wanted = wanted | self._between(source_name, bases, low, high)
-        return self.read(source_name).where(wanted)
+        return self.between(source_name, last, max(self.max_id(source_name), last)).filter(self._filter(source_name, filters)).orderBy("id")
 
     def tail(self, source_name: str, lines: int | None = 10, **filters) -> DataFrame:
         return self.newest(source_name, positive_or(lines, 10), **filters).orderBy("id")
@@ -309,17 +254,18 @@ class LogStore:
 
     # -- writing -------------------------------------------------------------
 
-    def batch_time(self, source_name: str, batch: tuple[str, int]) -> dt.datetime:
-        """When a streaming writer's batch first began; the same for every attempt at it."""
-        path = self._batch_path(source_name, batch)
-        note = self._get(path)
-        if not note:
-            note = {"received": dt.datetime.now(dt.timezone.utc).isoformat()}
-            self._put(path, note)
-        return dt.datetime.fromisoformat(note["received"])
+    def _stored_batch(self, source_name: str, name: str) -> Batch | None:
+        found = self._names(f"{self.data_path(source_name)}/ids=*/batch={name}")
+        return parse_batch(found[0]) if found else None
 
-    def _batch_path(self, source_name: str, batch: tuple[str, int]) -> str:
-        return f"{self._top(source_name)}/batches/{batch[0]}-{batch[1]}.json"
+    def batch_time(self, source_name: str, batch: tuple[str, int]) -> dt.datetime:
+        """The receipt time of a streaming writer's batch: what an earlier attempt stored, else now."""
+        stored = self._stored_batch(source_name, f"{batch[0]}-{batch[1]}")
+        if stored and stored in set(self.batches(source_name)):
+            row = self.between(source_name, stored.base, stored.last).select("r_isodate").first()
+            if row:
+                return row.r_isodate.astimezone(dt.timezone.utc)
+        return dt.datetime.now(dt.timezone.utc)
 
     def append(
         self,
@@ -331,9 +277,9 @@ class LogStore:
         """Number and add rows; returns the largest id given out.
 
         ``batch`` is (writer name, batch number) of a streaming writer; writers of one
-        table need names of their own. What it reserves is noted before any row is
-        written, so a repeat after a failure removes what the failed attempt left and
-        takes the same ids. Every row needs a receipt time.
+        table need names of their own. A repeated batch takes the ids of its earlier
+        attempt and overwrites its rows, on whatever days those were. Every row needs
+        a receipt time.
         """
         columns = [f.name for f in source(source_name).schema.fields if f.name != "id"]
         needed = F.coalesce("r_isodate", F.raise_error(F.lit("a row has no r_isodate")).cast("timestamp"))
@@ -343,109 +289,88 @@ class LogStore:
             count = staged.count()
             if not count:
                 return self.max_id(source_name)
-            note = (self._get(self._batch_path(source_name, batch)) if batch else None) or {}
-            if note.get("count") == count:
-                base = note["base"]
-            else:
-                if "base" in note:  # the batch came back with other rows
-                    self._remove_batch(source_name, note["base"])
-                base = self._reserve(source_name, count)
-                if batch:
-                    self.batch_time(source_name, batch)
-                    kept = self._get(self._batch_path(source_name, batch)) or {}
-                    self._put(self._batch_path(source_name, batch), kept | {"base": base, "count": count})
-            if "base" in note:
-                self._remove_batch(source_name, base)
-            numbered = staged.withColumn("id", F.col("id") + F.lit(base))
-            stored = promote.promote_fields(numbered, self._promotions(source_name))
-            stored = stored.withColumns({"day": F.to_date("r_isodate"), "id_base": F.lit(base).cast("bigint")})
-            stored = stored.select(*self.schema(source_name).names)
-            # Spark jobs must not share an output folder: one's commit clears the other's work
-            aside = f"{self._top(source_name)}/aside-{uuid.uuid4().hex}"
-            stored.write.partitionBy("day", "id_base").parquet(aside)
-            for name in self._folders(aside):
-                self._install(source_name, aside, name)
-            self._delete(aside)
-            self._create(self._commit_path(source_name, base), {"base": base, "count": count})
+            place = self._place(source_name, f"{batch[0]}-{batch[1]}" if batch else uuid.uuid4().hex, count)
+            numbered = staged.withColumn("id", F.col("id") + F.lit(place.base))
+            stored = promote.promote_fields(numbered, self._promotions(source_name)).withColumn("day", F.to_date("r_isodate"))
+            own = [n for n in self.schema(source_name).names if n not in ("ids", "batch")]
+            stored.select(*own).write.mode("overwrite").partitionBy("day").parquet(f"{self.data_path(source_name)}/{place.folder}")
         finally:
             self._delete(staging)
-        if batch:  # a stream repeats its last batch only
-            self._delete(self._batch_path(source_name, (batch[0], batch[1] - 2)))
         return self.max_id(source_name)
 
-    def _remove_batch(self, source_name: str, base: int) -> None:
-        for path in self._names(f"{self.data_path(source_name)}/day=*/id_base={base}"):
-            self._delete(path)
+    def _place(self, source_name: str, name: str, count: int) -> Batch:
+        """The ids of a batch: those it had before if it has as many rows, else the next ones."""
+        with _RESERVING:
+            before = self._stored_batch(source_name, name)
+            if before and before.last - before.base == count:
+                return before
+            if before:  # the batch came back with other rows
+                self._delete(f"{self.data_path(source_name)}/{before.folder.split('/')[0]}")
+            base = max(self.max_id(source_name), before.last if before else 0)
+            place = Batch(base, base + count, name)
+            fs, target = self._fs(f"{self.data_path(source_name)}/{place.folder}")
+            fs.mkdirs(target)
+            return place
 
     # -- rewriting -----------------------------------------------------------
 
-    def _exchange(self, source_name: str, days: Sequence[str], rows: DataFrame) -> None:
-        """Put ``rows``, which were read from them, in place of the committed rows of whole days."""
-        swap = uuid.uuid4().hex
-        aside = f"{self._top(source_name)}/aside-{swap}"
-        open_ = {e["base"] for e in self._reservations(source_name) if not self._exists(self._commit_path(source_name, e["base"]))}
-        old = [
-            f"{self.data_path(source_name)}/day={day}/id_base={base}"
-            for day, base in self._partition_dirs(source_name)
-            if day in set(days) and base not in open_
-        ]
-        rows.write.partitionBy("day", "id_base").parquet(aside)
-        new = self._folders(aside)
-        note = f"{self._top(source_name)}/swaps/{swap}.json"
-        self._put(note, {"aside": aside, "old": old, "new": new})
-        self._finish(source_name, note)
-
-    def _finish(self, source_name: str, note: str) -> None:
-        """Carry out a noted exchange; every step may be repeated."""
-        swap = self._get(note)
-        if not swap:
-            return
-        data = self.data_path(source_name)
-        targets = {f"{data}/{name}" for name in swap["new"]}
-        for path in swap["old"]:
-            if path not in targets:
-                self._delete(path)
-        for name in swap["new"]:
-            self._install(source_name, swap["aside"], name)
-        self._delete(note)
-        self._delete(swap["aside"])
-
-    def _folders(self, aside: str) -> list[str]:
-        return ["/".join(p.split("/")[-2:]) for p in self._names(f"{aside}/day=*/id_base=*")]
-
-    def _install(self, source_name: str, aside: str, name: str) -> None:
-        """Put a folder written aside in its place; nothing is left to do if it is there already."""
-        fs, ready = self._fs(f"{aside}/{name}")
-        if fs.exists(ready):
-            _, target = self._fs(f"{self.data_path(source_name)}/{name}")
-            fs.delete(target, True)
-            fs.mkdirs(target.getParent())
-            if not fs.rename(ready, target):
-                raise OSError(f"could not rename {ready} to {target}")
+    def _overwrite(self, source_name: str, rows: DataFrame) -> None:
+        """Put rows in place of the partitions they came from."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*_KEYS).parquet(self.data_path(source_name))
 
     def recover(self, source_name: str) -> None:
-        """Finish exchanges that a lost driver had noted.
+        """Finish an overwrite whose driver was lost while Spark exchanged partitions.
 
-        Appends may go on at any time, but one job at a time rewrites a table.
+        Spark writes all partitions aside and then puts one after the other in place of
+        the old one. Where the old one is gone, the new one is moved; the rest is left
+        as it was. One job at a time rewrites a table, while appends go on.
         """
-        for note in self._names(f"{self._top(source_name)}/swaps/*.json"):
-            self._finish(source_name, note)
+        data = self.data_path(source_name)
+        for aside in self._names(f"{data}/.spark-staging-*"):
+            for ready in self._names(f"{aside}/ids=*/batch=*/day=*"):
+                target = f"{data}/{'/'.join(ready.rsplit('/', 3)[1:])}"
+                fs, place = self._fs(target)
+                if self._exists(target.rsplit("/", 1)[0]) and not fs.exists(place):
+                    fs.rename(self._fs(ready)[1], place)
+            self._delete(aside)
+
+    def _some(self, source_name: str, keys: Sequence) -> DataFrame:
+        """The rows of given partitions."""
+        rows = self._rows(source_name)
+        if not keys:
+            return rows.limit(0)
+        wanted = [F.struct(F.lit(k.ids).alias("ids"), F.lit(k.batch).alias("batch"), F.lit(str(k.day)).cast("date").alias("day")) for k in keys]
+        return rows.where(F.col("day").isin([k.day for k in keys]) & F.struct(*_KEYS).isin(*wanted))
 
     def compact(self, source_name: str, day: str) -> None:
-        """Merge a closed day's batches into one folder of large files, in id order."""
-        self.recover(source_name)
-        bases = sorted(base for d, base in self._partition_dirs(source_name) if d == day)
-        if len(bases) < 2:
-            return
-        rows = self.read(source_name).where(F.col("day") == F.lit(day).cast("date"))
-        last = rows.agg(F.max("id")).first()[0]
-        path = f"{self._top(source_name)}/compacted.json"
-        merged = self._get(path) or {}
-        self._put(path, merged | {str(bases[0]): max(last or 0, merged.get(str(bases[0]), 0))})
-        fs, folder = self._fs(f"{self.data_path(source_name)}/day={day}")
-        files = max(1, -(-fs.getContentSummary(folder).getLength() // _FILE_BYTES))
-        whole = rows.withColumn("id_base", F.lit(bases[0]).cast("bigint")).select(*rows.columns)
-        self._exchange(source_name, [day], whole.repartitionByRange(files, "id").sortWithinPartitions("id"))
+        """Merge batches without a row past ``day`` with their neighbours, into large files in id order.
+
+        A batch written meanwhile stays as it is. A repeat of a merged batch would be
+        a new one, so merge days that no stream repeats any more.
+        """
+        data, batches = self.data_path(source_name), self.batches(source_name)
+        late = {parse_batch(p) for p in self._names(f"{data}/ids=*/batch=*/day=*") if p.rsplit("day=", 1)[1] > day}
+        every, hidden = self._listed(source_name)
+        runs: list[list[Batch]] = [[]]
+        for batch in every:
+            if batch in hidden and any(b.holds(batch) for b in batches):
+                self._delete(f"{data}/{batch.folder.split('/')[0]}")  # merged before
+            elif batch in late or batch in hidden:
+                runs.append([])
+            else:
+                runs[-1].append(batch)
+        for run in runs:
+            if len(run) < 2:
+                continue
+            whole = Batch(run[0].base, run[-1].last, f"merged-{uuid.uuid4().hex}")
+            fs = self._fs(data)[0]
+            size = sum(fs.getContentSummary(self._fs(f"{data}/{b.folder}")[1]).getLength() for b in run)
+            rows = self.between(source_name, whole.base, whole.last).drop("id_base")
+            spread = rows.repartitionByRange(max(1, -(-size // _FILE_BYTES)), "day", "id").sortWithinPartitions("day", "id")
+            spread.write.mode("overwrite").partitionBy("day").parquet(f"{data}/{whole.folder}")
+            for batch in run:
+                self._delete(f"{data}/{batch.folder.split('/')[0]}")
 
     def prune(
         self,
@@ -457,26 +382,24 @@ class LogStore:
     ) -> int:
         """Delete rows past the age; returns how many (would) go.
 
-        Days of which every row goes are dropped as folders, days of which some go
-        are rewritten: by receipt time that is the boundary day alone.
+        Partitions of which every row goes are dropped as folders, those of which some
+        go are rewritten: by receipt time that is the boundary day alone.
         """
         self.recover(source_name)
         column = time_column(source(source_name), column, "r_isodate")
         gone = maintenance.expired(source_name, older_than, as_of, column)
-        rows = self.read(source_name)
+        rows = self._rows(source_name)
         cutoff = as_of - parse_duration(older_than)
         if column == "r_isodate":
             rows = rows.filter(F.col("day") <= F.to_date(timestamp(cutoff)))
-        per_day = rows.groupBy("day").agg(F.count("*").alias("n"), F.count_if(gone).alias("gone")).filter(F.col("gone") > 0)
-        touched = per_day.collect()  # one row per day
-        count = sum(row.gone for row in touched)
-        if dry_run or not touched:
-            return count
-        days = [str(row.day) for row in touched]
-        partial = [str(row.day) for row in touched if row.gone < row.n]
-        left = self.read(source_name).where(F.col("day").cast("string").isin(partial) if partial else F.lit(False))
-        self._exchange(source_name, days, left.filter(~gone))
-        return count
+        counts = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.count_if(gone).alias("gone")).filter(F.col("gone") > 0)
+        touched = counts.collect()  # one row per partition, as in a listing
+        if not dry_run:
+            self._overwrite(source_name, self._some(source_name, [k for k in touched if k.gone < k.n]).filter(~gone))
+            for k in touched:
+                if k.gone == k.n:
+                    self._delete(f"{self.data_path(source_name)}/ids={k.ids}/batch={k.batch}/day={k.day}")
+        return sum(k.gone for k in touched)
 
     def reenrich(
         self,
@@ -490,25 +413,33 @@ class LogStore:
         limit: int | None = None,
         dry_run: bool = False,
     ) -> dict[str, int]:
-        """Re-run the rules over stored syslog rows; a window reads its days only, and only days that change are rewritten."""
+        """Re-run the rules over stored syslog rows; a window reads its days only, and only partitions that change are rewritten."""
         if not rules:
             raise ValueError("there are no rules to enrich with")
         self.recover("syslog")
         scope = maintenance.reenrich_scope(since, program, everything, column, as_of)
-        rows = self.read("syslog")
+        rows = self._rows("syslog")
         bound = day_filter(source("syslog"), since, as_of, column or "r_isodate") if since is not None else None
         near = rows if bound is None else rows.filter(bound)
         scope = scope & maintenance.limited(near.filter(scope), limit)
         done = maintenance.reenrich(near.filter(scope), rules)
-        per_day = done.groupBy("day").agg(F.count("*").alias("scanned"), F.count_if("changed").alias("changed")).collect()
-        report = {"scanned": sum(row.scanned for row in per_day), "changed": sum(row.changed for row in per_day)}
-        days = [str(row.day) for row in per_day if row.changed]
-        if days and not dry_run:
-            whole = maintenance.reenrich(rows.where(F.col("day").cast("string").isin(days)), rules, scope)
+        parts = done.groupBy(*_KEYS).agg(F.count("*").alias("scanned"), F.count_if("changed").alias("changed")).collect()
+        report = {"scanned": sum(p.scanned for p in parts), "changed": sum(p.changed for p in parts)}
+        changed = [p for p in parts if p.changed]
+        if changed and not dry_run:
+            whole = maintenance.reenrich(self._some("syslog", changed), rules, scope)
             fresh = whole.withColumn("raw", F.col("new_raw")).select(*rows.columns)
             promoted = list(self._promotions("syslog"))
             if promoted:
                 plain = [c for c in fresh.columns if not c.startswith("field_")]
                 fresh = promote.promote_fields(fresh.select(*plain), promoted).select(*rows.columns)
-            self._exchange("syslog", days, fresh)
+            self._overwrite("syslog", fresh)
         return report
+
+
+def _base() -> Column:
+    return F.substring("ids", 1, 20).cast("bigint")
+
+
+def _last() -> Column:
+    return F.substring("ids", 22, 20).cast("bigint")

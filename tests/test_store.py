@@ -202,17 +202,21 @@ def test_a_repeat_on_another_day_replaces(spark, store):
     assert store.read("syslog").filter("r_isodate > timestamp'2024-02-01 00:00:00Z'").count() == 0
 
 
-def test_a_batch_has_one_receipt_time(store):
-    assert store.batch_time("http_access", ("w", 3)) == store.batch_time("http_access", ("w", 3))
+def test_a_stored_batch_keeps_its_receipt_time(spark, store):
+    rows = make_rows(spark, 0, 3).withColumn("r_isodate", F.expr("timestamp'2024-02-03 04:05:06Z'"))
+    store.append("syslog", rows, ("w", 3))
+    assert store.batch_time("syslog", ("w", 3)) == dt.datetime(2024, 2, 3, 4, 5, 6, tzinfo=dt.timezone.utc)
+    assert store.batch_time("syslog", ("w", 4)) > dt.datetime(2024, 2, 4, tzinfo=dt.timezone.utc)
 
 
-def test_a_batch_is_invisible_until_committed(spark, store, monkeypatch):
-    monkeypatch.setattr(store, "_create", lambda path, content: False if "/commits/" in path else LogStore._create(store, path, content))
+def test_a_batch_is_invisible_until_it_is_whole(spark, store):
     store.append("syslog", make_rows(spark, 0, 10), ("w", 0))
-    assert store.read("syslog").count() == 200
-    monkeypatch.undo()
+    (mark,) = store._names(f"{store.data_path('syslog')}/ids=*/batch=w-0/_SUCCESS")
+    store._delete(mark)  # as while Spark is writing, and after a lost driver
+    assert store.read("syslog").count() == 200 and len(store.batches("syslog")) == 2
+    store.append("syslog", make_rows(spark, 0, 5), ("x", 0))
     store.append("syslog", make_rows(spark, 0, 10), ("w", 0))
-    assert sorted(ids(store.read("syslog"))) == list(range(1, 211))
+    assert sorted(ids(store.read("syslog"))) == list(range(1, 216))
 
 
 def test_append_refuses_rows_without_receipt_time(spark, store):
@@ -222,29 +226,23 @@ def test_append_refuses_rows_without_receipt_time(spark, store):
     assert store.read("syslog").count() == 200
 
 
-@pytest.mark.parametrize("steps", [0, 1, 2])
-def test_a_lost_exchange_is_finished_later(spark, store, steps, monkeypatch):
-    """The driver dies after the note, or after some of the exchange's file operations."""
+@pytest.mark.parametrize("put", [0, 1, 3])
+def test_a_lost_overwrite_is_finished_later(spark, store, put):
+    """The driver dies while Spark puts partitions in place of old ones: the old one of the next is gone."""
     want = {r.id: r.raw for r in store.read("syslog").collect()}
-    done = [0]
-
-    def dying(path):
-        if done[0] == steps:
-            raise RuntimeError("lost")
-        done[0] += 1
-        LogStore._delete(store, path)
-
-    if steps:
-        monkeypatch.setattr(store, "_delete", dying)
-    else:
-        monkeypatch.setattr(store, "_finish", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
-    with pytest.raises(RuntimeError):
-        store.prune("syslog", "77h", AS_OF)
+    data = store.data_path("syslog")
+    store._rows("syslog").where("day = date'2024-01-29'").write.partitionBy("ids", "batch", "day").parquet(f"{data}/.spark-staging-x")
+    places = [p.split(".spark-staging-x/")[1] for p in store._names(f"{data}/.spark-staging-x/ids=*/batch=*/day=*")]
+    for k, place in enumerate(places[: put + 1]):
+        store._delete(f"{data}/{place}")
+        if k < put:
+            fs, target = store._fs(f"{data}/{place}")
+            fs.rename(store._fs(f"{data}/.spark-staging-x/{place}")[1], target)
     fresh = LogStore(spark, store.root)
+    assert (fresh.read("syslog").count() < 200) == (put < len(places))
     fresh.recover("syslog")
-    left = {r.id: r.raw for r in fresh.read("syslog").collect()}
-    assert len(left) == 77 + 1 and left.items() <= want.items()
-    assert fresh._names(f"{store.root}/syslog/swaps/*") == fresh._names(f"{store.root}/syslog/aside-*") == []
+    assert {r.id: r.raw for r in fresh.read("syslog").collect()} == want
+    assert fresh._names(f"{data}/.spark-staging-*") == []
 
 
 def test_compact(spark, tmp_path):
@@ -252,19 +250,37 @@ def test_compact(spark, tmp_path):
     for n in range(4):
         store.append("syslog", make_rows(spark, 0, 60, f"p{n}"), ("w", n), ["r_isodate"])
     want = sorted((r.id, r.raw) for r in store.read("syslog").collect())
-    days = [str(r.day) for r in store.read("syslog").select("day").distinct().collect()]
-    for day in days:
-        store.compact("syslog", day)
+    days = sorted(str(r.day) for r in store.read("syslog").select("day").distinct().collect())
+    store.compact("syslog", days[-2])
+    assert len(store.batches("syslog")) == 4  # all have rows of the last day
+    store.compact("syslog", days[-1])
     assert sorted((r.id, r.raw) for r in store.read("syslog").collect()) == want
-    assert len(store._partition_dirs("syslog")) == len(days)
+    assert [b[:2] for b in store.batches("syslog")] == [(0, 240)]
     assert ids(store.newest("syslog", 7, first_step=5)) == list(range(240, 233, -1))
     assert ids(store.newest("syslog", 7, asc=True, first_step=5)) == list(range(1, 8))
     assert ids(store.after("syslog", 100)) == list(range(101, 241))
-    assert sorted(ids(store.in_batches("syslog", [(60, 60), (180, 60)]))) == [*range(61, 121), *range(181, 241)]
+    assert sorted(ids(store.between("syslog", 60, 120))) == list(range(61, 121))
     store.append("syslog", make_rows(spark, 0, 5), ("w", 4), ["r_isodate"])
     assert ids(store.newest("syslog", 6, first_step=2)) == [245, 244, 243, 242, 241, 240]
 
 
+def test_a_lost_compaction_shows_no_row_twice(spark, store, monkeypatch):
+    want = sorted((r.id, r.raw) for r in store.read("syslog").collect())
+
+    def dying(path):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(store, "_delete", dying)
+    with pytest.raises(RuntimeError):
+        store.compact("syslog", "2024-02-01")
+    monkeypatch.undo()
+    assert sorted((r.id, r.raw) for r in store.read("syslog").collect()) == want
+    assert len(store._listed("syslog")[0]) == 3 and len(store.batches("syslog")) == 1
+    store.compact("syslog", "2024-02-01")
+    assert sorted((r.id, r.raw) for r in store.read("syslog").collect()) == want
+    assert len(store._listed("syslog")[0]) == 1
+
+
 def test_reenrich_reads_only_its_days(spark, store, monkeypatch):
     seen = []
     run = store_module.maintenance.reenrich
@@ -275,15 +291,15 @@ def test_reenrich_reads_only_its_days(spark, store, monkeypatch):
 
 
 def test_promotion_goes_on_where_it_stopped(spark, store, monkeypatch):
-    exchange, done = store._exchange, []
+    overwrite, done = store._overwrite, []
 
-    def dying(source_name, days, rows):
+    def dying(source_name, rows):
         if len(done) == 2:
             raise RuntimeError("lost")
-        done.append(days)
-        exchange(source_name, days, rows)
+        done.append(rows)
+        overwrite(source_name, rows)
 
-    monkeypatch.setattr(store, "_exchange", dying)
+    monkeypatch.setattr(store, "_overwrite", dying)
     with pytest.raises(RuntimeError):
         store.promote("syslog", ["k"])
     monkeypatch.undo()

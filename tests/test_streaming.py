@@ -11,7 +11,7 @@ from cedarlog.plans.fixtures import raw_ranges
 from cedarlog.sources.files import WebSet
 from cedarlog.sources.follow import LogFollowReader, LogFollowSource, last_line_end, resume_offset
 from cedarlog.sources.store import LogStore
-from cedarlog.streaming.follow import follow
+from cedarlog.streaming.follow import IdReader, follow
 from cedarlog.streaming.ingest import follow_sets, stream_lines, stream_syslog, stream_web_logs
 from tests.test_store import make_rows
 from tests.test_syslog import line
@@ -78,6 +78,38 @@ def test_follow_shows_each_row_once(spark, tmp_path):
     assert sorted(seen) == list(range(1, 181))
 
 
+def test_follow_waits_for_a_batch_that_is_not_whole(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    for n in range(3):
+        store.append("syslog", make_rows(spark, 0, 10), ("w", n), order_by=["r_isodate"])
+    reader = IdReader(store.data_path("syslog"), 0, 0)
+    (mark,) = store._names(f"{store.data_path('syslog')}/ids=*/batch=w-1/_SUCCESS")
+    store._delete(mark)
+    assert reader.latestOffset() == {"last": 10}
+    store.append("syslog", make_rows(spark, 0, 10), ("w", 1), order_by=["r_isodate"])
+    assert reader.latestOffset() == {"last": 30}
+    store.compact("syslog", "2024-02-01")
+    assert IdReader(store.data_path("syslog"), 10, 0).latestOffset() == {"last": 30}
+    few = IdReader(store.data_path("syslog"), 10, 15)
+    assert few.latestOffset() == {"last": 25}
+    few.partitions({"last": 10}, {"last": 25})
+    assert few.latestOffset() == {"last": 30} == few.latestOffset()
+    assert IdReader(str(tmp_path / "none"), 7, 0).latestOffset() == {"last": 7}
+
+
+def test_a_poll_looks_into_new_folders_only(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "store"))
+    for n in range(4):
+        store.append("syslog", make_rows(spark, 0, 5), ("w", n))
+    looked = []
+    whole = IdReader._whole
+    monkeypatch.setattr(IdReader, "_whole", lambda self, folder: looked.append(folder) or whole(self, folder))
+    reader = IdReader(store.data_path("syslog"), 15, 0)
+    assert reader.latestOffset() == {"last": 20} and len(looked) == 1
+    reader.partitions({"last": 15}, {"last": 20})
+    assert reader.latestOffset() == {"last": 20} and len(looked) == 1
+
+
 def test_last_line_end(tmp_path):
     path = tmp_path / "f"
     path.write_bytes(b"one\ntwo\npart")

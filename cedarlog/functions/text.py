@@ -171,3 +171,15 @@ def ipv4_number(value: Column) -> Column:
         part[0].try_cast("bigint") * F.lit(256**3),
     )
     return F.when(is_ipv4(value), number)
+
+
+def address_bytes(value: Column) -> Column:
+    """The address as 16 bytes, IPv4 within ``::ffff:0:0/96``; NULL for anything else."""
+    dotted = F.split(value, r"\.")
+    four = F.concat(F.lit("0" * 20 + "ffff"), *(F.lpad(F.hex(dotted[k].try_cast("bigint")), 2, "0") for k in range(4)))
+
+    def sixteen(groups: Column) -> Column:
+        return F.array_join(F.transform(F.filter(F.split(groups, ":"), lambda x: x != ""), lambda x: F.lpad(x, 4, "0")), "")
+
+    six = _let(F.lower(value), lambda v: _let(F.split(_hex_groups(v), "::"), lambda h: _let(_all_groups(h), sixteen)))
+    return F.unhex(F.when(is_ipv4(value), four).when(is_ip(value), six))

@@ -1,4 +1,7 @@
-"""Countries of addresses: a range join kept as a hash join.
+"""Countries of IPv4 addresses: a range join kept as a hash join.
+
+Tables with IPv6 networks or with more than a country are those of
+:mod:`cedarlog.operators.networks`; :func:`geoip_join` takes them as well.
 
 ``ranges`` is a table ``(start_ip bigint, end_ip bigint, country string)``. It is
 cut at the borders of /16 blocks, so that an address and its range share a block
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
 from cedarlog.functions.text import ipv4_number
+from cedarlog.operators import networks
 from cedarlog.session import fits_broadcast
 
 _BLOCK_BITS = 16
@@ -87,12 +91,15 @@ def prepare_ranges(ranges: DataFrame) -> DataFrame:
 def countries_of(
     df: DataFrame, ip_column: str, ranges: DataFrame, prepared: bool = False, broadcast: bool | None = None
 ) -> DataFrame:
-    """Add ``country``; an address in no range, or that is not IPv4, gets NULL.
+    """Add ``country``; an address in no range gets NULL, and with a range table also one that is not IPv4.
 
     Every input row comes out exactly once. The range table is broadcast while it
     is small enough (checked by counting it), otherwise shuffled with the rows,
     which are then spread over :data:`SALTS` parts per block.
     """
+    if networks.is_prepared(ranges):
+        found = networks.places_of(df, ip_column, ranges, broadcast)
+        return found.select(*(F.col(f"`{c}`") for c in df.columns), records.json_text(F.col("place"), "country", "iso_code").alias("country"))
     table = ranges if prepared else prepare_ranges(ranges)
     if broadcast is None:
         broadcast = fits_broadcast(table, BROADCAST_ROWS)
@@ -115,6 +122,15 @@ def countries_of(
     return joined.select(*(F.col(f"`{c}`") for c in df.columns), "country")
 
 
+def places(df: DataFrame, ip_column: str, ranges: DataFrame, prepared: bool = False, broadcast: bool | None = None) -> DataFrame:
+    """Add ``place`` (JSON, NULL for none) by a prepared network table, or by a range table, which knows the country."""
+    if networks.is_prepared(ranges):
+        return networks.places_of(df, ip_column, ranges, broadcast)
+    country = F.col("country")
+    known = F.to_json(F.struct(F.struct(country.alias("iso_code")).alias("country")))
+    return countries_of(df, ip_column, ranges, prepared, broadcast).withColumn("place", F.when(country.isNotNull(), known)).drop("country")
+
+
 def geoip_join(
     df: DataFrame,
     field: str,
@@ -123,24 +139,25 @@ def geoip_join(
     prepared: bool = False,
     broadcast: bool | None = None,
 ) -> DataFrame:
-    """Merge the country of an enriched address field into the stored record.
+    """Merge what is known of an enriched address field's place into the stored record.
 
-    A hit is stored at ``enriched.geoip.<field>.country.iso_code``; a miss adds
-    nothing. The address is taken from ``ip_column`` when given, else from the
-    record.
+    A hit is stored at ``enriched.geoip.<field>``: ``country.iso_code`` of a range table, or
+    the whole place of a table made by ``prepare_networks``; a miss adds nothing. The
+    address is taken from ``ip_column`` when given, else from the record.
     """
     address = F.col(ip_column) if ip_column else records.enriched_text(F.col("raw"), field)
-    found = countries_of(df.withColumn("__address", address), "__address", ranges, prepared, broadcast)
-    iso = F.struct(F.col("country").alias("iso_code"))
-    entry = F.to_json(F.struct(F.struct(iso.alias("country")).alias(field)))
+    rows = df.withColumn("__ip_text", address)
+    found = places(rows, "__ip_text", ranges, prepared, broadcast).withColumnRenamed("place", "__place")
+    place = F.col("__place")
+    entry = records.with_member(F.lit("{}"), field, place)
     old_block = records.enriched_block(F.col("raw"))
     old_geo = F.to_json(F.try_variant_get(records.record(F.col("raw")), "$.enriched.geoip", "variant"))
     geo = F.when(old_geo.isNull(), entry).otherwise(
-        records.with_member(old_geo, field, F.to_json(F.struct(iso.alias("country"))))
+        records.with_member(old_geo, field, place)
     )
     block = F.col("__block")
     merged = records.with_member(F.col("raw"), "enriched", records.with_member(block, "geoip", geo))
-    hits = with_once(found, "__block", F.when(F.col("country").isNotNull(), old_block))
+    hits = with_once(found, "__block", F.when(place.isNotNull(), old_block))
     return with_once(hits, "raw", F.when(block.isNotNull(), merged).otherwise(F.col("raw"))).select(
         *(F.col(f"`{c}`") for c in df.columns)
     )

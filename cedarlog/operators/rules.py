@@ -6,6 +6,7 @@ rule, in list order, whose gate and pattern both match supplies the fields.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
 from cedarlog.functions.text import capture, digits_to, empty_to_null
-from cedarlog.operators.geo import countries_of
+from cedarlog.operators.geo import places
 
 _CAPS = "__caps"
 
@@ -125,9 +126,9 @@ def with_captures(df: DataFrame, rules: Sequence[Rule], raw: str = "raw") -> Dat
 def with_fields(matched: DataFrame, rules: Sequence[Rule], ranges: DataFrame | None = None) -> DataFrame:
     """Add ``__fields``, the extracted fields as JSON, to a frame with ``__caps``.
 
-    With a prepared range table, the country of each address field that has one
-    goes in at ``geoip.<field>.country.iso_code``. That is done on the captures,
-    so that no record is parsed for it.
+    With a prepared range or network table, the place of each address field that has
+    one goes in at ``geoip.<field>``. That is done on the captures, so that no record
+    is parsed for it.
     """
     caps, fields = F.col(_CAPS), F.col("__fields")
     found = with_once(matched, "__fields", fields_json(caps, rules))
@@ -141,16 +142,12 @@ def with_fields(matched: DataFrame, rules: Sequence[Rule], ranges: DataFrame | N
             for f in rule.fields
             if f.name == name
         ]
-        found = countries_of(found.withColumn("__address", F.coalesce(*texts)), "__address", ranges, prepared=True)
-        found = found.withColumnRenamed("country", f"__country_{name}").drop("__address")
-    hits = {name: F.col(f"__country_{name}") for name in names}
-    entries = [
-        F.when(hit.isNotNull(), F.struct(F.struct(hit.alias("iso_code")).alias("country"))).alias(name)
-        for name, hit in hits.items()
-    ]
-    geo = F.nullif(F.to_json(F.struct(*entries)), F.lit("{}"))
-    with_geo = F.concat(F.lit('{"geoip":'), geo, F.lit(","), F.substr(fields, F.lit(2)))
-    return found.withColumn("__fields", F.coalesce(with_geo, fields)).drop(*(f"__country_{n}" for n in names))
+        found = places(found.withColumn("__address", F.coalesce(*texts)), "__address", ranges, prepared=True)
+        found = found.withColumnRenamed("place", f"__place_{name}").drop("__address")
+    entries = [F.concat(F.lit(f"{json.dumps(name)}:"), F.col(f"__place_{name}")) for name in names]
+    geo = F.nullif(F.concat_ws(",", *entries), F.lit(""))
+    with_geo = F.concat(F.lit('{"geoip":{'), geo, F.lit("},"), F.substr(fields, F.lit(2)))
+    return found.withColumn("__fields", F.coalesce(with_geo, fields)).drop(*(f"__place_{n}" for n in names))
 
 
 def enrich(

@@ -13,6 +13,7 @@ from cedarlog.operators import maintenance, promote, rules, stats
 from cedarlog.operators.context import context_around
 from cedarlog.operators.filters import build_filter
 from cedarlog.operators.geo import geoip_join
+from cedarlog.operators.networks import prepare_networks
 from cedarlog.operators.ids import assign_ids
 from cedarlog.operators.search import after, display, search, tail, to_json_lines, to_tsv
 from cedarlog.operators.syslog import ingest_report, parse_syslog, split_rejects
@@ -292,6 +293,19 @@ def countries_window(spark, sf_dir):
     return stats.countries_in_window(rows, "http_access", "client_ip", table, "2w", fx.AS_OF, prepared=True)
 
 
+@query("geoip_networks")
+def geoip_networks(spark, sf_dir):
+    """Places by nested networks of both families; the record of each event gets what is known of its address."""
+    table = materialize(prepare_networks(fx.networks(spark, sf_dir)), "networks")
+    rows = fx.addressed_events(spark, sf_dir).withColumn("raw", F.to_json(F.struct(F.struct(F.col("address").alias("peer")).alias("enriched"))))
+    located = geoip_join(rows, "peer", table)
+    place = ("enriched", "geoip", "peer")
+    return located.select(
+        "id", "address", records.json_text(F.col("raw"), *place, "country", "iso_code").alias("country"),
+        records.json_text(F.col("raw"), *place, "city", "geoname_id").try_cast("bigint").alias("city"),
+    )
+
+
 @query("geoip_country")
 def geoip_country(spark, sf_dir):
     rows = geoip_join(fx.access_rows(spark, sf_dir), "http_clientip", fx.geo_ranges(spark), prepared=True)

@@ -217,6 +217,41 @@ def geo_ranges(spark: SparkSession) -> DataFrame:
     return prepare_ranges(raw_ranges(spark))
 
 
+def networks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Networks of two families, nested: one for each nation, one in it for each customer, a range that is no prefix."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("n"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    country = """concat('{"country":{"iso_code":"N', n, '"}}')"""
+    city = """concat('{"country":{"iso_code":"N', n, '"},"city":{"geoname_id":', k, '}}')"""
+    kinds = [
+        nation.selectExpr("concat('2001:db8:', lower(hex(n)), '::/48') AS network", f"{country} AS place"),
+        nation.selectExpr("concat('10.', n, '.0.0/16') AS network", f"{country} AS place"),
+        nation.selectExpr("concat('10.', n, '.0.7') AS first", "concat('10.', n, '.0.19') AS last", """concat('{"country":{"iso_code":"R', n, '"}}') AS place"""),
+        customer.selectExpr("concat('2001:DB8:', hex(n), ':0:', hex(k div 65536), ':', hex(k % 65536), '::/96') AS network", f"{city} AS place"),
+        customer.where("k BETWEEN 1 AND 250").selectExpr("concat('10.', n, '.', k, '.0/24') AS network", f"{city} AS place"),
+    ]
+    out = kinds[0]
+    for more in kinds[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def addressed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, address)``: events with an address of their user's customer network or of near ones, in several spellings."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("n"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") + 1).alias("k"))
+    address = F.expr("""
+        CASE event_id % 8
+          WHEN 0 THEN concat('2001:db8:', lower(hex(n)), ':0:0:', lower(hex(k)), '::', lower(hex(event_id % 4096)))
+          WHEN 1 THEN concat('2001:0DB8:', lpad(hex(n), 4, '0'), ':0000:0000:', lpad(hex(k), 4, '0'), ':0000:0001')
+          WHEN 2 THEN concat('2001:db8:', lower(hex(n)), ':ffff::', lower(hex(event_id % 4096)))
+          WHEN 3 THEN concat('10.', n, '.0.', event_id % 32)
+          WHEN 4 THEN concat('10.', n, '.', k, '.', event_id % 256)
+          WHEN 5 THEN concat('::ffff:10.', n, '.', k, '.9')
+          WHEN 6 THEN '2001:db9::1' ELSE 'unknown' END""")
+    return rows.join(customer, "k").select((F.col("event_id") + 1).alias("id"), address.alias("address"))
+
+
 def zoneless(df: DataFrame) -> DataFrame:
     """Instants as UTC wall-clock times, for comparison with tables that have no zone."""
     return df.withColumns(

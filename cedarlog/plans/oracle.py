@@ -281,6 +281,18 @@ _ORACLES: dict[str, str] = {
         SELECT 'client_ip', count(DISTINCT client_ip) FROM acc WHERE {_since("r_isodate", "3 days")}""",
     "countries_window": f"""
         SELECT country, count(*) AS "count" FROM acc WHERE {_since("r_isodate", "14 days")} GROUP BY 1""",
+    "geoip_networks": """
+        SELECT event_id + 1 AS id, CASE event_id % 8
+          WHEN 0 THEN '2001:db8:' || lower(hex(c_nationkey)) || ':0:0:' || lower(hex(c_custkey)) || '::' || lower(hex(event_id % 4096))
+          WHEN 1 THEN '2001:0DB8:' || lpad(hex(c_nationkey), 4, '0') || ':0000:0000:' || lpad(hex(c_custkey), 4, '0') || ':0000:0001'
+          WHEN 2 THEN '2001:db8:' || lower(hex(c_nationkey)) || ':ffff::' || lower(hex(event_id % 4096))
+          WHEN 3 THEN '10.' || c_nationkey || '.0.' || event_id % 32
+          WHEN 4 THEN '10.' || c_nationkey || '.' || c_custkey || '.' || event_id % 256
+          WHEN 5 THEN '::ffff:10.' || c_nationkey || '.' || c_custkey || '.9' WHEN 6 THEN '2001:db9::1' ELSE 'unknown' END AS address,
+          CASE WHEN event_id % 8 > 5 THEN NULL WHEN event_id % 8 = 3 AND event_id % 32 BETWEEN 7 AND 19 THEN 'R' || c_nationkey
+               ELSE 'N' || c_nationkey END AS country,
+          CASE WHEN event_id % 8 IN (0, 1, 4, 5) THEN CAST(c_custkey AS BIGINT) END AS city
+        FROM events JOIN customer ON c_custkey = user_id + 1""",
     "geoip_country": "SELECT id, client_ip, country FROM acc",
     "context_join": """
         SELECT id, host, r_isodate, program FROM sys s WHERE EXISTS (

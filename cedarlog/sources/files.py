@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions.text import digits_to, is_blank
 from cedarlog.operators.geo import prepare_ranges
+from cedarlog.operators.networks import prepare_networks
 from cedarlog.operators.weblogs import parse_http_access, parse_http_error
 from cedarlog.session import materialize
 
@@ -162,7 +163,9 @@ def parse_web_lines(
 def prepared_ranges(sets: Sequence[WebSet], ranges: Mapping[str, DataFrame] | None) -> dict[str | None, DataFrame]:
     """The range tables the sets name, each prepared and written out once."""
     used = {s.geoip for s in sets if s.geoip is not None and s.geoip in (ranges or {})}
-    return {name: materialize(prepare_ranges(ranges[name]), "ranges") for name in sorted(used)}
+    return {
+        name: materialize((prepare_networks if "place" in ranges[name].columns else prepare_ranges)(ranges[name]), "ranges") for name in sorted(used)
+    }
 
 
 def read_web_sets(

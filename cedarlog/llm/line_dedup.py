@@ -237,6 +237,35 @@ def _normal(line: str) -> str:
     return " ".join(kept.tobytes().decode().split(" ")).strip() if len(data) else ""
 
 
+def bigram_counts(text: str) -> np.ndarray:
+    """How often pairs of neighbouring bytes stand in a text, in 256 bins; counts stop at 255."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    if len(data) < 2:
+        return np.zeros(256, np.uint8)
+    pairs = (data[:-1].astype(np.uint32) * 167 + data[1:].astype(np.uint32) * 59) & 255
+    return np.minimum(np.bincount(pairs, minlength=256), 255).astype(np.uint8)
+
+
+def may_be_similar(counts: np.ndarray, chars: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Of pairs of texts, those that may reach the threshold; none that does is left out.
+
+    An edit changes at most one character, of up to four bytes, so five pairs of bytes of
+    the longer text. All other pairs stand in both, and bins only add to what seems common.
+    """
+    longest = np.maximum(chars[x], chars[y])
+    room = longest * (1 - threshold) + 1e-9
+    fit = np.abs(chars[x] - chars[y]) <= room
+    wide = np.maximum(size[x] - chars[x], size[y] - chars[y]) > 0
+    need = np.maximum(size[x], size[y]) - 1 - np.where(wide, 5, 2) * room
+    few = np.flatnonzero(fit & (need > 0))
+    for lo in range(0, len(few), 16384):
+        at = few[lo : lo + 16384]
+        a, b = counts[x[at]], counts[y[at]]
+        full = ((a == 255) | (b == 255)).any(axis=1)  # counts that stopped prove nothing
+        fit[at] = (np.minimum(a, b).sum(axis=1, dtype=np.int64) >= need[at]) | full
+    return fit
+
+
 def _verifier(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, 3):
@@ -246,17 +275,19 @@ def _verifier(threshold: float):
             x, y = np.nonzero(bits <= MAX_BITS)
             fit = (x < y) & (own[x] != own[y]) if i != j else x < y
             x, y = x[fit], y[fit]
-            order = np.argsort(bits[x, y], kind="stable")
-            texts: dict[int, str] = {}
             raw = group["text"]
+            used = np.unique(np.concatenate([x, y]))
+            texts = {k: " ".join(_normal(raw[k].as_py()).split()) for k in used.tolist()}
+            chars, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            counts = np.zeros((len(key), 256), np.uint8)
+            for k, text in texts.items():
+                chars[k], size[k], counts[k] = len(text), len(text.encode()), bigram_counts(text)
+            fit = may_be_similar(counts, chars, size, x, y, threshold)
+            x, y = x[fit], y[fit]
+            order = np.argsort(bits[x, y], kind="stable")
             forest, edges = Forest(), []
             for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                if forest.find(a) == forest.find(b):
-                    continue
-                for k in (a, b):
-                    if k not in texts:
-                        texts[k] = " ".join(_normal(raw[k].as_py()).split())
-                if _similar(texts[a], texts[b], threshold):
+                if forest.find(a) != forest.find(b) and _similar(texts[a], texts[b], threshold):
                     forest.join(a, b)
                     edges.append((a, b))
             if edges:
@@ -275,8 +306,7 @@ def line_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     grouped = lines.groupBy("key", "sim").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("count"), F.first("tables").alias("tables"))
     held = materialize(grouped, "line-nodes")
     nodes = held.drop("tables")
-    # equal word sets have one SimHash and one row of tables
-    values = held.select("sim", "tables").distinct().select("sim", F.posexplode("tables").alias("k", "value"))
+    values = held.select("sim", F.posexplode("tables").alias("k", "value"))
     rows = values.select(F.xxhash64("k", "value").alias("bucket"), "sim")
     met = rows.repartition("bucket").sortWithinPartitions("bucket", "sim").mapInArrow(_buckets, "hub long, sim long").distinct()
     # several nodes may have one SimHash: those meet under it even without another neighbour

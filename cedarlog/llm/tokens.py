@@ -20,7 +20,7 @@ from itertools import repeat
 import numpy as np
 
 #: Word pieces kept; the cache starts anew beyond it, so its memory is bounded.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Longer pieces are not kept.
 CACHE_CHARS = 48
 _SPACE, _LETTER, _MARK = r" \t\n\r\f\v", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", ".,;:!?"

@@ -7,6 +7,11 @@ a rotation the old file's rest is read first, under whatever name it has in the
 folder by then, and the new file from its beginning. Bytes come through unchanged,
 also where they are not UTF-8. Only lines that end in a newline are taken.
 
+A micro-batch takes at most ``maxBytesPerBatch`` of what is there, shared among the
+files that have more; a line longer than its file's share is taken whole. A backlog of
+any size so comes in batches of bounded size, each with an offset of its own in the
+checkpoint, and a restart goes on from the last of them.
+
     spark.dataSource.register(LogFollowSource)
     spark.readStream.format("logfollow").option("path", "/var/log/apache2/*-access.log").load()
 
@@ -26,6 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 _SCHEMA = "value string, path string"
 
+# Bytes of a micro-batch, unless the option maxBytesPerBatch says otherwise.
+_BATCH_BYTES = 1024 * 1024 * 1024
 # Bytes one task reads, unless the option chunkBytes says otherwise.
 _CHUNK = 64 * 1024 * 1024
 _BATCH_LINES = 8192
@@ -57,6 +64,28 @@ def last_line_end(path: str, size: int, floor: int) -> int:
     return floor
 
 
+def next_line_end(path: str, at: int, size: int) -> int:
+    """The offset just past the first newline in ``[at, size)``, or ``size``."""
+    with open(path, "rb") as handle:
+        handle.seek(at)
+        while at < size:
+            step = min(_BACKWARD_STEP, size - at)
+            found = handle.read(step).find(b"\n")
+            if found >= 0:
+                return at + found + 1
+            at += step
+    return size
+
+
+def shares(wanted: dict[str, int], budget: int) -> dict[str, int]:
+    """Bytes that each file gets of a batch: all it wants where that is below an equal share, and so on with the rest."""
+    out: dict[str, int] = {}
+    for left, (path, n) in zip(range(len(wanted), 0, -1), sorted(wanted.items(), key=lambda x: x[1]), strict=True):
+        out[path] = min(n, max(budget // left, 1))
+        budget = max(budget - out[path], 0)
+    return out
+
+
 def resume_offset(known: dict | None, inode: int, size: int) -> int | None:
     """Where to go on in a file: its saved offset, 0 after rotation, None if never seen."""
     if known is None:
@@ -93,6 +122,9 @@ class LogFollowReader(DataSourceStreamReader):
                 raise ValueError(f"starting offsets are earliest or latest, got {value!r}")
         self.first, self.later = first, later
         self.chunk = int(given.get("chunkbytes", _CHUNK))
+        self.most = int(given.get("maxbytesperbatch", _BATCH_BYTES))
+        if self.chunk < 1 or self.most < 1:
+            raise ValueError("chunkBytes and maxBytesPerBatch are at least 1")
         self._known: dict = {}
         self._past: dict = {}
 
@@ -113,22 +145,49 @@ class LogFollowReader(DataSourceStreamReader):
         }
 
     def latestOffset(self) -> dict:
-        """Ends of the last whole lines; files that are gone keep their last position."""
+        """Ends of whole lines, no more than a batch may take past those planned before; files that are gone keep their last position."""
         known = self._known = {**self._past, **self._known}
-        out = dict(known)
+        ends, rests, wanted = {}, {}, {}
         for path, st in self._files():
-            floor = resume_offset(known.get(path), st.st_ino, st.st_size)
+            before = known.get(path)
+            floor = resume_offset(before, st.st_ino, st.st_size)
             try:
                 end = last_line_end(path, st.st_size, floor or 0)
             except OSError:
                 continue
-            out[path] = {"inode": st.st_ino, "offset": end}
-            before = known.get(path)
+            start = floor if floor is not None else 0 if self.later == "earliest" else end
             if before and before["inode"] != st.st_ino and (rest := self._rest(path, before)):
-                out[path]["rest"] = rest
+                rests[path] = rest
+            ends[path] = (st.st_ino, start, end)
+            wanted[path] = end - start + (rests[path]["end"] - rests[path]["start"] if path in rests else 0)
+        given = shares({path: n for path, n in wanted.items() if n}, self.most)
+        out = dict(known)
+        for path, (inode, start, end) in ends.items():
+            room = given.get(path, 0)
+            if path in rests:
+                rest = rests[path]
+                if rest["end"] - rest["start"] > room:  # the rotated file first, as far as the batch goes
+                    out[path] = {"inode": rest["inode"], "offset": self._cut(rest["name"], rest["start"], rest["end"], room)}
+                    continue
+                room -= rest["end"] - rest["start"]
+            at = self._cut(path, start, end, room) if room or path not in rests else start
+            out[path] = {"inode": inode, "offset": at}
+            if path in rests:
+                out[path]["rest"] = {k: v for k, v in rests[path].items() if k != "name"}
         self._known = out
         return out
 
+    @staticmethod
+    def _cut(path: str, start: int, end: int, room: int) -> int:
+        """The end of the whole lines in the first ``room`` bytes; of one line if it is longer."""
+        if end - start <= room:
+            return end
+        try:
+            at = last_line_end(path, start + room, start)
+            return at if at > start else next_line_end(path, start + room, end)
+        except OSError:
+            return start
+
     def _rest(self, path: str, before: dict) -> dict | None:
         """What a rotated file still has past the offset read so far."""
         name = find_inode(path, before["inode"])
@@ -138,11 +197,13 @@ class LogFollowReader(DataSourceStreamReader):
             end = last_line_end(name, os.stat(name).st_size, before["offset"])
         except OSError:
             return None
-        return {"inode": before["inode"], "start": before["offset"], "end": end} if end > before["offset"] else None
+        found = {"name": name, "inode": before["inode"], "start": before["offset"], "end": end}
+        return found if end > before["offset"] else None
 
     def partitions(self, start: dict, end: dict) -> list[FileSlice]:
         # A file can drop out of the offsets over a restart while it is away.
         self._past.update(start)
+        self._known.update(end)  # after a restart: what was planned last
         slices = []
         for path, target in sorted(end.items()):
             known = start.get(path) or self._past.get(path)
@@ -198,7 +259,7 @@ class LogFollowReader(DataSourceStreamReader):
 class LogFollowSource(DataSource):
     """Options: ``path`` (a glob), ``startingOffset`` for files present at the start
     (default latest), ``newFileOffset`` for files that appear later (default
-    earliest), ``chunkBytes`` per task."""
+    earliest), ``maxBytesPerBatch`` of a micro-batch, ``chunkBytes`` per task."""
 
     @classmethod
     def name(cls) -> str:

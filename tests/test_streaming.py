@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from cedarlog.operators.geo import prepare_ranges
 from cedarlog.operators.rules import SSHD
 from cedarlog.plans.fixtures import raw_ranges
 from cedarlog.sources.files import WebSet
-from cedarlog.sources.follow import LogFollowReader, LogFollowSource, last_line_end, resume_offset
+from cedarlog.sources.follow import LogFollowReader, LogFollowSource, last_line_end, resume_offset, shares
 from cedarlog.sources.store import LogStore
 from cedarlog.streaming.follow import IdReader, follow
 from cedarlog.streaming.ingest import follow_sets, stream_lines, stream_syslog, stream_web_logs
@@ -192,6 +193,71 @@ def test_rotation_loses_no_line(tmp_path):
         read_all(reader, end, later)
 
 
+def steps(reader, at):
+    """The batches until nothing new is there: (lines, bytes of a batch)."""
+    while (end := reader.latestOffset()) != at:
+        parts = reader.partitions(at, end)
+        yield [line for part in parts for batch in reader.read(part) for line in batch.to_pydict()["value"]], sum(p.end - p.start for p in parts)
+        at = end
+
+
+def test_shares_of_a_batch():
+    assert shares({"a": 5, "b": 100, "c": 100}, 65) == {"a": 5, "b": 30, "c": 30}
+    assert shares({"a": 5, "b": 9}, 50) == {"a": 5, "b": 9}
+    assert shares({"a": 5, "b": 9, "c": 7}, 1) == {"a": 1, "b": 1, "c": 1}
+    assert shares({}, 4) == {}
+
+
+@pytest.mark.parametrize("most", [1, 40, 700, 100_000])
+def test_batches_are_bounded(tmp_path, most):
+    texts = {n: [f"{n} line {'x' * (i * 13 % 60)} {i}" for i in range(60 * k + 1)] for k, n in enumerate("abc")}
+    for n, rows in texts.items():
+        (tmp_path / f"{n}.log").write_text("\n".join(rows) + "\nunfinished")
+    reader = LogFollowReader({"path": str(tmp_path / "*.log"), "startingOffset": "earliest", "maxBytesPerBatch": most})
+    got, sizes = zip(*steps(reader, {str(tmp_path / f"{n}.log"): {"inode": os.stat(tmp_path / f"{n}.log").st_ino, "offset": 0} for n in "abc"}), strict=True)
+    assert max(sizes) <= most + 3 * 80
+    assert len(sizes) >= sum(len("\n".join(rows)) for rows in texts.values()) / (most + 3 * 80)
+    seen = [line for lines in got for line in lines]
+    for n, rows in texts.items():
+        assert [line for line in seen if line.startswith(n)] == rows
+
+
+def test_a_bounded_rest_of_a_rotated_file_comes_first(tmp_path):
+    path = tmp_path / "f.log"
+    old, new = [f"old {i}" for i in range(50)], [f"new {i}" for i in range(50)]
+    path.write_text("\n".join(old) + "\n")
+    reader = LogFollowReader({"path": str(path), "startingOffset": "earliest", "maxBytesPerBatch": 100})
+    at = reader.initialOffset()
+    end = reader.latestOffset()
+    first = read_all(reader, at, end)
+    os.rename(path, tmp_path / "f.log.1")
+    path.write_text("\n".join(new) + "\n")
+    rest = [line for lines, _ in steps(reader, end) for line in lines]
+    assert 0 < len(first) < 50 and first + rest == old + new
+
+
+def test_a_backlog_over_restarts(spark, tmp_path):
+    """Several bounded batches, stopped in between: each line comes once."""
+    spark.dataSource.register(LogFollowSource)
+    texts = [f"line {i} {'y' * (i % 50)}" for i in range(3000)]
+    (tmp_path / "f.log").write_text("\n".join(texts) + "\n")
+    seen = {}  # by number: a batch that was stopped before its commit comes again
+
+    def write(batch, number):
+        seen[number] = [r.value for r in batch.collect()]
+
+    frame = spark.readStream.format("logfollow").options(path=str(tmp_path / "f.log"), startingOffset="earliest", maxBytesPerBatch=20_000).load()
+    for wanted in (2, 4, 0):
+        query = frame.writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(write).start()
+        while query.isActive and len(seen) < wanted:
+            time.sleep(0.02)
+        if not wanted:
+            query.processAllAvailable()
+        query.stop()
+    assert [line for number in sorted(seen) for line in seen[number]] == texts
+    assert len(seen) >= 5 and max(sum(len(r) + 1 for r in rows) for rows in seen.values()) <= 20_000
+
+
 def test_damaged_bytes_reach_the_reject(spark, tmp_path):
     spark.dataSource.register(LogFollowSource)
     (tmp_path / "f.log").write_bytes(b"\xff\xfe{}\n")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions import records
 from cedarlog.functions.args import FieldFilter, like_pattern, looks_numeric, parse_duration, parse_field
+from cedarlog.functions.patterns import java_pattern
 from cedarlog.functions.text import canonical_ip, is_ip
 from cedarlog.operators import promote
 from cedarlog.schemas import Source, source, time_column
@@ -81,7 +82,7 @@ def field_filter(field: FieldFilter, promoted: Collection[str] = ()) -> Column:
 
     ``=`` matches a JSON string, or for a numeric value also an equal JSON number;
     ``!=`` and ``<>`` count a missing field as different; ``~`` and ``!~`` are
-    regular expressions; ``=~`` is a case-insensitive substring; the ordering
+    patterns of the advanced POSIX dialect; ``=~`` is a case-insensitive substring; the ordering
     operators compare JSON numbers for a numeric value and text otherwise.
     Fields in ``promoted`` are read from their own columns.
     """
@@ -99,9 +100,9 @@ def field_filter(field: FieldFilter, promoted: Collection[str] = ()) -> Column:
             accepted += records.json_numbers(value)
         test = json_value.isin(*accepted)
     elif op == "~":
-        test = text.rlike(value)
+        test = text.rlike(java_pattern(value))
     elif op == "!~":
-        test = ~text.rlike(value)
+        test = ~text.rlike(java_pattern(value))
     elif op == "=~":
         test = text.ilike(like_pattern(f"%{value}%"))
     elif looks_numeric(value):

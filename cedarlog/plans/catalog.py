@@ -198,6 +198,9 @@ for _name, _fields, _others in (
     ("field_regex", ("tag~^(view|click)-[12][0-9]$",), {}),
     ("field_not_regex", ("k!~^[0-4]",), {}),
     ("field_contains", ("tag=~W-2",), {}),
+    ("field_regex_words", (r"tag~\mview\M|\y1[[:digit:]]$",), {}),
+    ("field_regex_classes", (r"tag~(?i)^[[:alpha:]]{4,5}-[^[:digit:]3-9]?[0-2\d]{2}?$", r"tag!~[[:<:]]4"), {}),
+    ("field_regex_literal", ("tag~***=w-1",), {}),
     ("field_gt_numeric", ("k>41.5",), {}),
     ("field_gt_text", ("tag>purchase-5",), {}),
     ("field_dotted_key", ("v.x>=2500", "v.x<5000"), {}),

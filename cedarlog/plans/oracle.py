@@ -243,6 +243,11 @@ _ORACLES: dict[str, str] = {
     "field_ne": "SELECT id, program FROM sys WHERE k_text IS DISTINCT FROM '38'",
     "field_regex": "SELECT id, program FROM sys WHERE regexp_matches(tag, '^(view|click)-[12][0-9]$')",
     "field_not_regex": "SELECT id, program FROM sys WHERE NOT regexp_matches(k_text, '^[0-4]')",
+    "field_regex_words": r"SELECT id, program FROM sys WHERE regexp_matches(tag, '\bview\b|\b1[0-9]$')",
+    "field_regex_classes": """
+        SELECT id, program FROM sys WHERE length(split_part(tag, '-', 1)) IN (4, 5) AND length(split_part(tag, '-', 2)) = 2
+          AND split_part(tag, '-', 2) NOT LIKE '4%'""",
+    "field_regex_literal": "SELECT id, program FROM sys WHERE contains(tag, 'w-1')",
     "field_contains": "SELECT id, program FROM sys WHERE tag ILIKE '%W-2%'",
     "field_gt_numeric": "SELECT id, program FROM sys WHERE k_number > 41.5",
     "field_gt_text": "SELECT id, program FROM sys WHERE tag > 'purchase-5'",

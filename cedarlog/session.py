@@ -22,6 +22,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Private folders of local sessions without ``spark.checkpoint.dir``, by application.
+_private: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -33,9 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    own = tempfile.mkdtemp(prefix="cedarlog-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _private:
+        _private[application] = tempfile.mkdtemp(prefix="cedarlog-")
+    return _private[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

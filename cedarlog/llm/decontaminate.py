@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cedarlog.llm import words as W
+from cedarlog.llm.rows import nested
 from cedarlog.session import fits_broadcast, materialize, scratch_path
 
 #: Bytes of text in a block.
@@ -312,8 +313,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     The rows are written once with a number each, which the index carries.
     """
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "decontaminate-rows")
-    found = decontaminate(numbered, benchmark, id_col="_row", text_col=text_col, **options)
-    bad = materialize(found.where(contaminated(percent)).select(F.col("doc_id").alias("_row")), "contaminated-rows")
+    numbered = materialize(docs.select(nested(docs), F.monotonically_increasing_id().alias("number")), "decontaminate-rows")
+    texts = numbered.select("number", F.col(f"row.`{text_col}`").alias("text"))
+    found = decontaminate(texts, benchmark, id_col="number", text_col="text", **options)
+    bad = materialize(found.where(contaminated(percent)).select(F.col("doc_id").alias("number")), "contaminated-rows")
     rows = F.broadcast(bad) if fits_broadcast(bad, BROADCAST_TERMS) else bad
-    return numbered.join(rows, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(rows, "number", "left_anti").select("row.*")

@@ -33,6 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cedarlog.llm import words as W
 from cedarlog.llm.groups import Forest, components, hub_blocks, sorted_groups
 from cedarlog.llm.ngram_join import BROADCAST_KEYS, text_key
+from cedarlog.llm.rows import column, nested
 from cedarlog.session import fits_broadcast, materialize
 
 #: SimHash bits in which a pair that is verified may differ.
@@ -354,24 +355,22 @@ def dedup_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """``docs`` with the lines that repeat an earlier one taken out of the texts; rows and columns stay."""
-    kept = line_verdicts(docs, text_col, id_col, threshold).select(F.col("tk").alias("_tk"), F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    tagged = docs.withColumn("_key", text_key(F.col(text_col)))
-    joined = tagged.join(kept, (F.col("_key") == F.col("_tk")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    kept = line_verdicts(docs, text_col, id_col, threshold)
+    tagged = docs.select(nested(docs), text_key(column(text_col)).alias("key"), column(id_col).alias("id"))
+    joined = tagged.join(kept, (F.col("key") == F.col("tk")) & F.col("id").eqNullSafe(F.col("doc_id")), "left").select("row", "kept")
     names = docs.columns
-    schema = joined.select(*names).schema
-    column = names.index(text_col)
+    at = names.index(text_col)
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, numbers in zip(batch.column(column).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            columns, texts = batch.column(0).flatten(), []
+            for text, numbers in zip(columns[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None:
                     texts.append(None)
                     continue
                 stay = set(numbers or ())
                 texts.append("\n".join(x for k, x in enumerate(text.split("\n")) if k in stay or not _normal(x)))
-            columns = [batch.column(k) for k in range(len(names))]
-            columns[column] = pa.array(texts, batch.column(column).type)
+            columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "_kept").mapInArrow(rebuild, schema)
+    return joined.mapInArrow(rebuild, joined.select("row.*").schema)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.llm import words as W
 from cedarlog.llm.groups import Forest, components, hub_blocks, sorted_groups
+from cedarlog.llm.rows import column, nested
 from cedarlog.session import fits_broadcast, materialize
 
 HASHES, ROWS_A_BAND, STEP = 128, 4, 16
@@ -280,10 +281,10 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", th
     texts = rows.where("n > 0").groupBy("key", "tk").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id")).alias("_id"))
     first = F.min(F.struct("_id.no", "_id.doc_id", "tk"))
     chosen = texts.join(classes.select("key", "root"), "key").groupBy("root").agg(first.alias("_f"))
-    chosen = chosen.select(F.col("_f.tk").alias("_tk"), F.col("_f.doc_id").alias("_first"))
-    tagged = docs.withColumn("_tk", text_key(F.col(text_col)))
-    stay = tagged.join(chosen, "_tk").where(F.col(id_col).eqNullSafe(F.col("_first"))).dropDuplicates(["_tk"])
-    return stay.select(*docs.columns).unionByName(without_shingles(docs, text_col))
+    chosen = chosen.select(F.col("_f.tk").alias("tk"), F.col("_f.doc_id").alias("first"))
+    tagged = docs.select(nested(docs), text_key(column(text_col)).alias("tk"), column(id_col).alias("id"))
+    stay = tagged.join(chosen, "tk").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["tk"])
+    return stay.select("row.*").unionByName(without_shingles(docs, text_col))
 
 
 def without_shingles(docs: DataFrame, text_col: str = "text") -> DataFrame:

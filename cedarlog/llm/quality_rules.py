@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cedarlog.llm.rows import column, nested
 from cedarlog.session import fits_broadcast, materialize
 
 #: Hosts with a verdict against them that are sent to every task at most; beyond it both sides are shuffled.
@@ -187,9 +188,7 @@ def keep_good(
     failed = _let(
         _words(text), lambda w: (F.size(w) < min_words) | (100 * _repeat_words(w) > max_repeat_percent * F.size(w))
     )
-    judged = materialize(docs.withColumn("_base_failed", failed), "quality-judged")
-    verdicts = judged.select(F.col(host_col).cast("string").alias("host"), F.col("_base_failed").alias("base_failed"))
-    bad = host_verdicts(verdicts, max_rate).where("host_failed").select(F.col("host").alias("_host"))
-    good = judged.where(~F.col("_base_failed"))
+    judged = materialize(docs.select(nested(docs), column(host_col).cast("string").alias("host"), failed.alias("base_failed")), "quality-judged")
+    bad = host_verdicts(judged.select("host", "base_failed"), max_rate).where("host_failed").select("host")
     hosts = F.broadcast(bad) if fits_broadcast(bad, BROADCAST_HOSTS) else bad
-    return good.join(hosts, F.col(host_col).cast("string") == F.col("_host"), "left_anti").select(*docs.columns)
+    return judged.where(~F.col("base_failed")).join(hosts, "host", "left_anti").select("row.*")

@@ -77,6 +77,29 @@ def test_stages_equal_plain_python(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in out) == sorted(pieces)
 
 
+HELPERS = [
+    "_id", "_tk", "_kept", "_key", "_first", "_row", "_host", "_base_failed", "_text", "row", "key", "tk", "id", "kept", "first", "host",
+    "base_failed", "number", "block", "a b.c",
+]
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_helper_names_as_input_columns(spark, tmp_path, stage):
+    """A column of any name a stage uses inside comes back unchanged, and changes nothing."""
+    rows, items = corpus(5)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain_rows = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+    values = {name: [f"{name} {i}" for i, _, _ in rows] for name in HELPERS}
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{name}` string" for name in HELPERS)
+    wide = spark.createDataFrame([(*r, *(values[name][k] for name in HELPERS)) for k, r in enumerate(rows)], schema)
+    apply = corpus_pipeline.STAGES[stage][1]
+    want = apply(spark, plain_rows, str(tmp_path)).collect()
+    got = apply(spark, wide, str(tmp_path))
+    assert got.columns == wide.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted((r.doc_id, r.text or "") for r in want)
+    assert all(r[name] == f"{name} {r.doc_id}" for r in got.collect() for name in HELPERS)
+
+
 def test_stage_names_and_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_duplicates", "decontamination", "packing"]
 

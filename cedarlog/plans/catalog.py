@@ -13,12 +13,13 @@ from cedarlog.operators import maintenance, promote, rules, stats
 from cedarlog.operators.context import context_around
 from cedarlog.operators.filters import build_filter
 from cedarlog.operators.geo import geoip_join
-from cedarlog.operators.networks import prepare_networks
 from cedarlog.operators.ids import assign_ids
+from cedarlog.operators.networks import prepare_networks
 from cedarlog.operators.search import after, display, search, tail, to_json_lines, to_tsv
 from cedarlog.operators.syslog import ingest_report, parse_syslog, split_rejects
 from cedarlog.plans import fixtures as fx
 from cedarlog.session import configure, materialize, scratch_path
+from cedarlog.sources import files
 from cedarlog.sources.files import WebSet, parse_web_lines, read_web_sets, tag_vhost
 from cedarlog.sources.store import LogStore
 from cedarlog.streaming.follow import follow
@@ -296,6 +297,32 @@ def countries_window(spark, sf_dir):
     return stats.countries_in_window(rows, "http_access", "client_ip", table, "2w", fx.AS_OF, prepared=True)
 
 
+@query("file_outcomes")
+def file_outcomes(spark, sf_dir):
+    """Files by kind of event, one that is broken among them, and one that is not there: what became of each."""
+    base = scratch_path(spark, "outcomes")
+    lines = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.concat("event_id", F.lit(" "), "props").alias("value"))
+    lines.repartition(1, "event_type").write.partitionBy("event_type").text(base)
+    broken = spark.range(1).coalesce(1).select(F.lit("not gzip").alias("value"))
+    broken.write.option("compression", "none").text(f"{base}/event_type=broken")
+    (name,) = _file_names(spark, f"{base}/event_type=broken/part-*")
+    _rename(spark, name, f"{name}.gz")
+    found = files.file_outcomes(spark, [f"{base}/event_type=*/part-*", f"{base}/event_type=none/part-0"])
+    kind = F.regexp_extract("path", "event_type=([a-z]+)/", 1)
+    return found.groupBy(kind.alias("event_type"), "status").agg(F.sum("lines").alias("lines"))
+
+
+def _file_names(spark, pattern: str) -> list[str]:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return [s.getPath().toString() for s in found]
+
+
+def _rename(spark, old: str, new: str) -> None:
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (old, new)]
+    paths[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(*paths)
+
+
 @query("geoip_networks")
 def geoip_networks(spark, sf_dir):
     """Places by nested networks of both families; the record of each event gets what is known of its address."""

@@ -286,6 +286,9 @@ _ORACLES: dict[str, str] = {
         SELECT 'client_ip', count(DISTINCT client_ip) FROM acc WHERE {_since("r_isodate", "3 days")}""",
     "countries_window": f"""
         SELECT country, count(*) AS "count" FROM acc WHERE {_since("r_isodate", "14 days")} GROUP BY 1""",
+    "file_outcomes": """
+        SELECT event_type, 'read' AS status, count(*) AS lines FROM events GROUP BY 1
+        UNION ALL VALUES ('broken', 'unreadable', 0), ('none', 'missing', 0)""",
     "geoip_networks": """
         SELECT event_id + 1 AS id, CASE event_id % 8
           WHEN 0 THEN '2001:db8:' || lower(hex(c_nationkey)) || ':0:0:' || lower(hex(c_custkey)) || '::' || lower(hex(event_id % 4096))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,37 +23,90 @@ RESERVED = ("geoip", "state_dir", "pid_dir")
 
 KINDS = ("access", "error")
 
+#: Files of a pattern that are asked one by one whether they may be opened.
+ASKED = 10_000
+
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Non-blank lines (``value``) with the ``path`` they came from.
 
-    Only a newline ends a line. Files that vanish or cannot be opened are skipped.
+    Only a newline ends a line. Files that vanish, or that break off while they are
+    read, give what could be read of them.
     """
-    lines = (
-        spark.read.option("lineSep", "\n")
-        .option("ignoreMissingFiles", "true")
-        .text(paths)
-        .select("value", F.col("_metadata.file_path").alias("path"))
-    )
-    return lines.filter(~is_blank(F.col("value")))
+    return _raw_lines(spark, paths).filter(~is_blank(F.col("value")))
+
+
+def _raw_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    reader = spark.read.option("lineSep", "\n").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
+    return reader.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
 
 
 def read_syslog_json(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines for :func:`cedarlog.operators.syslog.parse_syslog`; missing paths are skipped."""
-    wanted = [paths] if isinstance(paths, str) else list(paths)
-    if not wanted:
-        raise ValueError("at least one file is required")
-    present = [path for path in wanted if _exists(spark, path)]
+    """Lines for :func:`cedarlog.operators.syslog.parse_syslog`.
+
+    Paths that are missing, and files that may not be opened, are warned about and skipped.
+    """
+    present, problems = openable(spark, paths)
+    for path, status in problems:
+        warnings.warn(f"{path} is {status} and is skipped", stacklevel=2)
     if not present:
         return spark.createDataFrame([], "value string, path string")
     return read_lines(spark, present)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
+def openable(spark: SparkSession, paths: str | Sequence[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """(paths or patterns that can be read, (path, ``missing`` or ``unreadable``) of the others).
+
+    A pattern of which some files may not be opened is replaced by the others. Files
+    are asked one by one up to ``ASKED``; of more than that Spark finds out itself.
+    """
+    wanted = [paths] if isinstance(paths, str) else list(paths)
+    if not wanted:
+        raise ValueError("at least one file is required")
+    context = spark.sparkContext
+    read = context._jvm.org.apache.hadoop.fs.permission.FsAction.READ
+    present, problems = [], []
+    for path in wanted:
+        files, found = _matches(spark, path)
+        if not found:
+            problems.append((path, "missing"))
+            continue
+        closed = set()
+        for status in found if len(found) <= ASKED else ():
+            try:
+                files.access(status.getPath(), read)
+            except Py4JJavaError:
+                closed.add(status.getPath().toString())
+        problems += [(name, "unreadable") for name in sorted(closed)]
+        present += [s.getPath().toString() for s in found if s.getPath().toString() not in closed] if closed else [path]
+    return present, problems
+
+
+def _matches(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path or pattern, and the status of what matches."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    return files, list(files.globStatus(target) or [])
+
+
+def file_outcomes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(path, status, lines)`` of each file asked for.
+
+    ``read`` with the number of its lines, blank ones included; ``empty``; ``missing``;
+    ``unreadable``: not opened, or without a line although it has bytes.
+    """
+    present, problems = openable(spark, paths)
+    # Spark plans no task for a file without a byte
+    empty = [(s.getPath().toString(), "empty") for p in present for s in _matches(spark, p)[1] if s.isFile() and not s.getLen()]
+    other = spark.createDataFrame([(p, s, 0) for p, s in [*problems, *empty]], "path string, status string, lines long")
+    if not present:
+        return other
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(present).where("length > 0").select("path")  # no content is read
+    counted = _raw_lines(spark, present).groupBy(F.col("path").alias("__path")).agg(F.count(F.lit(1)).alias("lines"))
+    joined = files.join(counted, local_path(F.col("path")) == local_path(F.col("__path")), "left")
+    status = F.when(F.col("lines") > 0, "read").otherwise("unreadable")
+    return joined.select("path", status.alias("status"), F.coalesce("lines", F.lit(0)).cast("long").alias("lines")).unionByName(other)
 
 
 def read_http_access(
@@ -188,8 +243,9 @@ def read_web_sets(
         table = tables.get(web_set.geoip)
         for kind in KINDS:
             pattern = web_set.pattern(kind)
-            if pattern is None or not _exists(spark, pattern):
+            present = openable(spark, pattern)[0] if pattern is not None else []
+            if not present:
                 continue
-            lines = read_lines(spark, pattern).withColumn("path", local_path(F.col("path")))
+            lines = read_lines(spark, present).withColumn("path", local_path(F.col("path")))
             out.setdefault(kind, []).append(parse_web_lines(lines, web_set, kind, host, received_at, table))
     return {kind: reduce(DataFrame.unionByName, frames) for kind, frames in out.items()}

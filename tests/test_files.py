@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cedarlog.functions import records
 from cedarlog.operators.syslog import ingest_report, parse_syslog
 from cedarlog.plans.fixtures import raw_ranges
-from cedarlog.sources.files import WebSet, glob_text, local_path, read_syslog_json, read_web_sets, tag_vhost, web_sets
+from cedarlog.sources.files import WebSet, file_outcomes, glob_text, local_path, openable, read_syslog_json, read_web_sets, tag_vhost, web_sets
 
 
 def vhost(spark, web_set, path):
@@ -86,3 +86,39 @@ def test_read_web_sets(spark, tmp_path):
         ("www.b.org_8443", 80, 200, "GB"),
     ]
     assert rows["error"].first().vhost == "www.a.org"
+
+
+def test_unreadable_files_are_told_apart(spark, tmp_path):
+    """Readable, blank and empty files, one that is no archive although its name says so, one that is not there."""
+    (tmp_path / "a.json").write_text("{}\n{}\n")
+    (tmp_path / "blank.json").write_text("\n")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "z.json.gz").write_bytes(b"no archive")
+    asked = [f"{tmp_path}/*.json", f"{tmp_path}/z.json.gz", f"{tmp_path}/none.json"]
+    got = {(r.path.rsplit("/", 1)[1], r.status, r.lines) for r in file_outcomes(spark, asked).collect()}
+    want = {("a.json", "read", 2), ("blank.json", "read", 1), ("empty.json", "empty", 0), ("z.json.gz", "unreadable", 0), ("none.json", "missing", 0)}
+    assert got == want
+    with pytest.warns(UserWarning, match="none.json is missing"):
+        assert read_syslog_json(spark, asked).count() == 2
+    assert openable(spark, [f"{tmp_path}/none*"]) == ([], [(f"{tmp_path}/none*", "missing")])
+    assert [r.status for r in file_outcomes(spark, f"{tmp_path}/none").collect()] == ["missing"]
+
+
+def test_a_file_that_may_not_be_opened(spark, tmp_path, monkeypatch):
+    """Others of its pattern are read."""
+    for name in "abc":
+        (tmp_path / f"{name}.json").write_text("{}\n")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path))
+    kind = type(files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    ask = kind.__getattr__
+
+    def access(self, name):
+        real = ask(self, name)
+        if name != "access":
+            return real
+        return lambda path, action: real(spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/nowhere") if "b.json" in path.toString() else path, action)
+
+    monkeypatch.setattr(kind, "__getattr__", access)
+    present, problems = openable(spark, f"{tmp_path}/*.json")
+    assert [p.rsplit("/", 1)[1] for p in present] == ["a.json", "c.json"]
+    assert [(p.rsplit("/", 1)[1], s) for p, s in problems] == [("b.json", "unreadable")]

@@ -92,3 +92,24 @@ def without_member(obj: Column, key: str) -> Column:
 def is_object(raw: Column) -> Column:
     """For text already known to be JSON: is it an object?"""
     return raw.rlike(r"\A\s*\{")
+
+
+def _magnitude(number: Column) -> Column:
+    """(power of ten, digits without outer zeros) of a JSON number's text; they sort as the absolute values do."""
+    parts = [F.regexp_extract(number, r"\A-?([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?\z", k) for k in (1, 2, 3)]
+    every = F.concat(parts[0], parts[1])
+    digits = F.ltrim(every, F.lit("0"))
+    power = F.length(parts[0]) + F.coalesce(parts[2].try_cast("int"), F.lit(0)) - (F.length(every) - F.length(digits))
+    return F.struct(F.when(digits == "", F.lit(0)).otherwise(power).alias("power"), F.rtrim(digits, F.lit("0")).alias("digits"))
+
+
+def _sign(number: Column, magnitude: Column) -> Column:
+    return F.when(magnitude["digits"] == "", 0).when(number.startswith("-"), -1).otherwise(1)
+
+
+def compare_numbers(ours: Column, theirs: Column) -> Column:
+    """-1, 0 or 1 as one JSON number is below, equal to or above another, by all their digits."""
+    a, b = _magnitude(ours), _magnitude(theirs)
+    side, other = _sign(ours, a), _sign(theirs, b)
+    by_digits = side * F.when(a > b, 1).when(a < b, -1).otherwise(0)
+    return F.when(side > other, 1).when(side < other, -1).otherwise(by_digits)

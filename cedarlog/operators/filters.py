@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import operator
 from collections.abc import Collection, Sequence
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column
@@ -49,19 +50,6 @@ def message_filter(text: str) -> Column:
     return records.message(F.col("raw")).ilike(like_pattern(f"%{text}%"))
 
 
-def _magnitude(number: Column) -> Column:
-    """(power of ten, digits without outer zeros) of a JSON number's text; they sort as the absolute values do."""
-    parts = [F.regexp_extract(number, r"\A-?([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?\z", k) for k in (1, 2, 3)]
-    every = F.concat(parts[0], parts[1])
-    digits = F.ltrim(every, F.lit("0"))
-    power = F.length(parts[0]) + F.coalesce(parts[2].try_cast("int"), F.lit(0)) - (F.length(every) - F.length(digits))
-    return F.struct(F.when(digits == "", F.lit(0)).otherwise(power).alias("power"), F.rtrim(digits, F.lit("0")).alias("digits"))
-
-
-def _sign(number: Column, magnitude: Column) -> Column:
-    return F.when(magnitude["digits"] == "", 0).when(number.startswith("-"), -1).otherwise(1)
-
-
 def _numeric_compare(op: str, json_value: Column, value: str) -> Column:
     """Compare JSON numbers only; a quoted string never casts to a number.
 
@@ -69,12 +57,16 @@ def _numeric_compare(op: str, json_value: Column, value: str) -> Column:
     """
     compare = _COMPARE[op]
     number, limit = json_value.try_cast("double"), F.lit(float(value))
-    ours, theirs = _magnitude(json_value), _magnitude(F.lit(value))
-    side, other = _sign(json_value, ours), _sign(F.lit(value), theirs)
-    by_digits = side * F.when(ours > theirs, 1).when(ours < theirs, -1).otherwise(0)
-    return F.when(number == limit, compare(F.when(side != other, side - other).otherwise(by_digits), F.lit(0))).otherwise(
-        compare(number, limit)
-    )
+    return F.when(number == limit, compare(records.compare_numbers(json_value, F.lit(value)), F.lit(0))).otherwise(compare(number, limit))
+
+
+def _promoted_compare(op: str, key: str, value: str) -> Column:
+    """The same by a field's own columns; its JSON text is read only for a value that no double equals."""
+    number, limit = promote.number_column(key), F.lit(float(value))
+    beyond = number > limit if op[0] == ">" else number < limit
+    if Fraction(value) == Fraction(float(value)) == Fraction(repr(float(value))):
+        return beyond | ((number == limit) & _COMPARE[op](promote.rest_column(key), F.lit(0)))
+    return beyond | ((number == limit) & _COMPARE[op](records.compare_numbers(promote.json_column(key), F.lit(value)), F.lit(0)))
 
 
 def field_filter(field: FieldFilter, promoted: Collection[str] = ()) -> Column:
@@ -108,10 +100,9 @@ def field_filter(field: FieldFilter, promoted: Collection[str] = ()) -> Column:
     elif looks_numeric(value):
         test = _numeric_compare(op, json_value, value)
         if has_columns:
-            # Rounding to double keeps order, so this bound loses no row; unlike the
-            # exact comparison it reaches the scan.
+            # Rounding to double keeps order, so this bound loses no row, and it reaches the scan.
             loose = _COMPARE[op[0] + "="]
-            test = loose(promote.number_column(key), F.lit(float(value))) & test
+            test = loose(promote.number_column(key), F.lit(float(value))) & _promoted_compare(op, key, value)
     else:
         test = _COMPARE[op](text, F.lit(value))
     return test if has_columns else records.may_hold(raw, key) & test

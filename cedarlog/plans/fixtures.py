@@ -23,8 +23,8 @@ AS_OF = dt.datetime(2024, 1, 31)
 
 WEB_SET = WebSet(
     name="site",
-    access="/var/log/apache2/*-access.log",
-    error="/var/log/apache2/*-error.log",
+    access="/srv/logs/web/*-access.log",
+    error="/srv/logs/web/*-error.log",
 )
 
 # Address ranges with countries; one lies inside another.
@@ -86,7 +86,7 @@ def _syslog_record(without: str | None = None) -> Column:
         ),
         "SOURCEIP": _text("concat('10.0.', user_id % 4, '.', user_id % 250)"),
         "PID": F.expr(
-            "CASE WHEN value >= 2 AND value < 3 THEN '6558585.501484' WHEN value >= 3 AND value < 4 THEN NULL"
+            "CASE WHEN value >= 2 AND value < 3 THEN '7120033.250117' WHEN value >= 3 AND value < 4 THEN NULL"
             " WHEN value >= 4 AND value < 5 THEN '9223372036854775808' ELSE CAST(1000 + event_id AS STRING) END"
         ),
         "MESSAGE": F.when(
@@ -146,7 +146,7 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path(kind: str) -> Column:
-    return _text(f"concat('/var/log/apache2/www', user_id % 4, '.example.com:443-{kind}.log')")
+    return _text(f"concat('/srv/logs/web/www', user_id % 4, '.example.com:443-{kind}.log')")
 
 
 def access_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ _SYSLOG_RAW = f"""
   || '","S_ISODATE":"' || {_STAMP.format("s_isodate")} || '","FACILITY":"' || facility || '","HOST":"' || host
   || '","HOST_FROM":"' || host_from || '","PRIORITY":"' || priority || '","PROGRAM":"' || program
   || '","SOURCEIP":"' || sourceip
-  || CASE WHEN value < 3 THEN '","PID":"6558585.501484' WHEN value < 4 THEN ''
+  || CASE WHEN value < 3 THEN '","PID":"7120033.250117' WHEN value < 4 THEN ''
           WHEN value < 5 THEN '","PID":"9223372036854775808' ELSE '","PID":"' || (1000 + event_id) END
   || '","MESSAGE":"' || message || '","enriched":{{'
   || CASE WHEN event_type = 'click' THEN '' WHEN event_type = 'purchase' THEN '"k":"' || k || '",'

@@ -13,7 +13,7 @@ any size so comes in batches of bounded size, each with an offset of its own in
 checkpoint, and a restart goes on from the last of them.
 
     spark.dataSource.register(LogFollowSource)
-    spark.readStream.format("logfollow").option("path", "/var/log/apache2/*-access.log").load()
+    spark.readStream.format("logfollow").option("path", "/srv/logs/web/*-access.log").load()
 
 Files must be on a file system that driver and executors share.
 """

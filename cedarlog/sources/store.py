@@ -293,7 +293,8 @@ class LogStore:
             numbered = staged.withColumn("id", F.col("id") + F.lit(place.base))
             stored = promote.promote_fields(numbered, self._promotions(source_name)).withColumn("day", F.to_date("r_isodate"))
             own = [n for n in self.schema(source_name).names if n not in ("ids", "batch")]
-            stored.select(*own).write.mode("overwrite").partitionBy("day").parquet(f"{self.data_path(source_name)}/{place.folder}")
+            writer = promote.bloom_filters(stored.select(*own).write.mode("overwrite"), self._promotions(source_name))
+            writer.partitionBy("day").parquet(f"{self.data_path(source_name)}/{place.folder}")
         finally:
             self._delete(staging)
         return self.max_id(source_name)
@@ -316,7 +317,7 @@ class LogStore:
 
     def _overwrite(self, source_name: str, rows: DataFrame) -> None:
         """Put rows in place of the partitions they came from."""
-        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = promote.bloom_filters(rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), self._promotions(source_name))
         writer.partitionBy(*_KEYS).parquet(self.data_path(source_name))
 
     def recover(self, source_name: str) -> None:
@@ -368,7 +369,7 @@ class LogStore:
             size = sum(fs.getContentSummary(self._fs(f"{data}/{b.folder}")[1]).getLength() for b in run)
             rows = self.between(source_name, whole.base, whole.last).drop("id_base")
             spread = rows.repartitionByRange(max(1, -(-size // _FILE_BYTES)), "day", "id").sortWithinPartitions("day", "id")
-            spread.write.mode("overwrite").partitionBy("day").parquet(f"{data}/{whole.folder}")
+            promote.bloom_filters(spread.write.mode("overwrite"), self._promotions(source_name)).partitionBy("day").parquet(f"{data}/{whole.folder}")
             for batch in run:
                 self._delete(f"{data}/{batch.folder.split('/')[0]}")
 

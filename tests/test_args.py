@@ -22,7 +22,7 @@ def test_duration(text, want):
     assert parse_duration(text) == want
 
 
-@pytest.mark.parametrize("text", ["9x", "", "-1d", "1.5h", "d", "5 d d"])
+@pytest.mark.parametrize("text", ["4q", "", "-1d", "1.5h", "d", "5 d d"])
 def test_bad_duration(text):
     with pytest.raises(ValueError):
         parse_duration(text)
@@ -44,13 +44,13 @@ def test_field(text, want):
     assert parse_field(text) == want
 
 
-@pytest.mark.parametrize("text", ["noequals", "=x", "a b=c", "é=1"])
+@pytest.mark.parametrize("text", ["justtext", "=x", "a b=c", "é=1"])
 def test_bad_field(text):
     with pytest.raises(ValueError):
         parse_field(text)
 
 
-@pytest.mark.parametrize(("text", "want"), [("1000", 1), ("-2.5", 1), ("0", 1), ("007", 0), ("2.4.1", 0), ("", 0), ("1e3", 0)])
+@pytest.mark.parametrize(("text", "want"), [("3120", 1), ("-7.25", 1), ("0", 1), ("0042", 0), ("8.1.3", 0), ("", 0), ("2e5", 0)])
 def test_looks_numeric(text, want):
     assert looks_numeric(text) == bool(want)
 

@@ -2,19 +2,19 @@ import json
 
 from cedarlog.operators.rules import SSHD, Field, Rule, as_records, enrich_explain, enrich_fields, enrich_full, rule_coverage
 
-LINE = '{"PROGRAM":"sshd-session","MESSAGE":"Failed password for invalid user admin from 203.0.113.7 port 44444 ssh2"}'
+LINE = '{"PROGRAM":"sshd-session","MESSAGE":"Failed password for invalid user opal from 203.0.113.77 port 48123 ssh2"}'
 
 
 def test_fields_only(lines):
     got = json.loads(enrich_fields(as_records(lines(LINE)), SSHD).first().fields)
-    assert got == {"ssh_user": "admin", "ssh_src_ip": "203.0.113.7", "ssh_src_port": 44444}
+    assert got == {"ssh_user": "opal", "ssh_src_ip": "203.0.113.77", "ssh_src_port": 48123}
 
 
 def test_full(lines):
     got = json.loads(enrich_full(as_records(lines(LINE)), SSHD).first().raw)
     assert got["PROGRAM"] == "sshd-session"
     assert got["MESSAGE"].startswith("Failed password")
-    assert got["enriched"]["ssh_user"] == "admin"
+    assert got["enriched"]["ssh_user"] == "opal"
 
 
 def test_full_without_match(lines):
@@ -28,7 +28,7 @@ def test_full_without_match(lines):
 def test_explain(lines):
     row = enrich_explain(as_records(lines(LINE)), SSHD).first()
     assert (row.matched, row.rule) == (True, "sshd")
-    assert json.loads(row.fields)["ssh_user"] == "admin"
+    assert json.loads(row.fields)["ssh_user"] == "opal"
     row = enrich_explain(as_records(lines("nothing")), SSHD).first()
     assert (row.matched, row.rule, row.fields) == (False, None, None)
 

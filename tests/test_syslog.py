@@ -18,7 +18,7 @@ RECORD = {
     "PRIORITY": "info",
     "PROGRAM": "sshd",
     "SOURCEIP": "10.0.0.1",
-    "MESSAGE": "Failed password for invalid user admin from 203.0.113.7 port 44444 ssh2",
+    "MESSAGE": "Failed password for invalid user opal from 203.0.113.77 port 48123 ssh2",
 }
 
 
@@ -32,7 +32,7 @@ def line(**changes):
         ({}, None),
         ({"PID": "25446"}, 25446),
         ({"PID": 25446}, 25446),
-        ({"PID": "6558585.501484"}, None),
+        ({"PID": "7120033.250117"}, None),
         ({"PID": "notanumber"}, None),
         ({"PID": " 42"}, None),
         ({"PID": "+5"}, None),
@@ -108,7 +108,7 @@ def test_enriched(lines, program):
     assert json.loads(row.raw) == {
         **RECORD,
         "PROGRAM": program,
-        "enriched": {"ssh_user": "admin", "ssh_src_ip": "203.0.113.7", "ssh_src_port": 44444},
+        "enriched": {"ssh_user": "opal", "ssh_src_ip": "203.0.113.77", "ssh_src_port": 48123},
     }
     assert row.raw.startswith(line(PROGRAM=program)[:-1] + ',"enriched":{"ssh_src_ip"')
 
@@ -124,7 +124,7 @@ def test_enriched_with_country(spark, lines):
     frame = lines(line(), line(MESSAGE="Failed password for root from 10.0.0.1 port 1 ssh2"), line(PROGRAM="cron"))
     blocks = [json.loads(r.raw).get("enriched") for r in ingest_syslog(frame, rules.SSHD, ranges=table).collect()]
     found = {b["ssh_user"]: b.get("geoip") for b in blocks if b}
-    assert found == {"admin": {"ssh_src_ip": {"country": {"iso_code": "AU"}}}, "root": None}
+    assert found == {"opal": {"ssh_src_ip": {"country": {"iso_code": "AU"}}}, "root": None}
     assert len(blocks) == 3
 
 

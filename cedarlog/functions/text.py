@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +58,26 @@ def capture(value: Column, pattern: str, groups: int, tag: str = "") -> Column:
     return F.when(value.rlike(pattern), F.when(value.contains(_SEP), slow).otherwise(fast))
 
 
+def captured_by(value: Column, number: Column, patterns: Sequence[tuple[str, int]]) -> Column:
+    """As :func:`capture` by the pattern of that number, which matches; the tag is the number.
+
+    Patterns, given with their numbers of groups, are looked up, so that there is one rewrite in the plan.
+    """
+
+    def table(texts: list) -> Column:
+        return F.get(F.from_json(F.lit(json.dumps(texts)), "array<string>"), number)
+
+    whole = table([rf"\A(?s:.*?)(?:{pattern})(?s:.*)\z" for pattern, _ in patterns])
+    joined = table([_SEP.join([str(at), *(f"${n}" for n in range(1, groups + 1))]) for at, (_, groups) in enumerate(patterns)])
+    fast = F.split(F.regexp_replace(value, whole, joined), _SEP, -1)
+    own = table([pattern for pattern, _ in patterns])
+    count = F.get(F.from_json(F.lit(json.dumps([groups for _, groups in patterns])), "array<int>"), number)
+    most = max(groups for _, groups in patterns)
+    each = [F.when(count >= n, F.call_function("regexp_extract", value, own, F.lit(n))) for n in range(1, most + 1)]
+    slow = F.array(number.cast("string"), *each)
+    return F.when(value.contains(_SEP), slow).otherwise(fast)
+
+
 def _month(name: Column) -> Column:
     """``01`` .. ``12`` for a three-letter month in any case, else NULL."""
     numbers = F.create_map(*(F.lit(x) for pair in _MONTHS.items() for x in pair))

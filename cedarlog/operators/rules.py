@@ -2,11 +2,18 @@
 
 A rule list is plain data. It compiles to one pass over the message: the first
 rule, in list order, whose gate and pattern both match supplies the fields.
+
+Of more than ``MANY`` rules a row tries candidates only. Gates that ask for a beginning
+of PROGRAM sort rows into branches by that beginning, and a pattern is tried where the
+message holds the longest text the pattern cannot do without. What a rule captures and
+how it is written is then looked up by the rule's number, so the plan does not grow with
+each rule's fields.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -16,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cedarlog.functions import records
 from cedarlog.functions.once import with_once
-from cedarlog.functions.text import capture, digits_to, empty_to_null
+from cedarlog.functions.text import capture, captured_by, digits_to, empty_to_null
 from cedarlog.operators.geo import places
 
 _CAPS = "__caps"
@@ -72,8 +79,114 @@ SSHD = (
 )
 
 
+#: Rules up to which each is written into the plan on its own.
+MANY = 16
+#: Rules without a fixed beginning of PROGRAM that each branch repeats at most.
+_COMMON = 32
+_SPECIAL = frozenset(".^$*+?{}[]()|\\")
+
+
+def literal_runs(pattern: str) -> list[tuple[int, str]]:
+    """(place, text) of the stretches of a pattern that every match holds as they stand.
+
+    Only what is outside of groups and brackets counts; a pattern with alternatives or
+    with options of its own has none.
+    """
+    out, run, start, depth, at = [], "", 0, 0, 0
+
+    def end() -> None:
+        nonlocal run
+        if run:
+            out.append((start, run))
+        run = ""
+
+    while at < len(pattern):
+        c, size = pattern[at], 1
+        if c == "\\":
+            size = 2
+            escaped = pattern[at + 1 : at + 2]
+            c = escaped if escaped and not escaped.isalnum() else None
+        elif c == "[":
+            close = at + 1 + (pattern[at + 1 : at + 2] == "^")
+            close += pattern[close : close + 1] == "]"
+            while close < len(pattern) and pattern[close] != "]":
+                if pattern[close] == "[":
+                    return []  # classes within classes
+                close += 1 + (pattern[close] == "\\")
+            c, size = None, close + 1 - at
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            if re.match(r"\(\?[a-zA-Z-]+[:)]", pattern[at:]):
+                return []
+            c = None
+        elif c == "{":
+            close = pattern.find("}", at)
+            c, size = None, (close + 1 - at if close > at else 1)
+        elif c == "|" and not depth:
+            return []
+        elif c in _SPECIAL or c in "#":
+            c = None
+        after = pattern[at + size : at + size + 1]
+        if depth or c is None or after in ("*", "?", "{"):
+            end()
+        else:
+            if not run:
+                start = at
+            run += c
+            if after == "+":
+                end()
+        at += size
+    end()
+    return out
+
+
+def _beginning(gate: str | None) -> tuple[str, bool]:
+    """(what PROGRAM must begin with, whether that is all the gate asks for)."""
+    for anchor in (r"\A", "^"):
+        if gate and gate.startswith(anchor):
+            for at, run in literal_runs(gate)[:1]:
+                if at == len(anchor):
+                    return run, gate[at:] == run
+    return "", False
+
+
+def _tried(message: Column, program: Column | None, rule: Rule) -> Column:
+    """Whether a rule matches, the cheap tests first."""
+    tests = []
+    if rule.gate is not None:
+        if program is None:
+            return F.lit(False)
+        begins, enough = _beginning(rule.gate)
+        tests += [program.startswith(begins)] if begins else []
+        tests += [] if enough else [program.rlike(rule.gate)]
+    held = max((run for _, run in literal_runs(rule.pattern)), key=len, default="")
+    tests += [message.contains(held)] if len(held) > 1 else []
+    return reduce(Column.__and__, [*tests, message.rlike(rule.pattern)])
+
+
+def _first_of_many(message: Column, program: Column | None, rules: Sequence[Rule]) -> Column:
+    """The number of the first matching rule, by branches of how PROGRAM begins."""
+    begins = [_beginning(rule.gate)[0] for rule in rules]
+
+    def first(numbers: Sequence[int]) -> Column:
+        return F.coalesce(*(F.when(_tried(message, program, rules[n]), F.lit(n)) for n in numbers), F.lit(None).cast("int"))
+
+    if program is None or begins.count("") > _COMMON:
+        return first(range(len(rules)))
+    branches = sorted(set(begins) - {""}, key=lambda b: (-len(b), b))  # the longest first: it may go on from a shorter one
+    otherwise = first([n for n, b in enumerate(begins) if not b])
+    choice = None
+    for branch in branches:
+        own = first([n for n, b in enumerate(begins) if branch.startswith(b)])
+        choice = (F if choice is None else choice).when(program.startswith(branch), own)
+    return choice.otherwise(otherwise) if choice is not None else otherwise
+
+
 def match(message: Column, program: Column | None, rules: Sequence[Rule]) -> Column:
     """``[rule position, group 1, ...]`` of the first matching rule, else NULL."""
+    if len(rules) > MANY:
+        position = F.array(_first_of_many(message, program, rules))
+        return F.get(F.transform(position, lambda n: F.when(n.isNotNull(), captured_by(message, n, [(r.pattern, r.groups) for r in rules]))), 0)
 
     def attempt(at: int, rule: Rule) -> Column:
         caps = capture(message, rule.pattern, rule.groups, str(at))
@@ -85,12 +198,35 @@ def match(message: Column, program: Column | None, rules: Sequence[Rule]) -> Col
 
 
 def field_value(caps: Column, field: Field) -> Column:
-    text = empty_to_null(caps[field.group])
-    if field.type == "string":
+    return _typed(caps[field.group], field.type)
+
+
+def _typed(text: Column, kind: str) -> Column:
+    text = empty_to_null(text)
+    if kind == "string":
         return text
-    if field.type == "long":
+    if kind == "long":
         return digits_to(text, "bigint")
-    return text.try_cast(field.type)
+    return text.try_cast(kind)
+
+
+def _table(values: list, kind: str) -> Column:
+    """A literal array, looked up by the number of a rule."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _fields_of_many(caps: Column, rules: Sequence[Rule]) -> Column:
+    """As :func:`fields_json`, with names, groups and types looked up by the rule's number."""
+    kinds = sorted({f.type for rule in rules for f in rule.fields})
+    fields = [[{"n": json.dumps(f.name, ensure_ascii=False), "g": f.group, "t": f.type} for f in sorted(rule.fields, key=lambda f: f.name)] for rule in rules]
+    own = F.get(_table(fields, "array<array<struct<n:string,g:int,t:string>>>"), caps[0].cast("int"))
+
+    def member(f: Column) -> Column:
+        text = F.get(caps, f["g"])
+        written = F.coalesce(*(F.when(f["t"] == kind, F.to_json(F.struct(_typed(text, kind).alias("v")))) for kind in kinds))
+        return F.when(written != "{}", F.concat(f["n"], F.lit(":"), F.substring(written, F.lit(6), F.length(written) - 6)))
+
+    return F.concat(F.lit("{"), F.concat_ws(",", F.transform(own, member)), F.lit("}"))
 
 
 def fields_json(caps: Column, rules: Sequence[Rule]) -> Column:
@@ -98,6 +234,8 @@ def fields_json(caps: Column, rules: Sequence[Rule]) -> Column:
 
     Fields without a value are left out; a match without any value is NULL.
     """
+    if len(rules) > MANY:
+        return F.when(caps.isNotNull(), F.nullif(_fields_of_many(caps, rules), F.lit("{}")))
 
     def one(rule: Rule) -> Column:
         ordered = sorted(rule.fields, key=lambda f: f.name)
@@ -112,8 +250,16 @@ def fields_json(caps: Column, rules: Sequence[Rule]) -> Column:
 
 
 def rule_name(caps: Column, rules: Sequence[Rule]) -> Column:
-    names = F.array(*(F.lit(rule.name) for rule in rules))
-    return F.get(names, caps[0].cast("int"))
+    return F.get(_table([rule.name for rule in rules], "array<string>"), caps[0].cast("int"))
+
+
+def _address(caps: Column, rules: Sequence[Rule], name: str) -> Column:
+    """The text of an address field, whichever rule matched."""
+    if len(rules) > MANY:
+        groups = [next((f.group for f in rule.fields if f.name == name), None) for rule in rules]
+        return empty_to_null(F.get(caps, F.get(_table(groups, "array<int>"), caps[0].cast("int"))))
+    texts = [F.when(caps[0] == str(at), field_value(caps, f)) for at, rule in enumerate(rules) for f in rule.fields if f.name == name]
+    return F.coalesce(*texts)
 
 
 def with_captures(df: DataFrame, rules: Sequence[Rule], raw: str = "raw") -> DataFrame:
@@ -136,13 +282,7 @@ def with_fields(matched: DataFrame, rules: Sequence[Rule], ranges: DataFrame | N
         return found
     names = sorted({f.name for rule in rules for f in rule.fields if f.ip})
     for name in names:
-        texts = [
-            F.when(caps[0] == str(at), field_value(caps, f))
-            for at, rule in enumerate(rules)
-            for f in rule.fields
-            if f.name == name
-        ]
-        found = places(found.withColumn("__address", F.coalesce(*texts)), "__address", ranges, prepared=True)
+        found = places(found.withColumn("__address", _address(caps, rules, name)), "__address", ranges, prepared=True)
         found = found.withColumnRenamed("place", f"__place_{name}").drop("__address")
     entries = [F.concat(F.lit(f"{json.dumps(name)}:"), F.col(f"__place_{name}")) for name in names]
     geo = F.nullif(F.concat_ws(",", *entries), F.lit(""))

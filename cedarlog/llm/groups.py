@@ -115,4 +115,4 @@ def hub_blocks(members: DataFrame, block_rows: int) -> DataFrame:
         "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "own"
     )
 
-__all__ = ["Forest", "components", "hub_blocks", "scratch_path", "sorted_groups"]
+__all__ = ["Forest", "components", "hub_blocks", "sorted_groups"]

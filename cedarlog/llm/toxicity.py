@@ -7,7 +7,10 @@ from the models of all training rows. Models are fitted by Newton steps on norma
 equations summed per partition.
 
 * NULL and empty texts have no features; their probability comes from the intercepts and the chain.
-* A label counts for every row of its id; rows with a NULL label train nothing. Repeated rows are scored each.
+* A label counts for every row of its id; rows with a NULL label train nothing. Of several
+  labels of one id, each category takes the largest. Repeated rows are scored each.
+* Rows with equal texts are in one fold, so no model that leaves a text out has seen a copy of it.
+* Texts of any length are read whole, one text at a time beyond 4 MB.
 * Without training rows every probability is 0.5. An empty table gives no rows.
 * Other columns do not matter.
 """
@@ -153,11 +156,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], id_col:
     so that they may be sent to every task (some MB); the texts are not shuffled.
     """
     marks = [F.col(c).cast("double").alias(f"_y{k}") for k, c in enumerate(categories)]
-    known = labels.select(F.col(id_col).alias("_id"), *marks).dropna().dropDuplicates(["_id"])
+    ys = [f"_y{k}" for k in range(len(categories))]
+    known = labels.select(F.col(id_col).alias("_id"), *marks).dropna().groupBy("_id").agg(*(F.max(y).alias(y) for y in ys))
     sample = materialize(known.orderBy(F.xxhash64("_id"), "_id").limit(max_training_rows), "toxicity-labels")
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    ys = [f"_y{k}" for k in range(len(categories))]
-    joined = base.join(F.broadcast(sample), "_id").select("_text", F.pmod(F.xxhash64("_id"), F.lit(FOLDS)).cast("int").alias("fold"), *ys)
+    joined = base.join(F.broadcast(sample), "_id").select("_text", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("fold"), *ys)
     hits = ", ".join(f"h{k} double" for k in range(len(ys)))
     counts = joined.mapInArrow(_counts(len(ys)), f"feature long, n double, {hits}").groupBy("feature").agg(F.sum("n").alias("n"), *(F.sum(f"h{k}").alias(f"h{k}") for k in range(len(ys))))
     counts = materialize(counts.where(F.col("n") >= least_rows), "toxicity-features")

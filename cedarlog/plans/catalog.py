@@ -158,6 +158,17 @@ def adhoc_sql(spark, sf_dir):
     """)
 
 
+@query("adhoc_record_path")
+def adhoc_record_path(spark, sf_dir):
+    """Fields of the stored records asked for by path, in SQL of the registered store."""
+    _stored(spark, sf_dir).register()
+    return spark.sql("""
+        SELECT record:enriched.tag::string AS tag, record:enriched.k::int AS k, record:HOST::string AS host,
+               count(*) AS n, count(record:absent.key) AS absent
+        FROM syslog GROUP BY ALL
+    """)
+
+
 # -- filters -----------------------------------------------------------------
 
 
@@ -291,6 +302,24 @@ def distinct_hosts_window(spark, sf_dir):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
+@query("distinct_sketched_window")
+def distinct_sketched_window(spark, sf_dir):
+    """Sketches of stored batches and of one appended later, beside the exact count: within 5 %, three deviations."""
+    store = LogStore(spark, scratch_path(spark, "store"))
+    late = F.col("r_isodate") >= F.lit("2024-01-25 00:00:00+00:00").cast("timestamp")
+    for name, rows in (("syslog", fx.syslog_rows(spark, sf_dir)), ("http_access", fx.access_rows(spark, sf_dir))):
+        store.append(name, rows.filter(~late))
+        store.sketch(name)
+        store.append(name, rows.filter(late))
+    parts = []
+    for name, by, since in (("syslog", "host", "24h"), ("syslog", "program", "30d"), ("http_access", "client_ip", "30d"), ("http_access", "client_ip", "100h")):
+        exact = stats.distinct_in_window(store.read(name), name, by, since, fx.AS_OF, partitioned=True)
+        about = store.distinct_estimate(name, by, since, fx.AS_OF).withColumnRenamed("n", "about")
+        both = exact.withColumn("_", F.lit(1)).join(about.withColumn("_", F.lit(1)), "_")
+        parts.append(both.select(F.lit(by).alias("dimension"), F.lit(since).alias("since"), "n", (F.abs(F.col("about") - F.col("n")) <= F.col("n") * 0.05).alias("near")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("countries_window")
 def countries_window(spark, sf_dir):
     rows, table = fx.access_rows(spark, sf_dir), fx.geo_ranges(spark)

@@ -226,6 +226,9 @@ _ORACLES: dict[str, str] = {
         SELECT host, CAST(r_isodate AS DATE) AS day, count(*) AS n, max(r_isodate) AS latest,
                count(DISTINCT sourceip) AS senders
         FROM sys WHERE facility = 'mail' GROUP BY 1, 2""",
+    "adhoc_record_path": """
+        SELECT tag, CASE WHEN k_text IS NOT NULL THEN k END AS k, host, count(*) AS n, CAST(0 AS BIGINT) AS absent
+        FROM sys GROUP BY 1, 2, 3""",
     "field_repeated_key": """
         SELECT 'tag=view-7' AS field, id FROM sys WHERE tag = 'view-7'
         UNION ALL SELECT 'tag!=view-7', id FROM sys WHERE tag <> 'view-7'
@@ -284,6 +287,14 @@ _ORACLES: dict[str, str] = {
         SELECT 'program', count(DISTINCT program) FROM sys WHERE {_since("r_isodate", "30 days")}
         UNION ALL
         SELECT 'client_ip', count(DISTINCT client_ip) FROM acc WHERE {_since("r_isodate", "3 days")}""",
+    "distinct_sketched_window": f"""
+        SELECT 'host' AS dimension, '24h' AS since, count(DISTINCT host) AS n, TRUE AS near FROM sys WHERE {_since("r_isodate", "24 hours")}
+        UNION ALL
+        SELECT 'program', '30d', count(DISTINCT program), TRUE FROM sys WHERE {_since("r_isodate", "30 days")}
+        UNION ALL
+        SELECT 'client_ip', '30d', count(DISTINCT client_ip), TRUE FROM acc WHERE {_since("r_isodate", "30 days")}
+        UNION ALL
+        SELECT 'client_ip', '100h', count(DISTINCT client_ip), TRUE FROM acc WHERE {_since("r_isodate", "100 hours")}""",
     "countries_window": f"""
         SELECT country, count(*) AS "count" FROM acc WHERE {_since("r_isodate", "14 days")} GROUP BY 1""",
     "file_outcomes": """

@@ -1,6 +1,7 @@
 """The log store: one parquet table per source, a folder for each batch.
 
     <table>/data/ids=<base>-<last>/batch=<writer>-<number>/day=<receipt day>/part-..
+    <table>/sketches/ids=..    for each batch and day, a sketch of the values of each dimension
     <table>/promoted.json      fields with columns of their own
 
 A batch is one Spark write in overwrite mode to a folder of its own, and is there once
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cedarlog.functions.args import parse_duration, positive_or
-from cedarlog.operators import maintenance, promote
+from cedarlog.operators import maintenance, promote, stats
 from cedarlog.operators.filters import build_filter, day_filter, timestamp
 from cedarlog.operators.ids import assign_ids
 from cedarlog.operators.rules import Rule
@@ -248,9 +249,74 @@ class LogStore:
         return self.newest(source_name, positive_or(lines, 10), **filters).orderBy("id")
 
     def register(self) -> None:
-        """Make the tables reachable by name from SQL."""
+        """Make the tables reachable by name from SQL.
+
+        Beside the stored columns, ``record`` is ``raw`` as a VARIANT, NULL where that is no
+        JSON, so that SQL can ask by path: ``record:enriched.port::int``. It is parsed
+        only where a query uses it.
+        """
         for name in SOURCES:
-            self.read(name).createOrReplaceTempView(name)
+            self.read(name).withColumn("record", F.try_parse_json("raw")).createOrReplaceTempView(name)
+
+    # -- sketches ------------------------------------------------------------
+
+    def _sketch_path(self, source_name: str) -> str:
+        return f"{self._top(source_name)}/sketches"
+
+    def _sketched(self, source_name: str) -> set[str]:
+        """The ids of the batches that have sketches."""
+        found = map(parse_batch, self._names(f"{self._sketch_path(source_name)}/ids=*/batch=*"))
+        return {b.folder.split("/")[0][4:] for b in found if b}
+
+    def _drop_sketches(self, source_name: str, ids: Iterable[str]) -> None:
+        for one in set(ids):
+            self._delete(f"{self._sketch_path(source_name)}/ids={one}")
+
+    def sketch(self, source_name: str) -> None:
+        """Sketch the batches that have none, in one job; from then on each append does so.
+
+        A batch's sketches go before its rows change and come after them, so those that
+        are there are right; what a lost driver left out is read from the rows.
+        """
+        there = self._sketched(source_name)
+        seen = {b.folder.split("/")[0][4:] for b in self.batches(source_name)}
+        self._drop_sketches(source_name, there - seen)
+        fs, target = self._fs(self._sketch_path(source_name))
+        fs.mkdirs(target)
+        if seen - there:
+            rows = self._rows(source_name)
+            rows = rows.where(~F.col("ids").isin(sorted(there & seen))) if len(there) < len(seen - there) else rows.where(F.col("ids").isin(sorted(seen - there)))
+            made = rows.groupBy(*_KEYS).agg(*stats.sketch_columns(source_name)).repartition("ids", "batch")
+            writer = made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("ids", "batch").parquet(self._sketch_path(source_name))
+
+    def sketches(self, source_name: str) -> DataFrame:
+        """ids, batch, day and a sketch per dimension."""
+        dims = [T.StructField(d, T.BinaryType()) for d in source(source_name).dims]
+        schema = T.StructType([_PARTITIONS[2], *dims, *_PARTITIONS[:2]])
+        if not self._exists(self._sketch_path(source_name)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._sketch_path(source_name))
+
+    def distinct_estimate(self, source_name: str, by: str, since: str, as_of: dt.datetime) -> DataFrame:
+        """About how many different values a dimension takes in a window on receipt time.
+
+        Days that lie in the window as a whole come from sketches. Rows are read of the
+        day in which the window begins, if it begins within one, and of batches without
+        sketches. :func:`stats.distinct_in_window` counts exactly.
+        """
+        cutoff = timestamp(as_of - parse_duration(since))
+        whole = F.col("day") >= F.to_date(cutoff + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND"))
+        seen = {b.folder.split("/")[0][4:] for b in self.batches(source_name)}
+        there = self._sketched(source_name)
+        stale, missing = sorted(there - seen), sorted(seen - there)
+        kept = self.sketches(source_name).where(whole)
+        kept = kept.where(~F.col("ids").isin(stale)) if stale else kept
+        rows = self._rows(source_name).where((F.col("day") >= F.to_date(cutoff)) & (F.col("r_isodate") >= cutoff))
+        rows = rows.where(~whole | F.col("ids").isin(missing) if missing else ~whole)
+        fresh = rows.groupBy("day").agg(*stats.sketch_columns(source_name))
+        dims = source(source_name).dims
+        return stats.distinct_of_sketches(kept.select(*dims).unionByName(fresh.select(*dims)), source_name, by)
 
     # -- writing -------------------------------------------------------------
 
@@ -290,11 +356,16 @@ class LogStore:
             if not count:
                 return self.max_id(source_name)
             place = self._place(source_name, f"{batch[0]}-{batch[1]}" if batch else uuid.uuid4().hex, count)
+            sketched = self._exists(self._sketch_path(source_name))
+            if sketched:
+                self._drop_sketches(source_name, [place.folder.split("/")[0][4:]])
             numbered = staged.withColumn("id", F.col("id") + F.lit(place.base))
             stored = promote.promote_fields(numbered, self._promotions(source_name)).withColumn("day", F.to_date("r_isodate"))
             own = [n for n in self.schema(source_name).names if n not in ("ids", "batch")]
             writer = promote.bloom_filters(stored.select(*own).write.mode("overwrite"), self._promotions(source_name))
             writer.partitionBy("day").parquet(f"{self.data_path(source_name)}/{place.folder}")
+            if sketched:
+                self.sketch(source_name)
         finally:
             self._delete(staging)
         return self.max_id(source_name)
@@ -372,6 +443,8 @@ class LogStore:
             promote.bloom_filters(spread.write.mode("overwrite"), self._promotions(source_name)).partitionBy("day").parquet(f"{data}/{whole.folder}")
             for batch in run:
                 self._delete(f"{data}/{batch.folder.split('/')[0]}")
+        if self._exists(self._sketch_path(source_name)):
+            self.sketch(source_name)
 
     def prune(
         self,
@@ -396,10 +469,13 @@ class LogStore:
         counts = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.count_if(gone).alias("gone")).filter(F.col("gone") > 0)
         touched = counts.collect()  # one row per partition, as in a listing
         if not dry_run:
+            self._drop_sketches(source_name, [k.ids for k in touched])
             self._overwrite(source_name, self._some(source_name, [k for k in touched if k.gone < k.n]).filter(~gone))
             for k in touched:
                 if k.gone == k.n:
                     self._delete(f"{self.data_path(source_name)}/ids={k.ids}/batch={k.batch}/day={k.day}")
+            if touched and self._exists(self._sketch_path(source_name)):
+                self.sketch(source_name)
         return sum(k.gone for k in touched)
 
     def reenrich(

@@ -309,3 +309,55 @@ def test_promotion_goes_on_where_it_stopped(spark, store, monkeypatch):
     assert store.promoted("syslog") == ["k"]
     assert store.read("syslog").filter("field_k_text IS NULL").count() == 0
     assert store.matching("syslog", field="k>7").count() == 40
+
+
+def distinct(store, by, since):
+    return store.distinct_estimate("syslog", by, since, AS_OF).first().n
+
+
+def test_distinct_from_sketches_alone(spark, store):
+    """With every batch sketched, a window of whole days reads no row of the store."""
+    assert distinct(store, "program", "9d") == 2  # no sketches yet: all from rows
+    store.sketch("syslog")
+    for row in (store.sketches("syslog").select("ids").distinct().collect(), store.batches("syslog")):
+        assert len(row) == 2
+    for path in store._names(f"{store.data_path('syslog')}/ids=*/batch=*/day=*"):
+        store._delete(path)
+    assert [distinct(store, by, "9d") for by in ("program", "host", "host_from", "priority")] == [2, 3, 1, 1]
+    assert distinct(store, "host", "36h") == 3  # the half day is gone, the whole day is a sketch
+
+
+def test_sketches_follow_the_rows(spark, store):
+    store.sketch("syslog")
+    one = make_rows(spark, 0, 30).withColumn("host", F.concat(F.lit("new"), F.col("r_isodate").cast("string")))
+    store.append("syslog", one, ("w", 1), ["r_isodate"])
+    assert distinct(store, "host", "20d") == 33
+    store.append("syslog", one.withColumn("host", F.lit("other")), ("w", 1), ["r_isodate"])  # the batch comes again
+    assert distinct(store, "host", "20d") == 4
+    store._drop_sketches("syslog", list(store._sketched("syslog"))[:2])  # as a lost driver leaves them
+    assert distinct(store, "host", "20d") == 4
+    store.sketch("syslog")
+    store.compact("syslog", "2024-01-31")
+    assert len(store.batches("syslog")) == len(store._sketched("syslog")) == 1
+    assert (distinct(store, "host", "20d"), distinct(store, "program", "20d")) == (4, 2)
+    store.prune("syslog", "36h", AS_OF)
+    assert (distinct(store, "host", "20d"), distinct(store, "program", "20d")) == (4, 2)
+    assert distinct(store, "program", "12h") == store.matching("syslog", since="12h", as_of=AS_OF).select("program").distinct().count()
+
+
+def test_error_of_sketches(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "wide"))
+    for part in range(2):
+        rows = make_rows(spark, 15_000 * part, 20_000, step="1 minute")
+        store.append("syslog", rows.withColumn("host", F.concat(F.lit("h"), F.date_format("r_isodate", "yyyyMMddHHmm"))))
+        store.sketch("syslog")
+    for since, n in (("60d", 35_000), ("10d", 14_401), ("100h", 6001)):
+        assert abs(distinct(store, "host", since) - n) < 0.05 * n
+
+
+def test_record_paths_in_sql(spark, store):
+    store.append("syslog", make_rows(spark, 0, 1).withColumn("raw", F.lit("no json")))
+    store.register()
+    got = spark.sql("SELECT record:enriched.k::int AS k, count(*) AS n FROM syslog GROUP BY 1 ORDER BY 1 NULLS LAST").collect()
+    assert [tuple(r) for r in got] == [*((k, 20) for k in range(10)), (None, 1)]
+    assert "try_parse_json" not in spark.sql("SELECT host FROM syslog")._jdf.queryExecution().executedPlan().toString()

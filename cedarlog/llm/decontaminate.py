@@ -8,7 +8,9 @@ places. Blocks are independent: searching them is a join on the terms asked for
 an intersection per block, from the term that is rarest there.
 
 * NULL and empty texts have no words and no hits. An item without words matches nothing.
-* Rows with equal or NULL doc_ids are documents of their own; items with equal ids are one item.
+* Rows with equal or NULL doc_ids are documents of their own; items with equal ids are one
+  item, and so are all without an id, called "null" in the lists beside any of that name.
+* Texts and items of any length are read whole; a long text is a block of its own.
 * Only ``doc_id``, ``text``, ``item_id`` are read; other columns do not matter.
 * An empty corpus or benchmark gives no hits.
 """
@@ -33,7 +35,7 @@ from cedarlog.session import fits_broadcast, materialize, scratch_path
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 16 << 20
-#: Distinct windows that one pass over the index looks for; a larger benchmark takes more passes.
+#: Distinct windows that a task looks for in a block; the windows of a larger benchmark are dealt to more tasks.
 WINDOWS_A_PASS = 100_000
 #: Terms asked for that are sent to every task at most (8 MB); beyond that the join shuffles.
 BROADCAST_TERMS = 1_000_000
@@ -151,17 +153,29 @@ def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
     return PositionalIndex(spark, path)
 
 
-def item_windows(items: list[tuple[str, str | None]], width: int = 13) -> dict[tuple[int, ...], set[str]]:
-    """The word hashes of each window, and the items that have it."""
-    data, bounds = W.text_bytes(pa.array([t for _, t in items], pa.string()))
-    first, _, hashes = W.words(data, bounds)
-    at = W.word_bounds(first, bounds)
-    found: dict[tuple[int, ...], set[str]] = {}
-    signed = hashes.view(np.int64).tolist()
-    for (item, _), lo, hi in zip(items, at[:-1].tolist(), at[1:].tolist(), strict=True):
-        for start in range(lo, max(hi - width, lo) + 1 if hi > lo else lo):
-            found.setdefault(tuple(signed[start : min(start + width, hi)]), set()).add(item)
-    return found
+def item_windows(benchmark: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(windows, owners): window (hash), terms and packed terms of each distinct window, and the items that have it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                _, _, hashes = W.words(*W.text_bytes(one.column(1)))
+                if not len(hashes):
+                    continue
+                for lo in range(0, max(len(hashes) - width, 0) + 1, 65536):  # a long item's windows in parts
+                    found = np.lib.stride_tricks.sliding_window_view(hashes[lo : lo + 65536 + width - 1], min(width, len(hashes)))
+                    found = np.ascontiguousarray(found).view(np.int64)
+                    n, size = found.shape
+                    lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * size, pa.array(found.ravel()))
+                    packed = pa.array([row.tobytes() for row in found], pa.binary())
+                    yield pa.RecordBatch.from_arrays([one.column(0).take(pa.array(np.zeros(n, np.int64))), lists, packed], names=["item", "terms", "packed"])
+
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("_text"))
+    rows = items.mapInArrow(cut, "item string, terms array<long>, packed binary").withColumn("window", F.xxhash64("packed"))
+    rows = materialize(rows, "benchmark-windows")
+    windows = rows.groupBy("window").agg(F.first("terms").alias("terms"), F.first("packed").alias("packed"))
+    return materialize(windows, "benchmark-windows"), rows.select("window", "item").distinct()
 
 
 def _near(places_: np.ndarray, want: np.ndarray, slop: int) -> np.ndarray:
@@ -193,69 +207,85 @@ def match_block(lists: dict[int, np.ndarray], firsts: np.ndarray, n_words: np.nd
             yield number, exact, start
 
 
-MATCHES = "block long, ordinal long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+MATCHES = "block long, ordinal long, spans array<struct<start:long,end:long>>, exact array<long>, near array<long>"
+
 
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(rows) if fits_broadcast(rows, most) else rows
 
-def find_windows(index: PositionalIndex, items: list[tuple[str, str | None]], width: int = 13, slop: int = 2) -> DataFrame:
-    """Matches of one bounded set of items: block, ordinal, n_hit, spans (word numbers), items, near_items.
 
-    A document comes back if an item's window occurs in it exactly (``items``,
-    ``spans``) or with each term at most ``slop`` words off its place (``near_items``).
+def find_windows(index: PositionalIndex, windows: DataFrame, slop: int = 2) -> DataFrame:
+    """Matches of ``windows``: block, ordinal, spans (word numbers), exact and near (windows).
+
+    A window goes to the blocks that hold its rarest term, if all its terms are in the
+    index at all. There the lists are intersected. A block's windows are dealt into
+    parts of about ``WINDOWS_A_PASS``, each with the block's lists, so that a task's work
+    is bounded. A document comes back if a window occurs in it exactly (``exact``,
+    ``spans``) or with each term at most ``slop`` words off its place (``near``).
     """
-    spark = index.spark
-    found = item_windows(items, width)
-    windows, owners = list(found), [sorted(x) for x in found.values()]
-    terms = spark.createDataFrame([(t,) for t in sorted({t for w in windows for t in w})], "term long")
-    postings = index.postings()
-    asked = postings.join(F.broadcast(terms) if fits_broadcast(terms, BROADCAST_TERMS) else terms, "term", "left_semi")
-    # rows of documents have no places; a NULL term would turn the column into floats in pandas
-    documents = index.documents().select("block", F.lit(0).cast("long").alias("term"), F.col("n_words").alias("n"), "first", "ordinal", F.lit(None).cast("binary").alias("places"))
-    rows = asked.select("block", "term", "n", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("ordinal"), "places").unionByName(documents)
-    cast = spark.sparkContext.broadcast((windows, owners))  # WINDOWS_A_PASS at most
+    count = windows.count()
+    parts = max(1, -(-count // WINDOWS_A_PASS))
+    places_of = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    words = windows.select("window", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = index.postings().join(_small(words.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi")
+    totals = materialize(asked.groupBy("term").agg(F.sum("n").alias("total")), "term-totals")
+    known = words.join(_small(totals, BROADCAST_TERMS), "term", "left").groupBy("window").agg(
+        F.count(F.lit(1)).alias("terms_"), F.count("total").alias("found"), F.min(F.struct("total", "term")).alias("rarest")
+    )
+    home = known.where("terms_ = found").select("window", F.col("rarest.term").alias("term")).join(windows.select("window", "packed"), "window")
+    home = materialize(home, "window-terms")
+    blocks = index.postings().select("block", "term").join(_small(home, WINDOWS_A_PASS), "term")
+    none = F.lit(0).cast("long")
+    rows = blocks.select("block", F.pmod("window", F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("kind"), F.col("window").alias("term"), none.alias("n"), none.alias("first"), none.alias("ordinal"), F.col("packed").alias("places"))
+    lists = asked.select("block", places_of, F.lit(1).alias("kind"), "term", "n", none.alias("first"), none.alias("ordinal"), "places")
+    documents = index.documents().select("block", places_of, F.lit(0).alias("kind"), none.alias("term"), F.col("n_words").alias("n"), "first", "ordinal", F.lit(None).cast("binary").alias("places"))
 
     def search(block: pd.DataFrame) -> pd.DataFrame:
-        windows, owners = cast.value
-        docs = block[block["places"].isna()].sort_values("ordinal")
-        docs = docs[docs["n"] > 0]
+        docs, has, asked = (block[block["kind"] == k] for k in range(3))
+        docs = docs[docs["n"] > 0].sort_values("ordinal")
         firsts, n_words, ordinals = (docs[c].to_numpy(np.int64) for c in ("first", "n", "ordinal"))
-        has = block[block["places"].notna()]
-        lists = {int(t): places(p) for t, p in zip(has["term"], has["places"], strict=True)}
+        lists = {int(t): places(p) for t, p in zip(has["term"], has["places"], strict=True)} if len(asked) else {}
+        wanted = [tuple(np.frombuffer(p, np.int64).tolist()) for p in asked["places"]]
+        names = asked["term"].tolist()
         hits: dict[int, list] = {}
-        for number, exact, near in match_block(lists, firsts, n_words, windows, slop):
-            size = len(windows[number])
+        for number, exact, near in match_block(lists, firsts, n_words, wanted, slop):
+            size = len(wanted[number])
             for kind, starts in ((0, exact), (1, near)):
                 for start, doc in zip(starts.tolist(), (np.searchsorted(firsts, starts, "right") - 1).tolist(), strict=True):
                     spans, *sets = hits.setdefault(doc, [[], set(), set()])
-                    sets[kind].update(owners[number])
+                    sets[kind].add(names[number])
                     if not kind:
                         spans.append((start - int(firsts[doc]), start - int(firsts[doc]) + size))
         out = []
         for doc, (spans, exact, near) in hits.items():
-            merged: list[list[int]] = []
-            for lo, hi in sorted(spans):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(hi, merged[-1][1])
-                else:
-                    merged.append([lo, hi])
-            spans_ = [{"start": lo, "end": hi} for lo, hi in merged]
-            out.append((int(block["block"].iloc[0]), int(ordinals[doc]), sum(hi - lo for lo, hi in merged), spans_, sorted(exact), sorted(near)))
-        return pd.DataFrame(out, columns=["block", "ordinal", "n_hit", "spans", "items", "near_items"])
-
-    return rows.groupBy("block").applyInPandas(search, MATCHES)
-
-
-def _passes(benchmark: DataFrame, id_col: str, text_col: str, width: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items in sets of about ``WINDOWS_A_PASS`` windows; the driver holds one set at a time."""
-    held, size = [], 0
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col).cast("string"))
-    for item, text in items.toLocalIterator():
-        held.append((item, text))
-        size += max(1, len(text or "") // 2 - width)
-        if size >= WINDOWS_A_PASS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+            spans_ = [{"start": lo, "end": hi} for lo, hi in _merged(spans)]
+            out.append((int(block["block"].iloc[0]), int(ordinals[doc]), spans_, sorted(exact), sorted(near)))
+        return pd.DataFrame(out, columns=["block", "ordinal", "spans", "exact", "near"])
+
+    return rows.unionByName(lists).unionByName(documents).groupBy("block", "part").applyInPandas(search, MATCHES)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for lo, hi in sorted(spans):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    return merged
+
+
+def _joined_spans() -> Column:
+    """The spans of all parts of one document, those that touch made one."""
+    one = "struct<start:bigint,end:bigint>"
+    last = lambda done: F.element_at(done, -1)
+
+    def add(done: Column, span: Column) -> Column:
+        touch = (F.size(done) > 0) & (span["start"] <= F.get(done, F.size(done) - 1)["end"])
+        longer = F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], span["end"]).alias("end"))
+        return F.when(touch, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(span)))
+
+    return F.aggregate(F.sort_array(F.flatten(F.collect_list("spans"))), F.array().cast(f"array<{one}>"), add)
 
 
 def decontaminate(
@@ -276,22 +306,19 @@ def decontaminate(
     proximity matches, sorted as text.
     """
     index = build_index(docs, index_path, id_col, text_col)
-    passes = [find_windows(index, items, width, slop) for items in _passes(benchmark, item_id_col, item_text_col, width)]
-    if not passes:
-        spark = docs.sparkSession
-        passes = [spark.createDataFrame([], MATCHES)]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    if len(passes) > 1:
-        found = found.groupBy("block", "ordinal").agg(
-            F.flatten(F.collect_list("spans")).alias("spans"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-        )
-        # spans of different passes may overlap: count each word once
-        inside = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
-        found = found.select("block", "ordinal", F.size(inside).cast("long").alias("n_hit"), "spans", "items", "near_items")
+    windows, owners = item_windows(benchmark, width, item_id_col, item_text_col)
+    matches = materialize(find_windows(index, windows, slop), "window-matches")
+    spans = matches.groupBy("block", "ordinal").agg(_joined_spans().alias("spans"))
+    width_of = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    found = spans.select("block", "ordinal", "spans", width_of.alias("n_hit"))
+    # which items: each window's owners, once a document
+    each = [F.transform(c, lambda w, own=c == "exact": F.struct(w.alias("window"), F.lit(own).alias("whole"))) for c in ("exact", "near")]
+    pairs = matches.select("block", "ordinal", F.inline(F.concat(*each))).join(_small(owners, BROADCAST_TERMS), "window").groupBy("block", "ordinal", "item").agg(F.max("whole").alias("whole"))
+    name = F.coalesce("item", F.lit("null"))  # an item without an id is no item called "null"
+    lists = pairs.groupBy("block", "ordinal").agg(
+        F.sort_array(F.collect_list(F.when(F.col("whole"), name))).alias("items"), F.sort_array(F.collect_list(name)).alias("near_items")
+    )
+    found = found.join(lists, ["block", "ordinal"])
     joined = index.documents().join(found, ["block", "ordinal"], "left")
     none = F.array().cast("array<string>")
     return joined.select(

@@ -72,6 +72,28 @@ def test_empty_tables(spark):
     assert D.decontaminate(docs.limit(0), bench).collect() == []
 
 
+def test_items_without_ids_and_long_items(spark):
+    words = [f"w{k}" for k in range(70_000)]
+    docs = spark.createDataFrame([(1, "a b c"), (2, " ".join(words[65_500:65_600])), (3, " ".join(words[69_990:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "A b"), ("null", "b c"), (None, "b, c"), ("long", " ".join(words))], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in D.decontaminate(docs, bench).collect()}
+    assert got == {1: (3, ["null", "null"], [(0, 3)]), 2: (100, ["long"], [(0, 100)]), 3: (0, [], [])}
+
+
+def test_no_window_passes_through_the_driver(spark, monkeypatch):
+    """Windows dealt to many parts give what one part gives."""
+    docs, items = case(9)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = []
+    for most in (100_000, 3):
+        monkeypatch.setattr(D, "WINDOWS_A_PASS", most)
+        monkeypatch.setattr(D, "BROADCAST_TERMS", most)
+        found = D.decontaminate(frame, bench).drop("block", "ordinal").collect()
+        rows.append(sorted(map(str, found)))
+    assert rows[0] == rows[1]
+
+
 def test_varint_lists():
     steps = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**31], np.int64)
     coded, size = D.varint(steps)

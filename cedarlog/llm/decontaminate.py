@@ -312,8 +312,9 @@ def decontaminate(
     width_of = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     found = spans.select("block", "ordinal", "spans", width_of.alias("n_hit"))
     # which items: each window's owners, once a document
-    each = [F.transform(c, lambda w, own=c == "exact": F.struct(w.alias("window"), F.lit(own).alias("whole"))) for c in ("exact", "near")]
-    pairs = matches.select("block", "ordinal", F.inline(F.concat(*each))).join(_small(owners, BROADCAST_TERMS), "window").groupBy("block", "ordinal", "item").agg(F.max("whole").alias("whole"))
+    exact = F.transform("exact", lambda w: F.struct(w.alias("window"), F.lit(True).alias("whole")))
+    near = F.transform("near", lambda w: F.struct(w.alias("window"), F.lit(False).alias("whole")))
+    pairs = matches.select("block", "ordinal", F.inline(F.concat(exact, near))).join(_small(owners, BROADCAST_TERMS), "window").groupBy("block", "ordinal", "item").agg(F.max("whole").alias("whole"))
     name = F.coalesce("item", F.lit("null"))  # an item without an id is no item called "null"
     lists = pairs.groupBy("block", "ordinal").agg(
         F.sort_array(F.collect_list(F.when(F.col("whole"), name))).alias("items"), F.sort_array(F.collect_list(name)).alias("near_items")

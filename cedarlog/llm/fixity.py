@@ -7,8 +7,11 @@ the root down: a level's nodes are compared only below nodes that differ, so equ
 branches cost their roots' comparison.
 
 * A NULL file is the file "", a NULL offset is -1, a NULL payload is an empty one.
-* Several records at one place are compared as a sorted list of their digests.
-* Other columns do not matter. Two empty replicas are equal.
+* Several records at one place are compared by how often each digest is there. Between a
+  place and its range stand SLOTS buckets of digests, so that a place which holds very many
+  records (all those without file and offset) is no single list.
+* Payloads are hashed whole, however long or empty. Other columns do not matter.
+* Two empty replicas are equal.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from cedarlog.session import materialize
 
 #: Bytes of a lowest range, ranges in the next higher one, and the levels of ranges.
 RANGE_BYTES, FANOUT, RANGE_LEVELS = 1 << 16, 16, 3
+#: Hexadecimal digits of a digest that name its bucket inside a place: 4096 buckets.
+SLOT_DIGITS = 3
 #: Buckets of files at each level above the files; the last is the root.
 FILE_BUCKETS = (4096, 64, 1)
 #: Node columns of each level, from the ranges up.
@@ -55,15 +60,23 @@ def record_digests(records: DataFrame, payload: str = "payload") -> DataFrame:
     return base.withColumns(_places())
 
 
+def counted(digests: DataFrame) -> DataFrame:
+    """file, offset, length, digest and how many such records there are; equal ones are added up before the shuffle."""
+    return digests.groupBy("file", "offset", "length", "digest").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merkle_tree(digests: DataFrame) -> list[DataFrame]:
     """The nodes of each level of LEVELS, each with its digest; every level is written once.
 
     A node's digest covers its children's places and digests in their order. A node has
-    a range's records, FANOUT ranges, a file's top ranges or a bucket's files below it.
+    a range's buckets of records, FANOUT ranges, a file's top ranges or a bucket's files below it.
     """
     above = [c for c in _places()]
-    child = F.concat_ws(":", F.lpad(F.col("offset").cast("string"), 20, "0"), F.col("length").cast("string"), "digest")
-    now, levels = digests.withColumn("_child", child), []
+    place = F.lpad(F.col("offset").cast("string"), 20, "0")
+    listed = F.concat_ws(":", F.col("length").cast("string"), "digest", F.col("n").cast("string"))
+    slots = counted(digests).withColumn("slot", F.substring("digest", 1, SLOT_DIGITS)).groupBy("file", "offset", "slot")
+    slots = slots.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(listed)), "\n"), 256).alias("digest")).withColumns(_places())
+    now, levels = slots.withColumn("_child", F.concat_ws(":", place, "slot", "digest")), []
     for level in LEVELS:
         keep = [c for c in ("file", *above) if c not in level]
         # what lies above a node is the same for all below it
@@ -99,16 +112,18 @@ def audit(first: DataFrame, second: DataFrame, payload: str = "payload") -> Data
             same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
         pairs = sides[0].alias("x").join(sides[1].alias("y"), same, "full")
         below = materialize(pairs.where(~F.col("x.digest").eqNullSafe(F.col("y.digest"))).select(*names), "merkle-differences")
-    x, y = (
-        _under(side, below).groupBy("file", "offset").agg(F.sort_array(F.collect_list("digest")).alias("digests"), F.max("length").alias("length"))
-        for side in (a, b)
-    )
-    both = x.alias("x").join(y.alias("y"), (F.col("x.file") == F.col("y.file")) & (F.col("x.offset") == F.col("y.offset")), "full")
-    status = F.when(F.col("y.digests").isNull(), "missing").when(F.col("x.digests").isNull(), "extra").otherwise("changed")
-    return both.where(~F.col("x.digests").eqNullSafe(F.col("y.digests"))).select(
+    x, y = (counted(_under(side, below)).alias(name) for side, name in ((a, "x"), (b, "y")))
+    keys = ("file", "offset", "length", "digest")
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    both = x.join(y, same, "full").select(
         F.coalesce("x.file", "y.file").alias("file"), F.coalesce("x.offset", "y.offset").alias("offset"),
-        F.coalesce("x.length", "y.length").alias("length"), status.alias("status"),
+        F.col("x.length").alias("x_length"), F.col("y.length").alias("y_length"), F.col("x.n").eqNullSafe(F.col("y.n")).alias("same"),
     )
+    found = both.groupBy("file", "offset").agg(F.max("x_length").alias("x"), F.max("y_length").alias("y"), F.min("same").alias("same")).where("NOT same")
+    status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("changed")
+    return found.select("file", "offset", F.coalesce("x", "y").alias("length"), status.alias("status"))
 
 
 def _under(nodes: DataFrame, parents: DataFrame) -> DataFrame:

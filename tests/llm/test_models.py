@@ -157,3 +157,15 @@ def test_audit_of_nulls_and_repeats(spark):
     b = spark.createDataFrame([("", -1, ""), ("f", 1, "x")], schema)
     assert [(r.file, r.offset, r.status) for r in fixity.audit(a, b).collect()] == [("f", 1, "changed")]
     assert fixity.audit(a, a).collect() == []
+
+
+def test_audit_of_crowded_places(spark):
+    """Thousands of records without file and offset, many of them equal, and clashing column names."""
+    base = spark.range(9000).selectExpr("CAST(NULL AS STRING) AS file", "CAST(NULL AS LONG) AS offset", "IF(id < 4000, 'same', concat('p', id)) AS payload", "1 AS slot", "2 AS n")
+    odd = base.withColumn("payload", fixity.F.when(fixity.F.col("payload") == "p7000", "q").otherwise(fixity.F.col("payload")))
+    assert fixity.audit(base, base.repartition(5)).collect() == []
+    assert [tuple(r) for r in fixity.audit(base, odd).collect()] == [("", -1, 5, "changed")]
+    fewer = base.where("payload <> 'same'").unionByName(base.where("payload = 'same'").limit(3999))
+    assert [r.status for r in fixity.audit(base, fewer).collect()] == ["changed"]
+    assert [tuple(r) for r in fixity.audit(base.limit(0), base).collect()] == [("", -1, 5, "extra")]
+    assert [r.status for r in fixity.audit(base, base.limit(0)).collect()] == ["missing"]

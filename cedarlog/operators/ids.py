@@ -24,7 +24,8 @@ def assign_ids(
     """Add ``id`` = base+1, base+2, ... without gaps.
 
     Ids follow ``order_by``, or arrival (partition) order when that is empty, which
-    saves the shuffle. Rows that tie on ``order_by`` are told apart by a hash of
+    saves the shuffle. ``order_by`` may name an ``id`` the rows had before, which the new
+    one replaces. Rows that tie on ``order_by`` are told apart by a hash of
     the row and then by position, so that many equal rows still spread over tasks.
 
     The rows are written out once between numbering and counting; otherwise a
@@ -33,13 +34,13 @@ def assign_ids(
     """
     spark = df.sparkSession
     data = [c for c in df.columns if c != "id"]
-    rows = df.select(*(F.col(f"`{c}`") for c in data))
+    kept = [F.col(f"`{c}`") for c in data]
+    rows = df.select(*kept)
     if order_by:
-        tie = F.xxhash64(*(F.col(f"`{c}`") for c in data))
-        rows = rows.select("*", tie.alias("__tie"), F.monotonically_increasing_id().alias("__at"))
+        tied = df.select("*", F.xxhash64(*kept).alias("__tie"), F.monotonically_increasing_id().alias("__at"))
         order = [*order_by, "__tie", "__at"]
-        spread = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-        rows = spread.sortWithinPartitions(*order).drop("__tie", "__at")
+        spread = tied.repartitionByRange(partitions, *order) if partitions else tied.repartitionByRange(*order)
+        rows = spread.sortWithinPartitions(*order).select(*kept)
     staged = materialize(rows.withColumn("__seq", F.monotonically_increasing_id()), "ids", staging)
 
     # One row per task of the write above: small, whatever the number of rows.

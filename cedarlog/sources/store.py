@@ -345,13 +345,15 @@ class LogStore:
         ``batch`` is (writer name, batch number) of a streaming writer; writers of one
         table need names of their own. A repeated batch takes the ids of its earlier
         attempt and overwrites its rows, on whatever days those were. Every row needs
-        a receipt time.
+        a receipt time. ``order_by`` may name an ``id`` that the rows bring along, so that
+        rows of one time keep its order; the stored ids are the store's own.
         """
         columns = [f.name for f in source(source_name).schema.fields if f.name != "id"]
         needed = F.coalesce("r_isodate", F.raise_error(F.lit("a row has no r_isodate")).cast("timestamp"))
         staging = scratch_path(self.spark, "append")
         try:
-            staged = assign_ids(rows.select(*columns).withColumn("r_isodate", needed), 0, order_by, staging=staging)
+            own_order = [c for c in rows.columns if c == "id" and order_by]
+            staged = assign_ids(rows.select(*own_order, *columns).withColumn("r_isodate", needed), 0, order_by, staging=staging)
             count = staged.count()
             if not count:
                 return self.max_id(source_name)

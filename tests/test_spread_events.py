@@ -1,10 +1,13 @@
 """Log lines of a table of events that is one row group."""
 
+import glob
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from cedarlog.plans import catalog
 from cedarlog.plans import fixtures as fx
 
 N = 2001
@@ -27,3 +30,12 @@ def test_lines_are_rendered_by_several_tasks(spark, one_row_group):
         shares = [r["count"] for r in lines.groupBy(F.spark_partition_id().alias("task")).count().collect()]
         assert sum(shares) == N
         assert len(shares) == 3 and max(shares) < 1000
+
+
+def test_a_sites_files_do_not_grow_in_number(spark, one_row_group, tmp_path, monkeypatch):
+    """A stream of a file at a time has a batch for each."""
+    monkeypatch.setattr(fx, "TASK_ROWS", 100)
+    catalog._site_lines(spark, one_row_group, f"{tmp_path}/web")
+    found = [glob.glob(f"{tmp_path}/web/logs/www{site}.example.com/part-*") for site in range(4)]
+    assert all(1 <= len(files) <= 4 for files in found)
+    assert sum(len(open(path).readlines()) for files in found for path in files) == N

@@ -45,6 +45,8 @@ MULTIPLIERS = W.mix64(np.arange(1, TABLES * ROWS_A_TABLE + 1, dtype=np.uint64))
 BLOCK = 512
 #: Bucket rows that are compared with each other before the join; longer buckets go on whole.
 NEIGHBOURS = 256
+#: Words of either line that may be passed over to find where an alignment goes on.
+AHEAD = 6
 HAS_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 
@@ -226,10 +228,46 @@ def edit_distance(a: str, b: str, most: float = float("inf")) -> float:
     return score
 
 
+def _meet(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
+    """The nearest places from i and j on where two words are equal; the ends if there are none near."""
+    n, m = len(x) - i, len(y) - j
+    if n and m:
+        for reach in range(2 * AHEAD + 1):
+            for di in range(max(0, reach - AHEAD, reach - m + 1), min(reach, AHEAD, n - 1) + 1):
+                p, q = i + di, j + reach - di
+                if x[p] == y[q] and x[p + 1 : p + 2] == y[q + 1 : q + 2]:
+                    return p, q
+    return len(x), len(y)
+
+
+def aligned_distance(a: str, b: str, most: float = float("inf")) -> float:
+    """Edits of one alignment, by equal words near each other: never less than the distance.
+
+    Only the words between those are compared by their characters. Infinite as soon as
+    it must be over ``most``, or when no words meet.
+    """
+    x, y = a.split(" "), b.split(" ")
+    i = j = 0
+    edits = 0.0
+    while edits <= most and (i < len(x) or j < len(y)):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        p, q = _meet(x, y, i, j)
+        if not (i or j) and p == len(x) and q == len(y):
+            return float("inf")
+        # each word with the space behind it: the last one's, in both texts, costs no edit
+        edits += edit_distance("".join(w + " " for w in x[i:p]), "".join(w + " " for w in y[j:q]), most - edits)
+        i, j = p, q
+    return edits
+
+
 def _similar(a: str, b: str, threshold: float) -> bool:
     longest = max(len(a), len(b))
     room = longest * (1 - threshold) + 1e-9
-    return longest - min(len(a), len(b)) <= room and edit_distance(a, b, room) <= room
+    if longest - min(len(a), len(b)) > room:
+        return False
+    return aligned_distance(a, b, room) <= room or edit_distance(a, b, room) <= room
 
 
 def _normal(line: str) -> str:

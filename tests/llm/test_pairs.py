@@ -133,6 +133,21 @@ def test_edit_distance():
         assert L.edit_distance(a, b) == plain(a, b)
 
 
+def test_near_copies_are_told_by_the_words_that_differ(monkeypatch):
+    lines = copies(4, 60, length=120, families=3, changes=8)
+    pairs = [(a, b) for a in lines for b in lines]
+    want = [L.edit_distance(a, b) <= max(len(a), len(b)) * (1 - 0.8) + 1e-9 for a, b in pairs]
+    for a, b in pairs[:600]:
+        assert L.aligned_distance(a, b) >= L.edit_distance(a, b)
+    steps, plain = [], L.edit_distance
+    monkeypatch.setattr(L, "edit_distance", lambda a, b, most=float("inf"): (steps.append(len(a) + len(b)), plain(a, b, most))[1])
+    near = [(a, b) for (a, b), same in zip(pairs, want, strict=True) if same]
+    assert all(L._similar(a, b, 0.8) for a, b in near)
+    assert sum(steps) < 0.3 * sum(len(a) + len(b) for a, b in near)
+    assert [L._similar(a, b, 0.8) for a, b in pairs] == want
+    assert L._similar("", "", 0.8) and not L._similar("a", "", 0.8) and L._similar("abcdefgh", "abcdefg", 0.8)
+
+
 def lines_brute(rows, threshold=0.8):
     """Kept line numbers per document, from all pairs of distinct lines."""
     seen = []

@@ -235,8 +235,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["part", "number", "uri", "tokens"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                rows = batch.slice(lo, 64)
+            for lo in range(0, batch.num_rows, 256):
+                rows = batch.slice(lo, 256)
                 for coded in encoder(tokenizer).encode(rows.column(1).to_pylist()):
                     tokens.append(np.append(coded, np.uint16(end_id)))
                     lengths.append(len(coded) + 1)

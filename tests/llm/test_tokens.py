@@ -36,6 +36,42 @@ def test_cached_ids_are_the_librarys(texts, path, monkeypatch):
     assert [x.tolist() for x in tokens.TextEncoder(path).encode(texts)] == want
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_cuts_are_the_patterns(bare):
+    rng = random.Random(3)
+    alphabet = " \t\n\r\f\v ab.é.,;:!?#&-1'ÀÖ×Ø÷øİıɏɐʰ日\U0001f642Ǆ|"
+    for n in range(60):
+        made = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+        data, bounds = b"".join(x.encode() for x in made), np.cumsum([0, *(len(x.encode()) for x in made)])
+        start, _ = tokens.cuts(np.frombuffer(data, np.uint8), bounds, bare)
+        got = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            at = [*(np.flatnonzero(start[lo:hi]) + lo).tolist(), hi]
+            parts = [data[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+            got.append([x.strip(" \t\n\r\f\v") for x in parts] if bare else parts)
+        assert got == [(tokens.BARE_PIECES if bare else tokens.PIECES).findall(x) for x in made]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_words_of_letters_go_to_the_model_and_used_ones_stay(path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    encoder = tokens.TextEncoder(path)
+
+    class Slow:
+        def encode(self, words, **_):
+            raise AssertionError(words)
+
+    monkeypatch.setattr(encoder, "tokenizer", Slow())
+    made = [" ".join([*"abcdefg", *(f"{x}{k}" for x in "pqrst" for k in "uvwxyz"[:n])]) for n in (1, 6, 2)]
+    made += [" ".join([*"abcdefg", *(f"{x}{y}{n}" for x in "klmn" for y in "uvwxyz")]).translate({48: "ü", 49: "É"}) for n in range(2)]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(made, add_special_tokens=False)]
+    learnt, letters = [], encoder._letters
+    monkeypatch.setattr(encoder, "_letters", lambda words: (learnt.extend(words), letters(words))[1])
+    assert [next(encoder.encode([x])).tolist() for x in made] == want
+    assert sum(x.strip() == "b" for x in learnt) == 1  # full once on the way; the words of all texts stayed
+    assert len(learnt) > 60
+
+
 def library_counts(texts):
     return [len(x.ids) for x in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
 

@@ -37,7 +37,12 @@ _MARKS = rf"[{_MARK}]+(?=[{_SPACE}{_LETTER}]|\Z)"
 PIECES = re.compile(
     rf" ?{_WORD}|{_MARKS}|[\t\n\r\f\v](?=[{_LETTER}])|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+"
 )
-#: The same without white space, for vocabularies that drop it.
+#: Coarser ones: also what the counting of chunks takes for granted where it cuts.
+COUNT_PIECES = re.compile(
+    rf"[{_SPACE}]?[{_LETTER}]+(?=[{_SPACE}.,;:!?]|\Z)|[.,;:!?]+(?=[{_SPACE}{_LETTER}]|\Z)"
+    rf"|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?=[{_SPACE}][^{_SPACE}])|[{_SPACE}]+"
+)
+#: The same as ``PIECES`` without white space, for vocabularies that drop it.
 BARE_PIECES = re.compile(rf"{_WORD}|{_MARKS}|[^{_SPACE}]+")
 #: One piece to the byte-level pattern, a space before it or none.
 LETTERS_ONLY = re.compile(rf" ?[{_LETTER}]+")
@@ -103,7 +108,7 @@ def cuts(data: np.ndarray, bounds: np.ndarray, bare: bool) -> tuple[np.ndarray,
 
 def pieces(text: str) -> list[str]:
     """A text without special strings in parts whose ids do not depend on each other."""
-    return [text] if ODD.search(text) else PIECES.findall(text)
+    return [text] if ODD.search(text) else COUNT_PIECES.findall(text)
 
 
 def special_pattern(specials: list[str]) -> re.Pattern | None:
@@ -249,8 +254,10 @@ class TextEncoder:
         return [w for k, part in enumerate(between) for w in ([part] if k % 2 else self._plain(part) if part else [])]
 
     def _plain(self, text: str) -> list[str]:
-        if not self.folds or ODD.search(text):
-            return pieces(text)
+        if ODD.search(text):
+            return [text]
+        if not self.folds:
+            return PIECES.findall(text)
         if not any(x[:2] in text for x in self.specials):
             text = text.encode().lower().decode()  # A-Z only; the library does the others
         return BARE_PIECES.findall(text)

@@ -14,6 +14,9 @@ SimHashes of such a pair differ in 13 bits, with a deviation of 3.
 Pairs are never rows: nodes go to their buckets' hubs, and a task compares a block
 of nodes with a block, testing only pairs that are not connected yet.
 
+Buckets travel as blocks: the entries that some lines have in a range of bucket hashes
+are one row, and a task sorts the entries of a range.
+
 * NULL and empty texts have no lines. Lines without words are neither counted nor removed.
 * Rows with NULL doc_id come last in the order; equal doc_ids are ordered by a hash of the text.
 * Rows with equal doc_id and text are one document: each keeps the same lines.
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from cedarlog.llm import words as W
-from cedarlog.llm.groups import Forest, components, hub_blocks, sorted_groups
+from cedarlog.llm.edits import Letters, within
+from cedarlog.llm.groups import Forest, components, hub_blocks
 from cedarlog.llm.ngram_join import BROADCAST_KEYS, text_key
 from cedarlog.llm.rows import column, nested
 from cedarlog.session import fits_broadcast, materialize
@@ -43,8 +47,14 @@ TABLES, ROWS_A_TABLE = 24, 5
 MULTIPLIERS = W.mix64(np.arange(1, TABLES * ROWS_A_TABLE + 1, dtype=np.uint64)) | np.uint64(1)
 #: Nodes in a block of a task.
 BLOCK = 512
-#: Bucket rows that are compared with each other before the join; longer buckets go on whole.
+#: Rows, pairs and bytes that a task verifies at a time; a group of a block pair stays whole.
+ROWS, PAIRS, BYTES = 32768, 1 << 21, 16 << 20
+#: Bucket members that are compared with each other before the join; longer buckets go on whole.
 NEIGHBOURS = 256
+#: Entries of a range of bucket hashes, on average, and those a task holds before it passes long buckets on.
+RANGE, ENTRIES = 1 << 19, 1 << 22
+#: Lines whose entries are dealt to ranges together.
+LINES = 1 << 16
 #: Words of either line that may be passed over to find where an alignment goes on.
 AHEAD = 6
 HAS_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
@@ -126,15 +136,47 @@ def _lines(kind: pa.DataType):
     return lines
 
 
+def _deal(ranges: int):
+    """(range, entries): the buckets of some lines and their sims, a row for each range of bucket hashes."""
+
+    def rows(sims: list[np.ndarray], tables: list[np.ndarray]) -> pa.RecordBatch:
+        sim, values = np.concatenate(sims), np.concatenate(tables).view(np.uint32).astype(np.uint64).reshape(-1, TABLES)
+        bucket = W.mix64(values + (np.arange(1, TABLES + 1, dtype=np.uint64) << np.uint64(32))).ravel()
+        part = (bucket >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        order = np.argsort(part.astype(np.uint16 if ranges <= 65536 else np.uint32), kind="stable")
+        part = part[order]
+        entries = np.stack([bucket[order], sim.view(np.uint64)[order // TABLES]], axis=1)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        offsets = np.append(first, len(part)).astype(np.int32) * 16
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), data], names=["range", "entries"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sims, tables, n = [], [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sims.append(batch.column(0).to_numpy())
+            tables.append(batch.column(1).flatten().to_numpy())
+            n += batch.num_rows
+            if n >= LINES:
+                yield rows(sims, tables)
+                sims, tables, n = [], [], 0
+        if n:
+            yield rows(sims, tables)
+
+    return deal
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, sim) of the bucket members that have a neighbour within MAX_BITS; rows sorted by bucket, sim."""
+    """(hub, sim) of the bucket members that have a neighbour within MAX_BITS; rows of ``_deal`` sorted by range."""
 
     def out(hub: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(hub), pa.array(sim)], names=["hub", "sim"])
 
     def settle(bucket: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(bucket[1:] == bucket[:-1])
-        first = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        first = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])[: len(bucket)]
         size = np.diff(np.append(first, len(bucket)))
         long = np.repeat(size > NEIGHBOURS, size)
         hub = np.repeat(first, size)
@@ -163,31 +205,52 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum.at(hub, y, low)
         return out(sim[hub[near]], sim[near])
 
-    held_b, held_s = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    long_bucket: tuple[int, int] | None = None  # bucket, hub of a bucket already passed on in part
+    def members(entries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets and sims of those that are not alone in their bucket, in this order."""
+        every = np.concatenate(entries)
+        order = np.argsort(every[:, 0])
+        same = every[order[1:], 0] == every[order[:-1], 0]
+        every = every[order[np.append(same, False) | np.append(False, same)]]
+        every = every[np.lexsort((every[:, 1], every[:, 0]))]
+        return every[:, 0].copy(), every[:, 1].copy()
+
+    def relieve() -> Iterator[pa.RecordBatch]:
+        """Pass the buckets on that have grown long, and take their later members out of what is held."""
+        nonlocal held, n
+        every = np.concatenate(held)
+        bucket, sim = members([every])
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(bucket)))
+        for at in first[size > 16 * NEIGHBOURS].tolist():
+            hubs.setdefault(int(bucket[at]), int(sim[at]))
+        known = np.array(sorted(hubs), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, every[:, 0]), len(known) - 1)
+            gone = known[at] == every[:, 0]
+            hub = np.array([hubs[k] for k in known.tolist()], np.int64)[at[gone]]
+            if len(hub):
+                yield out(hub, every[gone, 1])
+            every = every[~gone]
+        held, n = [every], len(every)
+
+    held: list[np.ndarray] = []
+    hubs: dict[int, int] = {}  # long buckets of this range that were passed on in part, and their hubs
+    n, now, most = 0, None, ENTRIES
     for batch in batches:
-        bucket = np.concatenate([held_b, batch.column(0).to_numpy()])
-        sim = np.concatenate([held_s, batch.column(1).to_numpy()])
-        if long_bucket and len(bucket):
-            n = int(np.searchsorted(bucket != long_bucket[0], True))
-            if n:
-                yield out(np.full(n, long_bucket[1]), sim[:n])
-                bucket, sim = bucket[n:], sim[n:]
-            if len(bucket):
-                long_bucket = None
-        if not len(bucket):
-            held_b, held_s = bucket, sim
-            continue
-        last = int(np.flatnonzero(bucket == bucket[-1])[0])
-        if last:
-            yield settle(bucket[:last], sim[:last])
-        held_b, held_s = bucket[last:], sim[last:]
-        if len(held_b) > 16 * NEIGHBOURS:
-            yield out(np.full(len(held_b), held_s[0]), held_s)
-            long_bucket = int(held_b[0]), int(held_s[0])
-            held_b, held_s = held_b[:0], held_s[:0]
-    if len(held_b):
-        yield settle(held_b, held_s)
+        for part, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != now:
+                if n:
+                    yield from relieve() if hubs else ()
+                    yield settle(*members(held))
+                held, hubs, n, now, most = [], {}, 0, part, ENTRIES
+            held.append(np.frombuffer(entries.as_buffer(), np.int64).reshape(-1, 2))
+            n += len(held[-1])
+            if n > most:
+                yield from relieve()
+                most = max(ENTRIES, 2 * n)
+    if n:
+        yield from relieve() if hubs else ()
+        yield settle(*members(held))
 
 
 def edit_distance(a: str, b: str, most: float = float("inf")) -> float:
@@ -276,13 +339,48 @@ def _normal(line: str) -> str:
     return " ".join(kept.tobytes().decode().split(" ")).strip() if len(data) else ""
 
 
-def bigram_counts(text: str) -> np.ndarray:
-    """How often pairs of neighbouring bytes stand in a text, in 256 bins; counts stop at 255."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    if len(data) < 2:
-        return np.zeros(256, np.uint8)
-    pairs = (data[:-1].astype(np.uint32) * 167 + data[1:].astype(np.uint32) * 59) & 255
-    return np.minimum(np.bincount(pairs, minlength=256), 255).astype(np.uint8)
+class Texts:
+    """The normalised lines of a column: words with one space between them."""
+
+    def __init__(self, column: pa.Array) -> None:
+        data, bounds = W.text_bytes(column)
+        first, length, _ = W.words(data, bounds)
+        part = W.word_bounds(first, bounds)
+        ends = np.cumsum(length + 1)  # each word with a space behind it
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - length - 1), length + 1)
+        self.data = W.LOWER[data[np.minimum(at, len(data) - 1)]] if len(at) else np.zeros(0, np.uint8)
+        self.data[ends - 1] = 32
+        ends = np.append(0, ends)[part]
+        self._cut(ends[:-1], np.maximum(ends[1:] - 1, ends[:-1]))
+        if any(chr(c).isspace() and c != 32 for c in np.flatnonzero(np.bincount(self.points))):
+            own = [" ".join(self[k].split()).encode() for k in range(len(bounds) - 1)]
+            self.data = np.frombuffer(b"".join(own), np.uint8)
+            ends = np.cumsum([0, *map(len, own)])
+            self._cut(ends[:-1], ends[1:])
+        self.letters = Letters(self.points, self.chars[self.starts], self.chars[self.ends])
+
+    def _cut(self, starts: np.ndarray, ends: np.ndarray) -> None:
+        self.starts, self.ends = starts, ends
+        self.points = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        self.chars = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+
+    def __getitem__(self, k: int) -> str:
+        return self.data[self.starts[k] : self.ends[k]].tobytes().decode()
+
+    def bigram_counts(self) -> np.ndarray:
+        """How often pairs of neighbouring bytes stand in each text, in 256 bins; counts stop at 255."""
+        n = len(self.starts)
+        out = np.zeros((n, 256), np.uint8)
+        pair = (self.data[:-1].astype(np.uint32) * 167 + self.data[1:].astype(np.uint32) * 59) & 255
+        many = np.maximum(self.ends - self.starts - 1, 0)
+        to = np.concatenate([[0], np.cumsum(many)])
+        for lo in range(0, n, 2048):
+            hi = min(n, lo + 2048)
+            own = many[lo:hi]
+            at = np.arange(to[hi] - to[lo]) + np.repeat(self.starts[lo:hi] - (to[lo:hi] - to[lo]), own)
+            bins = np.bincount(np.repeat(np.arange(hi - lo) * 256, own) + pair[at], minlength=(hi - lo) * 256)
+            out[lo:hi] = np.minimum(bins, 255).reshape(-1, 256)
+        return out
 
 
 def may_be_similar(counts: np.ndarray, chars: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -305,30 +403,112 @@ def may_be_similar(counts: np.ndarray, chars: np.ndarray, size: np.ndarray, x: n
     return fit
 
 
+def _turns(groups: np.ndarray, quota: int) -> np.ndarray:
+    """Which of these numbers, in order, are among the first ``quota`` equal ones."""
+    order = np.argsort(groups, kind="stable")
+    ranked = groups[order]
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    turn = np.empty(len(groups), bool)
+    turn[order] = np.arange(len(groups)) - np.repeat(first, np.diff(np.append(first, len(groups)))) < quota
+    return turn
+
+
+def _linked(x: np.ndarray, y: np.ndarray, texts: Texts, threshold: float) -> list[tuple[int, int]]:
+    """Links that join what the similar ones of the pairs (x, y) join; the likeliest pairs come first.
+
+    First each text is tested with the likeliest one before it, then rounds test the next
+    pairs of each group, four times as many each time; what is joined needs no test.
+    """
+    forest, links = Forest(), []
+    root = np.arange(len(texts.starts), dtype=np.uint16 if len(texts.starts) < 65536 else np.int64)
+    chars, size, counts = texts.letters.size, texts.ends - texts.starts, texts.bigram_counts()
+    quota = 1
+    while len(x):
+        if quota == 1:
+            turn = _turns(y.astype(root.dtype), 1)
+        else:
+            turn = _turns(np.stack([root[x], root[y]], axis=1).ravel(), quota).reshape(-1, 2).any(axis=1)
+        a, b = x[turn], y[turn]
+        fit = may_be_similar(counts, chars, size, a, b, threshold)
+        a, b = a[fit], b[fit]
+        most = np.floor(np.maximum(chars[a], chars[b]) * (1 - threshold) + 1e-9).astype(np.int64)
+        same = within(texts.letters, a, b, most, lambda p, q: _similar(texts[p], texts[q], threshold), quota == 1)
+        for p, q in zip(a[same].tolist(), b[same].tolist(), strict=True):
+            if forest.join(p, q):
+                links.append((p, q))
+        nodes = np.fromiter(forest.parent, np.int64)
+        root[nodes] = [forest.find(k) for k in nodes.tolist()]
+        rest = np.flatnonzero(~turn)
+        rest = rest[root[x[rest]] != root[y[rest]]]
+        x, y, quota = x[rest], y[rest], 4 * quota
+    return links
+
+
+def _candidates(group: np.ndarray, own: np.ndarray, sim: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group within MAX_BITS, fewest bits first; where ``apart``, of two blocks only."""
+    at, unsigned = np.arange(len(group)), sim.view(np.uint64)
+    xs, ys, bits = [], [], []
+    for d in range(1, len(group)):
+        at = at[: np.searchsorted(at, len(group) - d)]
+        at = at[group[at] == group[at + d]]
+        if not len(at):
+            break
+        differ = np.bitwise_count(unsigned[at] ^ unsigned[at + d])
+        fit = (differ <= MAX_BITS) & (~apart[at] | (own[at] != own[at + d]))
+        xs.append(at[fit].astype(np.int32))
+        ys.append(xs[-1] + np.int32(d))
+        bits.append(differ[fit])
+    if not xs:
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    order = np.argsort(np.concatenate(bits), kind="stable")
+    return x[order], y[order]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Some whole groups at a time, with the number of each row's; rows sorted by hub, i, j."""
+
+    def parts(table: pa.Table, last: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        nonlocal held
+        rows = table.combine_chunks().to_batches()[0]
+        new = np.zeros(len(rows), bool)
+        for c in ("hub", "i", "j"):
+            values = rows[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new), [len(rows)]])
+        data, bounds = W.text_bytes(rows["text"])
+        work = np.stack([starts[1:] / ROWS, np.cumsum(np.diff(starts) ** 2) / PAIRS, bounds[starts[1:]] / BYTES])
+        groups = len(starts) - 1 if last else len(starts) - 2  # the last one may go on
+        at, done = 0, np.zeros(3)
+        while at < groups:
+            over = ((work[:, at:groups] - done[:, None]) > 1).any(axis=0)
+            end = at + max(1, int(np.argmax(over)) if over.any() else groups - at)
+            lo, hi = int(starts[at]), int(starts[end])
+            yield rows.slice(lo, hi - lo), np.repeat(np.arange(end - at), np.diff(starts[at : end + 1]))
+            at, done = end, work[:, end - 1]
+        held = [] if last else [rows.slice(int(starts[groups]))]
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROWS:
+                yield from parts(pa.Table.from_batches(held), False)
+                n = sum(map(len, held)) if len(held) > 1 else 0
+    if held:
+        yield from parts(pa.Table.from_batches(held), True)
+
+
 def _verifier(threshold: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, 3):
-            i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            own, key, sim = (group[c].to_numpy() for c in ("own", "key", "sim"))
-            bits = np.bitwise_count(sim.view(np.uint64)[:, None] ^ sim.view(np.uint64)[None, :])
-            x, y = np.nonzero(bits <= MAX_BITS)
-            fit = (x < y) & (own[x] != own[y]) if i != j else x < y
-            x, y = x[fit], y[fit]
-            raw = group["text"]
-            used = np.unique(np.concatenate([x, y]))
-            texts = {k: " ".join(_normal(raw[k].as_py()).split()) for k in used.tolist()}
-            chars, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-            counts = np.zeros((len(key), 256), np.uint8)
-            for k, text in texts.items():
-                chars[k], size[k], counts[k] = len(text), len(text.encode()), bigram_counts(text)
-            fit = may_be_similar(counts, chars, size, x, y, threshold)
-            x, y = x[fit], y[fit]
-            order = np.argsort(bits[x, y], kind="stable")
-            forest, edges = Forest(), []
-            for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                if forest.find(a) != forest.find(b) and _similar(texts[a], texts[b], threshold):
-                    forest.join(a, b)
-                    edges.append((a, b))
+        for rows, group in _whole_groups(batches):
+            i, j, own, key, sim = (rows[c].to_numpy() for c in ("i", "j", "own", "key", "sim"))
+            x, y = _candidates(group, own, sim, i != j)
+            if not len(x):
+                continue
+            edges = _linked(x, y, Texts(rows["text"]), threshold)
             if edges:
                 at = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(key[at[:, 0]]), pa.array(key[at[:, 1]])], names=["a", "b"])
@@ -345,9 +525,9 @@ def line_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     grouped = lines.groupBy("key", "sim").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("count"), F.first("tables").alias("tables"))
     held = materialize(grouped, "line-nodes")
     nodes = held.drop("tables")
-    values = held.select("sim", F.posexplode("tables").alias("k", "value"))
-    rows = values.select(F.xxhash64("k", "value").alias("bucket"), "sim")
-    met = rows.repartition("bucket").sortWithinPartitions("bucket", "sim").mapInArrow(_buckets, "hub long, sim long").distinct()
+    ranges = 1 + held.count() * TABLES // RANGE
+    entries = held.select("sim", "tables").mapInArrow(_deal(ranges), "range int, entries binary")
+    met = entries.repartition("range").sortWithinPartitions("range").mapInArrow(_buckets, "hub long, sim long").distinct()
     # several nodes may have one SimHash: those meet under it even without another neighbour
     twins = nodes.groupBy("sim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sim").alias("hub"), "sim")
     members = materialize(met.unionByName(twins).distinct().join(nodes.select("sim", "key"), "sim").select("hub", "key"), "line-hubs")

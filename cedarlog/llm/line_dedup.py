@@ -45,6 +45,8 @@ MAX_BITS = 22
 TABLES, ROWS_A_TABLE = 24, 5
 #: Odd multipliers of the MinHash permutations of word hashes.
 MULTIPLIERS = W.mix64(np.arange(1, TABLES * ROWS_A_TABLE + 1, dtype=np.uint64)) | np.uint64(1)
+#: The bits of each byte as eight bytes.
+BIT_BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 #: Nodes in a block of a task.
 BLOCK = 512
 #: Rows, pairs and bytes that a task verifies at a time; a group of a block pair stays whole.
@@ -52,7 +54,7 @@ ROWS, PAIRS, BYTES = 32768, 1 << 21, 16 << 20
 #: Bucket members that are compared with each other before the join; longer buckets go on whole.
 NEIGHBOURS = 256
 #: Entries of a range of bucket hashes, on average, and those a task holds before it passes long buckets on.
-RANGE, ENTRIES = 1 << 19, 1 << 22
+RANGE, ENTRIES = 1 << 17, 1 << 22
 #: Lines whose entries are dealt to ranges together.
 LINES = 1 << 16
 #: Words of either line that may be passed over to find where an alignment goes on.
@@ -71,9 +73,16 @@ def simhash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     while at < len(out):
         end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 65536, "right")) - 1)
         lo, hi = bounds[at], bounds[end]
-        bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1)
-        votes = np.add.reduceat(bits, bounds[at:end] - lo, axis=0, dtype=np.int32)
-        out[at:end] = np.packbits(2 * votes > np.diff(bounds[at : end + 1])[:, None], axis=1).view(np.uint64)[:, 0]
+        size = np.diff(bounds[at : end + 1])
+        # up to 255 words are added with a byte for each bit, eight at a time
+        runs = (size + 254) // 255
+        first = np.cumsum(runs) - runs
+        starts = np.repeat(bounds[at:end] - lo, runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+        bits = BIT_BYTES[hashes[lo:hi].view(np.uint8)].reshape(-1, 8)
+        votes = np.add.reduceat(bits, starts, axis=0).view(np.uint8)
+        if len(starts) > end - at:
+            votes = np.add.reduceat(votes, first, axis=0, dtype=np.int32)
+        out[at:end] = np.packbits(2 * votes.astype(np.int32) > size[:, None], axis=1).view(np.uint64)[:, 0]
         at = end
     return out
 
@@ -95,13 +104,13 @@ def minhash_tables(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def line_parts(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text number, line number, hash) of the lines with words, the hashes of all words, and the bounds of each line's."""
     first, _, hashes = W.words(data, bounds)
-    starts = np.sort(np.concatenate([bounds[:-1], np.flatnonzero(data == 10) + 1]))
+    ends = np.flatnonzero(data == 10)
+    starts = np.sort(np.concatenate([bounds[:-1], ends + 1]))
     line_words = np.append(np.searchsorted(first, starts, "left"), len(first))
     has = np.flatnonzero(np.diff(line_words))
     # a newline that ends a text gives a start equal to the next text's: it has no words of its own
     text = np.searchsorted(bounds, starts[has], "right") - 1
-    newlines = np.concatenate([[0], np.cumsum(data == 10)])
-    number = newlines[starts[has]] - newlines[bounds[text]]
+    number = np.searchsorted(ends, starts[has]) - np.searchsorted(ends, bounds[text])
     part = np.append(line_words[has], len(first))
     if not len(has):
         none = np.zeros(0, np.int64)

@@ -119,3 +119,17 @@ def test_bucket_blocks_hold_every_bucket(monkeypatch):
         assert all(hubs[a] & hubs[b] for a, b in want)
         assert neighbours < 256 or set(hubs) == {a for a, _ in want}
     assert list(L._deal(2)(iter([]))) == [] and list(L._buckets(iter([]))) == []
+
+
+def test_simhash_counts_words_of_long_and_short_lines():
+    rng = np.random.default_rng(1)
+    size = np.array([1, 2, 254, 255, 256, 70000, 3, 511, 600, 1])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    hashes = rng.integers(0, 2**64, bounds[-1], dtype=np.uint64)
+    hashes[3:200] &= np.uint64(0xFF)  # many equal words
+    want = []
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        words = np.unique(hashes[lo:hi])
+        votes = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        want.append(np.packbits(2 * votes > len(words)).view(np.uint64)[0])
+    assert L.simhash(hashes, bounds).tolist() == [int(x) for x in want]

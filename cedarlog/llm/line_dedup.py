@@ -356,7 +356,8 @@ class Texts:
         first, length, _ = W.words(data, bounds)
         part = W.word_bounds(first, bounds)
         ends = np.cumsum(length + 1)  # each word with a space behind it
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - length - 1), length + 1)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+        at += np.repeat((first - (ends - length - 1)).astype(np.int32), length + 1)
         self.data = W.LOWER[data[np.minimum(at, len(data) - 1)]] if len(at) else np.zeros(0, np.uint8)
         self.data[ends - 1] = 32
         ends = np.append(0, ends)[part]
@@ -366,12 +367,14 @@ class Texts:
             self.data = np.frombuffer(b"".join(own), np.uint8)
             ends = np.cumsum([0, *map(len, own)])
             self._cut(ends[:-1], ends[1:])
-        self.letters = Letters(self.points, self.chars[self.starts], self.chars[self.ends])
+        self.letters = Letters(self.points, self.chars[self.starts].astype(np.int64), self.chars[self.ends].astype(np.int64))
+        del self.points, self.chars, at
 
     def _cut(self, starts: np.ndarray, ends: np.ndarray) -> None:
         self.starts, self.ends = starts, ends
         self.points = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        self.chars = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+        self.chars = np.zeros(len(self.data) + 1, np.int32)
+        np.cumsum((self.data & 0xC0) != 0x80, out=self.chars[1:])
 
     def __getitem__(self, k: int) -> str:
         return self.data[self.starts[k] : self.ends[k]].tobytes().decode()

@@ -122,3 +122,24 @@ def test_a_file_that_may_not_be_opened(spark, tmp_path, monkeypatch):
     present, problems = openable(spark, f"{tmp_path}/*.json")
     assert [p.rsplit("/", 1)[1] for p in present] == ["a.json", "c.json"]
     assert [(p.rsplit("/", 1)[1], s) for p, s in problems] == [("b.json", "unreadable")]
+
+
+def test_every_file_is_asked(spark, tmp_path, monkeypatch):
+    """However many a pattern matches; an empty file that may not be opened is not called empty."""
+    for n in range(10_001):
+        (tmp_path / f"{n:05d}.json").touch()
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(tmp_path))
+    kind = type(files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    ask = kind.__getattr__
+
+    def access(self, name):
+        real = ask(self, name)
+        if name != "access":
+            return real
+        nowhere = spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/nowhere")
+        return lambda path, action: real(nowhere, action) if "/07000.json" in path.toString() else None
+
+    monkeypatch.setattr(kind, "__getattr__", access)
+    present, problems = openable(spark, f"{tmp_path}/*.json")
+    assert len(present) == 10_000
+    assert [(p.rsplit("/", 1)[1], s) for p, s in problems] == [("07000.json", "unreadable")]

@@ -16,17 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cedarlog.functions.once import with_once
 from cedarlog.functions.text import address_bytes
-from cedarlog.session import fits_broadcast
+from cedarlog.session import fits_broadcast, materialize
 
 #: Bits of a bucket's units.
 STEP = 16
 UNITS = 1 << STEP
 #: Stretches up to which a prepared table is broadcast; at about 150 bytes each that is 150 MB.
 BROADCAST_ROWS = 1_000_000
+#: Rows with one text that are joined with its place together.
+HOT_ROWS = 100_000
 _CUT = "level int, bucket binary, low int, high int, size binary, place string"
 _MAPPED = 0xFFFF << 32
 
@@ -72,17 +77,76 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["level", "bucket", "low", "high", "size", "place"])
 
 
-def _disjoint(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket's stretches, the smaller network painted over the larger one."""
-    rows = rows.sort_values(["size", "place"], ascending=False).reset_index(drop=True)
-    owner = np.full(UNITS, -1)
-    for k, (low, high) in enumerate(zip(rows["low"], rows["high"], strict=True)):
-        owner[low : high + 1] = k
-    starts = np.flatnonzero(np.diff(owner, prepend=-2))
-    ends = np.append(starts[1:], UNITS) - 1
-    kept = owner[starts] >= 0
-    out = rows.loc[owner[starts[kept]], ["level", "bucket", "size", "place"]].reset_index(drop=True)
-    return out.assign(low=starts[kept].astype("int32"), high=ends[kept].astype("int32"))[["level", "bucket", "low", "high", "size", "place"]]
+def _painted(lows: list[int], highs: list[int], ranks: list[tuple[bytes, str]]) -> list[tuple[int, int, int]]:
+    """(row, low, high) of one bucket's disjoint stretches: of the rows that cover a unit the least by rank owns it.
+
+    Rows are sorted by ``low``, wider ones first. They are prefixes, so of two one holds the other or they are apart.
+    """
+    out: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int]] = []  # (high, owner) of the rows that hold the current unit, the innermost last
+    at = 0
+
+    def give(high: int) -> None:
+        nonlocal at
+        owner = open_[-1][1]
+        if at <= high:
+            if out and out[-1][0] == owner and out[-1][2] + 1 == at:
+                out[-1] = owner, out[-1][1], high
+            else:
+                out.append((owner, at, high))
+            at = high + 1
+
+    for row, (low, high) in enumerate(zip(lows, highs, strict=True)):
+        while open_ and open_[-1][0] < low:
+            give(open_[-1][0])
+            open_.pop()
+        if open_:
+            give(low - 1)
+        at = low
+        inner = not open_ or ranks[row] < ranks[open_[-1][1]]
+        open_.append((high, row if inner else open_[-1][1]))
+    while open_:
+        give(open_[-1][0])
+        open_.pop()
+    return out
+
+
+def _disjoint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each bucket's stretches made disjoint; rows come sorted by bucket, then as :func:`_painted` takes them.
+
+    Most buckets of a large table hold one stretch, and those rows pass as they are.
+    """
+
+    def done(rows: pa.Table, starts: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        owner = starts[counts == 1]
+        low, high = (rows[c].to_numpy()[owner] for c in ("low", "high"))
+        extra = []
+        for start, count in zip(starts[counts > 1].tolist(), counts[counts > 1].tolist(), strict=True):
+            lows, highs, sizes, places = (rows[c].slice(start, count).to_pylist() for c in ("low", "high", "size", "place"))
+            extra += [(start + row, a, b) for row, a, b in _painted(lows, highs, list(zip(sizes, places, strict=True)))]
+        if extra:
+            owner, low, high = (np.concatenate([x, y]) for x, y in zip((owner, low, high), np.array(extra, "int64").T, strict=True))
+        if len(owner):
+            taken = rows.take(pa.array(owner))
+            for name, values in (("low", low), ("high", high)):
+                taken = taken.set_column(taken.schema.get_field_index(name), name, pa.array(values, pa.int32()))
+            yield from taken.combine_chunks().to_batches()
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([*(held.to_batches() if held else ()), batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        new = np.ones(rows.num_rows, bool)
+        later, earlier = rows.slice(1), rows.slice(0, rows.num_rows - 1)
+        new[1:] = False
+        for name in ("level", "bucket"):
+            new[1:] |= pc.not_equal(later[name], earlier[name]).to_numpy()
+        starts = np.flatnonzero(new)
+        yield from done(rows, starts[:-1], np.diff(starts))  # the last bucket may go on
+        held = rows.slice(starts[-1])
+    if held:
+        yield from done(held, np.array([0]), np.array([held.num_rows]))
 
 
 def prepare_networks(networks: DataFrame) -> DataFrame:
@@ -99,7 +163,8 @@ def prepare_networks(networks: DataFrame) -> DataFrame:
     cut = networks.select(*texts).mapInPandas(_cut, _CUT)
     least = F.min(F.struct("size", "place")).alias("least")
     one = cut.groupBy("level", "bucket", "low", "high").agg(least).select("level", "bucket", "low", "high", "least.size", "least.place")
-    return one.groupBy("level", "bucket").applyInPandas(_disjoint, _CUT)
+    ordered = one.repartition("level", "bucket").sortWithinPartitions("level", "bucket", "low", F.desc("high"))
+    return ordered.mapInArrow(_disjoint, _CUT)
 
 
 def is_prepared(table: DataFrame) -> bool:
@@ -121,9 +186,9 @@ def places_of(df: DataFrame, ip_column: str, table: DataFrame, broadcast: bool |
     """Add ``place``, that of the smallest network the address lies in; NULL if there is none or it is no address.
 
     Every input row comes out exactly once. A small table (checked by counting) is
-    broadcast, and each level is one lookup. Otherwise the distinct addresses are looked
-    up by shuffle, once for each level, and joined back; there Spark splits an address
-    that has many rows.
+    broadcast, and each level is one lookup. Otherwise the distinct addresses are written
+    out, looked up by shuffle, once for each level, and joined back; there the rows of a
+    text that many rows have, address or not, are dealt out to several tasks.
     """
     levels = sorted(r["level"] for r in table.select("level").distinct().collect())  # nine at most
     columns = [F.col(f"`{c}`") for c in df.columns]
@@ -141,10 +206,17 @@ def places_of(df: DataFrame, ip_column: str, table: DataFrame, broadcast: bool |
         matches = F.filter(F.array(*(F.col(f"__at{level}") for level in levels)), lambda m: m.isNotNull()) if levels else None
         place = F.array_min(matches)["place"] if levels else F.lit(None).cast("string")
         return rows.select(*columns, place.alias("place"))
-    texts = df.select(F.col(ip_column).alias("__text")).distinct()
-    wanted = texts.select("__text", address_bytes(F.col("__text")).alias("__address")).where("__address IS NOT NULL")
+    counted = df.groupBy(F.col(ip_column).alias("__text")).agg(F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("__parts"))
+    texts = materialize(with_once(counted, "__address", address_bytes(F.col("__text"))), "addresses")
+    wanted = texts.where("__address IS NOT NULL")
     each = wanted.withColumn("level", F.explode(F.array(*(F.lit(level) for level in levels)).cast("array<int>")))
-    asked = each.select("__text", "level", _bucket(F.col("__address"), F.col("level")).alias("bucket"), _unit(F.col("__address"), F.col("level")).alias("__unit"))
+    asked = each.select("__text", "__parts", "level", _bucket(F.col("__address"), F.col("level")).alias("bucket"), _unit(F.col("__address"), F.col("level")).alias("__unit"))
     hits = asked.join(table.hint("shuffle_hash"), ["level", "bucket"]).where(F.col("__unit").between(F.col("low"), F.col("high")))
-    found = hits.groupBy("__text").agg(F.min(F.struct("size", "place"))["place"].alias("place"))
-    return df.join(found, F.col(ip_column) == F.col("__text"), "left").select(*columns, "place")
+    found = hits.groupBy("__text", "__parts").agg(F.min(F.struct("size", "place"))["place"].alias("place"))
+    found = found.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    hot = texts.where("__parts > 1").select(F.col("__text").alias("__hot"), "__parts")
+    rows = df.join(F.broadcast(hot), F.col(ip_column).eqNullSafe(F.col("__hot")), "left")
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+    part = F.pmod(F.xxhash64(*plain), F.coalesce("__parts", F.lit(1))).cast("int")
+    dealt = rows.select(*columns, part.alias("__own"))
+    return dealt.join(found, (F.col(ip_column) == F.col("__text")) & (F.col("__own") == F.col("__part")), "left").select(*columns, "place")

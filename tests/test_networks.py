@@ -2,10 +2,12 @@ import ipaddress
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cedarlog.functions.text import address_bytes
+from cedarlog.operators import networks
 from cedarlog.operators.geo import countries_of, geoip_join
 from cedarlog.operators.networks import _bounds, _prefixes, places_of, prepare_networks
 
@@ -95,3 +97,35 @@ def test_no_networks(spark):
     frame = spark.createDataFrame([("::1",)], "ip string")
     for broadcast in (True, False):
         assert [r.place for r in places_of(frame, "ip", table, broadcast).collect()] == [None]
+
+
+def test_buckets_of_one_stretch_pass_together(monkeypatch):
+    """They are most of a large table; only buckets with more are gone through one by one."""
+    size = (65_535).to_bytes(16)
+    alone = [(96, n.to_bytes(12), 0, 65_535, size, f"p{n}") for n in range(2_000)]
+    nested = [(112, b"n" * 14, 0, 65_535, size, "wide"), (112, b"n" * 14, 8, 15, b"\0" * 16, "in it"), (112, b"n" * 14, 16, 23, b"\0" * 16, "in it")]
+    names = ["level", "bucket", "low", "high", "size", "place"]
+    table = pa.table(dict(zip(names, zip(*alone, *nested))), pa.schema(list(zip(names, [pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.string()]))))
+    calls, painted = [], networks._painted
+    monkeypatch.setattr(networks, "_painted", lambda *given: calls.append(len(given[0])) or painted(*given))
+    got = [tuple(r.values()) for b in networks._disjoint(iter(table.to_batches(max_chunksize=700))) for r in b.to_pylist()]
+    owners = [(0, 7, 0), (8, 15, 1), (16, 23, 2), (24, 65_535, 0)]
+    assert sorted(got) == sorted([*alone, *((*nested[k][:2], low, high, *nested[k][4:]) for low, high, k in owners)])
+    assert calls == [3]
+
+
+def test_rows_of_one_address_are_dealt_out(spark, monkeypatch):
+    """Rows of a frequent text, of none and of one that is no address go to several tasks, each row once."""
+    monkeypatch.setattr(networks, "HOT_ROWS", 10)
+    table = prepare_networks(spark.createDataFrame([("10.0.0.0/8", "{}"), ("10.1.0.0/16", '{"n":1}')], "network string, place string"))
+    texts = {"10.0.0.1": "{}", "10.1.0.1": '{"n":1}', "11.0.0.1": None, "unknown": None, None: None}
+    asked = [(n, text) for n, text in enumerate([*texts] * 40)] + [(200, "10.2.0.0"), (200, "10.2.0.0")]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = places_of(spark.createDataFrame(asked, "n int, ip string"), "ip", table, False)
+        got = found.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sorted((r.n, str(r.ip), r.place) for r in got) == sorted((n, str(text), texts.get(text, "{}")) for n, text in asked)
+    assert all(len({r.task for r in got if r.ip == text}) > 1 for text in texts)
